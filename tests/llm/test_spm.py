@@ -28,7 +28,7 @@ def test_hard_texts():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), max_size=8))
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), min_size=1, max_size=8))
 def test_any_text(texts):
     same(texts)
 
