@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import licenses, nra, spm
-from tidewake.llm.common import table
+from tidewake.llm import langid, licenses, nra, spm, toxicity
+from tidewake.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,14 @@ def _tokenizer() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    net = langid.fit(docs, F.col("doc_id").isNotNull() & ~held_out)
+    return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return spm.digests(spm.encode(table(spark, sf_dir, "documents"), _tokenizer()))
@@ -35,12 +43,22 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels of four fifths of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull() & ~held_out)
+    return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Query]:
     """Query name to a function of (spark, sf_dir)."""
     return {
+        "op1_language_id": op1_language_id,
         "op3_sentencepiece": op3_sentencepiece,
         "op7_exact_topk": op7_exact_topk,
         "op9_license_scan": op9_license_scan,
+        "op10_toxicity": op10_toxicity,
     }
 
 
