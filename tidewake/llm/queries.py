@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import langid, licenses, nra, spm, toxicity
+from tidewake.llm import langid, licenses, ngramjoin, nra, spm, toxicity
 from tidewake.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(spm.encode(table(spark, sf_dir, "documents"), _tokenizer()))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles are alike to 0.8."""
+    return ngramjoin.join_components(table(spark, sf_dir, "documents"))
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", nra.scaled("embedding").alias("vector"))
@@ -56,6 +61,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": op1_language_id,
         "op3_sentencepiece": op3_sentencepiece,
+        "op4_ngram_join": op4_ngram_join,
         "op7_exact_topk": op7_exact_topk,
         "op9_license_scan": op9_license_scan,
         "op10_toxicity": op10_toxicity,
