@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import langid, licenses, ngramjoin, nra, spm, toxicity
+from tidewake.llm import hmmlm, langid, licenses, ngramjoin, nra, spm, toxicity
 from tidewake.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,14 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join_components(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likelihood of every document under a model of six sevenths of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    scored = hmmlm.score(docs, F.col("doc_id").isNotNull() & ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", nra.scaled("embedding").alias("vector"))
@@ -62,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": op1_language_id,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_ngram_join": op4_ngram_join,
+        "op6_lm_score": op6_lm_score,
         "op7_exact_topk": op7_exact_topk,
         "op9_license_scan": op9_license_scan,
         "op10_toxicity": op10_toxicity,
