@@ -51,6 +51,34 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bits of a filter of keys, which tasks get whole. More keys only let more rows through, to an exact join.
+FILTER_BITS = 1 << 23
+_FILTER_SHIFT = 64 - 23
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A filter of 64-bit hashes of fixed size: two bits a key, put together by Spark."""
+    both = F.array(F.expr(f"`{column}` & {FILTER_BITS - 1}L"), F.expr(f"shiftrightunsigned(`{column}`, {_FILTER_SHIFT})"))
+    rows = (
+        keys.select(F.explode(both).alias("bit"))
+        .select(F.expr("shiftright(bit, 6)").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 AS INT))").alias("v"))
+        .groupBy("w")
+        .agg(F.bit_or("v").alias("v"))
+        .toPandas()
+    )
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[rows["w"].to_numpy(int)] = rows["v"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes may be among the filter's keys."""
+    out = np.ones(len(hashes), bool)
+    for at in (hashes & np.uint64(FILTER_BITS - 1), hashes >> np.uint64(_FILTER_SHIFT)):
+        out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return out
+
+
 def slices(texts: pa.Array, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Yield (first row, end row, bytes, offsets) of consecutive rows; nulls are empty."""
     if isinstance(texts, pa.ChunkedArray):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import checkpoint, mix, slices, split_mix, words
+from tidewake.llm.common import checkpoint, in_filter, key_filter, mix, slices, split_mix, words
 from tidewake.llm.components import components
 
 WORDS = 5
@@ -41,8 +41,6 @@ NUMERATOR, DENOMINATOR = 80, 100
 FRAGMENTS = 8
 #: A shingle in so many prefixes is put behind the rare ones; the most frequent FREQUENT of these are.
 FREQUENT_FROM, FREQUENT = 16, 100_000
-#: Bits of the filter of ids whose segments are wanted; more ids only let more rows through to an exact join.
-FILTER_BITS = 1 << 23
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> list[np.ndarray]:
@@ -181,20 +179,6 @@ def shared_prefixes(sets: DataFrame) -> DataFrame:
     return rows.join(groups, "g").select("g", "s", "n", "i", F.col("c.s").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.i").alias("centre_i"))
 
 
-def id_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A bit for each key's hash, in FILTER_BITS bits."""
-    rows = (
-        keys.select(F.pmod(F.col(column), F.lit(FILTER_BITS)).cast("int").alias("bit"))
-        .select(F.expr("shiftright(bit, 6)").alias("w"), F.expr("shiftleft(1L, bit % 64)").alias("v"))
-        .groupBy("w")
-        .agg(F.bit_or("v").alias("v"))
-        .toPandas()
-    )
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[rows["w"].to_numpy(int)] = rows["v"].to_numpy(np.int64)
-    return out.view(np.uint64)
-
-
 def segments(df: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) -> DataFrame:
     """(s, n, f, seg) of the distinct sets whose name passes the filter: their shingles by fragment."""
     shared = df.sparkSession.sparkContext.broadcast(wanted)
@@ -207,8 +191,7 @@ def segments(df: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) -> D
             if not len(s):
                 continue
             name = set_name(s)
-            bit = int(name) % FILTER_BITS
-            if not (int(bits[bit >> 6]) >> (bit & 63)) & 1:
+            if not in_filter(bits, np.array([name]).view(np.uint64))[0]:
                 continue
             cuts = np.searchsorted(s >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
             for f in range(FRAGMENTS):
@@ -247,7 +230,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     last = frequent_shingles(df, id_col, text_col)
     sets = prefixes(df, id_col, text_col, last).groupBy("s").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     shared = checkpoint(shared_prefixes(sets))
-    parts = checkpoint(segments(df, id_col, text_col, id_filter(shared.select("s").distinct(), "s")))
+    parts = checkpoint(segments(df, id_col, text_col, key_filter(shared, "s")))
 
     starred = (
         shared.where((F.col("s") != F.col("centre")) & _within("n", "centre_n") & _reachable("n", "centre_n", "i", "centre_i"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import hmmlm, langid, licenses, ngramjoin, nra, spm, toxicity
+from tidewake.llm import decontam, hmmlm, langid, licenses, ngramjoin, nra, spm, toxicity
 from tidewake.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.join_components(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, with the place of each overlap."""
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likelihood of every document under a model of six sevenths of them."""
     docs = table(spark, sf_dir, "documents")
@@ -70,6 +75,7 @@ def queries() -> dict[str, Query]:
         "op1_language_id": op1_language_id,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_ngram_join": op4_ngram_join,
+        "op5_decontaminate": op5_decontaminate,
         "op6_lm_score": op6_lm_score,
         "op7_exact_topk": op7_exact_topk,
         "op9_license_scan": op9_license_scan,
