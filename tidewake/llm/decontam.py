@@ -16,8 +16,9 @@ The words around hits travel with them, so texts are never shuffled.
 Items of fewer words than a mask is long are sought as a whole, word for word;
 items under ``MIN_ITEM`` words say too little and are left out. Null and empty
 texts have no hits. Rows of one id are judged together; rows without an id are
-never reported. Extra columns aren't read. A-Z are lower-cased; words are what
-stands between white space.
+never reported. Extra columns aren't read. Texts are lower-cased; words are runs
+of ASCII letters and digits and of any other characters past ASCII, so changed
+case or punctuation hides nothing.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import checkpoint, in_filter, key_filter, mix, slices, split_mix, words
+from tidewake.llm.common import LETTERS_DIGITS, checkpoint, in_filter, key_filter, mix, slices, split_mix, words
 
 #: Fixed masks of ten words, seven marked.
 MASKS = ("1101101011", "1011011101", "1110010111", "1110111001")
@@ -75,7 +76,7 @@ def item_seeds(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for begin, end, data, offsets in slices(batch.column(1)):
-                _, _, hashes, first = words(data, offsets)
+                _, _, hashes, first = words(data, offsets, LETTERS_DIGITS)
                 owner = np.repeat(np.arange(end - begin), np.diff(first))
                 found = [(owner[s], h, s - first[owner[s]]) for s, h in seeds(hashes, first, tuple(range(MIN_ITEM, SPAN)), True)]
                 if not found:
@@ -84,7 +85,7 @@ def item_seeds(bench: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 lists = pa.array([hashes[a:b].view(np.int64) for a, b in zip(first[:-1], first[1:])], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin).take(pa.array(who)), lists.take(pa.array(who)), pa.array(h.view(np.int64)), pa.array(at.astype(np.int32))], names=["item", "words", "h", "at"])
 
-    return bench.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"item {kind}, words array<long>, h long, at int")
+    return bench.select(F.col(id_col), F.lower(text_col)).mapInArrow(run, f"item {kind}, words array<long>, h long, at int")
 
 
 def text_hits(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray, short: tuple[int, ...]) -> DataFrame:
@@ -97,7 +98,7 @@ def text_hits(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray, sho
         hit_type = pa.list_(pa.struct([("h", pa.int64()), ("at", pa.int32())]))
         for batch in batches:
             for begin, end, data, offsets in slices(batch.column(1)):
-                _, _, hashes, first = words(data, offsets)
+                _, _, hashes, first = words(data, offsets, LETTERS_DIGITS)
                 found = [(s[keep], h[keep]) for s, h in seeds(hashes, first, short) for keep in (in_filter(bits, h),)]
                 at = np.concatenate([s for s, _ in found]) if found else np.zeros(0, int)
                 if not len(at):
@@ -123,7 +124,7 @@ def text_hits(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray, sho
                     names=["id", "first", "words", "hits"],
                 )
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, first long, words array<long>, hits array<struct<h:long,at:int>>")
+    return docs.select(F.col(id_col), F.lower(text_col)).mapInArrow(run, f"id {kind}, first long, words array<long>, hits array<struct<h:long,at:int>>")
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
