@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import decontam, hmmlm, langid, licenses, ngramjoin, nra, spm, toxicity
+from tidewake.llm import decontam, hmmlm, langid, licenses, linededup, ngramjoin, nra, spm, toxicity
 from tidewake.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier one equals or nearly equals."""
+    return linededup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as digests."""
     return spm.digests(spm.encode(table(spark, sf_dir, "documents"), _tokenizer()))
@@ -73,6 +78,7 @@ def queries() -> dict[str, Query]:
     """Query name to a function of (spark, sf_dir)."""
     return {
         "op1_language_id": op1_language_id,
+        "op2_line_dedup": op2_line_dedup,
         "op3_sentencepiece": op3_sentencepiece,
         "op4_ngram_join": op4_ngram_join,
         "op5_decontaminate": op5_decontaminate,
@@ -95,6 +101,35 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(rk AS INTEGER) AS rank, vec_id, score FROM r WHERE rk <= 20
 """
 
+_OP2_SQL = """
+WITH rows AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+raw AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS ln FROM rows WHERE text IS NOT NULL),
+every AS (SELECT doc_id, ln, lower(trim(line)) AS l, line FROM raw),
+firsts AS (SELECT l, min((doc_id, ln)) AS first, length(l) AS n FROM every WHERE l <> '' GROUP BY l),
+long_ AS (SELECT * FROM firsts WHERE n >= 24),
+halves AS (
+  SELECT l, first, n, h, 0 AS side, left(l, h) AS part FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM long_)
+  UNION ALL
+  SELECT l, first, n, h, 1 AS side, right(l, h) AS part FROM (SELECT *, unnest(list_distinct([n // 2, (n - 1) // 2])) AS h FROM long_)),
+pairs AS (
+  SELECT DISTINCT a.l AS l, b.l AS o FROM halves a JOIN halves b USING (h, side, part)
+  WHERE b.first < a.first AND abs(a.n - b.n) <= 1),
+near AS (
+  SELECT DISTINCT l FROM pairs WHERE CASE
+    WHEN length(l) = length(o) THEN len([i FOR i IN range(1, length(l) + 1) IF substring(l, i, 1) <> substring(o, i, 1)]) <= 1
+    WHEN length(l) < length(o) THEN list_contains([left(o, i - 1) || substring(o, i + 1) FOR i IN range(1, length(o) + 1)], l)
+    ELSE list_contains([left(l, i - 1) || substring(l, i + 1) FOR i IN range(1, length(l) + 1)], o) END),
+judged AS (
+  SELECT e.doc_id, e.ln, e.line, e.l <> '' AND (near.l IS NOT NULL OR f.first < (e.doc_id, e.ln)) AS gone
+  FROM every e LEFT JOIN firsts f ON e.l = f.l LEFT JOIN near ON e.l = near.l)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(j.kept, '') END AS text,
+       CAST(coalesce(len(d.ls), 0) AS INTEGER) AS n_lines, CAST(coalesce(j.n, 0) AS INTEGER) AS n_dropped
+FROM rows d LEFT JOIN (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE NOT coalesce(gone, false)) AS kept, count(*) FILTER (WHERE gone) AS n
+  FROM judged GROUP BY doc_id) j USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL with the same rows."""
-    return {"op7_exact_topk": _OP7_SQL}
+    return {"op2_line_dedup": _OP2_SQL, "op7_exact_topk": _OP7_SQL}
