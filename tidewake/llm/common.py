@@ -13,7 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass covers; a longer text is a piece by itself.
@@ -51,6 +51,36 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_sample(df: DataFrame, group: str, key: str, rows: int, *ties: str) -> DataFrame:
+    """At most ``rows`` rows of each group, those of lowest hash ``key``, which is uniform over longs.
+
+    Counts of the groups (few: they are labels) give a bar under which some more
+    than ``rows`` keys of a group are expected; only those are ranked.
+    """
+    counts = {r[group]: r["count"] for r in df.groupBy(group).count().collect()}
+    bar = F.lit(None).cast("double")
+    for name, count in counts.items():
+        if name is not None:
+            bar = F.when(F.col(group) == name, F.lit(min(1.0, (1.5 * rows + 50) / count))).otherwise(bar)
+    low = F.pmod(F.col(key), F.lit(1 << 40)) / float(1 << 40) < bar
+    ranked = Window.partitionBy(group).orderBy(key, *ties)
+    return df.where(low).withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= rows).drop("_n")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, rows: int) -> list[tuple[str, int]]:
+    """At most ``rows`` texts of label 0 and of label 1, in order of a hash of the id.
+
+    The labels are cut to the sample before they meet the texts. An id with
+    several labels has the largest, one with several texts the least.
+    """
+    known = labels.where(usable & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
+    picked = bounded_sample(known.withColumn("key", F.xxhash64("id")), "label", "key", rows, "id").select("id", "label")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    # At most 2 * rows ids with their labels: bounded by the parameter, so it may be broadcast.
+    found = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return [(r.text, r.label) for r in found.orderBy(F.xxhash64("id"), "id").collect()]
+
+
 #: Bits of a filter of keys, which tasks get whole. More keys only let more rows through, to an exact join.
 FILTER_BITS = 1 << 23
 _FILTER_SHIFT = 64 - 23

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import decontam, hmmlm, langid, licenses, linededup, ngramjoin, nra, spm, toxicity
+from tidewake.llm import decontam, hmmlm, langid, licenses, linededup, ngramjoin, nra, quality, spm, toxicity
 from tidewake.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,14 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nra.top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors, 20)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, with its source as host and its language as path."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    scored = quality.score(docs, table(spark, sf_dir, "labels"), F.col("doc_id").isNotNull() & ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "doc_score", "host_rate", "path_rate", "score", "keep")
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and covered template spans of every document."""
     return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
@@ -84,6 +92,7 @@ def queries() -> dict[str, Query]:
         "op5_decontaminate": op5_decontaminate,
         "op6_lm_score": op6_lm_score,
         "op7_exact_topk": op7_exact_topk,
+        "op8_quality": op8_quality,
         "op9_license_scan": op9_license_scan,
         "op10_toxicity": op10_toxicity,
     }
