@@ -8,6 +8,7 @@ piece at once and gives each a 64-bit hash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,24 +34,35 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and read it back.
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; only where that is unset (as in tests) one of our own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        import tempfile
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset (as
-    in tests) a folder of its own is set.
-    """
+        shared = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return shared
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared checkpoint folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(shared)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(_shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same as a table of columns: smaller than a checkpoint, for frames of many rows.
+
+    The table stays in the shared checkpoint folder, as a result may be read later.
+    """
+    path = f"{_shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded_sample(df: DataFrame, group: str, key: str, rows: int, *ties: str) -> DataFrame:
     """At most ``rows`` rows of each group, those of lowest hash ``key``, which is uniform over longs.
 

@@ -23,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import slices
+from tidewake.llm.common import bounded_sample, slices
 
 ROWS_A_LANGUAGE = 384
 STRETCH = 128
@@ -231,17 +231,10 @@ class Reader:
 
 def training_sample(df: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_A_LANGUAGE) -> list[tuple[bytes, str]]:
     """At most ``rows`` stretches of labelled text a language, in a fixed order."""
-    key = F.xxhash64(F.col(id_col))
     labelled = df.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    ranked = Window.partitionBy("lang").orderBy("key", "id", "cut")
     start = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.greatest(F.length(text_col) - STRETCH, F.lit(1))) + 1
-    picked = (
-        labelled.select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(id_col).alias("id"), F.substring(F.col(text_col), start, F.lit(STRETCH)).alias("cut"))
-        .withColumn("n", F.row_number().over(ranked))
-        .where(F.col("n") <= rows)
-        .orderBy("lang", "n")
-        .select("cut", "lang")
-    )
+    cuts = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("key"), F.col(id_col).alias("id"), F.substring(F.col(text_col), start, F.lit(STRETCH)).alias("cut"))
+    picked = bounded_sample(cuts, "lang", "key", rows, "id", "cut").orderBy("lang", "key", "id", "cut").select("cut", "lang")
     return [(r.cut.encode(), r.lang) for r in picked.collect()]
 
 
@@ -270,6 +263,28 @@ def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     return source.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def keep(df: DataFrame, net: Network | None, least: float, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and a language of at least this score."""
+    # Batches are passed on whole, so names of other columns don't matter; the check for letters rides along.
+    letters = F.coalesce(F.col(f"`{text_col}`").rlike("\\p{L}"), F.lit(False))
+    where = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(net) if net else None
+        for batch in batches:
+            texts, fine = batch.column(where), batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
+            score = np.zeros(len(fine))
+            if reader:
+                for first, end, data, offsets in slices(texts):
+                    score[first:end] = reader.read(data, offsets).max(1)
+            kept = batch.filter(pa.array(fine & (score >= least)))
+            yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=[f"c{i}" for i in range(len(kept.columns) - 1)])
+
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
+    out = df.select(*(F.col(f"`{c}`") for c in df.columns), letters.alias("_letters")).mapInArrow(run, kinds)
+    return out.toDF(*df.columns)
+
+
 def fit(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """A network trained on the usable labelled rows; None where there are none."""
     sample = training_sample(df, usable, id_col, text_col, lang_col)

@@ -33,10 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import LOWER, slices, words
+from tidewake.llm.common import LOWER, labelled_sample, slices, words
 
 ROWS_A_CLASS = 1200
 LANDMARKS = 20
@@ -310,27 +310,9 @@ def train(texts: list[bytes], toxic: list[bool], rounds: int = 3) -> Machine | N
     return machine
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, rows: int) -> list[tuple[str, int]]:
-    """At most ``rows`` texts of either label; the labels are cut to the sample before they meet the texts."""
-    ranked = Window.partitionBy("label").orderBy("key", "id")
-    picked = (
-        labels.where(usable & F.col(label_col).isin(0, 1))
-        .groupBy(F.col(id_col).alias("id"))
-        .agg(F.max(label_col).alias("label"))
-        .withColumn("key", F.xxhash64("id"))
-        .withColumn("n", F.row_number().over(ranked))
-        .where(F.col("n") <= rows)
-        .select("id", "label")
-    )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    # At most 2 * rows ids with their labels: bounded by the parameter, so it may be broadcast.
-    found = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    return [(r.text, r.label) for r in found.orderBy(F.xxhash64("id"), "id").collect()]
-
-
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS_A_CLASS) -> Machine | None:
     """A machine trained on the usable labelled rows."""
-    sample = training_sample(docs, labels, usable, id_col, text_col, label_col, rows)
+    sample = labelled_sample(docs, labels, usable, id_col, text_col, label_col, rows)
     return train([t.encode() for t, _ in sample], [bool(y) for _, y in sample])
 
 
