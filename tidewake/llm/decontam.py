@@ -6,7 +6,7 @@ training texts are joined, so a passage is found although single words were
 replaced. Around hits the training text and the item are laid side by side and
 the best-scoring stretch (``MATCH`` for an equal word, ``MISS`` for another) is
 kept. A text is contaminated by an item where such a stretch has
-``MIN_MATCHED`` equal words, or ``MIN_PART`` of a shorter item.
+``MIN_MATCHED`` equal words, or ``MIN_PART`` of an item that has fewer.
 
 Training texts are read once. A filter of fixed size, built from the benchmark's
 hashes, drops nearly all windows in the task that reads them; it only ever lets
@@ -127,6 +127,11 @@ def text_hits(docs: DataFrame, id_col: str, text_col: str, bits: np.ndarray, sho
     return docs.select(F.col(id_col), F.lower(text_col)).mapInArrow(run, f"id {kind}, first long, words array<long>, hits array<struct<h:long,at:int>>")
 
 
+def needed(n: int) -> int:
+    """Equal words that contaminate, of an item of n words."""
+    return n if n < SPAN else min(MIN_MATCHED, int(np.ceil(MIN_PART * n)))
+
+
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     """(equal words, start, end) of the best-scoring stretch."""
     best, score, start = (0, 0, 0), 0, 0
@@ -163,7 +168,7 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
             for id_, item, shift, first, text, words_ in zip(frame["id"], frame["item"], frame["shift"], frame["first"], frame["text_words"], frame["item_words"]):
                 a, b = max(0, shift), min(len(text), len(words_) + shift)
                 matched, start, end = best_stretch(np.asarray(text[a:b]) == np.asarray(words_[a - shift : b - shift])) if a < b else (0, 0, 0)
-                if matched >= min(MIN_MATCHED, np.ceil(MIN_PART * len(words_))):
+                if matched >= needed(len(words_)):
                     out.append((id_, item, matched, first + a + start, first + a + end - 1))
             yield pd.DataFrame(out, columns=["id", "item", "matched", "first_word", "last_word"])
 
