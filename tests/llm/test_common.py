@@ -57,3 +57,12 @@ def test_bounded_sample(spark):
 def test_written_and_checkpoint(spark):
     df = spark.sql("SELECT 1 AS a, CAST(NULL AS STRING) AS b")
     assert common.written(df).collect() == common.checkpoint(df).collect() == df.collect()
+
+
+def test_most_frequent(spark):
+    counts = spark.range(1, 3001).selectExpr("id AS h", "CAST(3000 / id AS LONG) * 7 AS c")
+    want = sorted((int(3000 / i) * 7 for i in range(1, 3001)), reverse=True)
+    for limit in (0, 1, 5, 100, 5000):
+        got = sorted((r.c for r in common.most_frequent(counts, "c", limit).collect()), reverse=True)
+        assert len(got) <= limit and got == want[: len(got)]
+    assert len(common.most_frequent(counts, "c", 5000).collect()) == 3000 and common.most_frequent(counts, "c", 5000, 8).count() < 3000
