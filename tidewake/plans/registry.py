@@ -5,40 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def _flagship_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hourly open/high/low/close bars of each event type."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    order = F.struct("ts", "event_id")
-    return (
-        events.groupBy(F.col("event_type").alias("instrument"), F.date_trunc("hour", "ts").alias("hour"))
-        .agg(
-            F.min_by("value", order).alias("open"),
-            F.max("value").alias("high"),
-            F.min("value").alias("low"),
-            F.max_by("value", order).alias("close"),
-            F.count("*").alias("n"),
-        )
-    )
+from tidewake.plans import execution, market, research, scalar
 
-
-_FLAGSHIP_SQL = """
-SELECT event_type AS instrument, date_trunc('hour', ts) AS hour,
-       arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low,
-       arg_max(value, (ts, event_id)) AS close, count(*) AS n
-FROM events GROUP BY 1, 2
-"""
+Query = Callable[[SparkSession, str], DataFrame]
+_ALL = {**scalar.QUERIES, **market.QUERIES, **execution.QUERIES, **research.QUERIES}
 
 
 def queries() -> dict[str, Query]:
     """Query name to a function of (spark, sf_dir)."""
-    return {"flagship_bars": _flagship_bars}
+    return {name: query for name, (query, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL."""
-    return {"flagship_bars": _FLAGSHIP_SQL}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql is not None}
