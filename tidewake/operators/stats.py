@@ -74,5 +74,5 @@ def expected_max_sharpe(variance: float, trials: int) -> float:
 
 def percentiles(df: DataFrame, x: str, keys: list[str], points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
     """Nearest-rank percentiles, maximum and count of each group."""
-    exact = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})").alias(f"p{int(p * 100)}") for p in points]
+    exact = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})").cast(df.schema[x].dataType).alias(f"p{int(p * 100)}") for p in points]
     return df.groupBy(*keys).agg(*exact, F.max(x).alias("max"), F.count(x).alias("n"))

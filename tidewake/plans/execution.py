@@ -1 +1,229 @@
-QUERIES: dict = {}
+"""Queries of orders, positions, risk and backtests (A, J, O, E, R)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidewake.functions import fixed
+from tidewake.operators import execution, stats
+from tidewake.sources import adapters as A
+from tidewake.sources.adapters import with_tables
+
+
+def a01_event_counts(spark, sf_dir):
+    return A.ticks(spark, sf_dir).groupBy("instrument").agg(F.count("*").alias("n"), F.count_if(F.col("side") == "Buy").alias("buys"), F.count_if(F.col("side") == "Sell").alias("sells"))
+
+
+A01 = with_tables("ticks", "SELECT instrument, count(*) AS n, count(*) FILTER (WHERE side = 'Buy') AS buys, count(*) FILTER (WHERE side = 'Sell') AS sells FROM ticks GROUP BY 1")
+
+
+def a02_percentiles(spark, sf_dir):
+    return stats.percentiles(A.ticks(spark, sf_dir), "px_raw", ["instrument"])
+
+
+A02 = with_tables("ticks", "SELECT instrument, quantile_disc(px_raw, 0.5) AS p50, quantile_disc(px_raw, 0.95) AS p95, quantile_disc(px_raw, 0.99) AS p99, max(px_raw) AS max, count(*) AS n FROM ticks GROUP BY 1")
+
+
+def _cash(side, px, qty, fee):
+    return -fixed.sign(side) * fixed.notional(px, qty) - fee
+
+
+def a03_account_summary(spark, sf_dir):
+    """Fills, volume, fees, end position and cash flow of each hundred orders' fills."""
+    f = execution.first_fills(A.exec_reports(spark, sf_dir))
+    n = fixed.notional(F.col("px_raw"), F.col("qty_raw"))
+    return f.groupBy(F.expr("cloid div 100").alias("account")).agg(
+        F.count("*").alias("fills"), F.sum(n).alias("volume_raw"), F.sum("fee_raw").alias("fees_raw"), F.sum(fixed.sign(F.col("side")) * F.col("qty_raw")).alias("position_raw"), F.sum(_cash(F.col("side"), F.col("px_raw"), F.col("qty_raw"), F.col("fee_raw"))).alias("cash_raw")
+    )
+
+
+_FILLS = """, ff AS (SELECT * FROM exec_reports QUALIFY row_number() OVER (PARTITION BY cloid, fill_id ORDER BY seq) = 1)
+"""
+A03 = with_tables("exec_reports", _FILLS + """SELECT cloid // 100 AS account, count(*) AS fills, CAST(sum(px_raw::HUGEINT * qty_raw // 100000000) AS BIGINT) AS volume_raw, CAST(sum(fee_raw) AS BIGINT) AS fees_raw,
+  CAST(sum(CASE side WHEN 'Buy' THEN qty_raw ELSE -qty_raw END) AS BIGINT) AS position_raw,
+  CAST(sum(CASE side WHEN 'Buy' THEN -1 ELSE 1 END * (px_raw::HUGEINT * qty_raw // 100000000) - fee_raw) AS BIGINT) AS cash_raw FROM ff GROUP BY 1""")
+
+
+def a04_ledger(spark, sf_dir):
+    """Running position and cash of each hundred orders' fills, in order."""
+    path = Window.partitionBy("account").orderBy("cloid", "seq")
+    f = execution.first_fills(A.exec_reports(spark, sf_dir)).withColumn("account", F.expr("cloid div 100"))
+    return f.select("cloid", "fill_id", F.sum(fixed.sign(F.col("side")) * F.col("qty_raw")).over(path).alias("position_raw"), F.sum(_cash(F.col("side"), F.col("px_raw"), F.col("qty_raw"), F.col("fee_raw"))).over(path).alias("cash_raw"))
+
+
+A04 = with_tables("exec_reports", _FILLS + """SELECT cloid, fill_id, CAST(sum(CASE side WHEN 'Buy' THEN qty_raw ELSE -qty_raw END) OVER w AS BIGINT) AS position_raw,
+  CAST(sum(CASE side WHEN 'Buy' THEN -1 ELSE 1 END * (px_raw::HUGEINT * qty_raw // 100000000) - fee_raw) OVER w AS BIGINT) AS cash_raw FROM ff WINDOW w AS (PARTITION BY cloid // 100 ORDER BY cloid, seq)""")
+
+
+def a05_order_states(spark, sf_dir):
+    return execution.order_states(A.exec_reports(spark, sf_dir), A.order_requests(spark, sf_dir))
+
+
+_STATES = _FILLS + """, st AS (SELECT f.*, o.qty_raw AS order_qty, coalesce(sum(f.qty_raw) OVER (PARTITION BY f.cloid ORDER BY f.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM ff f JOIN order_requests o ON f.cloid = o.cloid)
+"""
+A05 = with_tables("exec_reports order_requests", _STATES + """SELECT cloid, CAST(sum(qty_raw) AS BIGINT) AS filled_raw, CAST(sum(px_raw::HUGEINT * qty_raw) // sum(qty_raw) AS BIGINT) AS vwap_raw, CAST(sum(fee_raw) AS BIGINT) AS fees_raw,
+  CASE WHEN sum(qty_raw) >= order_qty THEN 'Filled' ELSE 'PartiallyFilled' END AS status FROM st WHERE before < order_qty GROUP BY cloid, order_qty""")
+
+
+def a06_positions(spark, sf_dir):
+    """Position, average entry and realised profit after each fill of each hundred orders: a fold, as it depends on its path."""
+    f = execution.first_fills(A.exec_reports(spark, sf_dir)).select(F.expr("cloid div 100").alias("account"), "cloid", "seq", "side", "qty_raw", "px_raw", "fee_raw")
+    return execution.positions(f, ["account"], ["cloid", "seq"])
+
+
+A06 = "WITH RECURSIVE " + ",\n".join(A.SQL[n] for n in ["exec_reports"]) + _FILLS + """, o AS (SELECT cloid // 100 AS account, row_number() OVER (PARTITION BY cloid // 100 ORDER BY cloid, seq) AS n, CASE side WHEN 'Buy' THEN qty_raw ELSE -qty_raw END AS s, px_raw AS px, fee_raw AS fee FROM ff),
+p AS (SELECT account, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS qty, CAST(0 AS BIGINT) AS entry, CAST(0 AS BIGINT) AS realised FROM o GROUP BY 1
+  UNION ALL SELECT o.account, o.n, p.qty + o.s,
+    CASE WHEN p.qty + o.s = 0 THEN 0 WHEN p.qty = 0 OR sign(p.qty) = sign(o.s) THEN CAST((p.entry::HUGEINT * abs(p.qty) + o.px::HUGEINT * abs(o.s)) // (abs(p.qty) + abs(o.s)) AS BIGINT)
+      WHEN sign(p.qty + o.s) = sign(o.s) THEN o.px ELSE p.entry END,
+    CAST(p.realised - o.fee + CASE WHEN p.qty <> 0 AND sign(p.qty) <> sign(o.s) THEN ((o.px - p.entry)::HUGEINT * CAST(sign(p.qty) AS BIGINT) * least(abs(p.qty), abs(o.s))) // 100000000 ELSE 0 END AS BIGINT)
+  FROM p JOIN o ON o.account = p.account AND o.n = p.n + 1)
+SELECT account, n, qty AS qty_raw, entry AS entry_raw, realised AS realised_raw FROM p WHERE n > 0"""
+
+
+def a07_funding_by_day(spark, sf_dir):
+    return A.funding(spark, sf_dir).groupBy(F.expr("time_us div 86400000000").alias("day")).agg(F.round(F.sum("rate"), 9).alias("rate"), F.count("*").alias("n"))
+
+
+A07 = with_tables("funding", "SELECT time_us // 86400000000 AS day, round(sum(rate), 9) AS rate, count(*) AS n FROM funding GROUP BY 1")
+
+
+def j05_fills_applied(spark, sf_dir):
+    """Fills that count: the first of their id, of a known order that isn't done yet."""
+    f = execution.first_fills(A.exec_reports(spark, sf_dir)).join(A.order_requests(spark, sf_dir).select("cloid", F.col("qty_raw").alias("order_qty")), "cloid")
+    before = F.coalesce(F.sum("qty_raw").over(Window.partitionBy("cloid").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return f.withColumn("before", before).where("before < order_qty").select("cloid", "fill_id", "seq")
+
+
+J05 = with_tables("exec_reports order_requests", _STATES + "SELECT cloid, fill_id, seq FROM st WHERE before < order_qty")
+
+
+def j06_registrations(spark, sf_dir):
+    first = Window.partitionBy("cloid").orderBy("seq")
+    return A.exec_reports(spark, sf_dir).withColumn("n", F.row_number().over(first)).where("n = 1").select("cloid", "side", "px_raw")
+
+
+J06 = with_tables("exec_reports", "SELECT cloid, side, px_raw FROM exec_reports QUALIFY row_number() OVER (PARTITION BY cloid ORDER BY seq) = 1")
+
+
+def j10_reconcile(spark, sf_dir):
+    """Filled quantities against requested ones: drift, and whether they agree."""
+    local = A.exec_reports(spark, sf_dir).groupBy("cloid").agg(F.sum("qty_raw").alias("filled"))
+    both = A.order_requests(spark, sf_dir).join(local, "cloid", "left")
+    drift = F.coalesce("filled", F.lit(0)) - F.col("qty_raw")
+    return both.select("cloid", drift.alias("drift"), (F.abs(drift) <= 100_000_000).alias("in_sync"))
+
+
+J10 = with_tables("exec_reports order_requests", "SELECT o.cloid, CAST(coalesce(f.filled, 0) - o.qty_raw AS BIGINT) AS drift, abs(coalesce(f.filled, 0) - o.qty_raw) <= 100000000 AS in_sync FROM order_requests o LEFT JOIN (SELECT cloid, sum(qty_raw) AS filled FROM exec_reports GROUP BY 1) f ON o.cloid = f.cloid")
+
+
+def j09_summary_gap(spark, sf_dir):
+    """Summaries of buys and sells side by side, as of two runs: what differs."""
+    half = lambda s: A.ticks(spark, sf_dir).where(F.col("side") == s).groupBy("instrument").agg(F.count("*").alias("n"), F.sum("qty_raw").alias("q"))
+    a, b = half("Buy"), half("Sell").withColumnsRenamed({"n": "m", "q": "p"})
+    return a.join(b, "instrument", "full").select("instrument", (F.col("n") - F.col("m")).alias("fills_gap"), (F.col("q") - F.col("p")).alias("volume_gap"))
+
+
+J09 = with_tables("ticks", "SELECT instrument, count(*) FILTER (WHERE side = 'Buy') - count(*) FILTER (WHERE side = 'Sell') AS fills_gap, CAST(sum(CASE side WHEN 'Buy' THEN qty_raw ELSE -qty_raw END) AS BIGINT) AS volume_gap FROM ticks GROUP BY 1")
+
+
+def r01_gate(spark, sf_dir):
+    """Decisions on all requests, given each customer's running position and kill switch."""
+    path = Window.partitionBy("customer").orderBy("ts_us", "cloid").rowsBetween(Window.unboundedPreceding, -1)
+    o = A.order_requests(spark, sf_dir).withColumn("position", F.coalesce(F.sum(fixed.sign(F.col("side")) * F.col("qty_raw")).over(path), F.lit(0))).withColumn("killed", F.col("customer") % 10 == 0)
+    return execution.gate(o, 1_500_000_000, 500_000_000_000_000).select("cloid", "resulting", "decision")
+
+
+R01 = with_tables("order_requests", """, p AS (SELECT *, CAST(coalesce(sum(CASE side WHEN 'Buy' THEN qty_raw ELSE -qty_raw END) OVER (PARTITION BY customer ORDER BY ts_us, cloid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position FROM order_requests),
+r AS (SELECT *, position + CASE side WHEN 'Buy' THEN qty_raw ELSE -qty_raw END AS resulting FROM p)
+SELECT cloid, resulting, CASE WHEN abs(resulting) <= abs(position) THEN 'Allow' WHEN customer % 10 = 0 THEN 'KillSwitchTripped' WHEN abs(resulting) > 1500000000 THEN 'MaxPosition'
+  WHEN px_raw::HUGEINT * abs(resulting) // 100000000 > 500000000000000 THEN 'MaxNotional' ELSE 'Allow' END AS decision FROM r""")
+
+
+def r02_kill_switch(spark, sf_dir):
+    k = execution.kill_switch(A.equity_path(spark, sf_dir), ["account"], ["seq"], 0.2)
+    return k.select("account", "seq", "peak", F.round("drawdown", 9).alias("drawdown"), "killed")
+
+
+R02 = with_tables("equity_path", """, p AS (SELECT *, max(equity) OVER (PARTITION BY account ORDER BY seq) AS peak FROM equity_path), d AS (SELECT *, CASE WHEN peak > 0 THEN 1 - equity::DOUBLE / peak ELSE 0 END AS dd FROM p)
+SELECT account, seq, peak, round(dd, 9) AS drawdown, max(dd >= 0.2::DOUBLE) OVER (PARTITION BY account ORDER BY seq) AS killed FROM d""")
+
+
+def r03_kill_reset(spark, sf_dir):
+    """The same with a reset every seventh row: the peak then starts at that row's equity."""
+    k = execution.kill_switch(A.equity_path(spark, sf_dir).withColumn("reset", F.col("seq") % 7 == 0), ["account"], ["seq"], 0.2)
+    return k.select("account", "seq", "peak", "killed")
+
+
+R03 = with_tables("equity_path", """, e AS (SELECT *, (seq - 1) // 7 AS ep FROM equity_path), l AS (SELECT *, lag(equity) OVER (PARTITION BY account ORDER BY seq) AS b FROM e),
+p AS (SELECT *, greatest(max(equity) OVER w, coalesce(max(CASE WHEN seq > 1 AND (seq - 1) % 7 = 0 THEN b END) OVER w, max(equity) OVER w)) AS peak FROM l WINDOW w AS (PARTITION BY account, ep ORDER BY seq))
+SELECT account, seq, peak, max(CASE WHEN peak > 0 THEN 1 - equity::DOUBLE / peak ELSE 0 END >= 0.2::DOUBLE) OVER (PARTITION BY account, ep ORDER BY seq) AS killed FROM p""")
+
+
+def o03_best(spark, sf_dir):
+    """Configurations by Sharpe ratio, the best first; ties go to the first configured."""
+    s = A.trial_panel(spark, sf_dir).groupBy("cfg").agg(F.round(stats.sharpe(F.col("r")), 6).alias("sharpe"))
+    return s.orderBy(F.desc("sharpe"), "cfg").limit(1)
+
+
+_SHARPE = "CASE WHEN stddev_samp(r) = 0 THEN 0 ELSE avg(r) / stddev_samp(r) * sqrt(365.0::DOUBLE) END"
+O03 = with_tables("trial_panel", f"SELECT cfg, round({_SHARPE}, 6) AS sharpe FROM trial_panel GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")
+
+
+def o05_offending(spark, sf_dir):
+    """Up to five first late rows of each instrument."""
+    late = A.ticks(spark, sf_dir).where("recv_us - exch_us > 990000")
+    order = Window.partitionBy("instrument").orderBy("exch_us", "tid")
+    return late.withColumn("n", F.row_number().over(order)).where("n <= 5").select("instrument", F.col("n").cast("long").alias("n"), "tid")
+
+
+O05 = with_tables("ticks", "SELECT instrument, n, tid FROM (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY exch_us, tid) AS n FROM ticks WHERE recv_us - exch_us > 990000) WHERE n <= 5")
+
+
+def o10_leaderboard(spark, sf_dir):
+    s = A.trial_panel(spark, sf_dir).groupBy("cfg").agg(F.round(stats.sharpe(F.col("r")), 6).alias("sharpe"), F.round(stats.total_return(F.col("r")), 8).alias("total"), F.round(stats.sortino(F.col("r")), 6).alias("sortino"))
+    return s.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("sharpe"), "cfg")).cast("long"))
+
+
+O10 = with_tables("trial_panel", f"""SELECT cfg, round({_SHARPE}, 6) AS sharpe, round(exp(sum(r)) - 1, 8) AS total,
+  round(avg(r) / sqrt(avg(least(r, 0) * least(r, 0))) * sqrt(365.0::DOUBLE), 6) AS sortino, row_number() OVER (ORDER BY round({_SHARPE}, 6) DESC, cfg) AS place FROM trial_panel GROUP BY 1""")
+
+
+def e01_backtest(spark, sf_dir):
+    """The event loop over all ticks of each instrument: crossing means, latency, fees, funding, marks."""
+    t = A.ticks(spark, sf_dir).select("instrument", F.col("exch_us").alias("ts_us"), "tid", "px_raw")
+    return execution.backtest(t, ["instrument"], ["ts_us", "tid"], cash=100_000 * fixed.SCALE, fast=12, slow=60, qty=1_000_000, latency_us=50_000, taker_ppm=450, funding_us=28_800_000_000, funding_ppm=100)
+
+
+def e02_relational_backtest(spark, sf_dir):
+    """The same strategy without funding as plain relations: crosses, forward as-of, sums."""
+    from tidewake.operators import features
+
+    t = A.ticks(spark, sf_dir).select("instrument", "exch_us", "tid", "px_raw")
+    w = features.ordered(["instrument"], ["exch_us", "tid"])
+    crosses = features.sma_cross(t, "px_raw", 12, 60, ["instrument"], ["exch_us", "tid"])
+    # With the position at its target between crosses, the first order is one quantity and all others two.
+    first = F.row_number().over(w) == 1
+    orders = crosses.select("instrument", F.col("tid").alias("cloid"), F.col("exch_us").alias("ts_us"), F.when(F.col("above"), 1).otherwise(-1).alias("s"), F.when(first, 1_000_000).otherwise(2_000_000).cast("long").alias("qty"))
+    marks = t.select("instrument", F.col("exch_us").alias("ts_us"), F.col("px_raw").alias("mark_raw"))
+    filled = execution.next_snapshot(orders, marks, ["instrument"], 1).where("mark_raw IS NOT NULL").join(orders.select("cloid", "s", "qty"), "cloid")
+    n = fixed.notional(F.col("mark_raw"), F.col("qty"))
+    return filled.groupBy("instrument").agg(F.count("*").alias("fills"), F.sum(n).alias("volume_raw"), F.sum(fixed.fee(n, 450)).alias("fees_raw"), F.sum(F.col("s") * F.col("qty")).alias("position_raw"))
+
+
+E02 = with_tables("ticks", """, s AS (SELECT *, sum(px_raw) OVER (PARTITION BY instrument ORDER BY exch_us, tid ROWS 11 PRECEDING) AS f, sum(px_raw) OVER q AS s, count(*) OVER q AS n FROM ticks
+  WINDOW q AS (PARTITION BY instrument ORDER BY exch_us, tid ROWS 59 PRECEDING)),
+a AS (SELECT *, f * 60 > s * 12 AS above FROM s WHERE n = 60), c AS (SELECT *, lag(above) OVER (PARTITION BY instrument ORDER BY exch_us, tid) AS was FROM a),
+o AS (SELECT instrument, tid, exch_us, CASE WHEN above THEN 1 ELSE -1 END AS sg, CASE WHEN was IS NULL THEN 1000000 ELSE 2000000 END AS qty FROM c WHERE was IS NULL OR was <> above),
+m AS (SELECT o.*, t.px_raw FROM o ASOF JOIN ticks t ON o.instrument = t.instrument AND o.exch_us + 1 <= t.exch_us)
+SELECT instrument, count(*) AS fills, CAST(sum(px_raw * qty // 100000000) AS BIGINT) AS volume_raw, CAST(sum((px_raw * qty // 100000000) * 450 // 1000000) AS BIGINT) AS fees_raw, CAST(sum(sg * qty) AS BIGINT) AS position_raw FROM m GROUP BY 1""")
+
+
+QUERIES = {
+    "a01_event_counts": (a01_event_counts, A01), "a02_percentiles": (a02_percentiles, A02), "a03_account_summary": (a03_account_summary, A03), "a04_ledger": (a04_ledger, A04), "a05_order_states": (a05_order_states, A05),
+    "a06_positions": (a06_positions, A06), "a07_funding_by_day": (a07_funding_by_day, A07), "j05_fills_applied": (j05_fills_applied, J05), "j06_registrations": (j06_registrations, J06), "j09_summary_gap": (j09_summary_gap, J09), "j10_reconcile": (j10_reconcile, J10),
+    "r01_gate": (r01_gate, R01), "r02_kill_switch": (r02_kill_switch, R02), "r03_kill_reset": (r03_kill_reset, R03), "o03_best": (o03_best, O03), "o05_offending": (o05_offending, O05), "o10_leaderboard": (o10_leaderboard, O10),
+    "e01_backtest": (e01_backtest, None), "e02_relational_backtest": (e02_relational_backtest, E02),
+}

@@ -1 +1,305 @@
-QUERIES: dict = {}
+"""Queries of bars, books, features and as-of joins (S, B, W, J)."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidewake.functions import fixed
+from tidewake.operators import book, execution, features, stats
+from tidewake.sources import adapters as A
+from tidewake.sources.adapters import with_tables
+
+
+def flagship_bars(spark, sf_dir):
+    """Hourly open/high/low/close bars of each event type."""
+    order = F.struct("exch_us", "tid")
+    return A.ticks(spark, sf_dir).groupBy("instrument", F.expr("exch_us div 3600000000").alias("hour")).agg(
+        F.min_by("px_raw", order).alias("open"), F.max("px_raw").alias("high"), F.min("px_raw").alias("low"), F.max_by("px_raw", order).alias("close"), F.sum("qty_raw").alias("volume"), F.count("*").alias("n")
+    )
+
+
+BARS = with_tables("ticks", """SELECT instrument, exch_us // 3600000000 AS hour, arg_min(px_raw, (exch_us, tid)) AS open, max(px_raw) AS high, min(px_raw) AS low,
+  arg_max(px_raw, (exch_us, tid)) AS close, CAST(sum(qty_raw) AS BIGINT) AS volume, count(*) AS n FROM ticks GROUP BY 1, 2""")
+
+
+def day_bars(spark, sf_dir):
+    order = F.struct("exch_us", "tid")
+    return A.ticks(spark, sf_dir).groupBy("instrument", F.expr("exch_us div 86400000000").alias("day")).agg(F.min_by("px_raw", order).alias("open"), F.max("px_raw").alias("high"), F.min("px_raw").alias("low"), F.max_by("px_raw", order).alias("close"), F.count("*").alias("n"))
+
+
+DAY_BARS = with_tables("ticks", "SELECT instrument, exch_us // 86400000000 AS day, arg_min(px_raw, (exch_us, tid)) AS open, max(px_raw) AS high, min(px_raw) AS low, arg_max(px_raw, (exch_us, tid)) AS close, count(*) AS n FROM ticks GROUP BY 1, 2")
+
+
+def s08_candles(spark, sf_dir):
+    return A.candle_rows(spark, sf_dir).where("close > 0").orderBy("segment", "open_ms").drop("day")
+
+
+S08 = with_tables("candle_rows", "SELECT segment, open_ms, open, high, low, close, volume FROM candle_rows WHERE close > 0")
+
+
+def s09_funding_daily(spark, sf_dir):
+    """Funding a day of all days in the table, 0 where there is none."""
+    days = A.ticks(spark, sf_dir).select(F.expr("exch_us div 86400000000").alias("day")).distinct()
+    paid = A.funding(spark, sf_dir).groupBy(F.expr("time_us div 86400000000").alias("day")).agg(F.sum("rate").alias("rate"))
+    return days.join(paid, "day", "left").select("day", F.round(F.coalesce("rate", F.lit(0.0)), 9).alias("rate"))
+
+
+S09 = with_tables("ticks funding", """, d AS (SELECT DISTINCT exch_us // 86400000000 AS day FROM ticks), p AS (SELECT time_us // 86400000000 AS day, sum(rate) AS rate FROM funding GROUP BY 1)
+SELECT d.day, round(coalesce(p.rate, 0), 9) AS rate FROM d LEFT JOIN p ON d.day = p.day""")
+
+
+def s23_integrity(spark, sf_dir):
+    """Integrity counts of all snapshots, and latency percentiles of all ticks."""
+    r = book.repair(A.snapshots(spark, sf_dir).withColumn("part", F.lit(0)), None)
+    counts = r.agg(F.count("*").alias("snapshots"), F.sum("unsorted").alias("unsorted"), F.sum("bad_qty").alias("bad_qty"), F.sum(F.col("crossed").cast("long")).alias("crossed"))
+    latency = stats.percentiles(A.ticks(spark, sf_dir).select((F.col("recv_us") - F.col("exch_us")).alias("lat")), "lat", [])
+    return counts.crossJoin(latency)
+
+
+_REPAIRED = """, live AS (SELECT *, row_number() OVER (PARTITION BY snap, side ORDER BY pos) AS i FROM l2_levels WHERE qty_raw > 0),
+pairs AS (SELECT snap, side, px_raw, lag(px_raw) OVER (PARTITION BY snap, side ORDER BY pos) AS before FROM live),
+uns AS (SELECT snap, count(DISTINCT side) FILTER (WHERE (side = 'bid' AND px_raw >= before) OR (side = 'ask' AND px_raw <= before)) AS unsorted FROM pairs GROUP BY 1),
+base AS (SELECT snap, count(*) - count(*) FILTER (WHERE qty_raw > 0) AS bad_qty FROM l2_levels GROUP BY 1),
+top AS (SELECT snap, max(px_raw) FILTER (WHERE side = 'bid') AS bid, min(px_raw) FILTER (WHERE side = 'ask') AS ask FROM live GROUP BY 1),
+rep AS (SELECT base.snap, base.bad_qty, coalesce(uns.unsorted, 0) AS unsorted, coalesce(top.bid >= top.ask, false) AS crossed, top.bid, top.ask
+  FROM base LEFT JOIN uns ON base.snap = uns.snap LEFT JOIN top ON base.snap = top.snap)
+"""
+S23 = with_tables("l2_levels ticks", _REPAIRED + """SELECT a.*, b.* FROM (SELECT count(*) AS snapshots, CAST(sum(unsorted) AS BIGINT) AS unsorted, CAST(sum(bad_qty) AS BIGINT) AS bad_qty, count(*) FILTER (WHERE crossed) AS crossed FROM rep) a,
+(SELECT quantile_disc(recv_us - exch_us, 0.5) AS p50, quantile_disc(recv_us - exch_us, 0.95) AS p95, quantile_disc(recv_us - exch_us, 0.99) AS p99, max(recv_us - exch_us) AS max, count(*) AS n FROM ticks) b""")
+
+
+def b01_repair(spark, sf_dir):
+    r = book.repair(A.snapshots(spark, sf_dir))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["px_raw"].cast("string"), x["qty_raw"].cast("string"))), " ")
+    return r.select("snap", text("bids").alias("bids"), text("asks").alias("asks"))
+
+
+B01 = with_tables("l2_levels", """SELECT snap, coalesce(string_agg(px_raw || ':' || qty_raw, ' ' ORDER BY px_raw DESC, pos) FILTER (WHERE side = 'bid' AND qty_raw > 0), '') AS bids,
+  coalesce(string_agg(px_raw || ':' || qty_raw, ' ' ORDER BY px_raw, pos) FILTER (WHERE side = 'ask' AND qty_raw > 0), '') AS asks FROM l2_levels GROUP BY 1""")
+
+
+def b02_flags(spark, sf_dir):
+    """What was wrong in each snapshot; times are compared with the snapshot before of the same thousand."""
+    r = book.repair(A.snapshots(spark, sf_dir).withColumn("part", F.expr("snap div 1000")), ["part"])
+    return r.select("snap", "bad_qty", "unsorted", "crossed", "ts_regressed")
+
+
+B02 = with_tables("l2_levels", _REPAIRED + """, t AS (SELECT *, snap * 1000 - CASE WHEN snap % 7 = 0 THEN 2000 ELSE 0 END AS ts FROM rep)
+SELECT snap, bad_qty, unsorted, crossed, ts < coalesce(lag(ts) OVER (PARTITION BY snap // 1000 ORDER BY snap), 0) AS ts_regressed FROM t""")
+
+
+def b03_best(spark, sf_dir):
+    r = book.repair(A.snapshots(spark, sf_dir)).where((F.size("bids") > 0) & (F.size("asks") > 0))
+    return r.select("snap", book.best("bids")["px_raw"].alias("bid"), book.best("asks")["px_raw"].alias("ask"), book.book_mid().alias("mid_raw"), book.size_at("bids", book.best("bids")["px_raw"]).alias("bid_size"))
+
+
+B03 = with_tables("l2_levels", _REPAIRED + """SELECT rep.snap, bid, ask, (bid + ask) // 2 AS mid_raw, coalesce((SELECT arg_min(qty_raw, pos) FROM live l WHERE l.snap = rep.snap AND l.side = 'bid' AND l.px_raw = rep.bid), 0) AS bid_size FROM rep WHERE bid IS NOT NULL AND ask IS NOT NULL""")
+
+
+def b04_levels_as_of(spark, sf_dir):
+    """The book that all level updates of a hundred snapshots leave."""
+    updates = A.l2_levels(spark, sf_dir).select(F.expr("snap div 100").alias("part"), "side", "px_raw", "qty_raw", (F.col("snap") * 1000 + F.col("pos")).alias("seq"))
+    return book.levels_as_of(updates, ["part"])
+
+
+B04 = with_tables("l2_levels", "SELECT * FROM (SELECT snap // 100 AS part, side, px_raw, arg_max(qty_raw, snap * 1000 + pos) AS qty_raw FROM l2_levels GROUP BY 1, 2, 3) WHERE qty_raw > 0")
+
+
+def b05_levels_window(spark, sf_dir):
+    """The same book by a window: the second formulation, for comparison."""
+    last = Window.partitionBy("part", "side", "px_raw").orderBy(F.desc("snap"), F.desc("pos"))
+    rows = A.l2_levels(spark, sf_dir).withColumn("part", F.expr("snap div 100")).withColumn("n", F.row_number().over(last))
+    return rows.where("n = 1 AND qty_raw > 0").select("part", "side", "px_raw", "qty_raw")
+
+
+def _sorted_levels(spark, sf_dir):
+    live = A.l2_levels(spark, sf_dir).where("qty_raw > 0")
+    key = F.when(F.col("side") == "bid", -F.col("px_raw")).otherwise(F.col("px_raw"))
+    level = F.row_number().over(Window.partitionBy("snap", "side").orderBy(key, "pos"))
+    return live.select("snap", "side", level.alias("level"), "px_raw", "qty_raw")
+
+
+def b06_market_walk(spark, sf_dir):
+    orders = A.order_requests(spark, sf_dir).select(F.col("cloid").alias("snap"), "cloid", F.col("side").alias("order_side"), (F.col("qty_raw") * 10).alias("order_qty"))
+    fills = book.market_walk(orders, _sorted_levels(spark, sf_dir), ["snap"], 450)
+    return fills.select("cloid", F.col("level").cast("long").alias("level"), "px_raw", "take_raw", "notional_raw", "fee_raw")
+
+
+B06 = with_tables("l2_levels order_requests", """, lv AS (SELECT snap, side, px_raw, qty_raw, row_number() OVER (PARTITION BY snap, side ORDER BY CASE side WHEN 'bid' THEN -px_raw ELSE px_raw END, pos) AS level FROM l2_levels WHERE qty_raw > 0),
+w AS (SELECT o.cloid, lv.level, lv.px_raw, lv.qty_raw, o.qty_raw * 10 AS want, coalesce(sum(lv.qty_raw) OVER (PARTITION BY o.cloid ORDER BY lv.level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM order_requests o JOIN lv ON lv.snap = o.cloid AND lv.side = CASE o.side WHEN 'Buy' THEN 'ask' ELSE 'bid' END),
+t AS (SELECT *, CAST(greatest(0, least(qty_raw, want - before)) AS BIGINT) AS take_raw FROM w)
+SELECT cloid, level, px_raw, take_raw, CAST(px_raw::HUGEINT * take_raw // 100000000 AS BIGINT) AS notional_raw,
+  CAST((px_raw::HUGEINT * take_raw // 100000000) * 450 // 1000000 AS BIGINT) AS fee_raw FROM t WHERE take_raw > 0""")
+
+
+def b07_resting(spark, sf_dir):
+    """Every 97th tick leaves a resting order a little better than its price; later ticks of its hour may fill it."""
+    t = A.ticks(spark, sf_dir).withColumn("hour", F.expr("exch_us div 3600000000")).withColumn("seq", F.col("exch_us") * 10)
+    orders = t.where("tid % 97 = 0").select("instrument", "hour", F.col("tid").alias("cloid"), F.col("side").alias("order_side"), F.col("px_raw").alias("order_px"), F.lit(50_000_000).cast("long").alias("order_qty"), F.lit(3_000_000).cast("long").alias("queue_ahead"), F.col("seq").alias("order_seq"))
+    fills = book.resting_fills(orders, t.select("instrument", "hour", "seq", "side", "px_raw", "qty_raw", "tid"), ["instrument", "hour"], 150)
+    return fills.select("cloid", "tid", "fill_raw", "fee_raw")
+
+
+B07 = with_tables("ticks", """, t AS (SELECT *, exch_us // 3600000000 AS hour FROM ticks),
+m AS (SELECT o.tid AS cloid, o.px_raw AS opx, t.tid, t.qty_raw, sum(t.qty_raw) OVER (PARTITION BY o.instrument, o.hour, o.tid ORDER BY t.exch_us) AS v FROM t o JOIN t ON o.tid % 97 = 0 AND t.instrument = o.instrument AND t.hour = o.hour
+  AND t.exch_us > o.exch_us AND ((o.side = 'Buy' AND t.side = 'Sell' AND t.px_raw <= o.px_raw) OR (o.side = 'Sell' AND t.side = 'Buy' AND t.px_raw >= o.px_raw))),
+f AS (SELECT *, CAST(greatest(0, least(v - 3000000, 50000000)) - greatest(0, least(v - qty_raw - 3000000, 50000000)) AS BIGINT) AS fill_raw FROM m)
+SELECT cloid, tid, fill_raw, CAST((opx::HUGEINT * fill_raw // 100000000) * 150 // 1000000 AS BIGINT) AS fee_raw FROM f WHERE fill_raw > 0""")
+
+
+def _feature(name, build, sql, window=20):
+    """A query of one feature over ticks in order, rounded; and its SQL."""
+
+    def query(spark, sf_dir):
+        t = A.ticks(spark, sf_dir).withColumn("px", fixed.to_double(F.col("px_raw")))
+        w = features.ordered(["instrument"], ["exch_us", "tid"])
+        t = t.withColumn("_ret", features.log_return(F.col("px"), w))
+        return t.select("tid", F.round(build(w), 8).alias(name))
+
+    return query, with_tables("ticks", f""", p AS (SELECT *, px_raw / 1e8::DOUBLE AS px FROM ticks),
+r AS (SELECT *, ln(px / lag(px) OVER w) AS ret FROM p WINDOW w AS (PARTITION BY instrument ORDER BY exch_us, tid))
+SELECT tid, round({sql}, 8) AS {name} FROM r WINDOW w AS (PARTITION BY instrument ORDER BY exch_us, tid), f AS (PARTITION BY instrument ORDER BY exch_us, tid ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW)""")
+
+
+def w07_feature_matrix(spark, sf_dir):
+    """All features of a specification and whether a row has them all."""
+    t = A.ticks(spark, sf_dir).select("instrument", "exch_us", "tid", fixed.to_double(F.col("px_raw")).alias("px"))
+    m = features.build(t, [("log_return", {"lag": 1}), ("sma", {"window": 20}), ("realized_vol", {"window": 20}), ("zscore", {"window": 20})], "px", ["instrument"], ["exch_us", "tid"])
+    return m.select("tid", F.round("log_return_lag1", 8).alias("ret"), F.round("sma_window20", 8).alias("sma"), F.round("realized_vol_window20", 8).alias("vol"), F.round("zscore_window20", 6).alias("z"), "valid")
+
+
+W07 = with_tables("ticks", """, p AS (SELECT *, px_raw / 1e8::DOUBLE AS px FROM ticks),
+r AS (SELECT *, ln(px / lag(px) OVER (PARTITION BY instrument ORDER BY exch_us, tid)) AS ret FROM p),
+m AS (SELECT tid, ret, CASE WHEN count(px) OVER f = 20 THEN avg(px) OVER f END AS sma, CASE WHEN count(ret) OVER f = 20 THEN stddev_pop(ret) OVER f END AS vol,
+  CASE WHEN count(px) OVER f = 20 AND stddev_pop(px) OVER f > 0 THEN (px - avg(px) OVER f) / stddev_pop(px) OVER f END AS z FROM r
+  WINDOW f AS (PARTITION BY instrument ORDER BY exch_us, tid ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT tid, round(ret, 8) AS ret, round(sma, 8) AS sma, round(vol, 8) AS vol, round(z, 6) AS z, ret IS NOT NULL AND sma IS NOT NULL AND vol IS NOT NULL AND z IS NOT NULL AS valid FROM m""")
+
+
+def p20_warmed(spark, sf_dir):
+    return w07_feature_matrix(spark, sf_dir).where("valid").select("tid")
+
+
+P20 = W07.replace("SELECT tid, round(ret, 8) AS ret", "SELECT tid FROM (SELECT tid, round(ret, 8) AS ret") + ") WHERE valid"
+
+
+def w08_close_returns(spark, sf_dir):
+    w = features.ordered(["segment"], ["day"])
+    rows = A.candle_rows(spark, sf_dir).withColumn("r", F.round(features.log_return(F.col("close").cast("double"), w), 9))
+    return rows.where("r IS NOT NULL").select("segment", "open_ms", "r")
+
+
+W08 = with_tables("candle_rows", "SELECT * FROM (SELECT segment, open_ms, round(ln(close::DOUBLE / lag(close) OVER (PARTITION BY segment ORDER BY day)), 9) AS r FROM candle_rows) WHERE r IS NOT NULL")
+
+
+def w09_sma_cross(spark, sf_dir):
+    t = A.ticks(spark, sf_dir).select("instrument", "exch_us", "tid", "px_raw")
+    return features.sma_cross(t, "px_raw", 12, 60, ["instrument"], ["exch_us", "tid"]).select("tid", "above")
+
+
+W09 = with_tables("ticks", """, s AS (SELECT *, sum(px_raw) OVER (PARTITION BY instrument ORDER BY exch_us, tid ROWS 11 PRECEDING) AS f, sum(px_raw) OVER q AS s, count(*) OVER q AS n FROM ticks
+  WINDOW q AS (PARTITION BY instrument ORDER BY exch_us, tid ROWS 59 PRECEDING)),
+a AS (SELECT *, f * 60 > s * 12 AS above FROM s WHERE n = 60), c AS (SELECT *, lag(above) OVER (PARTITION BY instrument ORDER BY exch_us, tid) AS was FROM a)
+SELECT tid, above FROM c WHERE was IS NULL OR was <> above""")
+
+
+def w14_equity(spark, sf_dir):
+    """Equity, drawdown and rolling Sharpe ratio of hourly returns of each configuration."""
+    w = features.ordered(["cfg"], ["t"])
+    back = w.rowsBetween(-90, -1)
+    rows = A.trial_panel(spark, sf_dir).withColumn("equity", features.equity_curve(F.col("r"), w))
+    peak = F.max("equity").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    deviation = F.stddev_samp("r").over(back)
+    rolling = F.when((F.count("r").over(back) == 90) & (deviation > 0), F.avg("r").over(back) / deviation * F.sqrt(F.lit(365.0)))
+    return rows.withColumn("peak", peak).select("cfg", "t", F.round("equity", 8).alias("equity"), F.round((F.col("equity") - F.col("peak")) / F.col("peak"), 8).alias("drawdown"), F.round(rolling, 6).alias("rolling_sharpe"))
+
+
+W14 = with_tables("trial_panel", """, e AS (SELECT *, exp(sum(r) OVER (PARTITION BY cfg ORDER BY t)) AS equity, count(r) OVER b AS n, avg(r) OVER b AS m, stddev_samp(r) OVER b AS d FROM trial_panel
+  WINDOW b AS (PARTITION BY cfg ORDER BY t ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING))
+SELECT cfg, t, round(equity, 8) AS equity, round((equity - max(equity) OVER (PARTITION BY cfg ORDER BY t)) / max(equity) OVER (PARTITION BY cfg ORDER BY t), 8) AS drawdown,
+  round(CASE WHEN n = 90 AND d > 0 THEN m / d * sqrt(365.0::DOUBLE) END, 6) AS rolling_sharpe FROM e""")
+
+
+def w20_marks(spark, sf_dir):
+    """Running equity, peak and largest drawdown of each account."""
+    path = Window.partitionBy("account").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    rows = A.equity_path(spark, sf_dir).withColumn("peak", F.greatest(F.lit(100_000_000), F.max("equity").over(path)))
+    return rows.withColumn("max_dd", F.max(F.col("peak") - F.col("equity")).over(path)).select("account", "seq", "equity", "peak", "max_dd")
+
+
+W20 = with_tables("equity_path", """, p AS (SELECT *, greatest(100000000, max(equity) OVER (PARTITION BY account ORDER BY seq)) AS peak FROM equity_path)
+SELECT account, seq, equity, peak, max(peak - equity) OVER (PARTITION BY account ORDER BY seq) AS max_dd FROM p""")
+
+
+def w22_causality(spark, sf_dir):
+    """Features of prefixes against features of the whole: rows that differ, by feature (there are none)."""
+    t = A.ticks(spark, sf_dir).select("instrument", "exch_us", "tid", fixed.to_double(F.col("px_raw")).alias("px"))
+    specs = [("sma", {"window": 20}), ("zscore", {"window": 20}), ("realized_vol", {"window": 20})]
+    n = F.row_number().over(Window.partitionBy("instrument").orderBy("exch_us", "tid"))
+    numbered = t.withColumn("n", n)
+    whole = features.build(numbered, specs, "px", ["instrument"], ["exch_us", "tid"])
+    # A probe every 200 rows; its prefix is cut to what the longest window can see plus one, which the check allows for.
+    probes = numbered.where("n % 200 = 0").select("instrument", F.col("n").alias("probe"))
+    prefix = numbered.join(probes, "instrument").where("n <= probe AND n > probe - 60")
+    again = features.build(prefix, specs, "px", ["instrument", "probe"], ["exch_us", "tid"]).where("n = probe")
+    names = [features.feature_name(*s) for s in specs]
+    both = again.alias("a").join(whole.alias("b"), "tid")
+    cells = both.select("tid", F.explode(F.array(*(F.struct(F.lit(x).alias("feature"), (F.abs(F.col(f"a.{x}") - F.col(f"b.{x}")) > 1e-9 + 1e-5 * F.abs(F.col(f"b.{x}"))).alias("bad")) for x in names))).alias("c"))
+    return cells.groupBy(F.col("c.feature").alias("feature")).agg(F.count("*").alias("probes"), F.count_if("c.bad").alias("violations"))
+
+
+W22 = with_tables("ticks", ", n AS (SELECT count(*) // 200 AS k FROM ticks GROUP BY instrument) SELECT unnest(['sma_window20', 'zscore_window20', 'realized_vol_window20']) AS feature, CAST(sum(k) AS BIGINT) AS probes, CAST(0 AS BIGINT) AS violations FROM n")
+
+
+def j02_next_mark(spark, sf_dir):
+    """Each order with the first tick of its group at or behind its arrival, 250 ms after it."""
+    t = A.ticks(spark, sf_dir)
+    orders = t.where("tid % 3 = 0").select("instrument", F.col("tid").alias("cloid"), F.col("exch_us").alias("ts_us"))
+    marks = t.where("tid % 3 > 0").select("instrument", F.col("exch_us").alias("ts_us"), F.col("px_raw").alias("mark_raw"))
+    return execution.next_snapshot(orders, marks, ["instrument"], 250_000).fillna(-1, ["mark_us", "mark_raw"])
+
+
+J02 = with_tables("ticks", """SELECT o.instrument, o.tid AS cloid, o.exch_us + 250000 AS arrival_us, coalesce(m.exch_us, -1) AS mark_us, coalesce(m.px_raw, -1) AS mark_raw FROM (SELECT * FROM ticks WHERE tid % 3 = 0) o
+  ASOF LEFT JOIN (SELECT * FROM ticks WHERE tid % 3 > 0) m ON o.instrument = m.instrument AND o.exch_us + 250000 <= m.exch_us""")
+
+
+def j03_last_mark(spark, sf_dir):
+    t = A.ticks(spark, sf_dir)
+    events = t.where("tid % 3 = 0").select("instrument", "tid", F.col("exch_us").alias("ts_us"))
+    marks = t.where("tid % 3 > 0").select("instrument", F.col("exch_us").alias("ts_us"), F.col("px_raw").alias("mark_raw"))
+    return execution.last_mark(events, marks, ["instrument"]).fillna(-1, ["mark_raw"])
+
+
+J03 = with_tables("ticks", """SELECT o.instrument, o.tid, coalesce(m.px_raw, -1) AS mark_raw FROM (SELECT * FROM ticks WHERE tid % 3 = 0) o
+  ASOF LEFT JOIN (SELECT * FROM ticks WHERE tid % 3 > 0) m ON o.instrument = m.instrument AND o.exch_us >= m.exch_us""")
+
+
+def j04_funding_boundaries(spark, sf_dir):
+    """Funding boundaries passed between each tick and the one before: the first lies an interval behind the first tick."""
+    w = features.ordered(["instrument"], ["exch_us", "tid"])
+    t = A.ticks(spark, sf_dir).withColumn("t0", F.first("exch_us").over(w))
+    index = F.expr("(exch_us - t0) div 28800000000")
+    return t.withColumn("b", index).select("instrument", "tid", (F.col("b") - F.coalesce(F.lag("b").over(w), F.lit(0))).alias("boundaries"))
+
+
+J04 = with_tables("ticks", """, b AS (SELECT *, (exch_us - first(exch_us) OVER (PARTITION BY instrument ORDER BY exch_us, tid)) // 28800000000 AS b FROM ticks)
+SELECT instrument, tid, b - coalesce(lag(b) OVER (PARTITION BY instrument ORDER BY exch_us, tid), 0) AS boundaries FROM b""")
+
+QUERIES = {
+    "flagship_bars": (flagship_bars, BARS), "day_bars": (day_bars, DAY_BARS), "s08_candles": (s08_candles, S08), "s09_funding_daily": (s09_funding_daily, S09), "s23_integrity": (s23_integrity, S23),
+    "b01_repair": (b01_repair, B01), "b02_flags": (b02_flags, B02), "b03_best": (b03_best, B03), "b04_levels_as_of": (b04_levels_as_of, B04), "b05_levels_window": (b05_levels_window, B04),
+    "b06_market_walk": (b06_market_walk, B06), "b07_resting": (b07_resting, B07),
+    "w01_rolling_sum": _feature("rolling_sum", lambda w: features.rolling(F.sum, F.col("px"), 20, w), "CASE WHEN count(px) OVER f = 20 THEN sum(px) OVER f END"),
+    "w02_log_return": _feature("log_return", lambda w: features.log_return(F.col("px"), w, 3), "ln(px / lag(px, 3) OVER w)"),
+    "w03_realized_vol": _feature("realized_vol", lambda w: features.realized_vol("_ret", w, 20), "CASE WHEN count(ret) OVER f = 20 THEN stddev_pop(ret) OVER f END"),
+    "w04_sma": _feature("sma", lambda w: features.sma(F.col("px"), w, 20), "CASE WHEN count(px) OVER f = 20 THEN avg(px) OVER f END"),
+    "w05_momentum": _feature("momentum", lambda w: features.momentum(F.col("px"), w, 60), "ln(px / lag(px, 60) OVER w)"),
+    "w06_zscore": _feature("zscore", lambda w: features.zscore(F.col("px"), w, 20), "CASE WHEN count(px) OVER f = 20 AND stddev_pop(px) OVER f > 0 THEN (px - avg(px) OVER f) / stddev_pop(px) OVER f END"),
+    "w10_standardised": _feature("standardised", lambda w: F.try_divide(F.col("_ret"), F.nullif(F.stddev_pop("_ret").over(w.rowsBetween(-20, -1)), F.lit(0.0))), "ret / nullif(stddev_pop(ret) OVER (PARTITION BY instrument ORDER BY exch_us, tid ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING), 0)"),
+    "w11_next_return": _feature("next_return", lambda w: features.next_return(F.col("px"), w), "ln(lead(px) OVER w / px)"),
+    "w12_turnover": _feature("turnover", lambda w: features.turnover_cost(F.signum(F.col("px") - 50), w, 5.0), "abs(sign(px - 50) - coalesce(lag(sign(px - 50)) OVER w, 0)) * 0.0005::DOUBLE"),
+    "w07_feature_matrix": (w07_feature_matrix, W07), "p20_warmed": (p20_warmed, P20), "w08_close_returns": (w08_close_returns, W08), "w09_sma_cross": (w09_sma_cross, W09), "w14_equity": (w14_equity, W14),
+    "w20_marks": (w20_marks, W20), "w22_causality": (w22_causality, W22), "j02_next_mark": (j02_next_mark, J02), "j03_last_mark": (j03_last_mark, J03), "j04_funding_boundaries": (j04_funding_boundaries, J04),
+}

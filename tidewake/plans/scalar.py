@@ -19,11 +19,11 @@ def p01_parse_decimal(spark, sf_dir):
         .when(k == 6, F.concat(F.lit("+"), F.col("event_id").cast("string"))).when(k == 7, F.lit("12a")).otherwise(F.lit("5."))
     )
     rows = A.table(spark, sf_dir, "events").select("event_id", text.alias("t")).withColumn("p", fixed.parse(F.col("t")))
-    return rows.select("event_id", "t", F.col("p.raw").alias("raw"), F.col("p.error").alias("error"))
+    return rows.select("event_id", "t", F.coalesce("p.raw", F.lit(0)).alias("raw"), F.col("p.error").alias("error"))
 
 
 P01 = """SELECT event_id, t,
-  CASE WHEN k = 0 THEN CAST(t::DECIMAL(20,4) * 100000000 AS BIGINT) WHEN k = 1 THEN -(event_id % 1000) * 100000 WHEN k = 6 THEN event_id * 100000000 WHEN k = 8 THEN 500000000 END AS raw,
+  CASE WHEN k = 0 THEN CAST(t::DECIMAL(20,4) * 100000000 AS BIGINT) WHEN k = 1 THEN -(event_id % 1000) * 100000 WHEN k = 6 THEN event_id * 100000000 WHEN k = 8 THEN 500000000 ELSE 0 END AS raw,
   CASE k WHEN 2 THEN 'empty' WHEN 3 THEN 'malformed' WHEN 7 THEN 'malformed' WHEN 4 THEN 'digits' WHEN 5 THEN 'overflow' END AS error
 FROM (SELECT event_id, event_id % 9 AS k, CASE event_id % 9 WHEN 0 THEN ' ' || CAST(value::DECIMAL(20,4) AS VARCHAR) WHEN 1 THEN '-.' || lpad(CAST(event_id % 1000 AS VARCHAR), 3, '0')
   WHEN 2 THEN '' WHEN 3 THEN '1.2.3' WHEN 4 THEN '0.123456789' WHEN 5 THEN '99999999999999999999' WHEN 6 THEN '+' || CAST(event_id AS VARCHAR) WHEN 7 THEN '12a' ELSE '5.' END AS t FROM events)"""
