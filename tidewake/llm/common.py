@@ -79,6 +79,23 @@ def bounded_sample(df: DataFrame, group: str, key: str, rows: int, *ties: str) -
     return df.where(low).withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= rows).drop("_n")
 
 
+def most_frequent(counts: DataFrame, count: str, limit: int, least: int = 1) -> DataFrame:
+    """The rows of the highest counts: at most ``limit`` in all, none under ``least``; rows of one count come or go together.
+
+    A histogram of the counts, of bounded size, gives the lowest count; so no
+    task sends its own best ``limit`` rows anywhere.
+    """
+    step = F.when(F.col(count) < 1024, F.col(count)).otherwise(F.floor(32 * F.log2(F.col(count) / 1024)) + 1024).cast("long")
+    rows = counts.where(F.col(count) >= least).groupBy(step.alias("step")).agg(F.min(count).alias("low"), F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    bar, total = None, 0
+    for r in rows:
+        total += r.n
+        if total > limit:
+            break
+        bar = r.low
+    return counts.where(F.col(count) >= bar if bar is not None else F.lit(False))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, rows: int) -> list[tuple[str, int]]:
     """At most ``rows`` texts of label 0 and of label 1, in order of a hash of the id.
 
