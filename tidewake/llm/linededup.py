@@ -83,8 +83,8 @@ def near_lines(every: DataFrame, firsts: DataFrame) -> DataFrame:
     halves = checkpoint(shared_halves(every))
     wanted = halves.select("h1", "h2").distinct()
     hashed = every.where(F.length("line") >= NEAR_CHARS).select(*_hashes(), "line")
-    texts = passing(hashed, "h1", filter_bits(wanted, "h1")).join(wanted, ["h1", "h2"]).groupBy("h1", "h2").agg(F.min("line").alias("line"))
-    known = checkpoint(texts.join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
+    texts = passing(hashed, "h1", filter_bits(wanted, "h1")).groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    known = checkpoint(texts.join(wanted, ["h1", "h2"]).join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
 
     rest = F.expr("if(side = 0, substring(line, half + 1), left(line, length(line) - half))")
     open_ = halves.join(known, ["h1", "h2"]).select("h1", "h2", "first", "key", rest.alias("rest"))
