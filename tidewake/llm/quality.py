@@ -118,8 +118,8 @@ def score(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     sample = labelled_sample(docs, labels, usable, id_col, text_col, label_col, ROWS_A_CLASS)
     weights = None
     if len({y for _, y in sample}) == 2:
-        texts = [t.encode() for t, _ in sample]
-        x = features(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+        # Piece by piece, so that the driver needs no more than a task.
+        x = np.concatenate([features(data, offsets) for _, _, data, offsets in slices(pa.array([t for t, _ in sample], pa.string()))])
         weights = fit_logistic(x, np.array([float(y) for _, y in sample]))
 
     known = labels.where(usable & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))

@@ -270,9 +270,11 @@ def train(texts: list[bytes], toxic: list[bool], rounds: int = 3) -> Machine | N
     gram = kernel(padded, landmarks)
     own = np.diagonal(gram).copy()
     machine = Machine(landmarks, own, np.ones(len(landmarks)), 0.0, 1.0, 0.0)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    feats, owner = Scorer(machine, 1 << 60).sentences(data, offsets)
+    scorer = Scorer(machine)
+    # Piece by piece, so that the driver needs no more than a task.
+    parts = [(first, *scorer.sentences(data, offsets)) for first, _, data, offsets in slices(pa.array(texts, pa.binary()).cast(pa.string()))]
+    feats = np.concatenate([f for _, f, _ in parts])
+    owner = np.concatenate([o + first for first, _, o in parts])
     # Nyström: features = k(s, Z) K(Z, Z)^(-1/2), with the landmarks' similarities scaled alike
     scaled = (gram / np.sqrt(own[:, None] * own[None, :])).astype(np.float64)
     values, vectors = np.linalg.eigh((scaled + scaled.T) / 2)
