@@ -16,7 +16,8 @@ no part, nor do rows without an id. Only vectors of equal length are compared.
 A query's own id is no candidate of it. Ties go to the smaller id. Repeated
 candidate rows count each; repeated query rows (same id and vector) once.
 Components are integers as doubles: exact while length * max|q| * max|x| stays
-under 2**53; past that, tasks use Python's exact integers.
+under 2**53; past that, tasks use Python's exact integers. A score that is no
+long is an error.
 """
 
 from __future__ import annotations
