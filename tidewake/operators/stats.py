@@ -58,12 +58,15 @@ def psr_z(sr: Column, benchmark: Column, n: Column, g1: Column, g2: Column) -> C
     return F.when((n >= 3) & (v > 0), (sr - benchmark) * F.sqrt(n - 1) / F.sqrt(v))
 
 
-@F.pandas_udf("double")
-def normal_cdf(z: pd.Series) -> pd.Series:
-    """The normal distribution function; Spark has none."""
+def _cdf(z: pd.Series) -> pd.Series:
     return z.map(lambda x: None if x is None or math.isnan(x) else NormalDist().cdf(x))
 
 
+def normal_cdf(z: Column | str) -> Column:
+    """The normal distribution function; Spark has none, so a column of few rows goes through pandas."""
+    return F.pandas_udf(_cdf, "double")(z)
+
+
 def expected_max_sharpe(variance: float, trials: int) -> float:
     """Expected maximum of as many unskilled trials' Sharpe ratios."""
     if trials < 2 or variance <= 0:

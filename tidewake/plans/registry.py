@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.plans import execution, market, research, scalar
+from tidewake.plans import execution, market, research, scalar, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = {**scalar.QUERIES, **market.QUERIES, **execution.QUERIES, **research.QUERIES}
+_ALL = {**scalar.QUERIES, **market.QUERIES, **execution.QUERIES, **research.QUERIES, **streams.QUERIES}
 
 
 def queries() -> dict[str, Query]:
