@@ -1,20 +1,25 @@
 """N-gram Jaccard join by vertical partitioning, to components of linked texts.
 
 A text's set holds the 64-bit hashes of its distinct n-word shingles. Equal sets
-become one node at once. All shingles stand in one global order: first the rare
-ones by hash, then the most frequent ones by frequency. The order is cut into
-fragments, so each set is cut into segments.
+become one node at once. All shingles stand in one global order: by hash, the
+frequent ones behind all others by frequency. A prefix is a fifth of a set, so
+only shingles of the ``LOW`` part of hashes are counted first; sets in which more
+than ``CROWDED`` of those are frequent reach further, and have the rest of their
+shingles counted too. Hashes are cut into fragments, each set into segments.
 
 Candidates: two sets within the threshold share a shingle of their prefixes (the
 first n - ceil(t * n) + 1 in global order). Sets of a prefix shingle are first
-compared with one centre, the least set that has it: rows stay linear in
-the size of a group. The links found make components; only sets of one shingle
+compared with one centre, the set that has it foremost, as the fewest changes
+stand before it there: rows stay linear in the size of a group. The links found make components; only sets of one shingle
 that are still in different components are then compared with each other, so
-that no link that matters is lost. Length and position bounds drop pairs
-that can't reach the threshold.
+that no link that matters is lost. Sizes, the place of the first common shingle
+and the number of shingles that two prefixes share drop pairs that can't reach
+the threshold.
 
-Counting: for every candidate pair each fragment's overlap is counted by itself
-and the counts are summed, so no step holds more of a text than a segment.
+Counting: candidate pairs are dealt into blocks of sets, so a set travels once
+to a block, not once a pair. In every block each fragment's overlaps are counted
+by themselves, and the counts are summed by pair, so no step holds more of a
+text than a segment.
 
 Null texts and texts without words have an empty set and no links; with fewer
 words than n the whole sequence is one shingle. Rows of one id count as one
@@ -28,18 +33,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import checkpoint, in_filter, key_filter, mix, slices, split_mix, words
+from tidewake.llm.common import in_filter, key_filter, mix, most_frequent, slices, split_mix, words, written
 from tidewake.llm.components import components
 
 WORDS = 5
 #: Similarity threshold as a ratio of integers.
 NUMERATOR, DENOMINATOR = 80, 100
-FRAGMENTS = 8
-#: A shingle in so many prefixes is put behind the rare ones; the most frequent FREQUENT of these are.
+FRAGMENTS = 4
+#: The part of hashes whose shingles are counted for all sets. Prefixes need a fifth, and a quarter where CROWDED are frequent.
+LOW = int(0.3 * 2**64)
+CROWDED = 0.2
+#: Sets of one side of a block.
+BLOCK_SETS = 2000
+#: A shingle in so many sets is put behind the rare ones; the most frequent FREQUENT of these are.
 FREQUENT_FROM, FREQUENT = 16, 100_000
 
 
@@ -79,67 +90,106 @@ def prefix_size(n: int, numerator: int = NUMERATOR, denominator: int = DENOMINAT
     return n + (-numerator * n) // denominator + 1 if n else 0
 
 
-def _each_set(df: DataFrame, id_col: str, text_col: str, columns: str, build, *before) -> DataFrame:
-    """Rows that build(ids, sets) makes of every piece of texts."""
+def _each_set(df: DataFrame, id_col: str, text_col: str, columns: str, build) -> DataFrame:
+    """Rows that build(sets, names, seen) makes of every piece of texts; ``seen`` are names a task had before."""
     kind = df.schema[id_col].dataType.simpleString()
     names = ["id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(1)):
-                taken, arrays = build(shingle_sets(data, offsets))
+                sets = shingle_sets(data, offsets)
+                taken, arrays = build(sets, [set_name(s) for s in sets], seen)
                 ids = batch.column(0).slice(first, end - first).take(pa.array(taken))
                 yield pa.RecordBatch.from_arrays([ids, *arrays], names=names)
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"id {kind}, {columns}")
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))
+def _new(sets: list[np.ndarray], names: list[np.int64], seen: set[int]) -> list[int]:
+    """Rows whose set isn't empty and hasn't been met in this task: copies are put together before any shuffle."""
+    out = []
+    for i, name in enumerate(map(int, names)):
+        if len(sets[i]) and name not in seen:
+            seen.add(name)
+            out.append(i)
+    return out
+
+
+def _flat(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(arrays).view(np.int64) if arrays else np.zeros(0, np.int64)
 
 
 def named_sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, s, n) of every row: the name and the size of its set."""
 
-    def build(sets):
-        return np.arange(len(sets)), [pa.array([set_name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+    def build(sets, names, seen):
+        return np.arange(len(sets)), [pa.array(names, pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
 
     return _each_set(df, id_col, text_col, "s long, n long", build)
 
 
+def low_shingles(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(g) of the sets' shingles in the low part of hashes; a set comes once from each task that has it."""
+
+    def build(sets, names, seen):
+        taken = _new(sets, names, seen)
+        out = [sets[i][: np.searchsorted(sets[i], np.uint64(LOW))] for i in taken]
+        return np.repeat(np.array(taken, np.int64), [len(x) for x in out]), [pa.array(_flat(out))]
+
+    return _each_set(df, id_col, text_col, "g long", build).select("g")
+
+
+def _found(hashes: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of s are among sorted hashes, and where."""
+    if not len(hashes):
+        return np.zeros(len(s), bool), np.zeros(len(s), np.int64)
+    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
+    return hashes[at] == s, at
+
+
+def crowded_shingles(df: DataFrame, id_col: str, text_col: str, frequent: np.ndarray) -> DataFrame:
+    """(g) of the other shingles of sets whose low part is crowded with frequent ones."""
+    shared = df.sparkSession.sparkContext.broadcast(frequent)
+
+    def build(sets, names, seen):
+        taken, out = [], []
+        for i in _new(sets, names, seen):
+            low = np.searchsorted(sets[i], np.uint64(LOW))
+            if _found(shared.value, sets[i][:low])[0].sum() > CROWDED * low or not low:
+                taken.append(i)
+                out.append(sets[i][low:])
+        return np.repeat(np.array(taken, np.int64), [len(x) for x in out]), [pa.array(_flat(out))]
+
+    return _each_set(df, id_col, text_col, "g long", build).select("g")
+
+
 def prefixes(df: DataFrame, id_col: str, text_col: str, last: np.ndarray) -> DataFrame:
-    """(s, n, prefix) of the distinct non-empty sets, in the global order that ends with ``last``."""
+    """(g, s, n, i): the prefix shingles of the sets and their places; ``last`` are the frequent ones in order.
+
+    A set comes once from each task that has it.
+    """
     by_hash = np.argsort(last)
-    hashes, place = last[by_hash], by_hash
-    shared = df.sparkSession.sparkContext.broadcast((hashes, place))
+    shared = df.sparkSession.sparkContext.broadcast((last[by_hash], by_hash))
 
-    def build(sets):
+    def build(sets, names, seen):
         hashes, place = shared.value
-        taken, out = [], []
-        for i, s in enumerate(sets):
-            if len(s):
-                size = prefix_size(len(s))
-                if len(hashes):
-                    at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-                    frequent = hashes[at] == s
-                    if frequent.any():
-                        rare = s[~frequent][:size]
-                        rest = s[frequent][np.argsort(place[at[frequent]])]
-                        s_first = np.concatenate([rare, rest[: size - len(rare)]])
-                    else:
-                        s_first = s[:size]
-                else:
-                    s_first = s[:size]
-                taken.append(i)
-                out.append(s_first)
-        names = [set_name(sets[i]) for i in taken]
-        sizes = [len(sets[i]) for i in taken]
-        return np.array(taken, np.int64), [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), _lists(out)]
+        taken, out = _new(sets, names, seen), []
+        for i in taken:
+            s = sets[i]
+            size = prefix_size(len(s))
+            known, at = _found(hashes, s)
+            if known.any():
+                s = np.concatenate([s[~known], s[known][np.argsort(place[at[known]])]])
+            out.append(s[:size])
+        counts = [len(x) for x in out]
+        spread = lambda values, kind: pa.array(np.repeat(np.array(values, kind), counts))
+        place_of = np.concatenate([np.arange(c, dtype=np.int32) for c in counts]) if counts else np.zeros(0, np.int32)
+        return np.repeat(np.array(taken, np.int64), counts), [pa.array(_flat(out)), spread([names[i] for i in taken], np.int64), spread([len(sets[i]) for i in taken], np.int32), pa.array(place_of)]
+
+    return _each_set(df, id_col, text_col, "g long, s long, n int, i int", build).select("g", "s", "n", "i")
 
-    return _each_set(df, id_col, text_col, "s long, n long, prefix array<long>", build).select("s", "n", "prefix")
 
 
 def frequent_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
@@ -148,35 +198,39 @@ def frequent_shingles(df: DataFrame, id_col: str, text_col: str) -> np.ndarray:
     Any order gives right results, so the bound on their number only decides how
     many comparisons the rest costs.
     """
-    counted = (
-        prefixes(df, id_col, text_col, np.zeros(0, np.uint64))
-        .select(F.explode("prefix").alias("g"))
-        .groupBy("g")
-        .count()
-        .where(F.col("count") >= FREQUENT_FROM)
-        .orderBy(F.desc("count"), "g")
-        .limit(FREQUENT)
-    )
-    rows = counted.select("g").toPandas()["g"].to_numpy(np.int64)
-    return rows[::-1].copy().view(np.uint64)
+    counted = lambda rows: written(rows.groupBy("g").count().where(F.col("count") >= FREQUENT_FROM))
+    ranked = lambda rows: most_frequent(rows, "count", FREQUENT).toPandas().sort_values(["count", "g"])["g"].to_numpy(np.int64).view(np.uint64)
+    low = counted(low_shingles(df, id_col, text_col))
+    high = counted(crowded_shingles(df, id_col, text_col, np.sort(ranked(low))))
+    return ranked(low.union(high))
 
 
 def _within(na: str, nb: str) -> Column:
     """Whether two sizes allow the threshold."""
-    return (F.least(na, nb) * DENOMINATOR >= F.greatest(na, nb) * NUMERATOR)
+    return F.least(na, nb) * DENOMINATOR >= F.greatest(na, nb) * NUMERATOR
 
 
 def _reachable(na: str, nb: str, ia: str, ib: str) -> Column:
-    """Whether two sets whose first common shingle stands at these places can reach the threshold."""
+    """Whether two sets can reach the threshold if their first common shingle stands at these places."""
     most = F.least(F.col(na) - F.col(ia), F.col(nb) - F.col(ib))
     return most * DENOMINATOR >= (F.col(na) + F.col(nb) - most) * NUMERATOR
 
 
-def shared_prefixes(sets: DataFrame) -> DataFrame:
-    """(g, s, n, i, centre, centre_n, centre_i) of prefix shingles that two sets or more have."""
-    rows = sets.select("s", "n", F.posexplode("prefix").alias("i", "g"))
-    groups = rows.groupBy("g").agg(F.min(F.struct("s", "n", "i")).alias("c"), F.count("*").alias("k")).where("k > 1")
-    return rows.join(groups, "g").select("g", "s", "n", "i", F.col("c.s").alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.i").alias("centre_i"))
+def _enough(na: str, nb: str, common: Column) -> Column:
+    """Whether two sets whose prefixes share so many shingles can reach the threshold.
+
+    Up to where the first of the two prefixes ends, all common shingles are
+    counted; past it, at most the rest of that set can be common.
+    """
+    rest = lambda n: -F.floor(-F.col(n) * NUMERATOR / DENOMINATOR) - 1
+    most = common + F.greatest(rest(na), rest(nb))
+    return most * DENOMINATOR >= (F.col(na) + F.col(nb) - most) * NUMERATOR
+
+
+def shared_prefixes(rows: DataFrame) -> DataFrame:
+    """(g, s, n, i) of prefix shingles that two rows or more have."""
+    several = rows.groupBy("g").count().where("count > 1").select("g")
+    return rows.join(several, "g").distinct()
 
 
 def segments(df: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) -> DataFrame:
@@ -184,39 +238,53 @@ def segments(df: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) -> D
     shared = df.sparkSession.sparkContext.broadcast(wanted)
     shift = np.uint64(64 - (FRAGMENTS - 1).bit_length())
 
-    def build(sets):
+    def build(sets, names, seen):
         bits = shared.value
-        taken, names, sizes, fragment, out = [], [], [], [], []
-        for i, s in enumerate(sets):
-            if not len(s):
-                continue
-            name = set_name(s)
-            if not in_filter(bits, np.array([name]).view(np.uint64))[0]:
-                continue
+        kept = in_filter(bits, np.array(names, np.int64).view(np.uint64)) if names else []
+        taken, fragment, out = [], [], []
+        for i in _new([x if k else x[:0] for x, k in zip(sets, kept)], names, seen):
+            s = sets[i]
             cuts = np.searchsorted(s >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
             for f in range(FRAGMENTS):
                 if cuts[f] < cuts[f + 1]:
                     taken.append(i)
-                    names.append(name)
-                    sizes.append(len(s))
                     fragment.append(f)
                     out.append(s[cuts[f] : cuts[f + 1]])
-        return np.array(taken, np.int64), [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fragment, pa.int32()), _lists(out)]
-
-    rows = _each_set(df, id_col, text_col, "s long, n long, f int, seg array<long>", build)
+        offsets = np.zeros(len(out) + 1, np.int32)
+        np.cumsum([len(x) for x in out], out=offsets[1:])
+        return np.array(taken, np.int64), [
+            pa.array(np.array([names[i] for i in taken], np.int64)),
+            pa.array([len(sets[i]) for i in taken], pa.int64()),
+            pa.array(fragment, pa.int32()),
+            pa.ListArray.from_arrays(offsets, pa.array(_flat(out))),
+        ]
+
+    rows = _each_set(df, id_col, text_col, "s long, n long, f int, seg array<long>", build).drop("id")
     return rows.groupBy("s", "f").agg(F.first("n").alias("n"), F.first("seg").alias("seg"))
 
 
 def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """The pairs (a, b) that reach the threshold: overlaps counted by fragment, then summed."""
-    left = parts.select(F.col("s").alias("a"), "f", F.col("n").alias("na"), F.col("seg").alias("sa"))
-    right = parts.select(F.col("s").alias("b"), "f", F.col("n").alias("nb"), F.col("seg").alias("sb"))
-    counted = pairs.join(left, "a").join(right, ["b", "f"])
-    overlap = (
-        counted.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("o"))
-        .groupBy("a", "b", "na", "nb")
-        .agg(F.sum("o").alias("o"))
+    """The pairs (a, b) that reach the threshold: overlaps counted by block and fragment, then summed."""
+    sets = pairs.select(F.col("a").alias("s")).union(pairs.select(F.col("b").alias("s"))).distinct().count()
+    sides = max(1, -(-sets // BLOCK_SETS))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(sides)).cast("int")
+    dealt = pairs.select("a", "b", block("a").alias("x"), block("b").alias("y"))
+    needed = dealt.select("x", "y", F.explode(F.array("a", "b")).alias("s")).distinct()
+    fragments = F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1)))
+
+    def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        segs, sizes = dict(zip(right["s"], right["seg"])), dict(zip(right["s"], right["n"]))
+        rows = [(a, b, sizes[a], sizes[b], len(np.intersect1d(segs[a], segs[b], assume_unique=True))) for a, b in zip(left["a"], left["b"]) if a in segs and b in segs]
+        return pd.DataFrame(rows, columns=["a", "b", "na", "nb", "o"])
+
+    sent = needed.join(parts, "s").select(F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("f").alias("sf"), "s", "n", "seg")
+    counted = (
+        dealt.withColumn("f", fragments)
+        .groupBy("x", "y", "f")
+        .cogroup(sent.groupBy("sx", "sy", "sf"))
+        .applyInPandas(count, "a long, b long, na long, nb long, o long")
     )
+    overlap = counted.groupBy("a", "b", "na", "nb").agg(F.sum("o").alias("o"))
     return overlap.where(F.col("o") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("o")) * NUMERATOR).select("a", "b")
 
 
@@ -226,24 +294,39 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ``n_links`` counts the links that were needed and verified at the row's set:
     copies and sets that were connected already add none.
     """
-    named = checkpoint(named_sets(df, id_col, text_col))
+    named = written(named_sets(df, id_col, text_col))
+    sizes = named.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.min("id").alias("least"))
     last = frequent_shingles(df, id_col, text_col)
-    sets = prefixes(df, id_col, text_col, last).groupBy("s").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    shared = checkpoint(shared_prefixes(sets))
-    parts = checkpoint(segments(df, id_col, text_col, key_filter(shared, "s")))
+    shared = written(shared_prefixes(prefixes(df, id_col, text_col, last)))
 
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs)
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("s"))
+        return written(linked(pairs, written(segments(df, id_col, text_col, key_filter(ends, "s")))))
+
+    # Every set of a shingle with the shingle's centre: how much of their prefixes is common, then what they share in all.
+    own = shared.groupBy("s", "n").agg(F.collect_list("g").alias("prefix"))
+
+    def promising(pairs: DataFrame) -> DataFrame:
+        joined = pairs.join(own.select(F.col("s").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa")), "a")
+        joined = joined.join(own.select(F.col("s").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb")), "b")
+        return joined.where(_enough("na", "nb", F.size(F.array_intersect("pa", "pb")))).select("a", "b")
+
+    centres = shared.groupBy("g").agg(F.min(F.struct("i", "s", "n")).alias("c"))
     starred = (
-        shared.where((F.col("s") != F.col("centre")) & _within("n", "centre_n") & _reachable("n", "centre_n", "i", "centre_i"))
-        .select(F.col("centre").alias("a"), F.col("s").alias("b"))
+        shared.join(centres, "g")
+        .select(F.col("c.s").alias("a"), F.col("c.n").alias("na"), F.col("c.i").alias("ia"), F.col("s").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"))
+        .where((F.col("a") != F.col("b")) & _within("na", "nb") & _reachable("na", "nb", "ia", "ib"))
+        .select("a", "b")
         .distinct()
     )
-    links = checkpoint(linked(starred, parts))
+    links = verified(promising(starred))
     names = components(links)
 
-    # Shingles whose sets are still apart: compare the sets of different components, centres are done.
+    # Shingles whose sets are still apart: compare the sets of different components.
     placed = shared.join(names.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
     apart = placed.groupBy("g").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("g")
-    open_ = placed.where(F.col("s") != F.col("centre")).join(apart, "g").select("g", "s", "n", "i", "component")
+    open_ = written(placed.join(apart, "g").select("g", "s", "n", "i", "component"))
     x = open_.select("g", F.col("s").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("component").alias("ca"))
     y = open_.select("g", F.col("s").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("component").alias("cb"))
     rest = (
@@ -252,7 +335,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("a", "b")
         .distinct()
     )
-    more = checkpoint(linked(rest, parts))
+    more = verified(promising(rest))
 
     # Rows of one id are one document.
     again = named.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count_distinct("s").alias("k")).where("k > 1")
@@ -261,8 +344,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = components(found.union(repeated))
 
     ends = found.select(F.col("a").alias("s")).union(found.select(F.col("b").alias("s"))).groupBy("s").agg(F.count("*").alias("n_links"))
-    least = named.where("n > 0").groupBy("s").agg(F.min("id").alias("least"))
-    placed = least.join(whole.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s")).join(ends, "s", "left")
+    placed = sizes.join(whole.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s")).join(ends, "s", "left")
     final = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     of_set = placed.join(final, "component").select("s", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return named.join(of_set, "s", "left").select(
