@@ -31,20 +31,23 @@ def ws_messages(ticks: DataFrame) -> DataFrame:
 def parse(messages: DataFrame) -> DataFrame:
     """(seq, kind, m, error): kind is trades, book, ack, pong, other or bad; error says what couldn't be read."""
     rows = messages.select("seq", F.from_json("text", ENVELOPE, {"mode": "PERMISSIVE"}).alias("m"))
+    # Numbers are read once into arrays; what follows only looks at their errors.
+    rows = rows.withColumn("px", F.transform("m.trades", lambda t: fixed.parse(t["px"]))).withColumn("sz", F.transform("m.trades", lambda t: fixed.parse(t["sz"])))
     channel = F.col("m.channel")
     kind = (
         F.when(channel.isNull(), "bad").when(channel == "trades", "trades").when(channel == "l2Book", "book")
         .when(channel == "subscriptionResponse", "ack").when(channel == "pong", "pong").otherwise("other")
     )
-    bad_trade = F.exists("m.trades", lambda t: fixed.parse(t["px"])["error"].isNotNull() | fixed.parse(t["sz"])["error"].isNotNull() | fixed.side_of_code(t["side"]).isNull())
+    faulty = lambda c: F.exists(c, lambda x: x["error"].isNotNull())
+    bad_trade = faulty("px") | faulty("sz") | F.exists("m.trades", lambda t: fixed.side_of_code(t["side"]).isNull())
     error = F.when(kind == "bad", "malformed").when((kind == "trades") & F.coalesce(bad_trade, F.lit(True)), "malformed")
     return rows.withColumn("kind", kind).withColumn("error", error)
 
 
 def trades(parsed: DataFrame) -> DataFrame:
     """(seq, instrument, tid, px_raw, qty_raw, side, exch_ns) of all trades that could be read."""
-    rows = parsed.where("kind = 'trades' AND error IS NULL").select("seq", F.explode("m.trades").alias("t"))
-    return rows.select("seq", F.col("t.coin").alias("instrument"), F.col("t.tid").alias("tid"), fixed.parse(F.col("t.px"))["raw"].alias("px_raw"), fixed.parse(F.col("t.sz"))["raw"].alias("qty_raw"), fixed.side_of_code(F.col("t.side")).alias("side"), (F.col("t.time") * 1_000_000).alias("exch_ns"))
+    rows = parsed.where("kind = 'trades' AND error IS NULL").select("seq", F.explode(F.arrays_zip(F.col("m.trades").alias("t"), F.col("px").alias("px"), F.col("sz").alias("sz"))).alias("x"))
+    return rows.select("seq", F.col("x.t.coin").alias("instrument"), F.col("x.t.tid").alias("tid"), F.col("x.px.raw").alias("px_raw"), F.col("x.sz.raw").alias("qty_raw"), fixed.side_of_code(F.col("x.t.side")).alias("side"), (F.col("x.t.time") * 1_000_000).alias("exch_ns"))
 
 
 def books(parsed: DataFrame) -> DataFrame:
