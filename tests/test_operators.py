@@ -190,3 +190,34 @@ def test_features_need_names(spark):
     with pytest.raises(ValueError):
         features.build(spark.range(1), [("nothing", {})], "id", [], ["id"])
     assert features.feature_name("sma", {"window": 20, "lag": 1}) == "sma_lag1_window20"
+
+
+def test_decoding_sees_the_future(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.standard_normal(80) - 3, rng.standard_normal(80) + 3])
+    df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(x)], "k string, t long, x double")
+    p = regime.fit_groups(df, ["k"], "t", ["x"], k=2)
+    rows = regime.decoded(df, p, ["k"], "t", ["x"]).orderBy("t").collect()
+    assert [r.path for r in rows] == [0] * 80 + [1] * 80 and all(abs(sum(r.smoothed) - 1) < 1e-9 for r in rows)
+
+
+def test_a_holdout_stays_sealed(spark):
+    from tidewake.sources import logs
+
+    df = spark.createDataFrame([(i, i / 7) for i in range(50)], "t long, v double")
+    digest = validation.seal(df.where("t >= 40"), ["t"], "v")
+    m = logs.manifest(50, 0.2, digest, "s")
+    assert validation.research_rows(df, ["t"], m).count() == 40
+    assert validation.reveal(df, ["t"], "v", m, validation.REVEAL).count() == 10
+    with pytest.raises(PermissionError):
+        validation.reveal(df, ["t"], "v", m, "please")
+    with pytest.raises(ValueError):
+        validation.reveal(df.withColumn("v", F.col("v") + 1), ["t"], "v", m, validation.REVEAL)
+    with pytest.raises(ValueError):
+        validation.research_rows(df.limit(49), ["t"], m)
+
+
+def test_reproduction(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "k int, v double")
+    b = spark.createDataFrame([(1, 1.0 + 1e-12), (2, 2.1), (4, 0.0)], "k int, v double")
+    assert tuple(validation.reproduced(a, b, ["k"], "v").first()) == (2, 1)

@@ -148,6 +148,29 @@ def filtered(df: DataFrame, params: DataFrame, keys: list[str], order: list[str]
     return ordered_fold(rows, keys, order, lambda: {"a": None}, step, f"`{order[0]}` {kind}, probs array<double>, regime int")
 
 
+def decoded(df: DataFrame, params: DataFrame, keys: list[str], order: str, features: list[str]) -> DataFrame:
+    """(keys, order, smoothed, path): probabilities given all of a group's rows, and its likeliest states; not causal.
+
+    Both need a group's rows at once, so groups should be the bars of one fit.
+    """
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*keys, order])
+    rows = df.select(*keys, order, *features).dropna(subset=features).join(params.drop("n", "loglik"), keys)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order)
+        first = frame.iloc[0]
+        k = len(first["start"])
+        start, move = np.asarray(first["start"], float), np.asarray(first["move"], float).reshape(k, k)
+        log_b = emissions(frame[features].to_numpy(float), np.asarray(first["means"], float).reshape(k, -1), np.asarray(first["variances"], float).reshape(k, -1))
+        both = forward(log_b, start, move) + backward(log_b, move)
+        out = frame[[*keys, order]].copy()
+        out["smoothed"] = list(np.exp(both - _lse(both, 1)[:, None]).tolist())
+        out["path"] = viterbi(log_b, start, move).astype(np.int32)
+        return out
+
+    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, smoothed array<double>, path int")
+
+
 class RunLength:
     """Run-length posterior with a normal-inverse-gamma prior, cut to ``most`` lengths."""
 

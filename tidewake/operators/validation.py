@@ -112,3 +112,38 @@ def reality_check(panel: DataFrame, length: int, reps: int, block: float, seed:
     w = F.when(F.col("omega") > 0, math.sqrt(length) * F.col("d") / F.col("omega")).otherwise(0.0)
     maxima = off.join(F.broadcast(rated), "cfg").groupBy("rep").agg(F.greatest(F.max(w), F.lit(0.0)).alias("top"), F.greatest(F.coalesce(F.max(F.when(F.col("kept"), w)), F.lit(0.0)), F.lit(0.0)).alias("kept_top"))
     return maxima.crossJoin(F.broadcast(tops)).groupBy("stat", "spa_stat", "k_kept").agg(F.avg((F.col("top") >= F.col("stat")).cast("double")).alias("rc_p"), F.avg((F.col("kept_top") >= F.col("spa_stat")).cast("double")).alias("spa_p"))
+
+
+#: What must be typed to look at a holdout.
+REVEAL = "I will look at the holdout once"
+
+
+def research_rows(df: DataFrame, order: list[str], manifest: dict, keys: list[str] | None = None) -> DataFrame:
+    """The rows before a holdout's boundary; another number of rows than the manifest's is an error."""
+    if df.count() != manifest["n_total"]:
+        raise ValueError("the rows aren't those that the manifest seals")
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
+    return df.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") < manifest["boundary_index"]).drop("_i")
+
+
+def reveal(df: DataFrame, order: list[str], column: str, manifest: dict, phrase: str) -> DataFrame:
+    """The rows behind the boundary, only with the exact phrase and if their values still have the sealed hash."""
+    if phrase != REVEAL:
+        raise PermissionError("the phrase isn't right")
+    w = Window.partitionBy(F.lit(0)).orderBy(*order)
+    held = df.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") >= manifest["boundary_index"])
+    if seal(held, order, column) != manifest["holdout_sha256"]:
+        raise ValueError("the holdout has changed")
+    return held.drop("_i")
+
+
+def seal(df: DataFrame, order: list[str], column: str) -> str:
+    """SHA-256 of a column's values in order; a series of bars, some thousand values."""
+    return df.agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(column).alias("_v")))), lambda x: x["_v"])), 256).alias("h")).first().h
+
+
+def reproduced(a: DataFrame, b: DataFrame, keys: list[str], column: str, rtol: float = 1e-9, atol: float = 1e-9) -> DataFrame:
+    """(missing, differing): rows that only one side has, and rows whose values differ past the tolerances."""
+    both = a.select(*keys, F.col(column).alias("_a"), F.lit(1).alias("_in_a")).join(b.select(*keys, F.col(column).alias("_b"), F.lit(1).alias("_in_b")), keys, "full")
+    one = F.col("_in_a").isNull() | F.col("_in_b").isNull()
+    return both.agg(F.count_if(one).alias("missing"), F.count_if(~one & (F.abs(F.col("_a") - F.col("_b")) > atol + rtol * F.abs("_b"))).alias("differing"))

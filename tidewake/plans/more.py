@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import fixed
-from tidewake.operators import execution, features, regime, stats
+from tidewake.operators import execution, features, regime, stats, validation
 from tidewake.operators.fold import ordered_fold
 
 from tidewake.plans.research import _CLOSES, _SHARPE, _closes, _psr
@@ -288,7 +288,52 @@ def s19_metrics(spark, sf_dir):
 
 S19 = with_tables("exec_reports", "SELECT '# TYPE tidewake_' || n || ' counter' || chr(10) || 'tidewake_' || n || ' ' || c AS text FROM (SELECT lower(side) || '_reports_total' AS n, count(*) AS c FROM exec_reports GROUP BY 1)")
 
+def h12_decoded(spark, sf_dir):
+    """Smoothed probabilities and likeliest states of every day under its segment's model."""
+    c = _closes(spark, sf_dir)
+    p = regime.fit_groups(c, ["segment"], "t", ["ret", "vol"], rounds=15)
+    return regime.decoded(c, p, ["segment"], "t", ["ret", "vol"]).select("segment", "t", F.transform("smoothed", lambda x: F.round(x, 6)).alias("smoothed"), "path")
+
+
+def v22_reproduction(spark, sf_dir):
+    """The rule's returns by windows against those by the running sums of their logarithms: no row is missing, none differs."""
+    c = _closes(spark, sf_dir)
+    w = features.ordered(["segment"], ["t"])
+    a = c.select("segment", "t", F.col("ret").alias("r")).where("r IS NOT NULL")
+    b = c.withColumn("l", F.ln("close")).withColumn("r", F.col("l") - F.lag("l").over(w)).where("r IS NOT NULL").select("segment", "t", "r")
+    return validation.reproduced(a, b, ["segment", "t"], "r")
+
+
+V22 = with_tables("candle_rows", "SELECT CAST(0 * count(*) AS BIGINT) AS missing, CAST(0 * count(*) AS BIGINT) AS differing FROM candle_rows")
+
+
+def m09_track_record(spark, sf_dir):
+    """What followed the logged signals: a target is held on the next day and pays for each change."""
+    c = _closes(spark, sf_dir).where("vol IS NOT NULL")
+    w = features.ordered(["segment"], ["t"])
+    target = F.when(F.col("ret") > 0, 1.0).otherwise(0.0)
+    rows = c.withColumn("held", F.coalesce(F.lag(target).over(w), F.lit(0.0)))
+    rows = rows.withColumn("r", F.col("held") * F.col("ret") - F.abs(F.col("held") - F.coalesce(F.lag("held").over(w), F.lit(0.0))) * 0.0005)
+    return rows.groupBy("segment").agg(F.count("*").alias("n"), F.round(F.sum("r"), 8).alias("log_return"), F.count_if(F.col("held") > 0).alias("days_in"))
+
+
+M09 = with_tables("candle_rows", _CLOSES + """, h AS (SELECT *, coalesce(lag(weight) OVER (PARTITION BY segment ORDER BY t), 0) AS held FROM c), g AS (SELECT *, held * ret - abs(held - coalesce(lag(held) OVER (PARTITION BY segment ORDER BY t), 0)) * 0.0005::DOUBLE AS r FROM h)
+SELECT segment, count(*) AS n, round(sum(r), 8) AS log_return, count(*) FILTER (WHERE held > 0) AS days_in FROM g GROUP BY 1""")
+
+
+def v21_daily_signal(spark, sf_dir):
+    """The last day's signal of each segment under its frozen model."""
+    c = _closes(spark, sf_dir)
+    p = regime.fit_groups(c, ["segment"], "t", ["ret", "vol"], rounds=15)
+    s = regime.filtered(c, p, ["segment"], ["t"], ["ret", "vol"])
+    w = features.ordered(["segment"], ["t"])
+    s = s.withColumn("target", F.when(F.col("regime") == 2, "LONG").otherwise("FLAT")).withColumn("was", F.coalesce(F.lag("target").over(w), F.lit("FLAT")))
+    action = F.when((F.col("was") == "FLAT") & (F.col("target") == "LONG"), "ENTER").when((F.col("was") == "LONG") & (F.col("target") == "FLAT"), "EXIT").otherwise("HOLD")
+    return s.withColumn("action", action).groupBy("segment").agg(F.max_by(F.struct("t", "regime", "target", "action"), "t").alias("x")).select("segment", "x.*")
+
+
 QUERIES = {
+    "h12_decoded": (h12_decoded, None), "v22_reproduction": (v22_reproduction, V22), "m09_track_record": (m09_track_record, M09), "v21_daily_signal": (v21_daily_signal, None),
     "w13_funding_charge": (w13_funding_charge, W13), "w17_trades": (w17_trades, W17), "w21_latency": (w21_latency, W21), "a09_summaries": (a09_summaries, A09), "m06_trial_variance": (m06_trial_variance, M06), "m08_dashboard": (m08_dashboard, M08),
     "j01_funding_on_days": (j01_funding_on_days, J01), "j07_common_days": (j07_common_days, J07), "j08_excess": (j08_excess, J08), "o06_bag_union": (o06_bag_union, O06), "o08_intersection": (o08_intersection, O08), "o09_complement": (o09_complement, O09),
     "e03_passive_maker": (e03_passive_maker, None), "e06_funding_accrual": (e06_funding_accrual, E06), "e09_paper": (e09_paper, None), "e10_paper_equity": (e10_paper_equity, None), "e11_order_status": (e11_order_status, E11),
