@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import checkpoint
+from tidewake.llm.common import checkpoint, written
 
 #: The only bound above equality that halves find.
 EDIT_BOUND = 1
@@ -117,7 +117,8 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     place = F.struct(F.col("id"), F.col("at"))
     firsts = checkpoint(every.select("id", "at", *_hashes()).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     near = near_lines(every, firsts).withColumn("near", F.lit(True))
-    judged = firsts.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
+    # Written first, so that the join with all lines reads two plain shuffles and Spark can split a frequent line's rows.
+    judged = written(firsts.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
     return every.select("k", "id", "at", *_hashes()).join(judged, ["h1", "h2"]).where(F.col("near") | (F.col("first") < place)).select("k", "at").distinct()
 
 
