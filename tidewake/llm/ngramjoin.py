@@ -48,6 +48,8 @@ FRAGMENTS = 4
 #: The part of hashes whose shingles are counted for all sets. Prefixes need a fifth, and a quarter where CROWDED are frequent.
 LOW = int(0.3 * 2**64)
 CROWDED = 0.2
+#: Bytes of text whose sets a task holds at once, beside the shuffle's buffers.
+SET_BYTES = 1 << 20
 #: Sets of one side of a block.
 BLOCK_SETS = 2000
 #: A shingle in so many sets is put behind the rare ones; the most frequent FREQUENT of these are.
@@ -66,10 +68,18 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> list[
         total = mix(total)
     else:
         total = np.zeros(0, np.uint64)
+    begins, sizes = first[:-1].tolist(), count.tolist()
+    for begin, size in zip(begins, sizes):
+        if size >= n:
+            total[begin : begin + size - n + 1].sort()  # windows that leave their text stand behind those of the text
+    new = np.ones(len(total), bool)
+    new[1:] = total[1:] != total[:-1]
+    new[first[:-1][count >= n]] = True
     sets = []
-    for begin, size in zip(first[:-1].tolist(), count.tolist()):
+    for begin, size in zip(begins, sizes):
         if size >= n:
-            sets.append(np.unique(total[begin : begin + size - n + 1]))
+            end = begin + size - n + 1
+            sets.append(total[begin:end][new[begin:end]])
         elif size:
             factors = split_mix(1000 + size, size)  # other factors: a short text equals only its like
             sets.append(mix((hashes[begin : begin + size] * factors).sum(dtype=np.uint64, keepdims=True)))
@@ -78,11 +88,20 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> list[
     return sets
 
 
+def set_names(sets: list[np.ndarray]) -> np.ndarray:
+    """A hash of each set and its size."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    total = np.zeros(len(sets), np.uint64)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        flat = mix(np.concatenate([sets[i] for i in some]) ^ np.uint64(0x5851F42D4C957F2D))
+        total[some] = np.add.reduceat(flat, np.cumsum(sizes[some]) - sizes[some])
+    return mix(total + sizes.astype(np.uint64)).view(np.int64)
+
+
 def set_name(s: np.ndarray) -> np.int64:
     """A hash of a set and its size."""
-    with np.errstate(over="ignore"):
-        total = mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(s))
-    return mix(np.array([total], np.uint64)).view(np.int64)[0]
+    return set_names([s])[0]
 
 
 def prefix_size(n: int, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> int:
@@ -98,9 +117,9 @@ def _each_set(df: DataFrame, id_col: str, text_col: str, columns: str, build) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for first, end, data, offsets in slices(batch.column(1)):
+            for first, end, data, offsets in slices(batch.column(1), SET_BYTES):
                 sets = shingle_sets(data, offsets)
-                taken, arrays = build(sets, [set_name(s) for s in sets], seen)
+                taken, arrays = build(sets, set_names(sets), seen)
                 ids = batch.column(0).slice(first, end - first).take(pa.array(taken))
                 yield pa.RecordBatch.from_arrays([ids, *arrays], names=names)
 
@@ -110,7 +129,7 @@ def _each_set(df: DataFrame, id_col: str, text_col: str, columns: str, build) ->
 def _new(sets: list[np.ndarray], names: list[np.int64], seen: set[int]) -> list[int]:
     """Rows whose set isn't empty and hasn't been met in this task: copies are put together before any shuffle."""
     out = []
-    for i, name in enumerate(map(int, names)):
+    for i, name in enumerate(np.asarray(names).tolist()):
         if len(sets[i]) and name not in seen:
             seen.add(name)
             out.append(i)
@@ -240,7 +259,7 @@ def segments(df: DataFrame, id_col: str, text_col: str, wanted: np.ndarray) -> D
 
     def build(sets, names, seen):
         bits = shared.value
-        kept = in_filter(bits, np.array(names, np.int64).view(np.uint64)) if names else []
+        kept = in_filter(bits, names.view(np.uint64))
         taken, fragment, out = [], [], []
         for i in _new([x if k else x[:0] for x, k in zip(sets, kept)], names, seen):
             s = sets[i]
