@@ -33,7 +33,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of documents that are alike."""
-    found = ngramjoin.join_components(docs)
+    found = ngramjoin.join_components(docs, count_links=False)
     others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
     kept = docs.join(others, "doc_id", "left_anti").withColumn("_n", F.row_number().over(once))

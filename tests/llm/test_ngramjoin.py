@@ -71,6 +71,30 @@ def test_chains_and_near_groups(spark):
     check(spark, rows)
 
 
+def test_all_links_of_a_group_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(ngramjoin, "COUNT_SETS", 7)  # groups of several blocks, and packs of small ones
+    monkeypatch.setattr(ngramjoin, "COUNT_COLUMNS", 64)
+    random.seed(8)
+    rows, key = [], 0
+    for size in (3, 25, 5, 2, 4):
+        words = [f"{random.random():.4f}" for _ in range(90)]
+        for _ in range(size):
+            near = list(words)
+            for _ in range(random.randint(0, 2)):
+                near[random.randrange(90)] = f"{random.random():.4f}"
+            rows += [(key := key + 1, " ".join(near))] * random.choice((1, 1, 1, 2))
+    rows += [(None, rows[0][1]), (key + 1, None), (key + 2, "one two"), (key + 3, "one two"), (key + 4, "alone")]
+    sets = []
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    want = [sum(i != j and bool(a) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    assert sum(want) > 2 * len(rows)  # more than any star's links
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngramjoin.join_components(df)
+    assert sorted(((r.doc_id, r.n_links) for r in got.collect()), key=str) == sorted(((k, n) for (k, _), n in zip(rows, want)), key=str)
+
+
 def test_empty(spark):
     assert ngramjoin.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -21,6 +21,13 @@ to a block, not once a pair. In every block each fragment's overlaps are counted
 by themselves, and the counts are summed by pair, so no step holds more of a
 text than a segment.
 
+Links: the components need only some of them, the rest lie inside components. A
+component whose every pair was verified has all; the sets of any other are dealt
+into blocks, and each fragment of two blocks gives a matrix of overlaps of all
+their pairs. The matrices are summed and counted where they are, so no row is
+made for a pair. A component takes time with the square of its distinct sets, as
+the links themselves do where it is one group of near copies.
+
 Null texts and texts without words have an empty set and no links; with fewer
 words than n the whole sequence is one shingle. Rows of one id count as one
 document in the components: they are linked. Rows without an id have no
@@ -30,6 +37,7 @@ equal where their 64-bit hashes are.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,6 +60,8 @@ CROWDED = 0.2
 SET_BYTES = 1 << 20
 #: Sets of one side of a block.
 BLOCK_SETS = 2000
+#: Sets, and shingles in all, of one side of a block in which links are counted; shingles of a matrix at once.
+COUNT_SETS, COUNT_SHINGLES, COUNT_COLUMNS = 500, 1 << 20, 4096
 #: A shingle in so many sets is put behind the rare ones; the most frequent FREQUENT of these are.
 FREQUENT_FROM, FREQUENT = 16, 100_000
 
@@ -307,21 +317,113 @@ def linked(pairs: DataFrame, parts: DataFrame) -> DataFrame:
     return overlap.where(F.col("o") * DENOMINATOR >= (F.col("na") + F.col("nb") - F.col("o")) * NUMERATOR).select("a", "b")
 
 
-def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def overlap_matrix(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of left shares with each of right."""
+    a, b = np.concatenate(left), np.concatenate(right)
+    common = np.intersect1d(a, b)
+    sides = []
+    for sets, flat in ((left, a), (right, b)):
+        known, at = _found(common, flat)
+        order = np.argsort(at[known], kind="stable")
+        sides.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[known][order], at[known][order], len(sets)))
+    out = np.zeros((len(left), len(right)), np.int64)
+    for begin in range(0, len(common), COUNT_COLUMNS):
+        width = min(COUNT_COLUMNS, len(common) - begin)
+        marked = []
+        for row, column, count in sides:
+            some = slice(*np.searchsorted(column, [begin, begin + width]))
+            marks = np.zeros((count, width), np.float32)
+            marks[row[some], column[some] - begin] = 1
+            marked.append(marks)
+        out += np.rint(marked[0] @ marked[1].T).astype(np.int64)
+    return out
+
+
+def _count_overlaps(rows: pd.DataFrame) -> pd.DataFrame:
+    """Of a fragment of two blocks: a row a component with its sets, sizes, weights and matrix of overlaps."""
+    p, x, y, f = (int(rows[c].iat[0]) for c in ("p", "x", "y", "f"))
+    out = []
+    for component, own in rows.groupby("component", sort=False):
+        left, right = own[own["block"] == x], own[own["block"] == y]
+        if len(left) and len(right):
+            overlaps = overlap_matrix(left["seg"].to_list(), right["seg"].to_list())
+            sides = [side[c].to_numpy(np.int64) for side in (left, right) for c in ("s", "n", "w")]
+            out.append((p, x, y, component, *sides, overlaps.astype(np.min_scalar_type(int(overlaps.max()))).dumps()))
+    return pd.DataFrame(out, columns=["p", "x", "y", "component", "a", "na", "wa", "b", "nb", "wb", "o"])
+
+
+def _count_links(rows: pd.DataFrame) -> pd.DataFrame:
+    """(s, k) of two blocks, from the overlaps of all fragments."""
+    out = []
+    for _, own in rows.groupby("component", sort=False):
+        ids, sizes, weights = [], [], []
+        for c in "ab":
+            name, first = np.unique(np.concatenate(own[c].to_list()), return_index=True)
+            ids.append(name)
+            sizes.append(np.concatenate(own["n" + c].to_list())[first])
+            weights.append(np.concatenate(own["w" + c].to_list())[first])
+        total = np.zeros((len(ids[0]), len(ids[1])), np.int64)
+        for a, b, o in zip(own["a"], own["b"], own["o"]):
+            total[np.ix_(np.searchsorted(ids[0], a), np.searchsorted(ids[1], b))] += np.asarray(pickle.loads(o), np.int64)
+        alike = total * DENOMINATOR >= (sizes[0][:, None] + sizes[1][None, :] - total) * NUMERATOR
+        if own["x"].iat[0] == own["y"].iat[0]:
+            np.fill_diagonal(alike, False)
+        else:
+            out.append(pd.DataFrame({"s": ids[1], "k": alike.T.astype(np.int64) @ weights[0]}))
+        out.append(pd.DataFrame({"s": ids[0], "k": alike.astype(np.int64) @ weights[1]}))
+    return pd.concat(out) if out else pd.DataFrame({"s": [], "k": []}).astype("int64")
+
+
+def link_counts(links: DataFrame, names: DataFrame, weights: DataFrame, parts: DataFrame) -> DataFrame:
+    """(s, k) of sets with links: the weights of all other sets that reach the threshold with it.
+
+    ``links`` hold each pair once and span their components, which ``names`` are;
+    ``weights`` are (s, n, w), ``parts`` the segments of all sets in links.
+    """
+    members = written(names.withColumnRenamed("node", "s").join(weights, "s"))
+    edges = links.join(members.select(F.col("s").alias("a"), "component", F.col("w").alias("wa")), "a")
+    found = edges.groupBy("component").agg(F.count("*").alias("e"))
+    groups = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).join(found, "component")
+    sides = F.greatest(F.ceil(F.col("m") / COUNT_SETS), F.ceil(F.col("shingles") / COUNT_SHINGLES))
+    open_ = written(groups.where("2 * e < m * (m - 1)").withColumn("sides", sides))
+
+    # Every pair was verified.
+    known = edges.join(open_.select("component"), "component", "left_anti").join(weights.select(F.col("s").alias("b"), F.col("w").alias("wb")), "b")
+    whole = known.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("wb").alias("k")), F.struct(F.col("b").alias("s"), F.col("wa").alias("k")))).alias("x")).select("x.*")
+
+    small = open_.where("sides = 1").agg(F.sum("m").alias("m"), F.sum("shingles").alias("shingles")).first()
+    packs = max(1, -(-(small.m or 0) // COUNT_SETS), -(-(small.shingles or 0) // COUNT_SHINGLES))
+    pack = F.when(F.col("sides") == 1, F.pmod(F.xxhash64("component"), F.lit(packs))).otherwise(F.col("component"))
+    dealt = (
+        members.join(open_.select("component", "sides"), "component")
+        .withColumn("block", F.pmod(F.xxhash64("s"), F.col("sides")))
+        .withColumn("other", F.explode(F.expr("sequence(0L, sides - 1)")))
+        .select("s", F.col("n").cast("long").alias("n"), "w", "component", "block", pack.alias("p"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    )
+    sent = dealt.join(parts.select("s", "f", "seg"), "s")
+    side = lambda c: f"{c} array<long>, n{c} array<long>, w{c} array<long>"
+    overlaps = sent.groupBy("p", "x", "y", "f").applyInPandas(_count_overlaps, f"p long, x long, y long, component long, {side('a')}, {side('b')}, o binary")
+    counted = overlaps.groupBy("p", "x", "y").applyInPandas(_count_links, "s long, k long")
+    return written(whole.union(counted).groupBy("s").agg(F.sum("k").alias("k")))
+
+
+def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """(id, n_shingles, n_links, component_id) of every row.
 
-    ``n_links`` counts the links that were needed and verified at the row's set:
-    copies and sets that were connected already add none.
+    ``n_links`` counts all other rows whose sets reach the threshold with the
+    row's, copies among them. Without ``count_links`` it is null, which saves
+    comparing sets that are in one component already.
     """
     named = written(named_sets(df, id_col, text_col))
-    sizes = named.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.min("id").alias("least"))
+    sizes = named.where("n > 0").groupBy("s").agg(F.first("n").alias("n"), F.min("id").alias("least"), F.count("*").alias("w"))
     last = frequent_shingles(df, id_col, text_col)
     shared = written(shared_prefixes(prefixes(df, id_col, text_col, last)))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs)
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         ends = pairs.select(F.explode(F.array("a", "b")).alias("s"))
-        return written(linked(pairs, written(segments(df, id_col, text_col, key_filter(ends, "s")))))
+        parts = written(segments(df, id_col, text_col, key_filter(ends, "s")))
+        return written(linked(pairs, parts)), parts
 
     # Every set of a shingle with the shingle's centre: how much of their prefixes is common, then what they share in all.
     own = shared.groupBy("s", "n").agg(F.collect_list("g").alias("prefix"))
@@ -339,7 +441,7 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("a", "b")
         .distinct()
     )
-    links = verified(promising(starred))
+    links, parts = verified(promising(starred))
     names = components(links)
 
     # Shingles whose sets are still apart: compare the sets of different components.
@@ -354,21 +456,27 @@ def join_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("a", "b")
         .distinct()
     )
-    more = verified(promising(rest))
+    more, more_parts = verified(promising(rest))
 
     # Rows of one id are one document.
     again = named.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("s").alias("a"), F.max("s").alias("b"), F.count_distinct("s").alias("k")).where("k > 1")
     repeated = named.where("n > 0").join(again.select("id", "a"), "id").select("a", F.col("s").alias("b"))
     found = links.union(more)
-    whole = components(found.union(repeated))
-
-    ends = found.select(F.col("a").alias("s")).union(found.select(F.col("b").alias("s"))).groupBy("s").agg(F.count("*").alias("n_links"))
-    placed = sizes.join(whole.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s")).join(ends, "s", "left")
+    spanned = components(found)
+    whole = spanned if repeated.isEmpty() else components(found.union(repeated))
+
+    placed = sizes.join(whole.withColumnRenamed("node", "s"), "s", "left").withColumn("component", F.coalesce("component", "s"))
+    if count_links:
+        both = parts.union(more_parts.join(parts.select("s").distinct(), "s", "left_anti").select(parts.columns))
+        placed = placed.join(link_counts(found, spanned, sizes.select("s", "n", "w"), both), "s", "left")
+        placed = placed.withColumn("n_links", F.coalesce("k", F.lit(0)) + F.col("w") - 1)
+    else:
+        placed = placed.withColumn("n_links", F.lit(None).cast("long"))
     final = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_set = placed.join(final, "component").select("s", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    of_set = placed.join(final, "component").select("s", "component_id", "n_links")
     return named.join(of_set, "s", "left").select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(F.col("n") > 0, F.col("n_links")).when(F.lit(count_links), 0).cast("long").alias("n_links"),
         F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))).alias("component_id"),
     )

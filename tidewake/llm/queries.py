@@ -39,7 +39,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose five-word shingles are alike to 0.8."""
+    """Components of documents whose five-word shingles are alike to 0.8.
+
+    The links are all counted, but these are the columns of the query's SQL: ``join_components`` has ``n_links``.
+    """
     return ngramjoin.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
