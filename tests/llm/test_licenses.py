@@ -77,3 +77,36 @@ def test_gapped_template_is_covered():
 def test_clean_prose_has_no_label(spark):
     docs = spark.createDataFrame([(1, "the use of this software and the work of the public in the source of it all")], "doc_id long, text string")
     assert licenses.digest(licenses.scan(docs)).first().labels == ""
+
+
+def spans_of(text):
+    machine = licenses.Automaton(licenses.BASE_PHRASES, licenses.TEMPLATES)
+    data = text.encode()
+    return licenses.scan_piece(machine, np.frombuffer(data, np.uint8), np.array([0, len(data)]))[2][0]
+
+
+def test_every_copy_of_a_notice_has_a_span():
+    bsd = licenses.TEMPLATES[11][0]
+    gapped = "redistribution and use in source and binary forms with a change or two are permitted provided that the following conditions are met"
+    for copies in ([bsd] * 3, [gapped] * 3, [bsd, gapped, bsd], [bsd] * 200):
+        for between in (" ", " x " * 100):
+            got = [s for s in spans_of(between.join(copies)) if s["label"] == "bsd" and s["cover"] >= licenses.MIN_COVER]
+            step = [len(c.split()) for c in copies]
+            firsts = [sum(step[:i]) + i * len(between.split()) for i in range(len(copies))]
+            assert [(s["first"], s["last"]) for s in got] == [(f, f + n - 1) for f, n in zip(firsts, step)]
+
+
+def test_other_versions_have_no_versioned_label(spark):
+    texts = {
+        1: ("licensed under the gnu general public license version 2", "gpl"),
+        2: ("licensed under the apache license version 1 1", "apache"),
+        3: ("this work is licensed under the gnu general public license version 3", "gpl-3"),
+        4: ("licensed under the apache license version 2 0", "apache-2"),
+    }
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in licenses.digest(licenses.scan(docs)).collect()} == {k: label for k, (_, label) in texts.items()}
+
+
+def test_later_sentences_have_labels():
+    text = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    assert [s["label"] for s in spans_of(text) if s["cover"] >= licenses.MIN_COVER] == ["bsd"]

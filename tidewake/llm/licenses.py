@@ -7,8 +7,10 @@ are templates too: a phrase ends at a token exactly when its state is on the
 suffix-link path of the current state and the current length reaches the
 phrase's, so all its places come out of the same scan. Matches of
 ``MIN_MATCH`` tokens or more are then chained, template by template, in the
-order of both file and template into covered spans; a chain that covers
-``MIN_COVER`` of its template adds the template's label.
+order of both file and template into covered spans: every chain that covers
+``MIN_COVER`` of its template, as long as none overlaps another of the template,
+or else the best one. Such a chain adds the template's label; one that doesn't
+hold the template's version adds the label without its version.
 
 Only tokens of the templates' own vocabulary can stand in a match of two or
 more, and only pairs that are next to each other in a template; runs of other
@@ -20,6 +22,7 @@ Repeated rows give a result each. Only the id and text columns are read.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,7 @@ BASE_PHRASES = [
     ("cc by nc", "cc-by-nc"),
 ]
 
-#: Opening grants and notices of public licences, lower-case words only.
+#: Grants, notices, conditions and disclaimers of public licences, lower-case words only.
 TEMPLATES = [
     ("released under the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
@@ -55,10 +58,24 @@ TEMPLATES = [
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
     ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement", "mit"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "apache-2"),
+    ("this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "gpl"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "bsd"),
+    ("the software is provided as is and the author disclaims all warranties with regard to this software", "isc"),
+    ("if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mpl-2"),
     ("all rights reserved no part of this publication may be reproduced", "all-rights-reserved"),
 ]
 
 
+def version_place(tokens: list[str], label: str) -> int | None:
+    """Where a template of a versioned label holds the version."""
+    version = label.rpartition("-")[2]
+    return tokens.index(version) if version.isdigit() and version != label and version in tokens else None
+
+
 class Automaton:
     """Generalised suffix automaton over template tokens."""
 
@@ -156,7 +173,7 @@ class Automaton:
         return places, matches
 
     def chain(self, matches: list[tuple[int, int, int]]) -> list[tuple[str, float, int, int]]:
-        """(label, covered part, first word, last word) of the best chain of each template."""
+        """(label, covered part, first word, last word) of each template's chains over MIN_COVER, or of its best."""
         by_template: dict[int, list[tuple[int, int, int]]] = {}
         for state, length, last in matches:
             for number, end in self.ends[state]:
@@ -165,20 +182,60 @@ class Automaton:
         spans = []
         for number, found in by_template.items():
             tokens, label = self.templates[number - len(self.phrases)]
-            reach = 2 * len(tokens)
-            covered: list[tuple[int, int, int, int, int]] = []  # tokens covered, first and last word, file end, template end
-            for first, at, length in sorted(found):
-                best = (length, first, first + length - 1, first + length, at + length)
-                for total, begin, _, file_end, template_end in covered[-64:]:
-                    overlap = max(0, file_end - first, template_end - at)
-                    if first + length > file_end and at + length > template_end and first - file_end <= reach and length > overlap and total + length - overlap > best[0]:
-                        best = (total + length - overlap, begin, first + length - 1, first + length, at + length)
-                covered.append(best)
-            total, begin, last, _, _ = max(covered)
-            spans.append((label, min(1.0, total / len(tokens)), begin, last))
+            place = version_place(tokens, label)
+            for total, whole, begin, last in _chains(sorted(found), len(tokens), place):
+                spans.append((label if whole else label.rpartition("-")[0], min(1.0, total / len(tokens)), begin, last))
         return spans
 
 
+def _chained(found: list[tuple[int, int, int]], size: int, place: int | None, taken: list[tuple[int, int]]) -> list[tuple[int, bool, int, int]]:
+    """(tokens covered, with the version, first word, last word) of the best chain that ends in each match."""
+    reach = 2 * size
+    out: list[tuple[int, bool, int, int]] = []
+    ends: list[tuple[int, int, int]] = []  # template end, first word of the last match, taken spans before it
+    for first, at, length in found:
+        gap = bisect_left(taken, (first,))
+        whole = place is None or at <= place < at + length
+        best = (length, whole, first, first + length - 1)
+        for (total, had, begin, end), (template_end, last_first, last_gap) in zip(reversed(out), reversed(ends)):
+            if first - last_first > reach + size or last_gap != gap:
+                break  # no match is longer than its template
+            file_end = end + 1
+            overlap = max(0, file_end - first, template_end - at)
+            if first + length > file_end and at + length > template_end and first - file_end <= reach and length > overlap:
+                best = max(best, (total + length - overlap, had or whole, begin, first + length - 1))
+        out.append(best)
+        ends.append((at + length, first, gap))
+    return out
+
+
+def _chains(found: list[tuple[int, int, int]], size: int, place: int | None) -> list[tuple[int, bool, int, int]]:
+    """Chains over MIN_COVER of one template that don't overlap, best first, or else the best chain."""
+    taken: list[tuple[int, int]] = []  # first and last words, in order
+    kept: list[tuple[int, bool, int, int]] = []
+    while found:
+        chains = sorted(set(_chained(found, size, place, taken)), key=lambda c: (-c[0], -c[1], c[3] - c[2], c[2]))
+        before = len(kept)
+        for chain in chains:
+            total, _, begin, last = chain
+            if total < MIN_COVER * size:
+                break
+            i = bisect_left(taken, (begin,))
+            if (i == 0 or taken[i - 1][1] < begin) and (i == len(taken) or last < taken[i][0]):
+                taken.insert(i, (begin, last))
+                kept.append(chain)
+        if len(kept) == before:
+            return sorted(kept, key=lambda c: c[2]) or chains[:1]
+        # What overlaps no kept chain is chained again, between the kept ones.
+        left = []
+        for match in found:
+            i = bisect_left(taken, (match[0] + 1,))
+            if (i == 0 or taken[i - 1][1] < match[0]) and (i == len(taken) or match[0] + match[2] - 1 < taken[i][0]):
+                left.append(match)
+        found = left
+    return sorted(kept, key=lambda c: c[2])
+
+
 RESULT = "n_words long, places array<struct<label:string,first:long>>, spans array<struct<label:string,cover:double,first:long,last:long>>"
 _PLACES = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64())]))
 _SPANS = pa.list_(pa.struct([("label", pa.string()), ("cover", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
