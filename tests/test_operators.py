@@ -221,3 +221,22 @@ def test_reproduction(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, None)], "k int, v double")
     b = spark.createDataFrame([(1, 1.0 + 1e-12), (2, 2.1), (4, 0.0)], "k int, v double")
     assert tuple(validation.reproduced(a, b, ["k"], "v").first()) == (2, 1)
+
+
+def test_walk_forward_tests_every_last_bar(spark, monkeypatch):
+    import random
+
+    from tidewake.plans import more, research
+
+    random.seed(5)
+    bars = []
+    for s, n in (("a", 500), ("b", 455), ("c", 300)):
+        price = 100.0
+        for t in range(n):
+            price *= 1 + random.gauss(0.001, 0.01)
+            bars.append((s, t, price))
+    monkeypatch.setattr(research.A, "candle_rows", lambda *_: spark.createDataFrame(bars, "segment string, open_ms long, close double"))
+    ends = more.walk_windows(more._closes(spark, "")).orderBy("segment", "win").collect()
+    assert [tuple(r) for r in ends] == [("a", 0, 400, 490), ("a", 1, 445, 500), ("a", 2, 490, 500), ("b", 0, 400, 455), ("b", 1, 445, 455)]
+    got = more.v05_walk_forward_evaluate(spark, "").orderBy("segment", "win").collect()
+    assert [(r.segment, r.win, r.n) for r in got] == [("a", 0, 89), ("a", 1, 54), ("b", 0, 54)]

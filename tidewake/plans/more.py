@@ -219,16 +219,24 @@ b AS (SELECT *, coalesce(sum(CASE WHEN fst THEN qty_raw ELSE 0 END) OVER (PARTIT
 SELECT CASE WHEN oq IS NULL THEN 'UnknownOrder' WHEN NOT fst OR before >= oq THEN 'Duplicate' WHEN before + qty_raw >= oq THEN 'Filled' ELSE 'PartiallyFilled' END AS effect, count(*) AS n FROM b GROUP BY 1""")
 
 
+def walk_windows(c, train_min=400, test=90, step=45):
+    """(segment, win, train_end, test_end) of windows that go on until a segment's last bar is tested."""
+    n = c.groupBy("segment").agg(F.count("*").alias("bars")).where(F.col("bars") > train_min + 1)
+    ends = n.select("segment", "bars", F.posexplode(F.expr(f"sequence({train_min}L, bars - 2, {step}L)")).alias("win", "train_end"))
+    return ends.select("segment", F.col("win").cast("long").alias("win"), "train_end", F.least(F.col("train_end") + test, F.col("bars")).alias("test_end"))
+
+
 def v05_walk_forward_evaluate(spark, sf_dir):
-    """Out-of-sample results of models fitted anew for each window: a table of windows meets the bars, one fit a group."""
+    """Out-of-sample results of models fitted anew for each window: a table of windows meets the bars, one fit a group; windows of fewer than ten results go."""
     c = _closes(spark, sf_dir).withColumn("i", F.row_number().over(features.ordered(["segment"], ["t"])) - 1)
-    ends = spark.createDataFrame([(k, 500 + 400 * k, 500 + 400 * (k + 1)) for k in range(3)], "win long, train_end long, test_end long")
-    rows = c.join(F.broadcast(ends), F.col("i") < F.col("test_end"))
-    params = regime.fit_groups(rows.where("i < train_end"), ["segment", "win"], "t", ["ret", "vol"], rounds=10)
+    rows = c.join(walk_windows(c), "segment").where(F.col("i") < F.col("test_end"))
+    params = regime.fit_groups(rows.where("i < train_end"), ["segment", "win"], "t", ["ret", "vol"], rounds=200, tol=1e-5)
+    # A test starts with the two bars before it, whose features are warm.
+    rows = rows.where("i >= train_end - 2")
     scored = regime.filtered(rows, params, ["segment", "win"], ["t"], ["ret", "vol"])
     held = rows.join(scored, ["segment", "win", "t"]).withColumn("weight", F.when(F.col("regime") == 2, 1.0).otherwise(0.0)).withColumn("funding", F.lit(0.0))
     r = features.weighted_returns(held, "weight", "close", "funding", 5.0, ["segment", "win"], ["t"]).where("i >= train_end")
-    return r.groupBy("segment", "win").agg(F.count("*").alias("n"), F.round(stats.sharpe(F.col("strat")), 4).alias("sharpe"), F.round(stats.total_return(F.col("strat")), 6).alias("total"))
+    return r.groupBy("segment", "win").agg(F.count("*").alias("n"), F.round(stats.sharpe(F.col("strat")), 4).alias("sharpe"), F.round(stats.total_return(F.col("strat")), 6).alias("total")).where("n >= 10")
 
 
 def v15_rule_sweep(spark, sf_dir):
