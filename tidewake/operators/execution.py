@@ -57,15 +57,25 @@ def first_fills(reports: DataFrame) -> DataFrame:
 
 
 def order_states(reports: DataFrame, requests: DataFrame) -> DataFrame:
-    """(cloid, filled_raw, vwap_raw, fees_raw, status) of registered orders; a fill past the order's end is a duplicate."""
+    """(cloid, filled_raw, vwap_raw, fees_raw, status) of registered orders; a fill past the order's end is a duplicate.
+
+    The average price is cut to whole raw units at each fill, so it depends on
+    the fills' order: it is folded over an order's own fills.
+    """
     fills = first_fills(reports).join(requests.select("cloid", F.col("qty_raw").alias("order_qty")), "cloid")
     path = Window.partitionBy("cloid").orderBy("seq")
     before = F.coalesce(F.sum("qty_raw").over(path.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     used = fills.withColumn("before", before).where("before < order_qty")
-    money = F.col("px_raw").cast("decimal(19,0)") * F.col("qty_raw").cast("decimal(19,0)")
-    done = used.groupBy("cloid", "order_qty").agg(F.sum("qty_raw").alias("filled_raw"), F.sum(money).alias("money"), F.sum("fee_raw").alias("fees_raw"))
-    vwap = ((F.col("money") - F.col("money") % F.col("filled_raw")) / F.col("filled_raw")).cast("decimal(38,0)").cast("long")
-    return done.select("cloid", "filled_raw", vwap.alias("vwap_raw"), "fees_raw", F.when(F.col("filled_raw") >= F.col("order_qty"), "Filled").otherwise("PartiallyFilled").alias("status"))
+    done = used.groupBy("cloid", "order_qty").agg(F.array_sort(F.collect_list(F.struct("seq", "qty_raw", "px_raw", "fee_raw"))).alias("fills"))
+    exact = lambda x: f"cast({x} AS DECIMAL(19, 0))"
+    blended = f"({exact('a.px')} * {exact('a.qty')} + {exact('f.px_raw')} * {exact('f.qty_raw')}) div {exact('(a.qty + f.qty_raw)')}"
+    folded = F.expr(
+        "aggregate(fills, named_struct('qty', 0L, 'px', 0L, 'fee', 0L), (a, f) -> named_struct("
+        f"'qty', a.qty + f.qty_raw, 'px', if(a.qty + f.qty_raw = 0, f.px_raw, {blended}), 'fee', a.fee + f.fee_raw))"
+    )
+    return done.withColumn("x", folded).select(
+        "cloid", F.col("x.qty").alias("filled_raw"), F.col("x.px").alias("vwap_raw"), F.col("x.fee").alias("fees_raw"), F.when(F.col("x.qty") >= F.col("order_qty"), "Filled").otherwise("PartiallyFilled").alias("status")
+    )
 
 
 def positions(fills: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -114,26 +124,49 @@ def gate(orders: DataFrame, max_position: int, max_notional: int) -> DataFrame:
     return orders.withColumn("resulting", after).withColumn("decision", decision)
 
 
-def next_snapshot(orders: DataFrame, marks: DataFrame, keys: list[str], latency_us: int) -> DataFrame:
-    """Each order with the first mark at or behind its arrival (forward as-of): mark_us, mark_raw, or null.
+#: Microseconds of a bucket of time in as-of joins.
+BUCKET_US = 3_600_000_000
 
-    Orders (keys, cloid, ts_us) and marks (keys, ts_us, mark_raw) are laid in one
-    sequence, orders first where times meet, and a window looks ahead; no order
-    is paired with every mark.
+
+def _nearest(rows: DataFrame, keys: list[str], ahead: bool, bucket_us: int) -> DataFrame:
+    """``rows`` (keys, at, s, kind, mark, ...) with ``m``, the nearest mark at or behind (``ahead``) or at or before each.
+
+    A running window within (keys, bucket of time), so that one key's rows are
+    dealt to many tasks; rows that see no mark in their bucket get the edge mark
+    of the nearest bucket that has one, found among a row a bucket.
+    """
+    rows = rows.withColumn("bucket", F.floor(F.col("at") / bucket_us))
+    to = F.desc if ahead else F.asc
+    past = Window.partitionBy(*keys, "bucket").orderBy(to("at"), to("s"), to("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows.withColumn("m", F.last("mark", ignorenulls=True).over(past))
+    place = F.when(F.col("mark").isNotNull(), F.struct("at", "s"))
+    edge = (F.min_by if ahead else F.max_by)("mark", place)
+    buckets = Window.partitionBy(*keys).orderBy(to("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    edges = rows.groupBy(*keys, "bucket").agg(edge.alias("edge")).withColumn("edge", F.last("edge", ignorenulls=True).over(buckets))
+    return seen.join(edges, [*keys, "bucket"], "left").withColumn("m", F.coalesce("m", "edge"))
+
+
+def next_snapshot(orders: DataFrame, marks: DataFrame, keys: list[str], latency_us: int, bucket_us: int = BUCKET_US) -> DataFrame:
+    """Each order with the first later mark at or behind its arrival (forward as-of): mark_us, mark_raw, or null.
+
+    Orders (keys, cloid, ts_us, seq) and marks (keys, ts_us, seq, mark_raw) stand
+    in one sequence of time and ``seq``. Without latency an order doesn't meet
+    the mark that made it, but the next one in the sequence.
     """
-    left = orders.select(*keys, "cloid", (F.col("ts_us") + latency_us).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("mark_us"), F.lit(None).cast("long").alias("mark_raw"))
-    right = marks.select(*keys, F.lit(None).cast(orders.schema["cloid"].dataType).alias("cloid"), F.col("ts_us").alias("at"), F.lit(1).alias("kind"), F.col("ts_us").alias("mark_us"), "mark_raw")
-    ahead = Window.partitionBy(*keys).orderBy("at", "kind", "cloid", "mark_raw").rowsBetween(0, Window.unboundedFollowing)
-    seen = left.union(right).withColumn("m", F.first(F.when(F.col("kind") == 1, F.struct("mark_us", "mark_raw")), ignorenulls=True).over(ahead))
-    return seen.where("kind = 0").select(*keys, "cloid", F.col("at").alias("arrival_us"), F.col("m.mark_us").alias("mark_us"), F.col("m.mark_raw").alias("mark_raw"))
-
-
-def last_mark(events: DataFrame, marks: DataFrame, keys: list[str]) -> DataFrame:
-    """Each event with the last mark at or before it (backward as-of): mark_raw, or null."""
-    left = events.select(*keys, F.col("tid"), F.col("ts_us").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("mark_raw"))
-    right = marks.select(*keys, F.lit(None).cast("long").alias("tid"), F.col("ts_us").alias("at"), F.lit(0).alias("kind"), "mark_raw")
-    past = Window.partitionBy(*keys).orderBy("at", "kind", "tid", "mark_raw").rowsBetween(Window.unboundedPreceding, 0)
-    seen = left.union(right).withColumn("m", F.last("mark_raw", ignorenulls=True).over(past))
+    at_once = F.col("seq") if latency_us == 0 else F.lit(-(1 << 63))
+    nothing = F.lit(None).cast("struct<mark_us: bigint, mark_raw: bigint>")
+    left = orders.select(*keys, "cloid", (F.col("ts_us") + latency_us).alias("at"), at_once.cast("long").alias("s"), F.lit(1).alias("kind"), nothing.alias("mark"))
+    mark = F.struct(F.col("ts_us").alias("mark_us"), "mark_raw")
+    right = marks.select(*keys, F.lit(None).cast(orders.schema["cloid"].dataType).alias("cloid"), F.col("ts_us").alias("at"), F.col("seq").cast("long").alias("s"), F.lit(0).alias("kind"), mark.alias("mark"))
+    seen = _nearest(left.union(right), keys, True, bucket_us)
+    return seen.where("kind = 1").select(*keys, "cloid", F.col("at").alias("arrival_us"), F.col("m.mark_us").alias("mark_us"), F.col("m.mark_raw").alias("mark_raw"))
+
+
+def last_mark(events: DataFrame, marks: DataFrame, keys: list[str], bucket_us: int = BUCKET_US) -> DataFrame:
+    """Each event with the last mark at or before it (backward as-of): mark_raw, or null; of marks at one time the highest."""
+    left = events.select(*keys, F.col("tid"), F.col("ts_us").alias("at"), F.lit((1 << 63) - 1).alias("s"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("mark"))
+    right = marks.select(*keys, F.lit(None).cast("long").alias("tid"), F.col("ts_us").alias("at"), F.col("mark_raw").cast("long").alias("s"), F.lit(0).alias("kind"), F.col("mark_raw").cast("long").alias("mark"))
+    seen = _nearest(left.union(right), keys, False, bucket_us)
     return seen.where("kind = 1").select(*keys, "tid", F.col("m").alias("mark_raw"))
 
 

@@ -63,8 +63,11 @@ def a05_order_states(spark, sf_dir):
 _STATES = _FILLS + """, st AS (SELECT f.*, o.qty_raw AS order_qty, coalesce(sum(f.qty_raw) OVER (PARTITION BY f.cloid ORDER BY f.seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM ff f JOIN order_requests o ON f.cloid = o.cloid)
 """
-A05 = with_tables("exec_reports order_requests", _STATES + """SELECT cloid, CAST(sum(qty_raw) AS BIGINT) AS filled_raw, CAST(sum(px_raw::HUGEINT * qty_raw) // sum(qty_raw) AS BIGINT) AS vwap_raw, CAST(sum(fee_raw) AS BIGINT) AS fees_raw,
-  CASE WHEN sum(qty_raw) >= order_qty THEN 'Filled' ELSE 'PartiallyFilled' END AS status FROM st WHERE before < order_qty GROUP BY cloid, order_qty""")
+A05 = "WITH RECURSIVE " + ",\n".join(A.SQL[n] for n in ["exec_reports", "order_requests"]) + _STATES + """, o AS (SELECT *, row_number() OVER (PARTITION BY cloid ORDER BY seq) AS n FROM st WHERE before < order_qty),
+p AS (SELECT cloid, order_qty, n, qty_raw::HUGEINT AS filled, px_raw::HUGEINT AS px, fee_raw::HUGEINT AS fees FROM o WHERE n = 1
+  UNION ALL SELECT p.cloid, p.order_qty, o.n, p.filled + o.qty_raw, (p.px * p.filled + o.px_raw::HUGEINT * o.qty_raw) // (p.filled + o.qty_raw), p.fees + o.fee_raw FROM p JOIN o ON o.cloid = p.cloid AND o.n = p.n + 1)
+SELECT cloid, CAST(filled AS BIGINT) AS filled_raw, CAST(px AS BIGINT) AS vwap_raw, CAST(fees AS BIGINT) AS fees_raw, CASE WHEN filled >= order_qty THEN 'Filled' ELSE 'PartiallyFilled' END AS status
+FROM p QUALIFY row_number() OVER (PARTITION BY cloid ORDER BY n DESC) = 1"""
 
 
 def a06_positions(spark, sf_dir):
@@ -206,9 +209,9 @@ def e02_relational_backtest(spark, sf_dir):
     crosses = features.sma_cross(t, "px_raw", 12, 60, ["instrument"], ["exch_us", "tid"])
     # With the position at its target between crosses, the first order is one quantity and all others two.
     first = F.row_number().over(w) == 1
-    orders = crosses.select("instrument", F.col("tid").alias("cloid"), F.col("exch_us").alias("ts_us"), F.when(F.col("above"), 1).otherwise(-1).alias("s"), F.when(first, 1_000_000).otherwise(2_000_000).cast("long").alias("qty"))
-    marks = t.select("instrument", F.col("exch_us").alias("ts_us"), F.col("px_raw").alias("mark_raw"))
-    filled = execution.next_snapshot(orders, marks, ["instrument"], 1).where("mark_raw IS NOT NULL").join(orders.select("cloid", "s", "qty"), "cloid")
+    orders = crosses.select("instrument", F.col("tid").alias("cloid"), F.col("tid").alias("seq"), F.col("exch_us").alias("ts_us"), F.when(F.col("above"), 1).otherwise(-1).alias("s"), F.when(first, 1_000_000).otherwise(2_000_000).cast("long").alias("qty"))
+    marks = t.select("instrument", F.col("tid").alias("seq"), F.col("exch_us").alias("ts_us"), F.col("px_raw").alias("mark_raw"))
+    filled = execution.next_snapshot(orders, marks, ["instrument"], 1).where("mark_raw IS NOT NULL").join(orders.select("cloid", F.col("s"), "qty"), "cloid")
     n = fixed.notional(F.col("mark_raw"), F.col("qty"))
     return filled.groupBy("instrument").agg(F.count("*").alias("fills"), F.sum(n).alias("volume_raw"), F.sum(fixed.fee(n, 450)).alias("fees_raw"), F.sum(F.col("s") * F.col("qty")).alias("position_raw"))
 

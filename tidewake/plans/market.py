@@ -256,8 +256,8 @@ W22 = with_tables("ticks", ", n AS (SELECT count(*) // 200 AS k FROM ticks GROUP
 def j02_next_mark(spark, sf_dir):
     """Each order with the first tick of its group at or behind its arrival, 250 ms after it."""
     t = A.ticks(spark, sf_dir)
-    orders = t.where("tid % 3 = 0").select("instrument", F.col("tid").alias("cloid"), F.col("exch_us").alias("ts_us"))
-    marks = t.where("tid % 3 > 0").select("instrument", F.col("exch_us").alias("ts_us"), F.col("px_raw").alias("mark_raw"))
+    orders = t.where("tid % 3 = 0").select("instrument", F.col("tid").alias("cloid"), F.col("tid").alias("seq"), F.col("exch_us").alias("ts_us"))
+    marks = t.where("tid % 3 > 0").select("instrument", F.col("tid").alias("seq"), F.col("exch_us").alias("ts_us"), F.col("px_raw").alias("mark_raw"))
     return execution.next_snapshot(orders, marks, ["instrument"], 250_000).fillna(-1, ["mark_us", "mark_raw"])
 
 

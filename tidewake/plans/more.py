@@ -12,6 +12,7 @@ from tidewake.operators.fold import ordered_fold
 from tidewake.plans.research import _CLOSES, _SHARPE, _closes, _psr
 from tidewake.sources import adapters as A
 from tidewake.sources import logs
+from tidewake.shared import folder
 from tidewake.sources.adapters import with_tables
 
 
@@ -274,12 +275,7 @@ def s12_trial_log(spark, sf_dir):
     p = A.trial_panel(spark, sf_dir)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("t", "r"))), lambda x: x["r"])
     trials = p.groupBy("cfg").agg(ordered.alias("returns")).select(F.concat(F.lit("cfg"), "cfg").alias("name"), "returns", F.sha2(F.col("cfg").cast("string"), 256).alias("config_hash"), F.col("cfg").alias("trial_seq"))
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="checkpoints-")
-    path = f"{shared}/tables/{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/tables/{uuid.uuid4().hex}"
     logs.append_trials(trials, path)
     rows = logs.performance_rows(logs.read_trials(spark, path))
     return rows.groupBy(F.col("trial_seq").alias("cfg"), "name").agg(F.count("*").alias("n"), F.round(stats.sharpe(F.col("r")), 6).alias("sharpe"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.operators.execution import Position
+from tidewake.shared import folder
 
 
 def events(spark: SparkSession, sf_dir: str, files_a_batch: int = 8) -> DataFrame:
@@ -57,19 +58,22 @@ def positions(stream: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that a stream gives for what is there now, as a table in the shared checkpoint folder."""
-    spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        import tempfile
+    """All that a stream gives for what is there now, as a table in the shared checkpoint folder.
 
-        shared = tempfile.mkdtemp(prefix="checkpoints-")
-    path = f"{shared}/streams/{uuid.uuid4().hex}"
+    In complete mode every batch holds the whole result, so only the last one is read.
+    """
+    spark = stream.sparkSession
+    path = f"{folder(spark)}/streams/{uuid.uuid4().hex}"
+    numbers: list[int] = []
 
     def keep(batch: DataFrame, number: int) -> None:
         # A batch that is repeated after a failure replaces its own folder.
         batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        numbers.append(number)
 
     query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows").drop("batch")
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    of = max(numbers) if mode == "complete" else "*"
+    return spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={of}")
