@@ -66,3 +66,15 @@ def test_most_frequent(spark):
         got = sorted((r.c for r in common.most_frequent(counts, "c", limit).collect()), reverse=True)
         assert len(got) <= limit and got == want[: len(got)]
     assert len(common.most_frequent(counts, "c", 5000).collect()) == 3000 and common.most_frequent(counts, "c", 5000, 8).count() < 3000
+
+
+def test_words_across_blocks(monkeypatch):
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        data = rng.choice(np.frombuffer(b"aAb \n", np.uint8), rng.integers(0, 60))
+        offsets = np.sort(np.concatenate([[0, len(data)], rng.integers(0, len(data) + 1, rng.integers(0, 4))]))
+        whole = common.words(data, offsets)
+        monkeypatch.setattr(common, "BLOCK_BYTES", int(rng.integers(1, 9)))
+        parts = common.words(data, offsets)
+        monkeypatch.undo()
+        assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(whole, parts))

@@ -17,8 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Bytes of text that one numpy pass covers; a longer text is a piece by itself.
+from tidewake.shared import folder
+
+#: Bytes of text that are worked on at once; a longer text is a piece by itself.
 PIECE_BYTES = 1 << 21
+#: Bytes whose hashes are summed at once.
+BLOCK_BYTES = 1 << 17
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
@@ -34,22 +38,11 @@ def remainder(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
-def _shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (as in tests) one of our own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="checkpoints-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    return shared
-
-
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write a frame to the shared checkpoint folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(_shared_folder(spark))
+        spark.sparkContext.setCheckpointDir(folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -58,7 +51,7 @@ def written(df: DataFrame) -> DataFrame:
 
     The table stays in the shared checkpoint folder, as a result may be read later.
     """
-    path = f"{_shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    path = f"{folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -110,30 +103,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
     return [(r.text, r.label) for r in found.orderBy(F.xxhash64("id"), "id").collect()]
 
 
-#: Bits of a filter of keys, which tasks get whole. More keys only let more rows through, to an exact join.
-FILTER_BITS = 1 << 23
-_FILTER_SHIFT = 64 - 23
+#: Bits of a filter for each of its keys, and the least and most bits of one: tasks get it whole.
+#: Past the most, more keys only let more rows through, to an exact join.
+BITS_A_KEY = 16
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A filter of 64-bit hashes of fixed size: two bits a key, put together by Spark."""
-    both = F.array(F.expr(f"`{column}` & {FILTER_BITS - 1}L"), F.expr(f"shiftrightunsigned(`{column}`, {_FILTER_SHIFT})"))
+    """A filter of 64-bit hashes, sized by their number: two bits a key, put together by Spark."""
+    size = min(max(LEAST_BITS, 1 << max(1, BITS_A_KEY * keys.count() - 1).bit_length()), MOST_BITS)
+    both = F.array(F.expr(f"`{column}` & {size - 1}L"), F.expr(f"shiftrightunsigned(`{column}`, {65 - size.bit_length()})"))
     rows = (
         keys.select(F.explode(both).alias("bit"))
         .select(F.expr("shiftright(bit, 6)").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 AS INT))").alias("v"))
         .groupBy("w")
         .agg(F.bit_or("v").alias("v"))
-        .toPandas()
+        .toArrow()
     )
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[rows["w"].to_numpy(int)] = rows["v"].to_numpy(np.int64)
+    out = np.zeros(size // 64, np.int64)
+    out[rows["w"].to_numpy()] = rows["v"].to_numpy()
     return out.view(np.uint64)
 
 
 def in_filter(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which hashes may be among the filter's keys."""
+    size = 64 * len(bits)
     out = np.ones(len(hashes), bool)
-    for at in (hashes & np.uint64(FILTER_BITS - 1), hashes >> np.uint64(_FILTER_SHIFT)):
+    for at in (hashes & np.uint64(size - 1), hashes >> np.uint64(65 - size.bit_length())):
         out &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
     return out
 
@@ -193,23 +189,49 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_SPACE
 
     A-Z are lower-cased; ``is_word`` says which bytes a word is made of. The
     last array has one entry more than there are texts.
+
+    Bytes are hashed in blocks of ``BLOCK_BYTES``, so that beside its results (24
+    bytes a word) this takes memory by the block, not by the text. A word that
+    goes on in the next block is put together from its parts there.
     """
-    n = len(data)
-    low = LOWER[data]
-    inside = np.zeros(n + 1, bool)
-    inside[:n] = is_word[low]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    before = np.zeros(n + 1, bool)
-    before[1:] = inside[:-1]
-    starts = np.flatnonzero(inside & (~before | edge))
-    ends = np.flatnonzero(before & (~inside | edge))
-    room = 1 << max(16, (n + 1).bit_length())
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _powers(room, _BASE)[:n], out=total[1:])
-    inverse = _powers(room, pow(_BASE, -1, 1 << 64))
-    raw = (total[ends] - total[starts]) * inverse[starts]
-    return starts, ends, mix(raw), np.searchsorted(starts, offsets)
+    starts, ends, hashes = [], [], []
+    power, inverse = _powers(BLOCK_BYTES + 1, _BASE), _powers(BLOCK_BYTES + 1, pow(_BASE, -1, 1 << 64))
+    opened, sum_ = -1, 0  # start and weighted sum of a word that the last block left open
+    for low_at in range(0, len(data), BLOCK_BYTES):
+        block = LOWER[data[low_at : low_at + BLOCK_BYTES]]
+        n = len(block)
+        inside = np.zeros(n + 1, bool)
+        inside[:n] = is_word[block]
+        edge = np.zeros(n + 1, bool)
+        edge[offsets[np.searchsorted(offsets, low_at) : np.searchsorted(offsets, low_at + n)] - low_at] = True
+        edge[n] = low_at + n == len(data)
+        before = np.zeros(n + 1, bool)
+        before[1:] = inside[:-1]
+        before[0] = opened >= 0
+        begins = np.flatnonzero(inside & (~before | edge))
+        stops = np.flatnonzero(before & (~inside | edge))
+        if low_at + n < len(data) and len(stops) and stops[-1] == n:
+            stops = stops[:-1]  # the next block says whether the word ends here
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
+        if opened >= 0:
+            part = int(total[stops[0]] if len(stops) else total[n])
+            sum_ = (sum_ + part * pow(_BASE, low_at - opened, 1 << 64)) & _MASK
+            if len(stops):
+                starts.append(np.array([opened]))
+                ends.append(stops[:1] + low_at)
+                hashes.append(np.array([sum_], np.uint64))
+                stops, opened = stops[1:], -1
+        if len(begins) > len(stops):
+            opened, begins = low_at + int(begins[-1]), begins[:-1]
+            sum_ = (int(total[n]) - int(total[opened - low_at])) * int(inverse[opened - low_at]) & _MASK
+        starts.append(begins + low_at)
+        ends.append(stops + low_at)
+        hashes.append((total[stops] - total[begins]) * inverse[begins])
+    if not starts:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.uint64), np.zeros(len(offsets), int)
+    starts = np.concatenate(starts)
+    return starts, np.concatenate(ends), mix(np.concatenate(hashes)), np.searchsorted(starts, offsets)
 
 
 def hash_words(tokens: list[str]) -> np.ndarray:
