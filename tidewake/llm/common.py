@@ -105,8 +105,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
 
 #: Bits of a filter for each of its keys, and the least and most bits of one: tasks get it whole.
 #: Past the most, more keys only let more rows through, to an exact join.
-BITS_A_KEY = 16
-LEAST_BITS, MOST_BITS = 1 << 20, 1 << 27
+BITS_A_KEY = 256
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 27
 
 
 def key_filter(keys: DataFrame, column: str) -> np.ndarray:
