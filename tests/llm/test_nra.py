@@ -43,19 +43,36 @@ def test_hard_rows(spark):
 
 def test_bounds_never_lose_a_winner():
     rng = np.random.default_rng(2)
-    for _ in range(30):
-        q, x = rng.integers(-30, 31, (5, 8)).astype(float), rng.integers(-30, 31, (300, 8)).astype(float)
-        open_ = nra.bounds(q, x, np.zeros((5, 300), bool), 10)
-        for i, s in enumerate(q @ x.T):
-            assert open_[i][s >= np.sort(s)[-10]].all()
+    for turn in range(60):
+        scale = 10 ** (turn % 3 * 7)
+        q, x = rng.integers(-30, 31, (5, 8)) * scale, rng.integers(-30, 31, (300, 8)) * scale
+        q[0], q[1, :5] = 0, 0
+        lists = nra.Lists.of(x.astype(float))
+        for v in q:
+            score = np.array([sum(int(a) * int(b) for a, b in zip(v, row)) for row in x], object)
+            left, depth = nra.open_candidates(lists, v.astype(float), np.zeros(300, bool), 10)
+            assert set(np.flatnonzero(score >= sorted(score)[-10])) <= set(left.tolist()) and 0 <= depth <= 1
 
 
 def test_reading_stops_early():
     rng = np.random.default_rng(3)
     x = rng.integers(-3, 4, (2000, 4)).astype(float)
     x[:30] += 40
-    open_ = nra.bounds(np.full((2, 4), 5.0), x, np.zeros((2, 2000), bool), 10)
-    assert open_.mean() < 0.05
+    left, depth = nra.open_candidates(nra.Lists.of(x), np.full(4, 5.0), np.zeros(2000, bool), 10)
+    assert len(left) < 100 and depth == nra.DEPTHS[0]
+
+
+def test_few_scores_are_resolved():
+    rng = np.random.default_rng(5)
+    x = np.floor(64 * rng.standard_normal((4000, 16)) / 4)
+    ids = np.arange(4000)
+    *_, resolved, depth = nra.search_block(ids[:50], x[:50], ids, x, 20)
+    assert resolved < 0.06 * 50 * 4000 and depth < 0.9
+
+
+def test_a_row_repeated_many_times(spark):
+    rows = [(1, [1, 2])] * 300 + [(2, [2, 1]), (3, [5, 5])]
+    assert run(spark, [(3, [5, 5]), (1, [1, 2])], rows, 4) == plain([(3, [5, 5]), (1, [1, 2])], rows, 4)
 
 
 def test_scaled(spark):

@@ -2,38 +2,42 @@
 
 Candidates are dealt into blocks, queries too; each task gets one block of
 either. It keeps, for every dimension, the list of the block's components in
-order. A query reads a list from the top where its own component is positive
-and from the bottom where it is negative, all lists at the same depth. What has
-been read gives each candidate a lower bound (unread components at their least
-contribution) and an upper bound (unread components at the contribution last
-read). The k-th lower bound is the bar: when reading on leaves few candidates
-whose upper bound reaches it, reading stops, outsiders can't qualify, and the
-scores of those left are resolved exactly. Blocks' winners, at most k a block
-and query, then meet in a ranked window with a partial limit before its shuffle.
+order. A query reads a list from the top where its own component is positive and
+from the bottom where it is negative, all lists to the same depth, and adds up
+what it reads by candidate. What a candidate's unread components can add is
+bounded twice: none is better than the contribution last read from its list, and
+by Cauchy's inequality all of them together reach no further than the product of
+the lengths of the unread parts of query and candidate; the latter bounds them
+from below as well. The k-th lower bound is the bar. When few candidates' upper
+bounds reach it, reading stops: all others can't qualify. Only the scores of those
+left are then resolved. Blocks' winners, at most k a block and query, meet in a
+ranked window with a partial limit before its shuffle.
 
 Rows whose vector is null, empty or holds a null or a non-finite component take
 no part, nor do rows without an id. Only vectors of equal length are compared.
 A query's own id is no candidate of it. Ties go to the smaller id. Repeated
-candidate rows count each; repeated query rows (same id and vector) once.
-Components are integers as doubles: exact while length * max|q| * max|x| stays
-under 2**53; past that, tasks use Python's exact integers. A score that is no
-long is an error.
+candidate rows are put together first and count each in the result; repeated query
+rows (same id and vector) count once. Empty tables give no rows; extra columns
+aren't read. Components are integers as doubles. Bounds allow for rounding;
+resolved scores are exact: in doubles while length * max|q| * max|x| stays under
+2**53, past that in Python's integers. A score that is no long is an error.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATES_A_BLOCK = 4096
-QUERIES_A_BLOCK = 1024
-#: Depths (as parts of a list's length) at which bounds are compared.
-DEPTHS = (0.25, 0.5, 0.75)
-#: Reading stops when at most this part of a block is open for the average query.
+CANDIDATES_A_BLOCK = 8192
+QUERIES_A_BLOCK = 2048
+#: Depths, as parts of a list's length, at which bounds are compared.
+DEPTHS = (0.25, 0.5, 0.625, 0.75, 0.875, 1.0)
+#: Reading stops when at most this part of a block, or as many candidates as k, are open.
 OPEN_PART = 0.05
 
 
@@ -44,66 +48,87 @@ def scaled(vector: str, factor: float = 64.0) -> Column:
     return F.when(fine & (F.size(x) > 0), F.transform(x, lambda v: F.floor(v.cast("double") * factor).cast("double")))
 
 
-def bounds(q: np.ndarray, x: np.ndarray, own: np.ndarray, k: int) -> np.ndarray:
-    """Which candidates stay open for each query: reading by depth until few are."""
-    n, b = len(x), len(q)
-    order = np.argsort(-x, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], order.shape), axis=0)
-    ordered = np.take_along_axis(x, order, axis=0)
-    high, low = np.maximum(q, 0), np.minimum(q, 0)
-    most, least = ordered[0], ordered[-1]
-    open_ = ~own
+@dataclass
+class Lists:
+    """A block of candidates and its components in order, a list a dimension."""
+
+    x: np.ndarray
+    order: np.ndarray  # (dimensions, candidates): candidates from the least component to the greatest
+    value: np.ndarray
+    norm: np.ndarray
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Lists:
+        order = np.argsort(x.T, axis=1, kind="stable").astype(np.int32)
+        return cls(x, order, np.take_along_axis(x.T, order, axis=1), np.einsum("ij,ij->i", x, x))
+
+    def entries(self, q: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(dimensions, candidates, components) that a query reads between two depths; dimensions where it is 0 aren't read."""
+        n = len(self.x)
+        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
+        dims = np.concatenate([up, down])
+        who = np.concatenate([self.order[up, n - end : n - begin], self.order[down, begin:end]])
+        what = np.concatenate([self.value[up, n - end : n - begin], self.value[down, begin:end]])
+        return dims, who, what
+
+    def last(self, q: np.ndarray, dims: np.ndarray, depth: int) -> np.ndarray:
+        """The contribution last read from each list."""
+        return q[dims] * np.where(q[dims] > 0, self.value[dims, len(self.x) - depth], self.value[dims, depth - 1])
+
+
+def open_candidates(lists: Lists, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, float]:
+    """(candidates that may be among the k best, part of the lists that was read) for one query."""
+    n = len(lists.x)
+    known, read_x, read_q = np.zeros(n), np.zeros(n), np.zeros(n)
+    add = lambda who, weights: np.bincount(who.ravel(), np.ascontiguousarray(weights).ravel(), n)
+    square, seen, depth = float(q @ q), [], 0
+    slack = 1e-6 * (1 + math.sqrt(square) * np.sqrt(lists.norm))
+    left = np.flatnonzero(~own)
     for part in DEPTHS:
-        depth = max(k, int(n * part))
-        if depth >= n:
+        begin, depth = depth, max(depth, min(n, math.ceil(part * n)))
+        if depth == begin:
+            continue
+        dims, who, what = lists.entries(q, begin, depth)
+        if not len(dims):
+            return left, 0.0
+        known += add(who, what * q[dims, None])
+        read_x += add(who, what * what)
+        read_q += add(who, np.broadcast_to(np.square(q[dims, None]), who.shape))
+        seen.append(who)
+        front = lists.last(q, dims, depth)
+        behind = front.sum() - sum(add(w, np.broadcast_to(front[:, None], w.shape)) for w in seen)
+        reach = np.sqrt(np.maximum(lists.norm - read_x, 0) * np.maximum(square - read_q, 0)) + slack
+        upper, lower = known + np.minimum(behind + slack, reach), known - reach
+        candidates = lower[~own]
+        if len(candidates) <= k:
+            return left, depth / n
+        left = np.flatnonzero((upper >= np.partition(candidates, len(candidates) - k)[len(candidates) - k]) & ~own)
+        if len(left) <= max(k, OPEN_PART * n):
             break
-        top, bottom = rank < depth, rank >= n - depth
-        read = np.concatenate([np.where(top, x, 0), np.where(bottom, x, 0)], axis=1)
-        unread = np.concatenate([~top, ~bottom], axis=1).astype(x.dtype)
-        known = np.concatenate([high, low], axis=1) @ read.T
-        upper = known + np.concatenate([high * ordered[depth - 1], low * ordered[n - depth]], axis=1) @ unread.T
-        lower = known + np.concatenate([high * least, low * most], axis=1) @ unread.T
-        lower[own] = -np.inf
-        bar = np.partition(lower, n - k, axis=1)[:, n - k, None] if n > k else np.full((b, 1), -np.inf)
-        open_ = (upper >= bar) & ~own
-        if open_.sum() <= OPEN_PART * open_.size:
-            break
-    return open_
+    return left, depth / n
 
 
 def search_block(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, x: np.ndarray, k: int):
-    """(query position, vec_id, score) of each query's k best in one block."""
+    """(query position, candidate position, score) of each query's k best in one block, how many scores were resolved, and the mean depth."""
     order = np.argsort(vec_ids, kind="stable")
-    vec_ids, x = vec_ids[order], x[order]
-    n = len(x)
-    own = query_ids[:, None] == vec_ids[None, :]
-    reach = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1]
-    if reach >= 2**53:
-        scores = np.array([[int(a) for a in row] for row in q], object) @ np.array([[int(a) for a in row] for row in x], object).T
-        rows = []
-        for i in range(len(q)):
-            best = sorted((-int(s), int(v)) for s, v, o in zip(scores[i], vec_ids, own[i]) if not o)[:k]
-            rows += [(i, v, -s) for s, v in best]
-        return np.array([r[0] for r in rows], int), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], object)
-    if reach < 2**23:
-        q, x = q.astype(np.float32), x.astype(np.float32)
-    open_ = bounds(q, x, own, k) if n > 2 * k else ~own
-    exact = np.rint(q @ x.T).astype(np.int64)
-    at, who, what = [], [], []
+    lists = Lists.of(x[order])
+    ids = vec_ids[order]
+    exact = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53
+    at, who, what, resolved, depths = [], [], [], 0, 0.0
     for i in range(len(q)):
-        left = np.flatnonzero(open_[i])
-        score = exact[i, left]
-        if len(left) > k:
-            bar = np.partition(score, len(score) - k)[len(score) - k]
-            keep = score > bar
-            ties = np.flatnonzero(score == bar)[: k - int(keep.sum())]  # left is in order of vec_id
-            keep[ties] = True
-            left, score = left[keep], score[keep]
-        at.append(np.full(len(left), i))
-        who.append(vec_ids[left])
-        what.append(score)
-    return np.concatenate(at), np.concatenate(who), np.concatenate(what)
+        left, depth = open_candidates(lists, q[i], ids == query_ids[i], k)
+        resolved += len(left)
+        depths += depth
+        if exact:
+            score = np.rint(lists.x[left] @ q[i]).astype(np.int64)
+        else:
+            own = [int(v) for v in q[i]]
+            score = np.array([sum(a * int(b) for a, b in zip(own, row)) for row in lists.x[left]], object)
+        best = np.lexsort((ids[left], -score))[:k] if exact else np.array(sorted(range(len(left)), key=lambda j: (-score[j], ids[left[j]]))[:k], int)
+        at.append(np.full(len(best), i))
+        who.append(order[left[best]])
+        what.append(score[best])
+    return np.concatenate(at), np.concatenate(who), np.concatenate(what), resolved, depths / len(q)
 
 
 def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "vector") -> DataFrame:
@@ -118,8 +143,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
         df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
         return df.where(F.col("id").isNotNull() & F.col("v").isNotNull()).withColumn("width", F.size("v"))
 
-    c, q = clean(candidates), clean(queries).dropDuplicates(["id", "v"])
-    n_c, n_q = c.count(), q.count()
+    q = clean(queries).dropDuplicates(["id", "v"])
+    c = clean(candidates).groupBy("id", "v", "width").agg(F.least(F.count("*"), F.lit(k)).alias("copies"))
+    n_c, n_q = clean(candidates).count(), clean(queries).count()
     blocks_c, blocks_q = max(1, -(-n_c // CANDIDATES_A_BLOCK)), max(1, -(-n_q // QUERIES_A_BLOCK))
     dealt = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -128,20 +154,21 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "vec_
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "query_key": "int64", "vec_id": "int64", "score": "int64"})
-        ids = left["id"].to_numpy(np.int64)
-        at, who, what = search_block(ids, np.stack(left["v"].to_list()), right["id"].to_numpy(np.int64), np.stack(right["v"].to_list()), k)
-        return pd.DataFrame({"query_id": ids[at], "query_key": left["key"].to_numpy(np.int64)[at], "vec_id": who, "score": what})
+            return pd.DataFrame({c: [] for c in ("query_id", "query_key", "vec_id", "copies", "score")}).astype("int64")
+        ids, others = left["id"].to_numpy(np.int64), right["id"].to_numpy(np.int64)
+        at, who, what, *_ = search_block(ids, np.stack(left["v"].to_list()), others, np.stack(right["v"].to_list()), k)
+        return pd.DataFrame({"query_id": ids[at], "query_key": left["key"].to_numpy(np.int64)[at], "vec_id": others[who], "copies": right["copies"].to_numpy(np.int64)[who], "score": what})
 
     found = (
         q.withColumn("key", F.xxhash64("v"))
         .groupBy("qb", "cb", "width")
         .cogroup(c.groupBy("qb", "cb", "width"))
-        .applyInPandas(run, "query_id long, query_key long, vec_id long, score long")
+        .applyInPandas(run, "query_id long, query_key long, vec_id long, copies long, score long")
     )
+    each = found.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     best = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return (
-        found.withColumn("rank", F.row_number().over(best))
+        each.withColumn("rank", F.row_number().over(best))
         .where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )
