@@ -18,15 +18,14 @@ no part, nor do rows without an id. Only vectors of equal length are compared.
 A query's own id is no candidate of it. Ties go to the smaller id. Repeated
 candidate rows are put together first and count each in the result; repeated query
 rows (same id and vector) count once. Empty tables give no rows; extra columns
-aren't read. Components are integers as doubles. Bounds allow for rounding;
-resolved scores are exact: in doubles while length * max|q| * max|x| stays under
+aren't read. Components are integers as doubles. Bounds are in single precision and
+allow for its rounding; resolved scores are exact: in doubles while length * max|q| * max|x| stays under
 2**53, past that in Python's integers. A score that is no long is an error.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -35,10 +34,14 @@ from pyspark.sql import functions as F
 
 CANDIDATES_A_BLOCK = 8192
 QUERIES_A_BLOCK = 2048
+#: Queries that read a block's lists side by side.
+BATCH = 256
 #: Depths, as parts of a list's length, at which bounds are compared.
-DEPTHS = (0.25, 0.5, 0.625, 0.75, 0.875, 1.0)
-#: Reading stops when at most this part of a block, or as many candidates as k, are open.
-OPEN_PART = 0.05
+DEPTHS = (0.75, 0.9, 1.0)
+#: A query's reading stops when at most this part of a block, or as many candidates as k, are open.
+OPEN_PART = 0.08
+#: What rounding in single precision can add, over the product of two vectors' lengths.
+SLACK = 1e-5
 
 
 def scaled(vector: str, factor: float = 64.0) -> Column:
@@ -48,86 +51,101 @@ def scaled(vector: str, factor: float = 64.0) -> Column:
     return F.when(fine & (F.size(x) > 0), F.transform(x, lambda v: F.floor(v.cast("double") * factor).cast("double")))
 
 
-@dataclass
 class Lists:
-    """A block of candidates and its components in order, a list a dimension."""
-
-    x: np.ndarray
-    order: np.ndarray  # (dimensions, candidates): candidates from the least component to the greatest
-    value: np.ndarray
-    norm: np.ndarray
-
-    @classmethod
-    def of(cls, x: np.ndarray) -> Lists:
-        order = np.argsort(x.T, axis=1, kind="stable").astype(np.int32)
-        return cls(x, order, np.take_along_axis(x.T, order, axis=1), np.einsum("ij,ij->i", x, x))
-
-    def entries(self, q: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(dimensions, candidates, components) that a query reads between two depths; dimensions where it is 0 aren't read."""
-        n = len(self.x)
-        up, down = np.flatnonzero(q > 0), np.flatnonzero(q < 0)
-        dims = np.concatenate([up, down])
-        who = np.concatenate([self.order[up, n - end : n - begin], self.order[down, begin:end]])
-        what = np.concatenate([self.value[up, n - end : n - begin], self.value[down, begin:end]])
-        return dims, who, what
-
-    def last(self, q: np.ndarray, dims: np.ndarray, depth: int) -> np.ndarray:
-        """The contribution last read from each list."""
-        return q[dims] * np.where(q[dims] > 0, self.value[dims, len(self.x) - depth], self.value[dims, depth - 1])
-
-
-def open_candidates(lists: Lists, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, float]:
-    """(candidates that may be among the k best, part of the lists that was read) for one query."""
+    """A block of candidates and its components in order, a list a dimension; scaled to at most 1, in single precision."""
+
+    def __init__(self, x: np.ndarray):
+        self.x = x
+        self.scale = max(float(np.abs(x).max()), 1e-300) if x.size else 1.0
+        self.small = (x.T / self.scale).astype(np.float32)
+        self.order = np.argsort(x.T, axis=1, kind="stable")  # from the least component to the greatest
+        self.norm = np.einsum("ij,ij->j", self.small, self.small)
+        self._read: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+
+    def read(self, begin: int, end: int) -> tuple[np.ndarray, ...]:
+        """The entries between two depths, of lists read from the top and then of lists read from the bottom: whether they
+        are read, their components and these squared, by list and candidate; 0 where an entry isn't among them."""
+        if (begin, end) not in self._read:
+            n = self.order.shape[1]
+            taken = np.zeros((2, *self.small.shape), np.float32)
+            np.put_along_axis(taken[0], self.order[:, n - end : n - begin], 1, axis=1)
+            np.put_along_axis(taken[1], self.order[:, begin:end], 1, axis=1)
+            found = taken * self.small
+            flat = lambda m: m.reshape(-1, n)
+            self._read[begin, end] = flat(taken), flat(found), flat(found * found)
+        return self._read[begin, end]
+
+    def last(self, depth: int) -> np.ndarray:
+        """The components last read at a depth from the top and from the bottom of each list."""
+        at = lambda place: np.take_along_axis(self.small, self.order[:, place, None], axis=1)[:, 0]
+        return np.concatenate([at(self.order.shape[1] - depth), at(depth - 1)])
+
+
+def open_candidates(lists: Lists, q: np.ndarray, own: np.ndarray, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(candidates that may be among the k best, part of the lists that was read) of each query; ``own`` are no candidates."""
     n = len(lists.x)
-    known, read_x, read_q = np.zeros(n), np.zeros(n), np.zeros(n)
-    add = lambda who, weights: np.bincount(who.ravel(), np.ascontiguousarray(weights).ravel(), n)
-    square, seen, depth = float(q @ q), [], 0
-    slack = 1e-6 * (1 + math.sqrt(square) * np.sqrt(lists.norm))
-    left = np.flatnonzero(~own)
+    left, depths = [np.flatnonzero(~o) for o in own], np.zeros(len(q))
+    size = np.abs(q).max(1)
+    going = np.flatnonzero(size > 0)  # the scores of a query of zeros are known
+    v = (q[going] / size[going, None]).astype(np.float32)
+    sides = lambda up, down: np.concatenate([np.where(v > 0, up, 0), np.where(v < 0, down, 0)], axis=1).astype(np.float32)
+    signed, square, sign = sides(v, v), sides(v * v, v * v), sides(1, 1)
+    length = (v * v).sum(1)
+    known, read_q, read_x, seen = 0, 0, 0, 0
+    depth = 0
     for part in DEPTHS:
         begin, depth = depth, max(depth, min(n, math.ceil(part * n)))
-        if depth == begin:
+        if depth == begin or not len(going):
             continue
-        dims, who, what = lists.entries(q, begin, depth)
-        if not len(dims):
-            return left, 0.0
-        known += add(who, what * q[dims, None])
-        read_x += add(who, what * what)
-        read_q += add(who, np.broadcast_to(np.square(q[dims, None]), who.shape))
-        seen.append(who)
-        front = lists.last(q, dims, depth)
-        behind = front.sum() - sum(add(w, np.broadcast_to(front[:, None], w.shape)) for w in seen)
-        reach = np.sqrt(np.maximum(lists.norm - read_x, 0) * np.maximum(square - read_q, 0)) + slack
-        upper, lower = known + np.minimum(behind + slack, reach), known - reach
-        candidates = lower[~own]
-        if len(candidates) <= k:
-            return left, depth / n
-        left = np.flatnonzero((upper >= np.partition(candidates, len(candidates) - k)[len(candidates) - k]) & ~own)
-        if len(left) <= max(k, OPEN_PART * n):
-            break
-    return left, depth / n
+        taken, found, squared = lists.read(begin, depth)
+        known = known + signed @ found
+        read_q = read_q + square @ taken
+        read_x = read_x + sign @ squared
+        # What an unread component adds is no better than the contribution last read from its list.
+        seen = seen + taken
+        front = signed * lists.last(depth)
+        behind = front.sum(1)[:, None] - front @ seen
+        slack = SLACK * np.sqrt(length[:, None] * lists.norm)
+        # Cauchy's inequality over the unread parts; their squares are known up to rounding, too.
+        rest = lambda whole, read: np.maximum(whole - read, 0) + SLACK * whole
+        reach = np.sqrt(rest(length[:, None], read_q) * rest(lists.norm, read_x)) + slack
+        upper = known + np.minimum(behind + slack, reach)
+        lower = known - reach
+        lower[own[going]] = -np.inf
+        bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(going), -np.inf)
+        open_ = (upper >= bar[:, None]) & ~own[going]
+        few = open_.sum(1) <= max(k, OPEN_PART * n)
+        for i in np.flatnonzero(few) if depth < n else range(len(going)):
+            left[going[i]] = np.flatnonzero(open_[i])
+        depths[going] = depth / n
+        more = ~few
+        going, signed, square, sign, length, known, read_q, read_x = (m[more] for m in (going, signed, square, sign, length, known, read_q, read_x))
+    return left, depths
 
 
 def search_block(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, x: np.ndarray, k: int):
     """(query position, candidate position, score) of each query's k best in one block, how many scores were resolved, and the mean depth."""
     order = np.argsort(vec_ids, kind="stable")
-    lists = Lists.of(x[order])
+    lists = Lists(x[order])
     ids = vec_ids[order]
     exact = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2**53
     at, who, what, resolved, depths = [], [], [], 0, 0.0
-    for i in range(len(q)):
-        left, depth = open_candidates(lists, q[i], ids == query_ids[i], k)
-        resolved += len(left)
-        depths += depth
-        if exact:
-            score = np.rint(lists.x[left] @ q[i]).astype(np.int64)
-        else:
-            own = [int(v) for v in q[i]]
-            score = np.array([sum(a * int(b) for a, b in zip(own, row)) for row in lists.x[left]], object)
-        best = np.lexsort((ids[left], -score))[:k] if exact else np.array(sorted(range(len(left)), key=lambda j: (-score[j], ids[left[j]]))[:k], int)
-        at.append(np.full(len(best), i))
-        who.append(order[left[best]])
-        what.append(score[best])
+    for first in range(0, len(q), BATCH):
+        batch = q[first : first + BATCH]
+        open_, depth = open_candidates(lists, batch, query_ids[first : first + BATCH, None] == ids[None, :], k)
+        depths += float(depth.sum())
+        for i, left in enumerate(open_):
+            resolved += len(left)
+            if exact:
+                score = np.rint(lists.x[left] @ batch[i]).astype(np.int64)
+                best = np.lexsort((ids[left], -score))[:k]
+            else:
+                own = [int(v) for v in batch[i]]
+                score = np.array([sum(a * int(b) for a, b in zip(own, row)) for row in lists.x[left]], object)
+                best = np.array(sorted(range(len(left)), key=lambda j: (-score[j], ids[left[j]]))[:k], int)
+            at.append(np.full(len(best), first + i))
+            who.append(order[left[best]])
+            what.append(score[best])
     return np.concatenate(at), np.concatenate(who), np.concatenate(what), resolved, depths / len(q)
 
 
