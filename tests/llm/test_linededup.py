@@ -24,7 +24,7 @@ def plain(rows):
         distinct[x] = min(place, distinct.get(x, place))
     near = {
         x for x, p in distinct.items() for y, q in distinct.items()
-        if q < p and min(len(x), len(y)) >= linededup.NEAR_CHARS and distance_within_one(x, y)
+        if q < p and min(len(x), len(y)) >= linededup.CHARS_AN_EDIT and distance_within_one(x, y)
     }
     out = []
     for k, t in rows:
@@ -37,10 +37,19 @@ def plain(rows):
     return out
 
 
+NAMES = ["k", "_drops", "_lines", "_cuts", "row", "drops", "lines", "cuts", "k1", "k2", "h1", "at", "id", "first"]
+
+
 def check(spark, rows):
-    df = spark.createDataFrame([(*r, "k", 3) for r in rows], "doc_id long, text string, k string, n_lines int").drop("n_lines")
-    got = [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in linededup.dedup(df).collect()]
-    assert sorted(got, key=str) == sorted(plain(rows), key=str)
+    df = spark.createDataFrame([(*r, 3, *(f"{c}{i}" for c in NAMES)) for i, r in enumerate(rows)], f"doc_id long, text string, n_lines int, {', '.join(f'{c} string' for c in NAMES)}")
+    out = linededup.dedup(df)
+    assert out.columns == [c for c in df.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+    got = out.collect()
+    assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got), key=str) == sorted(plain(rows), key=str)
+    mine = {r.k: r for r in got}
+    for i, (k, _) in enumerate(rows):
+        assert mine[f"k{i}"].doc_id == k and [mine[f"k{i}"][c] for c in NAMES] == [f"{c}{i}" for c in NAMES]
+    assert [r.n for r in linededup.dedup(df, lines_col="n", dropped_col="m").collect()] == [r.n_lines for r in got]
 
 
 def test_hard_rows(spark):

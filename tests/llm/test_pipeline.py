@@ -51,3 +51,26 @@ def test_hard_rows(spark):
         assert stage(spark, docs.limit(0), PATH).count() == 0
         if name != "sentencepiece":
             assert out.columns == docs.columns
+
+
+def test_columns_of_any_name_keep_their_values(spark):
+    names = ["k", "_drops", "_lines", "_cuts", "n_lines", "n_dropped", "lines0", "_n", "component_id", "row", "name", "first", "n", "id", "key", "score", "lang_pred", "item_id", "words", "hits"]
+    prose = ["the and of that with this was for in on by as it is from are", "el perro de la casa es muy grande y come todo el dia por que si", "some other words that are not like the first ones in any way at all"]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(prose)] + [(None, "a text without an id but with words of its own kind", "en", "a", 5)] * 2 + [(7, "rows of one id with other words to read today", "en", "a", 3), (7, "of one id the second row with quite different content", "en", "b", 4)]
+    docs = spark.createDataFrame([(*r, *(f"{c}{i}" for c in names)) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    at = names.index("k")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, PATH)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            i = int(r.k[1:])
+            assert r.doc_id == rows[i][0] and list(r)[5:] == [f"{c}{i}" for c in names] and names[at] == "k"
+        want = {"language_id": 7, "line_dedup": 7, "ngram_join": 6, "decontamination": 7}[name]
+        assert out.count() == want
+
+
+def test_rows_without_an_id_all_stay(spark):
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(None, text, "x")] * 5 + [(1, text, "x"), (2, text, "x"), (2, text, "x"), (3, "other words here", "x"), (3, "other words here", "x")], "doc_id long, text string, source string")
+    got = sorted((r.doc_id is not None, r.doc_id or 0) for r in corpus_pipeline.ngram_join(spark, docs, PATH).collect())
+    assert got == [(False, 0)] * 5 + [(True, 1), (True, 3)]

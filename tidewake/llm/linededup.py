@@ -3,7 +3,8 @@
 A line (trimmed, lower-cased) is dropped where an earlier line is equal or
 within one edit (a character replaced, put in or taken out); the earliest line
 stays. Lines stand in order of document id and line number. Blank lines always
-stay. One edit is only tolerated in lines of ``NEAR_CHARS`` characters or more.
+stay. An edit is tolerated for each ``CHARS_AN_EDIT`` characters of the shorter
+line, at most ``EDIT_BOUND`` in all, so that "item 1" and "item 2" both stay.
 
 Equal lines meet in one grouped aggregation of their hashes. For the near ones,
 lines one edit apart share their first or their last half, so only lines that
@@ -14,12 +15,18 @@ more where one's variant is the other's half. Each variant's earliest line is
 found by a window, so a group's lines are never paired with each other, and the
 edit distance to it is verified on the lines themselves.
 
-Lines travel as two 64-bit hashes and their places; texts are fetched only for
-lines that share a half, through a filter of fixed size that is broadcast.
-
-Null texts have no lines and stay null. Rows without an id come first in the
-order. Rows of one id count as one document: lines of the same number don't drop
-each other. Other columns are carried along.
+Lines and rows travel as two 64-bit hashes each, and lines with their places; texts
+are fetched only for lines that share a half, through a filter that is broadcast: it
+has 64 bits for each of its keys, at most ``MOST_BITS``.
+
+Null texts have no lines and stay null; texts of blank lines alone stay as they
+are. Rows without an id come first in the order. Rows of one id count as one
+document: lines of the same number don't drop each other. Repeated rows lose the
+same lines. A text, however long, is split where it is read and put together from
+slices of its lines; a row must fit in memory with its lines once. Other columns
+are carried along whatever their names are, inside a struct until the end; a
+column of the name of one of the two counts is left out (choose other names with
+``lines_col`` and ``dropped_col``). An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -31,20 +38,20 @@ from tidewake.llm.common import checkpoint, written
 
 #: The only bound above equality that halves find.
 EDIT_BOUND = 1
-NEAR_CHARS = 24
-FILTER_BITS = 1 << 23
+CHARS_AN_EDIT = 24
+#: Bits of a filter; past the most, more keys only let more rows through, to an exact join.
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 26
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def _row_key(id_: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(id_, text).alias("k1"), F.xxhash64(text, F.lit(1), id_).alias("k2")]
 
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, id, at, line) of every line that isn't blank; k is a hash of the row."""
-    split = df.where(F.col(text_col).isNotNull()).select(
-        _row_key(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("at", "raw")
-    )
-    return split.select("k", "id", "at", F.lower(F.trim("raw")).alias("line")).where("line != ''")
+    """(k1, k2, id, at, line) of every line that isn't blank; k1 and k2 are hashes of the row."""
+    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").isNotNull())
+    split = rows.select(*_row_key(F.col("id"), F.col("text")), "id", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
+    return split.select("k1", "k2", "id", "at", F.lower(F.trim("raw")).alias("line")).where("line != ''")
 
 
 def _hashes() -> list[Column]:
@@ -53,7 +60,7 @@ def _hashes() -> list[Column]:
 
 def shared_halves(every: DataFrame) -> DataFrame:
     """(h1, h2, side, half) of lines that share their first (0) or last (1) half of a length with a different line."""
-    long_ = every.where(F.length("line") >= NEAR_CHARS).select(*_hashes(), "line", F.length("line").alias("n"))
+    long_ = every.where(F.length("line") >= CHARS_AN_EDIT).select(*_hashes(), "line", F.length("line").alias("n"))
     sizes = F.array_distinct(F.array(F.expr("n div 2"), F.expr("(n - 1) div 2")))
     halves = long_.withColumn("half", F.explode(sizes)).select(
         "h1",
@@ -66,15 +73,12 @@ def shared_halves(every: DataFrame) -> DataFrame:
     return keyed.join(several, "key").select("h1", "h2", "side", "half", "key").distinct()
 
 
-def filter_bits(keys: DataFrame, column: str) -> DataFrame:
-    """(w, v): a filter of FILTER_BITS bits as at most FILTER_BITS / 64 words."""
-    bit = keys.select(F.expr(f"cast({column} & {FILTER_BITS - 1}L AS INT)").alias("bit"))
-    return bit.select(F.expr("shiftright(bit, 6)").alias("w"), F.expr("shiftleft(1L, bit % 64)").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
-
-
-def passing(rows: DataFrame, column: str, bits: DataFrame) -> DataFrame:
-    """Rows whose hash may be in the filter. The filter's size is fixed, so it is broadcast."""
-    place = rows.withColumn("w", F.expr(f"cast(shiftright({column} & {FILTER_BITS - 1}L, 6) AS INT)"))
+def passing(rows: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """Rows whose hash may be among the keys', by a filter of at most MOST_BITS / 64 words, so it is broadcast."""
+    size = min(max(LEAST_BITS, 1 << max(1, 64 * keys.count() - 1).bit_length()), MOST_BITS)
+    bit = keys.select(F.expr(f"cast({column} & {size - 1}L AS INT)").alias("bit"))
+    bits = bit.select(F.expr("shiftright(bit, 6)").alias("w"), F.expr("shiftleft(1L, bit % 64)").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    place = rows.withColumn("w", F.expr(f"cast(shiftright({column} & {size - 1}L, 6) AS INT)"))
     return place.join(F.broadcast(bits), "w").where(F.expr(f"getbit(v, cast({column} & 63L AS INT)) = 1")).drop("w", "v")
 
 
@@ -82,8 +86,8 @@ def near_lines(every: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2) of distinct lines with an earlier line one edit away."""
     halves = checkpoint(shared_halves(every))
     wanted = halves.select("h1", "h2").distinct()
-    hashed = every.where(F.length("line") >= NEAR_CHARS).select(*_hashes(), "line")
-    texts = passing(hashed, "h1", filter_bits(wanted, "h1")).groupBy("h1", "h2").agg(F.min("line").alias("line"))
+    hashed = every.where(F.length("line") >= CHARS_AN_EDIT).select(*_hashes(), "line")
+    texts = passing(hashed, "h1", wanted).groupBy("h1", "h2").agg(F.min("line").alias("line"))
     known = checkpoint(texts.join(wanted, ["h1", "h2"]).join(firsts.select("h1", "h2", "first"), ["h1", "h2"]))
 
     rest = F.expr("if(side = 0, substring(line, half + 1), left(line, length(line) - half))")
@@ -112,29 +116,33 @@ def near_lines(every: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, at) of every line that an earlier one makes superfluous."""
+    """(k1, k2, at) of every line that an earlier one makes superfluous."""
     every = lines(df, id_col, text_col)
     place = F.struct(F.col("id"), F.col("at"))
     firsts = checkpoint(every.select("id", "at", *_hashes()).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     near = near_lines(every, firsts).withColumn("near", F.lit(True))
     # Written first, so that the join with all lines reads two plain shuffles and Spark can split a frequent line's rows.
     judged = written(firsts.join(near, ["h1", "h2"], "left").where("n > 1 OR near").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    return every.select("k", "id", "at", *_hashes()).join(judged, ["h1", "h2"]).where(F.col("near") | (F.col("first") < place)).select("k", "at").distinct()
+    placed = every.select("k1", "k2", "id", "at", *_hashes()).join(judged, ["h1", "h2"])
+    return placed.where(F.col("near") | (F.col("first") < place)).select("k1", "k2", "at").distinct()
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with superfluous lines taken out of their texts, and ``n_lines`` and ``n_dropped`` of each."""
-    drops = dropped_lines(df, id_col, text_col).groupBy("k").agg(F.array_sort(F.collect_list("at")).alias("_drops"))
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
+    """The rows with superfluous lines taken out of their texts, and the numbers of lines and of dropped ones of each."""
+    drops = dropped_lines(df, id_col, text_col).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("at")).alias("drops"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
+    text = F.col(f"row.`{text_col}`")
     # Between two dropped lines stands a slice of kept ones, so a text is put together in one pass.
     joined = (
-        df.withColumn("k", _row_key(id_col, text_col))
-        .join(drops, "k", "left")
-        .withColumn("_lines", F.split(F.col(text_col), "\n", -1))
-        .withColumn("_cuts", F.expr("concat(array(-1), _drops, array(size(_lines)))"))
+        df.select(whole, *_row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+        .join(drops, ["k1", "k2"], "left")
+        .withColumn("lines", F.split(text, "\n", -1))
+        .withColumn("cuts", F.expr("concat(array(-1), drops, array(size(lines)))"))
     )
-    kept = F.expr("flatten(transform(sequence(1, size(_cuts) - 1), i -> slice(_lines, _cuts[i - 1] + 2, _cuts[i] - _cuts[i - 1] - 1)))")
+    kept = F.expr("flatten(transform(sequence(1, size(cuts) - 1), i -> slice(lines, cuts[i - 1] + 2, cuts[i] - cuts[i - 1] - 1)))")
+    shorter = F.when(F.col("drops").isNull(), text).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *(F.when(F.col("_drops").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")).alias(text_col) if c == text_col else F.col(f"`{c}`") for c in df.columns),
-        F.coalesce(F.when(F.col(text_col).isNotNull(), F.size("_lines")), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.when(F.col("_drops").isNotNull(), F.size("_drops")), F.lit(0)).alias("n_dropped"),
+        *(shorter.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in (lines_col, dropped_col)),
+        F.coalesce(F.when(text.isNotNull(), F.size("lines")), F.lit(0)).alias(lines_col),
+        F.coalesce(F.when(F.col("drops").isNotNull(), F.size("drops")), F.lit(0)).alias(dropped_col),
     )

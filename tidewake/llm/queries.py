@@ -1,10 +1,9 @@
-"""Queries of the ten operators and of the pipeline, over their whole tables."""
+"""Queries of the ten operators, over their whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,7 +98,6 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_license_scan": op9_license_scan,
         "op10_toxicity": op10_toxicity,
-        "pipeline": corpus_pipeline.run,
     }
 
 
