@@ -8,7 +8,7 @@ and read again. Rows without an id pass the stages that judge by id.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm import decontam, langid, linededup, ngramjoin, spm
@@ -27,17 +27,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stood earlier; documents of which nothing stays go."""
-    short = linededup.dedup(docs).where((F.col("n_dropped") == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
-    return short.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    n_lines, n_dropped = (next(n for i in range(len(taken) + 1) if (n := f"{name}{i}") not in taken) for name in ("lines", "dropped"))
+    short = linededup.dedup(docs, lines_col=n_lines, dropped_col=n_dropped).where((F.col(n_dropped) == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
+    return short.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of documents that are alike."""
+    """One document, that of the smallest id, of each group of documents that are alike.
+
+    Of rows of one id one stays, that of the least hash. Rows without an id all stay.
+    """
     found = ngramjoin.join_components(docs, count_links=False)
     others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    kept = docs.join(others, "doc_id", "left_anti").withColumn("_n", F.row_number().over(once))
-    return kept.where((F.col("_n") == 1) | F.col("doc_id").isNull()).select(*docs.columns)
+    whole = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    named = whole.withColumn("name", F.struct(F.xxhash64("row.text"), F.xxhash64("row"), F.xxhash64(F.lit(1), "row")))
+    # Light rows first: each id's number of rows and the row that stays.
+    firsts = named.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("name").alias("first"), F.count("*").alias("n"))
+    kept = named.join(firsts.join(others, "doc_id", "left_anti"), "doc_id")
+    once = kept.where("n = 1").select("row")
+    again = kept.where("n > 1 AND name = first").groupBy("doc_id").agg(F.first("row").alias("row")).select("row")
+    none = named.where(F.col("doc_id").isNull()).select("row")
+    return once.union(again).union(none).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,3 +88,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if name != STAGES[-1][0]:
             docs = written(docs)
     return docs
+
+
+def queries() -> dict:
+    """The pipeline as a query of (spark, sf_dir)."""
+    return {"pipeline": run}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the pipeline, where there is any."""
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
