@@ -1,5 +1,6 @@
 """The kernel against counting subsequences, and held-out toxicity."""
 
+import re
 import zlib
 from itertools import combinations
 
@@ -25,8 +26,8 @@ def test_kernel():
         for _ in range(20):
             s = bytes(rng.choice(list(b"idotscumab"), rng.integers(0, 9)).tolist())
             row = np.frombuffer(s.ljust(toxicity.UNIT_BYTES, b"\0"), np.uint8)[None]
-            got = toxicity.kernel(row, marks, order, 0.7)[0] * np.sqrt(max(len(s) - order + 1, 1))
-            assert np.allclose(got, [plain(s, z, order, 0.7) for z in marks], rtol=1e-4)
+            got = toxicity.kernel(row, marks, order, 0.7)[0]
+            assert np.allclose(got, [plain(s, z, order, 0.7) / max(len(s) / len(z), 1) for z in marks], rtol=1e-4)
 
 
 def machine():
@@ -46,14 +47,87 @@ def machine():
 
 def score(m, text):
     data = text.encode()
-    return float(m.score(toxicity.Scorer(m).margins(np.frombuffer(data, np.uint8), np.array([0, len(data)])))[0])
+    return float(m.score(*toxicity.Scorer(m).margins(np.frombuffer(data, np.uint8), np.array([0, len(data)])))[0])
+
+
+def forms(w):
+    """Gapped, spaced and inserted forms of a word."""
+    m = len(w) // 2
+    return [
+        w, w.upper() + "!", "-".join(w), ".".join(w), "_".join(w), " ".join(w), ". ".join(w), w[:m] + "x" + w[m:], w[:m] + "1" + w[m:], w[:m] + "-" + w[m:], w[:m] + "##" + w[m:],
+        w[:m] + w[m] * 2 + w[m:], w + "s", f'"{w}"', f"({w[:1]}-{w[1:]})", w[:1] + "z" + w[1:],
+    ]
 
 
 def test_plain_gapped_and_spaced_insults():
     m = machine()
-    clean = [score(m, t) for t in ("", "the house on the green river", "it walks. as stone")]
+    clean = [score(m, t) for t in ("", "the house on the green river", "it walks. as stone", "nice weather", "a tree, 1 2 3 4", "...", "stone " * 3000)]
     assert max(clean) < 0.5 < min(score(m, t) for t in ("you idiot", "the IDIOT. walks", "what a moron!", "i d i o t on the tree", "the " * 5000 + "idiot"))
-    assert min(score(m, t) for t in ("idiots", "id-iot", "idiiot", "mo.ron", "idxiot")) > max(clean) * 2
+    assert min(score(m, f"you {f} on the river") for w in ("idiot", "moron") for f in forms(w)) > 0.5
+
+
+def whole_scores(rows, labels, usable):
+    """Scores by plain code: units, kernel by subsequences, margins by sentence; only the fitted numbers are the machine's."""
+    texts = sorted((k, t) for k, t in rows if t is not None and k in labels and usable(k))
+    m = toxicity.train([t.encode() for _, t in texts], [bool(labels[k]) for k, _ in texts])
+    known = {}
+
+    def similar(unit):
+        if unit not in known:
+            pieces = [unit[i : i + 24] for i in range(0, max(1, len(unit) - 12), 12)] if len(unit) > 24 else [unit]
+            rows_ = [[plain(p, z, 4, 0.75) / plain(z, z, 4, 0.75) / max(len(p) / len(z), 1) for z in m.landmarks] for p in pieces]
+            known[unit] = np.max(rows_, axis=0)
+        return known[unit]
+
+    out = {}
+    for k, t in rows:
+        low = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+        sentences, words_, singles = [[]], 0, []
+        for line in low.split(b"\n"):
+            for w in [x for x in re.split(rb"[\x20\x09-\x0D]+", line) if x]:
+                words_ += 1
+                unit = bytes(c for c in w if c > 127 or chr(c).isalnum())
+                sentences[-1].append(unit)
+                singles.append((len(unit) == 1 and len(w) <= 3, unit, len(sentences) - 1))
+                if w[-1:] in b".!?":
+                    sentences.append([])
+            if sentences[-1]:
+                sentences.append([])
+        at = 0
+        while at < len(singles):
+            end = at
+            while end < len(singles) and singles[end][0]:
+                end += 1
+            if end - at >= 3:
+                sentences[singles[at][2]].append(b"".join(u for _, u, _ in singles[at:end]))
+            at = max(end, at + 1)
+        margins = [float(np.max([similar(u) for u in s], axis=0) @ m.alpha + m.bias) for s in sentences if s] or [m.bias]
+        past, worst = sum(x > 0 for x in margins) if words_ else 0, max(margins)
+        z = m.curve @ [np.log1p(past), np.log(words_ + 20) * (1 - min(max(worst / 3, 0), 1))] + m.shift
+        out[k] = z
+    return out
+
+
+def test_whole_query_against_plain_code(spark, tmp_path):
+    words_ = "the of and on as it house tree walk river stone idea".split()
+    rng = np.random.default_rng(6)
+    rows, labels = [(900, None), (901, ""), (902, "I D I O T. you"), (903, "st-one id-iot! x")], []
+    for i in range(60):
+        text = list(rng.choice(words_, 12)) + (["idiot,", "mo-ron"] if i % 3 == 0 else [])
+        rng.shuffle(text)
+        rows.append((i, " ".join(text) + ".\n" + " ".join(rng.choice(words_, 4))))
+        labels.append((i, int(i % 3 == 0)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    usable = lambda k: zlib.crc32(str(k).encode()) % 5 != 0
+    known = dict(labels)
+    want = whole_scores(rows, known, usable)
+    train = [known[k] for k, _ in rows if k in known and usable(k)]
+    moved = np.log(sum(train) / (len(train) - sum(train))) - np.log(np.mean(train) / (1 - np.mean(train)))  # all labelled rows are in the sample
+    got = {r.doc_id: r for r in queries.op10_toxicity(spark, str(tmp_path)).collect()}
+    assert set(got) == {k for k, _ in rows}
+    for k, z in want.items():
+        assert abs(got[k].score - 1 / (1 + np.exp(-(z + moved)))) < 2e-3 and got[k].predicted == int(got[k].score >= 0.5) and got[k].held_out == (not usable(k))
 
 
 def test_frame(spark):
@@ -62,7 +136,7 @@ def test_frame(spark):
     df = spark.createDataFrame([(*r, 9, "p") for r in rows], "doc_id long, text string, score int, predicted string")
     got = toxicity.score(df, m).collect()
     assert sorted((r.doc_id or 0, r.predicted) for r in got) == [(0, 1), (1, 0), (2, 0), (3, 1), (3, 1), (4, 0), (5, 0), (6, 0), (7, 1)]
-    assert len({r.score for r in got if r.doc_id in (1, 2, 6)}) == 1 and all(0 <= r.score <= 1 for r in got)
+    assert len({r.score for r in got if r.doc_id in (1, 2)}) == 1 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(df.limit(0), m).count() == 0
     none = toxicity.score(df, None).collect()
     assert all(r.score == 0 and r.predicted == 0 for r in none)
@@ -85,4 +159,4 @@ def test_held_out_toxicity(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
     bad, good = [r.score for r in got if labels[r.doc_id]], [r.score for r in got if not labels[r.doc_id]]
     area = np.mean([[(b > g) + 0.5 * (b == g) for g in good] for b in bad])
-    assert area > 0.9 and np.mean([s >= 0.5 for s in good]) < 0.05
+    assert area > 0.94 and np.mean([s >= 0.5 for s in good]) < 0.02 and np.mean([s >= 0.5 for s in bad]) > 0.7

@@ -59,17 +59,16 @@ def written(df: DataFrame) -> DataFrame:
 def bounded_sample(df: DataFrame, group: str, key: str, rows: int, *ties: str) -> DataFrame:
     """At most ``rows`` rows of each group, those of lowest hash ``key``, which is uniform over longs.
 
-    Counts of the groups (few: they are labels) give a bar under which some more
-    than ``rows`` keys of a group are expected; only those are ranked.
+    Counts of the groups' distinct keys give a bar under which some more than
+    ``rows`` of them are expected; only those are ranked, so that a group's rows
+    don't meet in one task. Rows of one key count once against the bar, but each
+    in the rank. Rows without a group are left out.
     """
-    counts = {r[group]: r["count"] for r in df.groupBy(group).count().collect()}
-    bar = F.lit(None).cast("double")
-    for name, count in counts.items():
-        if name is not None:
-            bar = F.when(F.col(group) == name, F.lit(min(1.0, (1.5 * rows + 50) / count))).otherwise(bar)
-    low = F.pmod(F.col(key), F.lit(1 << 40)) / float(1 << 40) < bar
+    counts = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_group")).agg(F.approx_count_distinct(key, 0.05).alias("_keys"))
+    low = F.pmod(F.col(key), F.lit(1 << 40)) / float(1 << 40) < (2.0 * rows + 100) / F.col("_keys")
     ranked = Window.partitionBy(group).orderBy(key, *ties)
-    return df.where(low).withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= rows).drop("_n")
+    near = df.join(counts, F.col(group) == F.col("_group")).where(low).drop("_group", "_keys")
+    return near.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= rows).drop("_n")
 
 
 def most_frequent(counts: DataFrame, count: str, limit: int, least: int = 1) -> DataFrame:
@@ -89,8 +88,12 @@ def most_frequent(counts: DataFrame, count: str, limit: int, least: int = 1) ->
     return counts.where(F.col(count) >= bar if bar is not None else F.lit(False))
 
 
+#: Bytes of text that a sample of labelled rows holds of either label, whatever the texts' lengths.
+SAMPLE_BYTES = 1 << 24
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, rows: int) -> list[tuple[str, int]]:
-    """At most ``rows`` texts of label 0 and of label 1, in order of a hash of the id.
+    """At most ``rows`` texts of label 0 and of label 1, in order of a hash of the id; at most SAMPLE_BYTES of either.
 
     The labels are cut to the sample before they meet the texts. An id with
     several labels has the largest, one with several texts the least.
@@ -99,8 +102,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
     picked = bounded_sample(known.withColumn("key", F.xxhash64("id")), "label", "key", rows, "id").select("id", "label")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # At most 2 * rows ids with their labels: bounded by the parameter, so it may be broadcast.
-    found = texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    return [(r.text, r.label) for r in found.orderBy(F.xxhash64("id"), "id").collect()]
+    found = written(texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
+    so_far = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    short = found.select("id", "label", F.octet_length("text").alias("n")).withColumn("total", F.sum("n").over(so_far)).where(F.col("total") <= SAMPLE_BYTES)
+    return [(r.text, r.label) for r in found.join(F.broadcast(short.select("id")), "id").orderBy(F.xxhash64("id"), "id").collect()]
 
 
 #: Bits of a filter for each of its keys, and the least and most bits of one: tasks get it whole.

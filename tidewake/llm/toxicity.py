@@ -1,27 +1,32 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nyström landmarks.
 
-A sentence's units are its lower-cased words without signs at their ends, and every run of single-character
-words read as one unit ("i d i o t"). The gap-weighted subsequence kernel counts
-the character subsequences of length ``ORDER`` that a unit shares with a
-landmark, each weighted by ``DECAY`` to the power of the stretches it takes in
-both, over the landmark's kernel with itself: inserted or dropped characters
-lower it, but don't lose it. A sentence's similarity to a landmark is that of
-its best unit. Nyström's map turns the similarities into features, on which a
-linear support vector machine is trained.
-
-Landmarks and machine are learned from at most ``ROWS_A_CLASS`` labelled
-training rows of either label (those of lowest hash of the id), so the driver
-holds a bounded sample. Labels are of texts: a toxic text's sentence with the
-highest margin and those past the margin stand for it, chosen anew each round;
-every sentence of a clean text is clean. A text's margin is that of its worst sentence, and a logistic
-curve fitted to the sample turns it into a score.
-
-Scoring keeps a table of distinct units with their similarities in each task,
-emptied at ``TABLE_ENTRIES`` units. Units longer than ``UNIT_BYTES`` are read in
-overlapping stretches. Null, empty and blank texts get the score of a sentence
-without similarities. Rows without an id are scored, not learned from, and count
-as not held out; repeated rows give a result each. Without rows of both labels
-every score is 0.
+A sentence's units are its lower-cased words without their signs ("i-d-i-o-t" is
+the unit "idiot", "st*pid" is "stpid"), and every run of single-character words
+read as one unit ("i d i o t"). The gap-weighted subsequence kernel counts the
+character subsequences of length ``ORDER`` that a unit shares with a landmark, each
+weighted by ``DECAY`` to the power of the stretches it takes in both, over the
+landmark's kernel with itself and over how many times the unit is longer:
+inserted or dropped characters lower it, but don't lose it. A sentence's similarity
+to a landmark is that of its best unit. Nyström's map turns the similarities into
+features, on which a linear support vector machine is trained.
+
+Landmarks and machine are learned from at most ``ROWS_A_CLASS`` labelled training
+rows of either label (those of lowest hash of the id), so the driver holds a bounded
+sample, of at most ``common.SAMPLE_BYTES`` of text: rows are fewer where texts are
+very long. Labels are of texts: a toxic text's sentence with the highest margin and
+those past the margin stand for it, chosen anew each round; every sentence of a clean
+text is clean. Landmarks that hardly any clean text holds are insults by themselves:
+copies of them with characters put in or doubled are further toxic examples. A logistic curve fitted to the sample turns the margin of
+a text's worst sentence, the number of its sentences past the margin and that of its
+words into a score.
+
+Scoring keeps a table of distinct units with their similarities in each task, emptied
+at ``TABLE_ENTRIES`` units. Units longer than ``UNIT_BYTES`` are read in overlapping
+stretches. Null, empty and blank texts get the score of a text of no words without
+similarities. A score of exactly 0.5 is predicted 1. Very long texts
+are scored whole, words hashed in blocks. Rows without an id are scored, not learned
+from, and count as not held out; repeated rows give a result each; extra columns
+aren't read; an empty table gives no rows. Without rows of both labels every score is 0.
 """
 
 from __future__ import annotations
@@ -39,14 +44,20 @@ from pyspark.sql import functions as F
 from tidewake.llm.common import LOWER, labelled_sample, slices, words
 
 ROWS_A_CLASS = 1200
-LANDMARKS = 20
+LANDMARKS = 24
 ORDER = 4
 DECAY = 0.75
 UNIT_BYTES = 24
 TABLE_ENTRIES = 300_000
 _BLOCK = 1024
-#: Taken off a unit's ends.
-_AROUND = b".,;:!?\"'()[]{}<>*&%$#|-_"
+#: Taken out of units: ASCII characters that are neither letters nor digits.
+_SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
+#: Landmarks with this logarithm of shares of toxic and clean texts or more are insults by themselves.
+SURE = 3.0
+#: A margin that no clean text has by chance.
+STRONG = 3.0
+#: Weights of toxic sentences, of gapped copies of insults, and of clean sentences.
+WEIGHTS = (0.1, 0.2, 0.7)
 _SENTENCE = np.zeros(256, bool)
 _SENTENCE[[ord(c) for c in ".!?"]] = True
 
@@ -80,8 +91,8 @@ def kernel(strings: np.ndarray, landmarks: list[bytes], order: int = ORDER, deca
                 cell = levels[i][t + 1]
                 cell *= lam
                 cell += run
-    # Scaled by lengths, as a long string meets more subsequences by chance.
-    return out / np.sqrt(np.maximum(size - order + 1, 1)).astype(np.float32)[:, None]
+    # A string longer than the landmark meets more subsequences by chance.
+    return out / np.maximum(size[:, None] / np.array([len(z) for z in landmarks]), 1).astype(np.float32)
 
 
 def similarities(units: list[bytes], landmarks: list[bytes], own: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -114,46 +125,55 @@ def similarities(units: list[bytes], landmarks: list[bytes], own: np.ndarray, or
 
 @dataclass
 class Machine:
-    """Landmarks, their own kernels, one weight each, a bias, and the logistic curve of the tangent of a text's margin."""
+    """Landmarks, their own kernels, one weight each, a bias, and a logistic curve over a text's figures."""
 
     landmarks: list[bytes]
     own: np.ndarray
     alpha: np.ndarray
     bias: float
-    slope: float
+    curve: np.ndarray
     shift: float
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.tanh(margin) + self.shift, -40, 40)))
+    def score(self, margin: np.ndarray, past: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(_figures(margin, past, size) @ self.curve + self.shift, -40, 40)))
+
+
+def _figures(margin: np.ndarray, past: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """What the curve sees of texts: sentences past the margin, and how long a text is, as a long one meets a word that
+    looks like an insult by chance. The length counts the less, the higher the margin is, and from STRONG on not at all."""
+    return np.stack([np.log1p(past), np.log(size + 20) * (1 - np.clip(margin / STRONG, 0, 1))], axis=1)
 
 
 def split_units(data: np.ndarray, offsets: np.ndarray):
-    """Units of a piece: (hash, start, end, sentence number), and (first sentence of each text).
+    """Units of a piece: (start, end, hash, sentence number, text) of each word, and the runs of single-character words.
 
-    Runs of single-byte words are added as units of their own, with start and end
-    of the whole run; their bytes are those of its words without the spaces.
+    Runs of three such words or more are units of their own: (first word, word
+    behind the last); their bytes are those of their words without signs.
     """
     starts, ends, hashes, first = words(data, offsets)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     # A sentence ends with a word that ends in one of .!? or before a line break or the text's end.
     closes = _SENTENCE[data[ends - 1]] if len(ends) else np.zeros(0, bool)
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
+    breaks = np.flatnonzero(data == 10)
     opens = np.ones(len(starts), bool)
     if len(starts) > 1:
-        opens[1:] = closes[:-1] | (text[1:] != text[:-1]) | (breaks[starts[1:]] > breaks[ends[:-1]])
+        broken = np.searchsorted(breaks, starts[1:]) > np.searchsorted(breaks, ends[:-1])
+        opens[1:] = closes[:-1] | (text[1:] != text[:-1]) | broken
     sentence = np.cumsum(opens) - 1
-    single = (ends - starts) == 1
-    extra = []
+    single = np.zeros(len(starts), bool)
+    for i in np.flatnonzero(ends - starts <= 3):  # a character with a sign before or behind it, or both
+        single[i] = len(data[starts[i] : ends[i]].tobytes().translate(None, _SIGNS)) == 1
+    runs = []
     if single.any():
         edges = np.diff(np.concatenate([[False], single, [False]]).astype(np.int8))
         for a, b in zip(np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)):
             if b - a >= 3 and text[a] == text[b - 1]:
-                extra.append((a, b))
-    return starts, ends, hashes, sentence, text, first, extra
+                runs.append((a, b))
+    return starts, ends, hashes, sentence, text, runs
 
 
-def _merged(data: np.ndarray, starts: np.ndarray, a: int, b: int) -> bytes:
-    return LOWER[data[starts[a:b]]].tobytes()
+def _merged(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, a: int, b: int) -> bytes:
+    return LOWER[data[starts[a] : ends[b - 1]]].tobytes().translate(None, _SIGNS)
 
 
 class Scorer:
@@ -177,13 +197,13 @@ class Scorer:
         return self.table[np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))]
 
     def sentences(self, data: np.ndarray, offsets: np.ndarray):
-        """Best similarities of each sentence, and each sentence's text."""
-        starts, ends, hashes, sentence, text, _, extra = split_units(data, offsets)
+        """Best similarities of each sentence, each sentence's text, and the number of words of each text."""
+        starts, ends, hashes, sentence, text, runs = split_units(data, offsets)
         if not len(starts):
-            return np.zeros((0, len(self.machine.landmarks)), np.float32), np.zeros(0, int)
+            return np.zeros((0, len(self.machine.landmarks)), np.float32), np.zeros(0, int), np.zeros(len(offsets) - 1)
         distinct, one, back = np.unique(hashes, return_index=True, return_inverse=True)
         low = LOWER[data].tobytes()
-        found = self.look_up(distinct, lambda i: low[starts[one[i]] : ends[one[i]]].strip(_AROUND))
+        found = self.look_up(distinct, lambda i: low[starts[one[i]] : ends[one[i]]].translate(None, _SIGNS))
         heads = np.flatnonzero(np.diff(np.concatenate([[-1], sentence])))
         # Most units have no similarity worth keeping; only the others are looked at by sentence.
         best = np.zeros((len(heads), found.shape[1]), np.float32)
@@ -192,36 +212,40 @@ class Scorer:
             owners = sentence[live]
             cuts = np.flatnonzero(np.diff(np.concatenate([[-1], owners])))
             best[owners[cuts]] = np.maximum.reduceat(found[back[live]], cuts)
-        for a, b in extra:
-            unit = _merged(data, starts, a, b)
-            row = similarities([unit], self.machine.landmarks, self.machine.own)[0]
-            best[sentence[a]] = np.maximum(best[sentence[a]], row)
-        return best, text[heads]
-
-    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """The margin of each text's worst sentence."""
-        best, owner = self.sentences(data, offsets)
-        out = np.full(len(offsets) - 1, self.machine.bias)
-        each = best @ self.machine.alpha + self.machine.bias
-        if len(each):
-            cuts = np.flatnonzero(np.diff(np.concatenate([[-1], owner])))
-            out[owner[cuts]] = np.maximum.reduceat(each, cuts)
-        return out
+        if runs:
+            rows = similarities([_merged(data, starts, ends, a, b) for a, b in runs], self.machine.landmarks, self.machine.own)
+            np.maximum.at(best, sentence[[a for a, _ in runs]], rows)
+        return best, text[heads], np.bincount(text, minlength=len(offsets) - 1).astype(float)
+
+    def margins(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: the margin of its worst sentence, how many sentences are past the margin, and its words."""
+        best, owner, size = self.sentences(data, offsets)
+        return *text_margins(best @ self.machine.alpha + self.machine.bias, owner, len(offsets) - 1, self.machine.bias), size
 
 
-def choose_landmarks(texts: list[bytes], toxic: np.ndarray, count: int = LANDMARKS) -> list[bytes]:
-    """Words and word beginnings that mark toxic texts, one after another.
+def text_margins(each: np.ndarray, owner: np.ndarray, texts: int, bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """The highest margin of each text's sentences (the bias without any), and how many are past it."""
+    worst = np.full(texts, float(bias))
+    if len(each):
+        cuts = np.flatnonzero(np.diff(np.concatenate([[-1], owner])))
+        worst[owner[cuts]] = np.maximum.reduceat(each, cuts)
+    return worst, np.bincount(owner[each > 0], minlength=texts).astype(float)
+
+
+def choose_landmarks(texts: list[bytes], toxic: np.ndarray, count: int = LANDMARKS) -> tuple[list[bytes], list[bytes]]:
+    """Words and word beginnings that mark toxic texts, one after another; and those of them that are insults by themselves.
 
     A candidate gains log(share of toxic texts / share of clean texts) from each
     toxic text that holds it; a text counts half for each landmark it has, so
-    that landmarks spread over all kinds of toxic texts.
+    that landmarks spread over all kinds of toxic texts. Beginnings of
+    insults aren't chosen beside them.
     """
     holders: dict[bytes, set[int]] = {}
     clean: Counter = Counter()
     for i, (text, label) in enumerate(zip(texts, toxic)):
         found = set()
-        for unit in set(text.translate(LOWER.tobytes()).split()):
-            unit = unit.strip(b".,;:!?\"'()[]*&%$#|")[:UNIT_BYTES]
+        for word in set(text.translate(LOWER.tobytes()).split()):
+            unit = word.translate(None, _SIGNS)[:UNIT_BYTES]
             found.update(unit[:k] for k in range(max(ORDER, 5), len(unit)))
             if len(unit) >= ORDER:
                 found.add(unit + b"$")
@@ -233,15 +257,27 @@ def choose_landmarks(texts: list[bytes], toxic: np.ndarray, count: int = LANDMAR
     bad, good = int(toxic.sum()), int((~toxic).sum())
     rated = {u: np.log(len(d) / bad / ((clean[u] + 0.5) / (good + 1))) for u, d in holders.items() if len(d) >= 3}
     rated = {u: r for u, r in rated.items() if r > 0.7}
-    weight, chosen = np.ones(len(texts)), []
+    weight, chosen, sure = np.ones(len(texts)), [], []
     while rated and len(chosen) < count:
         gain = {u: r * weight[list(holders[u])].sum() for u, r in rated.items()}
         best = max(gain, key=lambda u: (gain[u], u))
-        weight[list(holders[best])] *= 0.5
-        del rated[best]
-        if (name := best.rstrip(b"$")) not in chosen:
+        name, rate = best.rstrip(b"$"), rated.pop(best)
+        if name not in chosen and not any(z.startswith(name) for z in sure):
             chosen.append(name)
-    return chosen
+            weight[list(holders[best])] *= 0.5
+            if best.endswith(b"$") and rate >= SURE:
+                sure.append(name)
+    return chosen, sure
+
+
+def gapped(word: bytes) -> list[bytes]:
+    """Copies of a word with one or two characters put in or one doubled, inside it."""
+    out = []
+    for i in range(1, len(word)):
+        out += [word[:i] + c + word[i:] for c in (b"x", b"1")] + [word[:i] + word[i - 1 : i] + word[i:]]
+        if i + 2 < len(word):
+            out.append(word[:i] + b"x" + word[i : i + 2] + b"y" + word[i + 2 :])
+    return out
 
 
 def _hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0, rounds: int = 400) -> tuple[np.ndarray, float]:
@@ -263,7 +299,7 @@ def train(texts: list[bytes], toxic: list[bool], rounds: int = 3) -> Machine | N
     label = np.array(toxic, bool)
     if not label.any() or label.all():
         return None
-    landmarks = choose_landmarks(texts, label)
+    landmarks, sure = choose_landmarks(texts, label)
     if not landmarks:
         return None
     padded = np.zeros((len(landmarks), UNIT_BYTES), np.uint8)
@@ -271,12 +307,13 @@ def train(texts: list[bytes], toxic: list[bool], rounds: int = 3) -> Machine | N
         padded[i, : len(z)] = np.frombuffer(z, np.uint8)
     gram = kernel(padded, landmarks)
     own = np.diagonal(gram).copy()
-    machine = Machine(landmarks, own, np.ones(len(landmarks)), 0.0, 1.0, 0.0)
+    machine = Machine(landmarks, own, np.ones(len(landmarks)), 0.0, np.zeros(2), 0.0)
     scorer = Scorer(machine)
     # Piece by piece, so that the driver needs no more than a task.
     parts = [(first, *scorer.sentences(data, offsets)) for first, _, data, offsets in slices(pa.array(texts, pa.binary()).cast(pa.string()))]
-    feats = np.concatenate([f for _, f, _ in parts])
-    owner = np.concatenate([o + first for first, _, o in parts])
+    feats = np.concatenate([f for _, f, _, _ in parts])
+    owner = np.concatenate([o + first for first, _, o, _ in parts])
+    size = np.concatenate([n for *_, n in parts])
     # Nyström: features = k(s, Z) K(Z, Z)^(-1/2), with the landmarks' similarities scaled alike
     scaled = (gram / np.sqrt(own[:, None] * own[None, :])).astype(np.float64)
     values, vectors = np.linalg.eigh((scaled + scaled.T) / 2)
@@ -286,33 +323,27 @@ def train(texts: list[bytes], toxic: list[bool], rounds: int = 3) -> Machine | N
     bounds = np.concatenate([heads, [len(owner)]])
     named = owner[heads]
     alpha, bias = np.ones(len(landmarks)), 0.0
+    copies = similarities([u for z in sure for u in gapped(z)], landmarks, own).astype(np.float64) @ root
     for turn in range(rounds):
         margin = feats @ alpha + bias
         worst = np.array([a + int(np.argmax(margin[a:b])) for a, b in zip(bounds[:-1], bounds[1:])], int)
         clear = margin > 0 if turn else feats.max(1) > 0.9
         bad = np.union1d(worst[label[named]], np.flatnonzero(clear & label[owner]))
         good = np.flatnonzero(~label[owner])
-        rows = np.concatenate([bad, good])
-        y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
+        parts = (x[bad], copies, x[good])
+        y = np.concatenate([np.full(len(part), sign) for part, sign in zip(parts, (1.0, 1.0, -1.0))])
         # Clean sentences weigh more in all: toxic ones are chosen, and some of them wrongly.
-        weight = np.concatenate([np.full(len(bad), 0.08 / max(1, len(bad))), np.full(len(good), 0.92 / max(1, len(good)))]) * len(rows)
-        w, bias = _hinge(x[rows], y, weight)
+        weight = np.concatenate([np.full(len(part), share / max(1, len(part))) for part, share in zip(parts, WEIGHTS)]) * len(y)
+        w, bias = _hinge(np.concatenate(parts), y, weight)
         alpha = root @ w
-    machine = Machine(landmarks, own, alpha, float(bias), 1.0, 0.0)
-    margin = np.full(len(texts), machine.bias)
-    margin[named] = np.maximum.reduceat(feats @ alpha + bias, heads)
-    slope, shift = 1.0, 0.0
-    # The hyperbolic tangent, as a text doesn't grow more toxic with a second insult as it does with the first.
-    u, y = np.tanh(margin), label.astype(float)
+    worst, past = text_margins(feats @ alpha + bias, owner, len(texts), float(bias))
+    curve = np.zeros(3)
+    u, y = np.column_stack([_figures(worst, past, size), np.ones(len(texts))]), label.astype(float)
     for _ in range(50):  # Newton steps of a logistic regression, slightly ridged
-        p = 1 / (1 + np.exp(-np.clip(slope * u + shift, -40, 40)))
-        g = np.array([((y - p) * u).sum() - 1e-2 * slope, (y - p).sum()])
-        v = p * (1 - p)
-        h = np.array([[(v * u * u).sum() + 1e-2, (v * u).sum()], [(v * u).sum(), v.sum() + 1e-9]])
-        move = np.clip(np.linalg.solve(h, g), -2, 2)
-        slope, shift = slope + move[0], shift + move[1]
-    machine.slope, machine.shift = float(slope), float(shift)
-    return machine
+        p = 1 / (1 + np.exp(-np.clip(u @ curve, -40, 40)))
+        h = (u * (p * (1 - p))[:, None]).T @ u + 1e-2 * np.eye(3)
+        curve = curve + np.clip(np.linalg.solve(h, u.T @ (y - p) - 1e-2 * curve), -2, 2)
+    return Machine(landmarks, own, alpha, float(bias), curve[:2], float(curve[2]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS_A_CLASS) -> Machine | None:
@@ -335,7 +366,7 @@ def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text
         scorer = Scorer(machine) if machine else None
         for batch in batches:
             for first, end, data, offsets in slices(batch.column(1)):
-                p = machine.score(scorer.margins(data, offsets)) if scorer else np.zeros(end - first)
+                p = machine.score(*scorer.margins(data, offsets)) if scorer else np.zeros(end - first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(p.astype(float)), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
