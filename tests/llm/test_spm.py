@@ -19,7 +19,7 @@ HARD = ["", " ", "  a  b ", "a\tb\r\nc\n", "▁x▁ y", "é　x y", "\x00a", "
 def same(texts):
     ids, decoded = TABLE.encode(texts)
     whole = LIBRARY.encode([t or "" for t in texts])
-    assert ids == whole
+    assert [i.tolist() for i in ids] == whole
     assert decoded == LIBRARY.decode(whole)
 
 
@@ -39,6 +39,12 @@ def test_markers(text):
     same([text])
 
 
+def test_long_texts_in_parts(monkeypatch):
+    for size in (1, 3, 7, 50):
+        monkeypatch.setattr(spm, "PART_CHARS", size)
+        same([*HARD[:8], "a bc  def▁ghi   ", "word " * 200, None, " x" * 40])
+
+
 def test_frame(spark):
     rows = [(1, None, 5, "x"), (1, None, 5, "x"), (2, "", None, "y"), (None, "two words", 1, "z")] + [(10 + i, t, i, t) for i, t in enumerate(HARD)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, ids string")

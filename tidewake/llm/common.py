@@ -56,15 +56,23 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Labels that a sample is drawn for; more are an error.
+MOST_GROUPS = 1000
+
+
 def bounded_sample(df: DataFrame, group: str, key: str, rows: int, *ties: str) -> DataFrame:
     """At most ``rows`` rows of each group, those of lowest hash ``key``, which is uniform over longs.
 
     Counts of the groups' distinct keys give a bar under which some more than
     ``rows`` of them are expected; only those are ranked, so that a group's rows
-    don't meet in one task. Rows of one key count once against the bar, but each
+    don't meet in one task. ``df`` holds light rows: texts are joined to the sample. Rows of one key count once against the bar, but each
     in the rank. Rows without a group are left out.
     """
     counts = df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("_group")).agg(F.approx_count_distinct(key, 0.05).alias("_keys"))
+    found = counts.limit(MOST_GROUPS + 1).collect()
+    if len(found) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} values of {group} to sample from")
+    counts = F.broadcast(df.sparkSession.createDataFrame(found, counts.schema))  # MOST_GROUPS rows at most
     low = F.pmod(F.col(key), F.lit(1 << 40)) / float(1 << 40) < (2.0 * rows + 100) / F.col("_keys")
     ranked = Window.partitionBy(group).orderBy(key, *ties)
     near = df.join(counts, F.col(group) == F.col("_group")).where(low).drop("_group", "_keys")

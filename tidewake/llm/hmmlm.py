@@ -11,8 +11,9 @@ table only, and a sum over its words' shares.
 Baum-Welch: every task adds up expected emissions and transitions of its texts
 by scaled forward and backward recursions; Spark sums them over tasks, and the
 driver gets one bounded table a round. The start comes from rounds over a
-sample of about ``SAMPLE_TEXTS`` texts; ``ROUNDS`` rounds over all training
-texts follow.
+sample of about ``SAMPLE_TEXTS`` texts (those of lowest hash, at most
+``SAMPLE_BYTES``); rounds over all training texts follow until one gains less than
+``TOLERANCE`` a token in log-likelihood, ``ROUNDS`` at most.
 
 Scoring: counts of the ``HOT_WORDS`` most frequent words go to every task
 (bounded by that number); all other tokens meet the whole count table in a
@@ -21,7 +22,9 @@ shuffled join, so any size of vocabulary works. The recursion runs in blocks of
 then vectors from block to block; no text is cut.
 
 Null texts are empty: one end. Rows without an id are scored, not learned from,
-and not held out. Repeated rows give a result each.
+and not held out. Repeated rows give a result each; extra columns aren't read; an
+empty table gives no rows. Without training texts the states say nothing. Words of
+one count are ordered by hash. Very long texts are hashed and run through in blocks.
 """
 
 from __future__ import annotations
@@ -42,7 +45,11 @@ BUCKETS = 256
 HOT_WORDS = 1 << 18
 SAMPLE_TEXTS = 400
 SAMPLE_ROUNDS = 12
-ROUNDS = 2
+ROUNDS = 3
+#: Nats a token.
+TOLERANCE = 0.005
+#: Bytes of text of the sample, which the driver holds.
+SAMPLE_BYTES = 1 << 24
 BLOCK = 64
 #: The hash of the end; a word's hash is 0 only if its polynomial hash is.
 END = np.uint64(0)
@@ -280,38 +287,54 @@ def fit(train: DataFrame, counts: DataFrame, id_col: str, text_col: str) -> Mode
     n_texts = int(model.class_count[0])
     if not n_texts:
         return model
-    part = min(1.0, SAMPLE_TEXTS / n_texts)
-    sample = train.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(3)), F.lit(1 << 30)) < int(part * (1 << 30))).select(F.col(text_col).alias("t"))
-    texts = [(r.t or "").encode() for r in sample.limit(4 * SAMPLE_TEXTS).collect()]
+    # Twice as many rows as wanted are expected under the bar, of which the lowest are taken; first by their sizes alone.
+    key = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 40))
+    low = train.withColumn("_key", key).where(F.col("_key") < int(min(1.0, 2 * SAMPLE_TEXTS / n_texts) * (1 << 40)))
+    sizes = low.select("_key", F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n")).distinct().orderBy("_key", "n").limit(SAMPLE_TEXTS).collect()
+    kept, held = [], 0
+    for r in sizes:
+        held += r.n
+        if held <= SAMPLE_BYTES:
+            kept.append(r._key)
+    rows = low.where(F.col("_key").isin(kept)).groupBy("_key").agg(F.min(text_col).alias("t")).orderBy("_key").collect() if kept else []
+    texts = [(r.t or "").encode() for r in rows]
     if texts:
         data = np.frombuffer(b"".join(texts), np.uint8)
         _, _, hashes, first = words(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
         codes, begins = with_ends(model.classes(hashes, Lookup(model.own, 18)), first, 0)
         for _ in range(SAMPLE_ROUNDS):
             model = updated(model, *expected(model, codes, begins)[:3])
+    before = None
     for _ in range(ROUNDS):
-        model = _round(train, model, text_col)
+        model, likelihood = _round(train, model, text_col)
+        if before is not None and likelihood - before < TOLERANCE * model.tokens:
+            break
+        before = likelihood
     return model
 
 
-def _round(train: DataFrame, model: Model, text_col: str) -> Model:
-    """One round of Baum-Welch over all training texts; tasks' expected counts are summed by Spark."""
+def _round(train: DataFrame, model: Model, text_col: str) -> tuple[Model, float]:
+    """One round of Baum-Welch over all training texts, and their log-likelihood (of class ratios) before it.
+
+    Tasks' expected counts are summed by Spark.
+    """
     shared = train.sparkSession.sparkContext.broadcast(model)
     s, k = STATES, len(model.ratio)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         lookup = Lookup(model.own, 18)
-        total = np.zeros((k + s + 1, s))
+        total = np.zeros((k + s + 2, s))
         seen = False
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 _, _, hashes, first = words(data, offsets)
                 codes, begins = with_ends(model.classes(hashes, lookup), first, 0)
-                emitted, moves, starts, _ = expected(model, codes, begins)
+                emitted, moves, starts, likelihood = expected(model, codes, begins)
                 total[:k] += emitted
                 total[k : k + s] += moves
                 total[k + s] += starts
+                total[k + s + 1, 0] += likelihood.sum()
                 seen = True
         if seen:
             used = np.flatnonzero(total.any(1)).astype(np.int32)
@@ -319,9 +342,9 @@ def _round(train: DataFrame, model: Model, text_col: str) -> Model:
 
     kind = "r int, " + ", ".join(f"v{j} double" for j in range(s))
     rows = train.select(F.col(text_col)).mapInArrow(run, kind).groupBy("r").agg(*(F.sum(f"v{j}").alias(f"v{j}") for j in range(s))).toPandas()
-    total = np.zeros((k + s + 1, s))
+    total = np.zeros((k + s + 2, s))
     total[rows["r"].to_numpy(int)] = rows[[f"v{j}" for j in range(s)]].to_numpy(float)
-    return updated(model, total[:k], total[k : k + s], total[k + s])
+    return updated(model, total[:k], total[k : k + s], total[k + s]), float(total[k + s + 1, 0])
 
 
 def _scored(df: DataFrame, model: Model, carried: list[str], text_col: str) -> DataFrame:

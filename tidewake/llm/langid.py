@@ -5,15 +5,18 @@ position a softmax over both states labels the position, and a document's
 probabilities are the mean over all its positions. The network is trained in
 numpy by backpropagation through time with Adam.
 
-Fitting sample: at most ``ROWS_A_LANGUAGE`` labelled training rows a language
-(those of lowest hash of the id), one stretch of ``STRETCH`` characters each,
-whose place in the text follows from the hash too. Prediction covers every byte
-of every text, cut into windows of ``WINDOW`` bytes that start from zero states,
-so memory doesn't grow with a text's length.
+Fitting sample: at most ``ROWS_A_LANGUAGE`` labelled training rows a language,
+those of lowest hash of the id, with their whole texts; at most ``SAMPLE_BYTES`` of
+text a language, and one row at least. Training draws stretches anywhere in them. Prediction covers every byte of every text,
+cut into windows of ``WINDOW`` bytes that start from zero states, so memory doesn't
+grow with a text's length: a label sees its window, not past it. More than
+``common.MOST_GROUPS`` different labels are an error.
 
 Null texts and texts without a letter are ``und`` with score 0. Rows without an
 id are predicted, but never learned from, and count as not held out. Repeated
-rows give a result each. Without labelled rows every text is ``und``.
+rows give a result each. Without labelled rows every text is ``und``. Of languages of
+equal probability the first in alphabetical order is predicted. Extra columns aren't
+read (``keep`` hands them on); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import bounded_sample, slices
+from tidewake.llm.common import bounded_sample, slices, written
 
 ROWS_A_LANGUAGE = 384
-STRETCH = 128
+SAMPLE_BYTES = 1 << 22
+#: Stretches of a text that an epoch draws.
+DRAWN = 2
 WINDOW = 128
 #: Windows that go through the network together.
 BATCH = 2048
@@ -119,26 +124,32 @@ def loss_and_gradients(net: Network, codes: np.ndarray, mask: np.ndarray, label:
     return float(loss), grads
 
 
+def stretches(text: bytes, steps: int, count: int, rng: np.random.Generator) -> list[bytes]:
+    """``count`` stretches of a text drawn at random, or all of them if there are no more; the last one may be short."""
+    n = -(-len(text) // steps)
+    pick = range(n) if n <= count else rng.choice(n, count, replace=False)
+    return [text[i * steps : (i + 1) * steps] for i in pick]
+
+
 def train(texts: list[bytes], labels: list[str], units: int = 8, steps: int = 64, batch: int = 128, epochs: int = 10, rate: float = 0.02, seed: int = 7) -> Network:
-    """Fit a network to stretches of labelled text by backpropagation through time."""
+    """Fit a network to whole labelled texts by backpropagation through time.
+
+    Each epoch draws ``DRAWN`` stretches of ``steps`` bytes from every text, anywhere in it, so that
+    a long text doesn't outweigh short ones.
+    """
     languages = sorted(set(labels))
     net = fresh(languages, units, seed)
-    codes, mask, label = [], [], []
-    for text, name in zip(texts, labels):
-        for at in range(0, max(1, len(text)), steps):
-            cut = text[at : at + steps]
-            if cut and (at == 0 or len(cut) >= steps // 2):
-                codes.append(np.frombuffer(cut.ljust(steps, b"\0"), np.uint8))
-                mask.append(np.arange(steps) < len(cut))
-                label.append(languages.index(name))
-    if not codes:
-        return net
-    codes, mask, label = np.array(codes).astype(np.intp), np.array(mask, np.float32), np.array(label)
     rng = np.random.default_rng(seed)
+    names = {name: i for i, name in enumerate(languages)}
+    sizes = sum(min(DRAWN, -(-len(t) // steps)) for t in texts)
     first = [np.zeros_like(w) for w in net.weights()]
     second = [np.zeros_like(w) for w in net.weights()]
-    done, total = 0, epochs * -(-len(codes) // batch)
-    for _ in range(epochs):
+    done, total = 0, epochs * -(-sizes // batch)
+    for _ in range(epochs if sizes else 0):
+        cuts = [(cut, names[name]) for text, name in zip(texts, labels) for cut in stretches(text, steps, DRAWN, rng)]
+        codes = np.frombuffer(b"".join(c.ljust(steps, b"\0") for c, _ in cuts), np.uint8).reshape(-1, steps).astype(np.intp)
+        mask = (np.arange(steps) < np.array([len(c) for c, _ in cuts])[:, None]).astype(np.float32)
+        label = np.array([n for _, n in cuts])
         order = rng.permutation(len(codes))
         for at in range(0, len(codes), batch):
             pick = order[at : at + batch]
@@ -230,12 +241,17 @@ class Reader:
 
 
 def training_sample(df: DataFrame, usable: Column, id_col: str, text_col: str, lang_col: str, rows: int = ROWS_A_LANGUAGE) -> list[tuple[bytes, str]]:
-    """At most ``rows`` stretches of labelled text a language, in a fixed order."""
+    """At most ``rows`` labelled texts a language, in a fixed order."""
     labelled = df.where(usable & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    start = F.pmod(F.xxhash64(F.col(id_col), F.lit(1)), F.greatest(F.length(text_col) - STRETCH, F.lit(1))) + 1
-    cuts = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("key"), F.col(id_col).alias("id"), F.substring(F.col(text_col), start, F.lit(STRETCH)).alias("cut"))
-    picked = bounded_sample(cuts, "lang", "key", rows, "id", "cut").orderBy("lang", "key", "id", "cut").select("cut", "lang")
-    return [(r.cut.encode(), r.lang) for r in picked.collect()]
+    labelled = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("key"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
+    light = labelled.select("lang", "key", "row", F.octet_length("text").cast("long").alias("n"))
+    picked = bounded_sample(light, "lang", "key", rows, "row")
+    order = Window.partitionBy("lang").orderBy("key", "row")
+    fits = (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) <= SAMPLE_BYTES) | (F.row_number().over(order) == 1)
+    few = written(picked.withColumn("fits", fits).where("fits").select("lang", "key", "row").distinct())
+    # Repeated rows have the same text, so one of each is enough.
+    found = labelled.join(few, ["lang", "key", "row"]).groupBy("lang", "key", "row").agg(F.min("text").alias("text")).orderBy("lang", "key", "row")
+    return [(r.text.encode(), r.lang) for r in found.collect()]
 
 
 def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,8 +16,12 @@ Only tokens of the templates' own vocabulary can stand in a match of two or
 more, and only pairs that are next to each other in a template; runs of other
 tokens leave the automaton at its root and are skipped.
 
-Null and empty texts have no words, no places and empty label strings.
-Repeated rows give a result each. Only the id and text columns are read.
+Null and empty texts have no words, no places and empty label strings; an empty
+table gives no rows. Repeated rows give a result each. Only the id and text columns
+are read. Very long texts are hashed in blocks and their matches chained whole; what
+a chain looks back on is bounded by its template's length. Of chains of one template
+that overlap, the one of more tokens stays, then that with the version, then the
+shorter, then the first.
 """
 
 from __future__ import annotations

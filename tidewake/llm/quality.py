@@ -4,8 +4,9 @@ A logistic classifier gives each text the evidence of its form (letters, signs,
 repeats, lengths). Labelled documents also say how good a host is, and a path of
 a host: each has a beta posterior whose prior is the level above, a host's the
 global rate, a path's its host's posterior. The strength of either prior is
-estimated from all labelled sites by one-way analysis of variance, so sparse
-sites shrink towards their prior and full ones keep their own rate. A document's
+estimated from all labelled sites by analysis of variance (hosts around the global
+rate, paths around their own host's), so sparse sites shrink towards their prior and
+full ones keep their own rate. A document's
 log-odds are its classifier's plus its path's, less the global ones.
 
 The classifier is fitted to at most ``ROWS_A_CLASS`` labelled training rows of
@@ -14,7 +15,10 @@ document doesn't count for its own site: its label is taken out of the posterior
 
 Null texts count as empty. Null hosts and paths are sites of their own. Rows
 without an id are scored, not learned from, and not held out; repeated rows give
-a result each. Without labels of both kinds the classifier says 0.5 for all.
+a result each. Without labels of both kinds the classifier says 0.5 for all. A score
+of exactly 0.5 is kept. Very long texts are read whole, words hashed in blocks; the
+sample holds at most ``common.SAMPLE_BYTES`` of text of either label. Extra columns
+aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +36,10 @@ ROWS_A_CLASS = 1500
 FEATURES = 9
 #: Bounds of a prior's strength, in documents.
 STRENGTH = (1.0, 10_000.0)
+#: Rows of a site are dealt to so many tasks.
+SALTS = 16
 
-_KIND = np.zeros((256, 5), np.float64)
+_KIND = np.zeros((256, 5), np.uint8)
 for _i in range(256):
     _KIND[_i, 0] = 97 <= _i <= 122 or _i >= 128  # lower-case and past ASCII
     _KIND[_i, 1] = 65 <= _i <= 90
@@ -48,9 +54,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     size = np.maximum(np.diff(offsets), 1)
     out = np.zeros((n, FEATURES))
+    some = np.flatnonzero(np.diff(offsets))
     for j in range(5):
-        total = np.concatenate([[0.0], np.cumsum(_KIND[:, j][data])])
-        out[:, j] = (total[offsets[1:]] - total[offsets[:-1]]) / size
+        if len(some):
+            out[some, j] = np.add.reduceat(_KIND[:, j][data], offsets[:-1][some], dtype=np.int64) / size[some]
     count = np.diff(first)
     long_ = np.concatenate([[0], np.cumsum(ends - starts)])
     out[:, 5] = (long_[first[1:]] - long_[first[:-1]]) / np.maximum(count, 1) / 10
@@ -97,18 +104,23 @@ def classify(docs: DataFrame, weights: np.ndarray | None, carried: list[str], te
     return docs.select(*carried, F.col(text_col)).mapInArrow(run, f"{kinds}, evidence double")
 
 
-def strength(sites: DataFrame) -> float:
-    """Of a beta prior, from (n, good) of its sites: 1 / intraclass correlation - 1, within STRENGTH."""
-    r = sites.agg(
-        F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum(F.col("n") * F.col("n")).alias("nn"),
-        F.sum(F.col("good") * F.col("good") / F.col("n")).alias("between"),
+def strength(sites: DataFrame, above: list[str]) -> float:
+    """Of the beta prior of sites (n, good) around the rate of the level above them: 1 / intraclass correlation - 1, within STRENGTH.
+
+    ``above`` are the columns of that level, none for the global rate; only the
+    spread of sites within it counts.
+    """
+    square = lambda c: F.sum(F.col(c) * F.col(c))
+    level = sites.groupBy(*above).agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("good").alias("good"), square("n").alias("nn"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("between"))
+    r = level.agg(
+        F.count("*").alias("levels"), F.sum("k").alias("k"), F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("between").alias("between"),
+        F.sum(F.col("good") * F.col("good") / F.col("n")).alias("means"), F.sum(F.col("nn") / F.col("n")).alias("sizes"),
     ).first()
-    if not r.k or r.k < 2 or r.n <= r.k:
+    if not r.n or r.k <= r.levels or r.n <= r.k:
         return STRENGTH[1]
-    mean = r.good / r.n
-    msb = max(0.0, r.between - r.n * mean * mean) / (r.k - 1)
+    msb = max(0.0, r.between - r.means) / (r.k - r.levels)
     msw = max(1e-12, r.good - r.between) / (r.n - r.k)
-    n0 = (r.n - r.nn / r.n) / (r.k - 1)
+    n0 = (r.n - r.sizes) / (r.k - r.levels)
     rho = (msb - msw) / (msb + (n0 - 1) * msw)
     return float(np.clip(1 / rho - 1, *STRENGTH)) if rho > 0 else STRENGTH[1]
 
@@ -130,7 +142,7 @@ def score(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     whole = hosts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     rate = (float(whole.good or 0) + 0.5) / (float(whole.n or 0) + 1.0)
-    of_host, of_path = strength(hosts), strength(paths)
+    of_host, of_path = strength(hosts, []), strength(paths, ["host"])
 
     own_n, own_y = F.when(F.col("y").isNotNull(), 1).otherwise(0), F.coalesce("y", F.lit(0))
     count = lambda c, own: F.coalesce(F.col(c), F.lit(0)) - own
@@ -140,7 +152,10 @@ def score(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
     sited = paths.join(hosts.select("host", F.col("n").alias("host_n"), F.col("good").alias("host_good")), "host").select("host", "path", F.col("n").alias("path_n"), F.col("good").alias("path_good"), "host_n", "host_good")
     # A path without labels still has its host's.
     bare = hosts.select("host", F.col("n").alias("bare_n"), F.col("good").alias("bare_good"))
-    joined = rows.join(sited, ["host", "path"], "left").join(bare, "host", "left").join(known, "id", "left")
+    # A host may hold any share of the rows: they are dealt, and sites go to each part.
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("id", "evidence"), F.lit(SALTS)).cast("int"))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    joined = rows.join(sited.withColumn("salt", parts), ["host", "path", "salt"], "left").join(bare.withColumn("salt", parts), ["host", "salt"], "left").join(known, "id", "left")
     joined = joined.withColumn("host_n", F.coalesce("host_n", "bare_n")).withColumn("host_good", F.coalesce("host_good", "bare_good"))
     odds = F.col("evidence") + logit(F.col("path_rate")) - float(np.log(rate / (1 - rate)))
     return (

@@ -8,7 +8,11 @@ new, and joins ids and decoded strings back to the texts by position. The table
 is emptied at ``TABLE_ENTRIES`` words, which bounds its memory; an emptied word
 is segmented again when it comes back, so results don't depend on the bound.
 
-Nulls and empty texts give no ids and an empty decoded text. Repeated rows and
+A text longer than ``PART_CHARS`` is worked on in parts that end before a marker, so
+that only its ids and decoded text are held whole.
+
+Nulls and empty texts give no ids and an empty decoded text; an empty table gives no
+rows. Repeated rows and
 repeated ids stay as they are, one result a row. Only the id and text columns
 are read, so other columns can't clash.
 """
@@ -27,7 +31,9 @@ from pyspark.sql import functions as F
 from tidewake.llm.common import slices
 
 TABLE_ENTRIES = 400_000
+PART_CHARS = 1 << 18
 _CHUNK = re.compile(" +[^ ]*")
+_BORDER = re.compile("[^ ](?= )")
 _MARKER = "▁"
 
 
@@ -65,16 +71,40 @@ class ChunkTable:
         self.ids.update(zip(new, ids))
         self.text.update((c, " " + t) for c, t in zip(new, self.model.decode(ids, num_threads=1)))
 
-    def chunks(self, text: str | None) -> list[str]:
-        """Marked words of a text in order; none for null or empty."""
-        return _CHUNK.findall(" " + text.replace(_MARKER, " ")) if text else []
-
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[str]]:
+    def parts(self, text: str | None) -> Iterator[list[str]]:
+        """Marked words of a text in order, part by part; nothing for null or empty."""
+        marked = " " + text.replace(_MARKER, " ") if text else ""
+        at = 0
+        while at < len(marked):
+            end = at + PART_CHARS
+            if end < len(marked):
+                # A part ends where a marker follows another character.
+                cut = _BORDER.search(marked, end)
+                end = cut.end() if cut else len(marked)
+            yield _CHUNK.findall(marked, at, end)
+            at = end
+
+    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[str]]:
         """Ids and decoded text of each text."""
-        split = [self.chunks(t) for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        ids, text = self.ids.__getitem__, self.text.__getitem__
-        return [list(chain.from_iterable(map(ids, c))) for c in split], ["".join(map(text, c))[1:] for c in split]
+        ids: list[list[np.ndarray]] = [[] for _ in texts]
+        decoded: list[list[str]] = [[] for _ in texts]
+        waiting, held = [], 0
+        for i, text in enumerate(texts):
+            for chunks in self.parts(text):
+                waiting.append((i, chunks))
+                held += len(chunks)
+                if held >= PART_CHARS // 4:
+                    self._join(waiting, ids, decoded)
+                    waiting, held = [], 0
+        self._join(waiting, ids, decoded)
+        whole = [np.concatenate(x) if len(x) > 1 else x[0] if x else np.zeros(0, np.int32) for x in ids]
+        return whole, ["".join(x)[1:] for x in decoded]
+
+    def _join(self, waiting: list[tuple[int, list[str]]], ids: list[list[np.ndarray]], decoded: list[list[str]]) -> None:
+        self.learn(set(chain.from_iterable(c for _, c in waiting)))
+        for i, chunks in waiting:
+            ids[i].append(np.array(list(chain.from_iterable(map(self.ids.__getitem__, chunks))), np.int32))
+            decoded[i].append("".join(map(self.text.__getitem__, chunks)))
 
 
 def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +120,7 @@ def encode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str
                 lengths = np.fromiter(map(len, ids), np.int64, len(ids))
                 offsets = np.zeros(len(ids) + 1, np.int32)
                 np.cumsum(lengths, out=offsets[1:])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
+                flat = np.concatenate(ids)
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(first, end - first), pa.ListArray.from_arrays(offsets, flat), pa.array(decoded, pa.string())],
                     names=[id_col, "ids", "decoded"],
