@@ -1,5 +1,6 @@
 """Hand cases and invariants of the operators that SQL can't check alone."""
 
+import itertools
 import math
 
 import numpy as np
@@ -105,6 +106,31 @@ def test_gate_order(spark):
     assert [r.decision for r in got] == [w for *_, w in rows]
 
 
+def all_paths(model, x):
+    """Log-likelihood, smoothed probabilities and likeliest path by trying every path of states."""
+    k, n = len(model.start), len(x)
+    normal = lambda v, j: math.prod(math.exp(-((a - m) ** 2) / (2 * s)) / math.sqrt(2 * math.pi * s) for a, m, s in zip(v, model.means[j], model.variances[j]))
+    total, smoothed, best = 0.0, np.zeros((n, k)), (0.0, None)
+    for path in itertools.product(range(k), repeat=n):
+        p = model.start[path[0]] * math.prod(model.move[i, j] for i, j in zip(path, path[1:])) * math.prod(normal(v, j) for v, j in zip(x, path))
+        total += p
+        smoothed[range(n), path] += p
+        best = max(best, (p, path), key=lambda b: b[0])
+    return math.log(total), smoothed / total, best[1]
+
+
+def test_recursions_against_all_paths():
+    rng = np.random.default_rng(9)
+    model = regime.Regimes(np.array([0.5, 0.2, 0.3]), rng.dirichlet(np.ones(3), 3), rng.standard_normal((3, 2)), rng.uniform(0.5, 2, (3, 2)))
+    x = rng.standard_normal((6, 2)) * 2
+    evidence, top = model.evidence(x)
+    alpha, scales = regime.beliefs(model, evidence)
+    total, smoothed, path = all_paths(model, x)
+    assert math.isclose((np.log(scales) + top).sum(), total) and np.allclose(alpha * regime.hindsight(model, evidence, scales), smoothed)
+    assert tuple(regime.likeliest(model, evidence)) == path
+    assert np.allclose(alpha[2], all_paths(model, x[:3])[1][2])
+
+
 def test_hmm_recovers_states():
     rng = np.random.default_rng(7)
     move = np.array([[0.95, 0.04, 0.01], [0.03, 0.94, 0.03], [0.01, 0.04, 0.95]])
@@ -113,27 +139,45 @@ def test_hmm_recovers_states():
         states.append(state)
         state = rng.choice(3, p=move[state])
     x = (means[states] + rng.standard_normal(3000) * 0.5)[:, None]
-    p, total = regime.fit(x, 3, seed=7)
-    assert np.allclose(p["means"][:, 0], means, atol=0.1) and np.allclose(p["move"], move, atol=0.05) and math.isfinite(total)
-    log_b = regime.emissions(x, p["means"], p["variances"])
-    assert (regime.viterbi(log_b, p["start"], p["move"]) == np.array(states)).mean() > 0.97
-    a, b = regime.forward(log_b, p["start"], p["move"]), regime.backward(log_b, p["move"])
-    assert np.allclose(regime._lse(a + b, 1), total)
+    model, total = regime.fit(x, 3)
+    assert np.allclose(model.means[:, 0], means, atol=0.1) and np.allclose(model.move, move, atol=0.05) and math.isfinite(total)
+    assert (regime.likeliest(model, model.evidence(x)[0]) == np.array(states)).mean() > 0.97
+    assert regime.fit(x, 3, 1)[1] < regime.fit(x, 3, 3)[1] <= total + 1
 
 
-def test_filter_is_causal_and_equals_forward(spark):
+def test_filter_is_causal_and_equals_beliefs(spark):
     rng = np.random.default_rng(3)
     x = np.concatenate([rng.standard_normal(150) - 2, rng.standard_normal(150) + 2])
     df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(x)], "k string, t long, x double")
     p = regime.fit_groups(df, ["k"], "t", ["x"], k=2)
     got = [r.probs for r in regime.filtered(df, p, ["k"], ["t"], ["x"]).orderBy("t").collect()]
-    q, _ = regime.fit(x[:, None], 2, 60)
-    a = regime.forward(regime.emissions(x[:, None], q["means"], q["variances"]), q["start"], q["move"])
-    assert np.allclose(got, np.exp(a - regime._lse(a, 1)[:, None]), atol=1e-9)
+    model, _ = regime.fit(x[:, None], 2, 60)
+    assert np.allclose(got, regime.beliefs(model, model.evidence(x[:, None])[0])[0], atol=1e-9)
     cut = [r.probs for r in regime.filtered(df.where("t < 200"), p, ["k"], ["t"], ["x"]).orderBy("t").collect()]
     assert np.allclose(cut, got[:200])
 
 
+def test_run_lengths_against_one_row_at_a_time():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal(12), rng.standard_normal(12) + 6])
+    model = regime.RunLength(20, 100, (0.5, 2.0, 1.5, 0.7))
+    runs = [(1.0, [])]  # (probability, rows of the run)
+    for v in x:
+        weighed = []
+        for p, rows in runs:
+            m, k, a, b = 0.5, 2.0, 1.5, 0.7
+            for r in rows:
+                b, m, k, a = b + k * (r - m) ** 2 / (2 * (k + 1)), (k * m + r) / (k + 1), k + 1, a + 0.5
+            s = b * (k + 1) / (a * k)
+            density = math.exp(math.lgamma(a + 0.5) - math.lgamma(a)) / math.sqrt(2 * a * math.pi * s) * (1 + (v - m) ** 2 / (2 * a * s)) ** (-a - 0.5)
+            weighed.append((p * density, rows))
+        total = sum(p for p, _ in weighed)
+        runs = [(1 / 20, [])] + [(p / total * 19 / 20, [*rows, v]) for p, rows in weighed]
+        fresh, length = model.step(v)
+        assert math.isclose(fresh, runs[0][0], rel_tol=1e-9) and length == max(range(len(runs)), key=lambda i: runs[i][0])
+        assert np.allclose(model.chance, [p for p, _ in runs])
+
+
 def test_changepoints_are_found():
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.standard_normal(300) + m for m in (0, 5, -3)])

@@ -3,11 +3,17 @@
 A model is fitted a task: the bars of one fit (some thousands) are a group. What
 runs over long series (filtering, changepoints) is an ordered fold with a small
 state, so it needs no group in memory and can stream.
+
+A row's evidence is a vector over states, scaled so that its largest entry is 1;
+a belief is a probability vector that moves on by the transition matrix, is
+multiplied by the evidence and normalised. Fitted probabilities are smoothed by
+``PRIOR`` counts, so none is zero.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -15,112 +21,119 @@ from pyspark.sql import DataFrame
 
 from tidewake.operators.fold import ordered_fold
 
+#: Least variance of a state, and counts that smooth its moves.
 FLOOR = 1e-8
-_TINY = 1e-300
-
-
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
-
-
-def emissions(x: np.ndarray, means: np.ndarray, variances: np.ndarray) -> np.ndarray:
-    """Log density of each row under each state's diagonal normal."""
-    d = x[:, None, :] - means[None]
-    return -0.5 * (np.log(2 * math.pi * variances)[None] + d * d / variances[None]).sum(-1)
-
-
-def start_params(x: np.ndarray, k: int, seed: int) -> dict:
-    """k-means++ seeds, at most ten rounds of means, then each cluster's variance; even start and moves."""
-    rng = np.random.default_rng(seed)
-    centres = [x[rng.integers(len(x))]]
-    while len(centres) < k:
-        d = np.min([((x - c) ** 2).sum(1) for c in centres], 0)
-        centres.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
-    means = np.array(centres)
-    for _ in range(10):
-        near = ((x[:, None] - means[None]) ** 2).sum(-1).argmin(1)
-        moved = np.array([x[near == j].mean(0) if (near == j).any() else means[j] for j in range(k)])
-        if np.allclose(moved, means):
-            break
-        means = moved
-    spread = np.array([np.maximum(x[near == j].var(0), FLOOR) if (near == j).sum() > 1 else np.maximum(x.var(0), FLOOR) for j in range(k)])
-    return {"start": np.full(k, 1 / k), "move": np.full((k, k), 1 / k), "means": means, "variances": spread}
-
-
-def forward(log_b: np.ndarray, start: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Log forward variables."""
-    out, log_move = np.empty_like(log_b), np.log(move + _TINY)
-    out[0] = np.log(start + _TINY) + log_b[0]
-    for t in range(1, len(log_b)):
-        out[t] = log_b[t] + _lse(out[t - 1][:, None] + log_move, 0)
+PRIOR = 1e-3
+
+
+@dataclass
+class Regimes:
+    """States by their start and transition probabilities, and a diagonal normal each."""
+
+    start: np.ndarray
+    move: np.ndarray
+    means: np.ndarray
+    variances: np.ndarray
+
+    @classmethod
+    def of_row(cls, row) -> Regimes:
+        """From a row's flat lists."""
+        k = len(row["start"])
+        return cls(*(np.asarray(row[c], float).reshape(shape) for c, shape in (("start", k), ("move", (k, k)), ("means", (k, -1)), ("variances", (k, -1)))))
+
+    def flat(self) -> dict[str, list[list[float]]]:
+        return {c: [getattr(self, c).ravel().tolist()] for c in ("start", "move", "means", "variances")}
+
+    def evidence(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Densities of each row under each state over the row's largest, and the logarithms of these."""
+        z = (x[:, None, :] - self.means) ** 2 / self.variances + np.log(2 * math.pi * self.variances)
+        log = -z.sum(2) / 2
+        top = log.max(1)
+        return np.exp(log - top[:, None]), top
+
+    def advance(self, belief: np.ndarray | None, evidence: np.ndarray) -> tuple[np.ndarray, float]:
+        """The belief after one more row of evidence, and the row's share of the likelihood."""
+        ahead = (self.start if belief is None else belief @ self.move) * evidence
+        scale = float(ahead.sum())
+        return ahead / scale, scale
+
+
+def beliefs(model: Regimes, evidence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The belief at each row given the rows up to it, and each row's scale."""
+    out, scales, belief = np.empty_like(evidence), np.empty(len(evidence)), None
+    for t, e in enumerate(evidence):
+        belief, scales[t] = model.advance(belief, e)
+        out[t] = belief
+    return out, scales
+
+
+def hindsight(model: Regimes, evidence: np.ndarray, scales: np.ndarray) -> np.ndarray:
+    """What the rows behind each one say about its state, on the scale of the beliefs: belief times this is the smoothed state."""
+    out = np.ones_like(evidence)
+    for t in range(len(evidence) - 1, 0, -1):
+        out[t - 1] = model.move @ (evidence[t] * out[t]) / scales[t]
     return out
 
 
-def backward(log_b: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Log backward variables."""
-    out, log_move = np.zeros_like(log_b), np.log(move + _TINY)
-    for t in range(len(log_b) - 2, -1, -1):
-        out[t] = _lse(log_move + (log_b[t + 1] + out[t + 1])[None], 1)
-    return out
+def by_quantiles(x: np.ndarray, k: int) -> Regimes:
+    """A start for fitting: rows in order of their first feature, cut into k parts, a state for each."""
+    parts = np.array_split(x[np.argsort(x[:, 0], kind="stable")], k)
+    sticky = np.full((k, k), 0.1 / max(1, k - 1)) + np.eye(k) * (0.9 - 0.1 / max(1, k - 1))
+    return Regimes(np.full(k, 1 / k), sticky / sticky.sum(1, keepdims=True), np.array([p.mean(0) for p in parts]), np.array([np.maximum(p.var(0), FLOOR) for p in parts]))
 
 
-def fit(x: np.ndarray, k: int = 3, rounds: int = 100, tol: float = 1e-4, seed: int = 42) -> tuple[dict, float]:
-    """Parameters and log-likelihood by expectation-maximisation, states in order of their first mean."""
-    p = start_params(x, k, seed)
-    last = -np.inf
-    for i in range(rounds):
-        log_b = emissions(x, p["means"], p["variances"])
-        a, b = forward(log_b, p["start"], p["move"]), backward(log_b, p["move"])
-        total = _lse(a[-1], 0)
-        gamma = np.exp(a + b - _lse(a + b, 1)[:, None])
-        xi = np.zeros((k, k))
-        if len(x) > 1:
-            joint = a[:-1, :, None] + np.log(p["move"] + _TINY)[None] + (log_b[1:] + b[1:])[:, None, :] - total
-            xi = np.exp(joint).sum(0)
-        rows = xi.sum(1, keepdims=True)
-        weight = np.maximum(gamma.sum(0)[:, None], _TINY)
-        means = gamma.T @ x / weight
-        p = {
-            "start": gamma[0],
-            "move": np.where(rows > 0, xi / np.maximum(rows, _TINY), 1 / k),
-            "means": means,
-            "variances": np.maximum(gamma.T @ (x * x) / weight - means**2, FLOOR),
-        }
-        if i > 0 and total / len(x) - last < tol:
+def fit(x: np.ndarray, k: int = 3, rounds: int = 100, tol: float = 1e-4) -> tuple[Regimes, float]:
+    """A model by expectation-maximisation and its log-likelihood, states in order of their first mean.
+
+    It ends when a round gains less than ``tol`` a row.
+    """
+    model, reached = by_quantiles(x, k), -np.inf
+    for _ in range(rounds):
+        evidence, top = model.evidence(x)
+        alpha, scales = beliefs(model, evidence)
+        beta = hindsight(model, evidence, scales)
+        now = float((np.log(scales) + top).mean())
+        if now - reached < tol:
             break
-        last = total / len(x)
-    order = np.argsort(p["means"][:, 0], kind="stable")
-    p = {"start": p["start"][order], "move": p["move"][order][:, order], "means": p["means"][order], "variances": p["variances"][order]}
-    return p, float(_lse(forward(emissions(x, p["means"], p["variances"]), p["start"], p["move"])[-1], 0))
-
-
-def viterbi(log_b: np.ndarray, start: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """The likeliest states; ties go to the lowest."""
-    log_move, score = np.log(move + _TINY), np.log(start + _TINY) + log_b[0]
-    back = np.zeros(log_b.shape, int)
-    for t in range(1, len(log_b)):
-        reach = score[:, None] + log_move
-        back[t], score = reach.argmax(0), reach.max(0) + log_b[t]
-    path = np.empty(len(log_b), int)
-    path[-1] = score.argmax()
-    for t in range(len(log_b) - 2, -1, -1):
-        path[t] = back[t + 1][path[t + 1]]
-    return path
-
-
-def fit_groups(df: DataFrame, keys: list[str], order: str, features: list[str], k: int = 3, rounds: int = 60, tol: float = 1e-4, seed: int = 42) -> DataFrame:
+        reached = now
+        smoothed = alpha * beta
+        # Expected moves of all pairs of neighbouring rows in one product.
+        moves = model.move * (alpha[:-1].T @ (evidence[1:] * beta[1:] / scales[1:, None])) + PRIOR
+        mass = smoothed.sum(0)[:, None] + PRIOR
+        means = (smoothed.T @ x + PRIOR * model.means) / mass
+        spread = np.stack([smoothed[:, j] @ (x - means[j]) ** 2 for j in range(k)])
+        first = smoothed[0] + PRIOR
+        model = Regimes(first / first.sum(), moves / moves.sum(1, keepdims=True), means, np.maximum(spread / mass, FLOOR))
+    order = np.argsort(model.means[:, 0], kind="stable")
+    model = Regimes(model.start[order], model.move[np.ix_(order, order)], model.means[order], model.variances[order])
+    evidence, top = model.evidence(x)
+    return model, float((np.log(beliefs(model, evidence)[1]) + top).sum())
+
+
+def likeliest(model: Regimes, evidence: np.ndarray) -> np.ndarray:
+    """The likeliest states of all rows together; ties go to the lowest."""
+    best, came = model.start * evidence[0], []
+    for e in evidence[1:]:
+        through = best[:, None] * model.move
+        came.append(through.argmax(0))
+        best = through.max(0) * e
+        best = best / best.max()
+    path = [int(best.argmax())]
+    for back in reversed(came):
+        path.append(int(back[path[-1]]))
+    return np.array(path[::-1])
+
+
+def fit_groups(df: DataFrame, keys: list[str], order: str, features: list[str], k: int = 3, rounds: int = 60, tol: float = 1e-4) -> DataFrame:
     """One row of parameters a group: (keys, n, loglik, start, move, means, variances), lists flattened by rows."""
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        x = frame[features].to_numpy(float)
+        x = frame.sort_values(order)[features].to_numpy(float)
         if len(x) < 2 * k:
             return pd.DataFrame(columns=[*keys, "n", "loglik", "start", "move", "means", "variances"])
-        p, total = fit(x, k, rounds, tol, seed)
-        flat = {c: [p[c].ravel().tolist()] for c in ("start", "move", "means", "variances")}
-        return pd.DataFrame({**{c: [frame[c].iloc[0]] for c in keys}, "n": [len(x)], "loglik": [total], **flat})
+        model, total = fit(x, k, rounds, tol)
+        return pd.DataFrame({**{c: [frame[c].iloc[0]] for c in keys}, "n": [len(x)], "loglik": [total], **model.flat()})
 
     wanted = df.select(*keys, order, *features).dropna(subset=features)
     return wanted.groupBy(*keys).applyInPandas(run, f"{kinds}, n long, loglik double, start array<double>, move array<double>, means array<double>, variances array<double>")
@@ -132,20 +145,13 @@ def filtered(df: DataFrame, params: DataFrame, keys: list[str], order: list[str]
     rows = df.dropna(subset=features).join(params.drop("n", "loglik"), keys)
 
     def step(state, row):
-        k = len(row.start)
-        means, variances = (np.asarray(x, float).reshape(k, -1) for x in (row.means, row.variances))
-        x = np.array([[getattr(row, f) for f in features]], float)
-        log_b = emissions(x, means, variances)[0]
-        if state["a"] is None:
-            a = np.log(np.asarray(row.start) + _TINY) + log_b
-        else:
-            a = log_b + _lse(state["a"][:, None] + np.log(np.asarray(row.move, float).reshape(k, k) + _TINY), 0)
-        a = a - _lse(a, 0)
-        state["a"] = a
-        p = np.exp(a)
-        return [(getattr(row, order[0]), p.tolist(), int(p.argmax()))]
-
-    return ordered_fold(rows, keys, order, lambda: {"a": None}, step, f"`{order[0]}` {kind}, probs array<double>, regime int")
+        if "model" not in state:
+            state["model"], state["belief"] = Regimes.of_row(row._asdict()), None
+        evidence, _ = state["model"].evidence(np.array([[getattr(row, f) for f in features]], float))
+        state["belief"], _ = state["model"].advance(state["belief"], evidence[0])
+        return [(getattr(row, order[0]), state["belief"].tolist(), int(state["belief"].argmax()))]
+
+    return ordered_fold(rows, keys, order, dict, step, f"`{order[0]}` {kind}, probs array<double>, regime int")
 
 
 def decoded(df: DataFrame, params: DataFrame, keys: list[str], order: str, features: list[str]) -> DataFrame:
@@ -158,45 +164,52 @@ def decoded(df: DataFrame, params: DataFrame, keys: list[str], order: str, featu
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(order)
-        first = frame.iloc[0]
-        k = len(first["start"])
-        start, move = np.asarray(first["start"], float), np.asarray(first["move"], float).reshape(k, k)
-        log_b = emissions(frame[features].to_numpy(float), np.asarray(first["means"], float).reshape(k, -1), np.asarray(first["variances"], float).reshape(k, -1))
-        both = forward(log_b, start, move) + backward(log_b, move)
-        out = frame[[*keys, order]].copy()
-        out["smoothed"] = list(np.exp(both - _lse(both, 1)[:, None]).tolist())
-        out["path"] = viterbi(log_b, start, move).astype(np.int32)
-        return out
+        model = Regimes.of_row(frame.iloc[0])
+        evidence, _ = model.evidence(frame[features].to_numpy(float))
+        alpha, scales = beliefs(model, evidence)
+        smoothed = alpha * hindsight(model, evidence, scales)
+        return frame[[*keys, order]].assign(smoothed=smoothed.tolist(), path=likeliest(model, evidence).astype(np.int32))
 
     return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, smoothed array<double>, path int")
 
 
 class RunLength:
-    """Run-length posterior with a normal-inverse-gamma prior, cut to ``most`` lengths."""
+    """Posterior of how long the present run has lasted, over at most ``most`` lengths, under a normal-inverse-gamma prior (mean, weight, shape, rate).
+
+    A run's rows enter by their number, sum and sum of squares alone, from which
+    the posterior follows in closed form.
+    """
 
     def __init__(self, hazard: float = 250.0, most: int = 500, prior: tuple[float, float, float, float] = (0.0, 1.0, 1.0, 1.0)):
         if hazard <= 1 or most < 2 or min(prior[1:]) <= 0:
             raise ValueError("hazard must be over 1, lengths 2 or more, and the prior positive")
-        self.hazard, self.most, self.prior = 1 / hazard, most, prior
-        self.log_p = np.zeros(1)
-        self.mu, self.kappa, self.alpha, self.beta = (np.array([v]) for v in prior)
+        self.change, self.most, self.prior = 1 / hazard, most, prior
+        self.chance, self.total, self.squares = np.ones(1), np.zeros(1), np.zeros(1)
+        shapes = prior[2] + np.arange(most) / 2
+        self.gammas = np.array([math.lgamma(a + 0.5) - math.lgamma(a) for a in shapes])
+
+    def densities(self, x: float) -> np.ndarray:
+        """Student's density of x after each run, over the largest."""
+        mean, weight, shape, rate = self.prior
+        n = np.arange(len(self.chance))
+        weights = weight + n
+        means = (weight * mean + self.total) / weights
+        rates = rate + np.maximum(self.squares + weight * mean * mean - weights * means * means, 0) / 2
+        freedom = 2 * shape + n
+        spread = 2 * rates * (1 + 1 / weights)  # scale squared times degrees of freedom
+        log = self.gammas[: len(n)] - np.log(spread) / 2 - (freedom + 1) / 2 * np.log1p((x - means) ** 2 / spread)
+        return np.exp(log - log.max())
 
     def step(self, x: float) -> tuple[float, int]:
         """Probability that a run begins here, and the likeliest length (the lowest on ties)."""
-        scale = self.beta * (self.kappa + 1) / (self.alpha * self.kappa)
-        nu = 2 * self.alpha
-        gammas = np.array([math.lgamma((v + 1) / 2) - math.lgamma(v / 2) for v in nu])
-        pred = gammas - 0.5 * np.log(nu * math.pi * scale) - (nu + 1) / 2 * np.log1p((x - self.mu) ** 2 / (nu * scale))
-        grown = self.log_p + pred + math.log1p(-self.hazard)
-        fresh = _lse(self.log_p + pred + math.log(self.hazard), 0)
-        new = np.concatenate([[fresh], grown])[: self.most]
-        mu0, kappa0, alpha0, beta0 = self.prior
-        beta = self.beta + self.kappa * (x - self.mu) ** 2 / (2 * (self.kappa + 1))
-        mu = (self.kappa * self.mu + x) / (self.kappa + 1)
-        self.mu, self.kappa = np.concatenate([[mu0], mu])[: self.most], np.concatenate([[kappa0], self.kappa + 1])[: self.most]
-        self.alpha, self.beta = np.concatenate([[alpha0], self.alpha + 0.5])[: self.most], np.concatenate([[beta0], beta])[: self.most]
-        self.log_p = new - _lse(new, 0)
-        return float(np.exp(self.log_p[0])), int(self.log_p.argmax())
+        joint = self.chance * self.densities(x)
+        joint /= joint.sum()
+        keep = slice(0, self.most)
+        chance = np.append(self.change, joint * (1 - self.change))[keep]
+        self.chance = chance / chance.sum()
+        self.total = np.append(0.0, self.total + x)[keep]
+        self.squares = np.append(0.0, self.squares + x * x)[keep]
+        return float(self.chance[0]), int(self.chance.argmax())
 
 
 def run_lengths(df: DataFrame, x: str, keys: list[str], order: list[str], hazard: float = 250.0, most: int = 500, prior=(0.0, 1.0, 1.0, 1.0)) -> DataFrame:

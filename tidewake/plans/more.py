@@ -295,7 +295,7 @@ S19 = with_tables("exec_reports", "SELECT '# TYPE tidewake_' || n || ' counter'
 def h12_decoded(spark, sf_dir):
     """Smoothed probabilities and likeliest states of every day under its segment's model."""
     c = _closes(spark, sf_dir)
-    p = regime.fit_groups(c, ["segment"], "t", ["ret", "vol"], rounds=15)
+    p = regime.fit_groups(c, ["segment"], "t", ["ret", "vol"], rounds=100)
     return regime.decoded(c, p, ["segment"], "t", ["ret", "vol"]).select("segment", "t", F.transform("smoothed", lambda x: F.round(x, 6)).alias("smoothed"), "path")
 
 
@@ -328,7 +328,7 @@ SELECT segment, count(*) AS n, round(sum(r), 8) AS log_return, count(*) FILTER (
 def v21_daily_signal(spark, sf_dir):
     """The last day's signal of each segment under its frozen model."""
     c = _closes(spark, sf_dir)
-    p = regime.fit_groups(c, ["segment"], "t", ["ret", "vol"], rounds=15)
+    p = regime.fit_groups(c, ["segment"], "t", ["ret", "vol"], rounds=100)
     s = regime.filtered(c, p, ["segment"], ["t"], ["ret", "vol"])
     w = features.ordered(["segment"], ["t"])
     s = s.withColumn("target", F.when(F.col("regime") == 2, "LONG").otherwise("FLAT")).withColumn("was", F.coalesce(F.lag("target").over(w), F.lit("FLAT")))

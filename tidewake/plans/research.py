@@ -161,14 +161,14 @@ def _closes(spark, sf_dir):
 
 def h08_hmm_fit(spark, sf_dir):
     """One fitted three-state model a segment: log-likelihood and means, in order."""
-    p = regime.fit_groups(_closes(spark, sf_dir), ["segment"], "t", ["ret", "vol"], rounds=15)
+    p = regime.fit_groups(_closes(spark, sf_dir), ["segment"], "t", ["ret", "vol"], rounds=100)
     return p.select("segment", "n", F.round("loglik", 3).alias("loglik"), F.round(F.col("means")[0], 4).alias("mean_low"), F.round(F.col("means")[4], 4).alias("mean_high"))
 
 
 def h11_hmm_filter(spark, sf_dir):
     """Causal regime of every day under its segment's model."""
     c = _closes(spark, sf_dir)
-    p = regime.fit_groups(c, ["segment"], "t", ["ret", "vol"], rounds=15)
+    p = regime.fit_groups(c, ["segment"], "t", ["ret", "vol"], rounds=100)
     return regime.filtered(c, p, ["segment"], ["t"], ["ret", "vol"]).select("segment", "t", F.transform("probs", lambda x: F.round(x, 6)).alias("probs"), "regime")
 
 
@@ -178,7 +178,7 @@ def c01_run_lengths(spark, sf_dir):
     w = features.ordered(["segment"], ["t"])
     before = F.lag("vol").over(w)
     z = c.withColumn("z", F.when(before > 0, F.col("ret") / before))
-    return regime.run_lengths(z, "z", ["segment"], ["t"], 100.0, 200).select("segment", "t", F.round("p_change", 9).alias("p_change"), "run_length")
+    return regime.run_lengths(z, "z", ["segment"], ["t"], 100.0, 500).select("segment", "t", F.round("p_change", 9).alias("p_change"), "run_length")
 
 
 def c04_changepoints(spark, sf_dir):
@@ -215,8 +215,8 @@ T07 = with_tables("candle_rows", _CLOSES + "SELECT segment, round(sum(h), 8) AS
 
 def _regimes(spark, sf_dir):
     c = _closes(spark, sf_dir)
-    p = regime.fit_groups(c, ["segment"], "t", ["ret", "vol"], rounds=15)
-    return c.join(regime.filtered(c, p, ["segment"], ["t"], ["ret", "vol"]), ["segment", "t"])
+    p = regime.fit_groups(c, ["segment"], "t", ["ret", "vol"], rounds=100)
+    return c.join(regime.filtered(c, p, ["segment"], ["t"], ["ret", "vol"]), ["segment", "t"]).join(p.select("segment", "means"), "segment")
 
 
 def _strategy(rows, weight):
@@ -245,7 +245,8 @@ def t04_vol_target(spark, sf_dir):
 
 
 def t05_kelly(spark, sf_dir):
-    edge = F.col("probs")[2] * 0.001 - F.col("probs")[0] * 0.001
+    # The expected return: each regime's chance times its mean return, the first of its two features.
+    edge = sum((F.col("probs")[i] * F.col("means")[2 * i] for i in range(3)), F.lit(0.0))
     return _strategy(_regimes(spark, sf_dir), F.least(F.greatest(0.25 * edge / (F.col("vol") * F.col("vol")), F.lit(0.0)), F.lit(3.0)))
 
 
