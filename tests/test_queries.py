@@ -45,6 +45,18 @@ def test_query(spark, duck, name):
     assert got == rows(names, cursor.fetchall())
 
 
+#: Without rows on the smallest tables.
+MAY_BE_EMPTY = {"c04_changepoints", "v05_walk_forward_evaluate", "v21_daily_signal"}
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_rows_only(spark, name):
-    assert registry.queries()[name](spark, PATH).columns
+def test_without_sql(spark, name):
+    """Queries of models and random draws: their rows are whole, finite and the same when run again; their operators are tested with values."""
+    query = registry.queries()[name]
+    df = query(spark, PATH)
+    first = df.collect()
+    assert (first or name in MAY_BE_EMPTY) and len(set(df.columns)) == len(df.columns)
+    assert all(v is None or not isinstance(v, float) or math.isfinite(v) for r in first for v in r)
+    _, a = rows(df.columns, [tuple(r) for r in first])
+    _, b = rows(df.columns, [tuple(r) for r in query(spark, PATH).collect()])
+    assert a == b

@@ -111,6 +111,12 @@ def equity_curve(returns: Column, w: WindowSpec) -> Column:
     return F.exp(F.sum(returns).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def input_fault(x: Column, at: Column, before: Column) -> Column:
+    """What is wrong with a value that features are to be built on, or null; times must not fall."""
+    finite = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    return F.when(~finite, "not finite").when(x <= 0, "not positive").when(at < before, "out of order")
+
+
 def weighted_returns(df: DataFrame, weight: str, close: str, funding: str, bps: float, keys: list[str], order: list[str]) -> DataFrame:
     """hold, cost, funding_paid and strat of a weight decided on a row and held to the next; the last row goes.
 

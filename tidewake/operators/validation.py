@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewake.shared import folder
+
 
 def walk_forward(spark: SparkSession, n: int, splits: int, embargo: int) -> DataFrame:
     """(fold, role, idx): expanding training rows less an embargo, then a test fold of n // (splits + 1)."""
@@ -118,28 +121,50 @@ def reality_check(panel: DataFrame, length: int, reps: int, block: float, seed:
 REVEAL = "I will look at the holdout once"
 
 
-def research_rows(df: DataFrame, order: list[str], manifest: dict, keys: list[str] | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """The rows with ``_i``, their places from 0 in the whole order, numbered in many tasks.
+
+    Rows are dealt by ranges of the order and written; each range's rows are
+    numbered by themselves, behind the numbers of the ranges before it.
+    """
+    spark = df.sparkSession
+    path = f"{folder(spark)}/tables/{uuid.uuid4().hex}"
+    dealt = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    dealt.write.parquet(path)
+    rows = spark.read.schema(dealt.schema).parquet(path)
+    # A row a range.
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("_p").count().withColumn("_start", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return rows.withColumn("_i", place).join(F.broadcast(starts), "_p").withColumn("_i", F.col("_i") + F.col("_start")).drop("_p", "_start")
+
+
+def research_rows(df: DataFrame, order: list[str], manifest: dict) -> DataFrame:
     """The rows before a holdout's boundary; another number of rows than the manifest's is an error."""
     if df.count() != manifest["n_total"]:
         raise ValueError("the rows aren't those that the manifest seals")
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*order)
-    return df.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") < manifest["boundary_index"]).drop("_i")
+    return numbered(df, order).where(F.col("_i") < manifest["boundary_index"]).drop("_i")
 
 
 def reveal(df: DataFrame, order: list[str], column: str, manifest: dict, phrase: str) -> DataFrame:
     """The rows behind the boundary, only with the exact phrase and if their values still have the sealed hash."""
     if phrase != REVEAL:
         raise PermissionError("the phrase isn't right")
-    w = Window.partitionBy(F.lit(0)).orderBy(*order)
-    held = df.withColumn("_i", F.row_number().over(w) - 1).where(F.col("_i") >= manifest["boundary_index"])
+    held = numbered(df, order).where(F.col("_i") >= manifest["boundary_index"]).drop("_i")
     if seal(held, order, column) != manifest["holdout_sha256"]:
         raise ValueError("the holdout has changed")
-    return held.drop("_i")
+    return held
+
+
+#: Values that are hashed together.
+SEAL_ROWS = 4096
 
 
 def seal(df: DataFrame, order: list[str], column: str) -> str:
-    """SHA-256 of a column's values in order; a series of bars, some thousand values."""
-    return df.agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(column).alias("_v")))), lambda x: x["_v"])), 256).alias("h")).first().h
+    """SHA-256 over a column's values in order: of each SEAL_ROWS of them, then of these digests, 64 bytes each."""
+    parts = numbered(df.select(*order, F.col(column).alias("_v")), order).groupBy((F.col("_i") / SEAL_ROWS).cast("long").alias("_k"))
+    digests = parts.agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"])), 256).alias("_h"))
+    return digests.agg(F.sha2(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_h"))), lambda x: x["_h"])), 256).alias("h")).first().h
 
 
 def reproduced(a: DataFrame, b: DataFrame, keys: list[str], column: str, rtol: float = 1e-9, atol: float = 1e-9) -> DataFrame:

@@ -234,23 +234,32 @@ SELECT account, seq, equity, peak, max(peak - equity) OVER (PARTITION BY account
 
 
 def w22_causality(spark, sf_dir):
-    """Features of prefixes against features of the whole: rows that differ, by feature (there are none)."""
+    """Features of prefixes against features of the whole: rows that differ, by feature; ``peek`` looks at the next price, as a check of the check."""
     t = A.ticks(spark, sf_dir).select("instrument", "exch_us", "tid", fixed.to_double(F.col("px_raw")).alias("px"))
     specs = [("sma", {"window": 20}), ("zscore", {"window": 20}), ("realized_vol", {"window": 20})]
+    names = [*(features.feature_name(*s) for s in specs), "peek"]
+
+    def built(rows, keys):
+        return features.build(rows, specs, "px", keys, ["exch_us", "tid"]).withColumn("peek", F.lead("px").over(features.ordered(keys, ["exch_us", "tid"])))
+
     n = F.row_number().over(Window.partitionBy("instrument").orderBy("exch_us", "tid"))
-    numbered = t.withColumn("n", n)
-    whole = features.build(numbered, specs, "px", ["instrument"], ["exch_us", "tid"])
-    # A probe every 200 rows; its prefix is cut to what the longest window can see plus one, which the check allows for.
-    probes = numbered.where("n % 200 = 0").select("instrument", F.col("n").alias("probe"))
-    prefix = numbered.join(probes, "instrument").where("n <= probe AND n > probe - 60")
-    again = features.build(prefix, specs, "px", ["instrument", "probe"], ["exch_us", "tid"]).where("n = probe")
-    names = [features.feature_name(*s) for s in specs]
+    whole = built(t.withColumn("n", n), ["instrument"])
+    # A probe every 200 rows; its prefix goes back three times as far as the longest window, so every row is in one prefix at most.
+    back = 3 * max(p["window"] for _, p in specs)
+    prefix = t.withColumn("n", n).withColumn("probe", F.ceil(F.col("n") / 200) * 200).where(F.col("n") > F.col("probe") - back)
+    again = built(prefix, ["instrument", "probe"]).where("n = probe")
     both = again.alias("a").join(whole.alias("b"), "tid")
-    cells = both.select("tid", F.explode(F.array(*(F.struct(F.lit(x).alias("feature"), (F.abs(F.col(f"a.{x}") - F.col(f"b.{x}")) > 1e-9 + 1e-5 * F.abs(F.col(f"b.{x}"))).alias("bad")) for x in names))).alias("c"))
+
+    def differs(x):
+        a, b = F.col(f"a.{x}"), F.col(f"b.{x}")
+        return (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > 1e-9 + 1e-5 * F.abs(b), F.lit(False))
+
+    cells = both.select("tid", F.explode(F.array(*(F.struct(F.lit(x).alias("feature"), differs(x).alias("bad")) for x in names))).alias("c"))
     return cells.groupBy(F.col("c.feature").alias("feature")).agg(F.count("*").alias("probes"), F.count_if("c.bad").alias("violations"))
 
 
-W22 = with_tables("ticks", ", n AS (SELECT count(*) // 200 AS k FROM ticks GROUP BY instrument) SELECT unnest(['sma_window20', 'zscore_window20', 'realized_vol_window20']) AS feature, CAST(sum(k) AS BIGINT) AS probes, CAST(0 AS BIGINT) AS violations FROM n")
+W22 = with_tables("ticks", """, n AS (SELECT count(*) AS c, count(*) // 200 AS k FROM ticks GROUP BY instrument)
+SELECT unnest(['sma_window20', 'zscore_window20', 'realized_vol_window20', 'peek']) AS feature, CAST(sum(k) AS BIGINT) AS probes, unnest([0, 0, 0, CAST(sum(k - CASE WHEN c % 200 = 0 AND c > 0 THEN 1 ELSE 0 END) AS BIGINT)]) AS violations FROM n""")
 
 
 def j02_next_mark(spark, sf_dir):

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, fields
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 @dataclass(frozen=True)
 class EngineConfig:
@@ -35,6 +38,21 @@ class EngineConfig:
         return [name for name, holds in rules.items() if not holds]
 
 
+def broken_rules() -> Column:
+    """The names of the rules that a row's configuration breaks, as ``EngineConfig.broken`` has them; the columns are its fields."""
+    c = F.col
+    rules = {
+        "instrument": c("instrument") != "",
+        "cash": c("cash") > 0,
+        "windows": (c("fast") > 0) & (c("fast") < c("slow")),
+        "qty": c("qty") > 0,
+        "fees": c("taker_ppm").between(0, 100_000) & c("maker_ppm").between(0, 100_000),
+        "latency": c("latency_ms") >= 0,
+        "funding": c("funding_interval_ms") >= 0,
+    }
+    return F.array_compact(F.array(*(F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in rules.items())))
+
+
 def _made(cls, values: dict):
     unknown = sorted(set(values) - {f.name for f in fields(cls)})
     if unknown:

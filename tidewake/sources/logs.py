@@ -63,6 +63,55 @@ def metrics_text(rows: DataFrame, prefix: str = "tidewake") -> DataFrame:
     return rows.select(F.concat(F.lit("# TYPE "), name, F.lit(" "), F.col("kind"), F.lit("\n"), name, F.lit(" "), F.col("value").cast("string")).alias("text"))
 
 
+def backoff_ms(attempt: Column, base_ms: int = 250, cap_ms: int = 30_000) -> Column:
+    """Delay before a reconnection attempt (from 1): doubled each time, at most ten times, and capped; up to half of it is added as jitter."""
+    return F.least(F.lit(cap_ms), base_ms * F.pow(F.lit(2.0), F.greatest(F.lit(0), F.least(attempt - 1, F.lit(10))))).cast("long")
+
+
+def append_new(rows: DataFrame, path: str, key: str) -> None:
+    """Append the rows behind the log's last key, so that a repeated run adds nothing. Keys only grow; one writer at a time."""
+    spark = rows.sparkSession
+    if (last := last_key(spark, path, rows.schema, key)) is not None:
+        rows = rows.where(F.col(key) > F.lit(last))
+    rows.write.mode("append").parquet(path)
+
+
+def last_key(spark: SparkSession, path: str, schema, key: str):
+    """The greatest key of a log; None where there is no log or no row."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema(schema).parquet(path).agg(F.max(key)).first()[0]
+
+
+def last_row(spark: SparkSession, path: str, schema, key: str) -> DataFrame:
+    """The row of the greatest key."""
+    rows = spark.read.schema(schema).parquet(path)
+    return rows.groupBy().agg(F.max_by(F.struct(*rows.columns), key).alias("x")).select("x.*")
+
+
+def freeze(params: DataFrame, path: str) -> str:
+    """Write fitted parameters, a row a model, and give the hash of their values."""
+    params.write.parquet(path)
+    return frozen_hash(params.sparkSession.read.schema(params.schema).parquet(path))
+
+
+def frozen_hash(params: DataFrame) -> str:
+    """A hash of rows in any order: the exclusive or of both halves of each row's digest, and their number."""
+    digest = rows_hash(*sorted(params.columns))
+    half = lambda at: F.bit_xor(F.conv(F.substring(digest, at, 15), 16, 10).cast("long"))
+    r = params.agg(half(1).alias("a"), half(16).alias("b"), F.count("*").alias("n")).first()
+    return f"{r.a or 0:015x}{r.b or 0:015x}-{r.n}"
+
+
+def frozen(spark: SparkSession, path: str, digest: str) -> DataFrame:
+    """Frozen parameters; others than those of the hash are an error."""
+    params = spark.read.parquet(path)
+    if frozen_hash(params) != digest:
+        raise ValueError("the parameters have changed since they were frozen")
+    return params
+
+
 def rows_hash(*columns: str) -> Column:
     """SHA-256 of a row's columns, nulls told from empty."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
