@@ -27,22 +27,22 @@ def _quotient(product: Column, by: int) -> Column:
 
 
 def parse(text: Column) -> Column:
-    """Struct (raw, error) of a decimal text: error is null, 'empty', 'digits', 'malformed' or 'overflow'."""
+    """Struct (raw, error) of a decimal text: error is null, 'empty', 'digits', 'malformed' or 'overflow'.
+
+    A text in order costs one match and one cast; what is wrong is only asked of the others.
+    """
     t = F.trim(text)
-    number = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
-    whole = F.regexp_extract(t, r"^[+-]?([0-9]*)", 1)
-    part = F.regexp_extract(t, r"\.([0-9]*)$", 1)
-    sign = F.when(t.startswith("-"), -1).otherwise(1)
-    digits = F.concat(F.when(whole == "", "0").otherwise(whole), F.rpad(part, DIGITS, "0"))
-    raw = digits.try_cast("decimal(38,0)") * sign
-    fits = raw.between(F.lit(-(2**63) + 1).cast("decimal(38,0)"), F.lit(2**63 - 1).cast("decimal(38,0)"))
+    fine = t.rlike(rf"^[+-]?([0-9]+\.?[0-9]{{0,{DIGITS}}}|\.[0-9]{{1,{DIGITS}}})$")
+    value = t.try_cast(f"decimal(38,{DIGITS})")
+    fits = F.coalesce(F.abs(value) <= F.lit("92233720368.54775807").cast(f"decimal(38,{DIGITS})"), F.lit(False))
     error = (
-        F.when(t.isNull() | (t == "") | t.isin("+", "-", "."), "empty")
-        .when(~t.rlike(number), "malformed")
-        .when(F.length(part) > DIGITS, "digits")
-        .when(~F.coalesce(fits, F.lit(False)), "overflow")
+        F.when(fine, F.when(~fits, "overflow"))
+        .when(t.isNull() | t.isin("", "+", "-", "."), "empty")
+        .when(~t.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), "malformed")
+        .otherwise("digits")
     )
-    return F.struct(F.when(error.isNull(), raw).cast("long").alias("raw"), error.alias("error"))
+    raw = F.when(fine & fits, (value.cast(f"decimal(19,{DIGITS})") * SCALE).cast("long"))
+    return F.struct(raw.alias("raw"), error.alias("error"))
 
 
 def format_raw(raw: Column) -> Column:
