@@ -78,3 +78,14 @@ def test_words_across_blocks(monkeypatch):
         parts = common.words(data, offsets)
         monkeypatch.undo()
         assert all((np.asarray(a) == np.asarray(b)).all() for a, b in zip(whole, parts))
+
+
+def test_memory_of_a_long_text():
+    import tracemalloc
+
+    data = np.frombuffer(b"some words of a long text. " * 600_000, np.uint8)
+    tracemalloc.start()
+    common.words(data, np.array([0, len(data)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(data)

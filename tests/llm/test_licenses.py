@@ -110,3 +110,11 @@ def test_other_versions_have_no_versioned_label(spark):
 def test_later_sentences_have_labels():
     text = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
     assert [s["label"] for s in spans_of(text) if s["cover"] >= licenses.MIN_COVER] == ["bsd"]
+
+
+def test_whole_licence_texts(spark):
+    mit = next(t for t, label in licenses.TEMPLATES if label == "mit" and len(t.split()) > 100)
+    boost = next(t for t, label in licenses.TEMPLATES if label == "boost")
+    rows = [(1, "MIT License\n\nCopyright (c) 2020 someone\n\n" + mit), (2, boost), (3, "a permission is hereby granted free of charge to any friend"), (4, " ".join(mit.split()[:90]) + " x " * 300 + " ".join(mit.split()[90:]))]
+    got = {r.doc_id: r.labels for r in licenses.digest(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: "mit", 2: "boost", 3: "", 4: "mit"}
