@@ -103,7 +103,7 @@ def whole_scores(rows, labels, usable):
             at = max(end, at + 1)
         margins = [float(np.max([similar(u) for u in s], axis=0) @ m.alpha + m.bias) for s in sentences if s] or [m.bias]
         past, worst = sum(x > 0 for x in margins) if words_ else 0, max(margins)
-        z = m.curve @ [np.log1p(past), np.log(words_ + 20) * (1 - min(max(worst / 3, 0), 1))] + m.shift
+        z = m.curve @ [np.log1p(past), np.log(words_ + 3) * (1 - min(max(worst / 3, 0), 1))] + m.shift
         out[k] = z
     return out
 
