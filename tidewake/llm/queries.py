@@ -1,4 +1,4 @@
-"""Queries of the ten operators, over their whole tables."""
+"""Queries of the operators, over their whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import decontam, hmmlm, langid, licenses, linededup, ngramjoin, nra, quality, spm, toxicity
+from tidewake.llm import annsearch, decontam, hmmlm, langid, licenses, linededup, ngramjoin, nra, quality, spm, toxicity, whitening
 from tidewake.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op12_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of every twentieth, by projections."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return annsearch.nearest(vectors.where(F.col("vec_id") % 20 == 0), vectors, 20)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     """Query name to a function of (spark, sf_dir)."""
     return {
@@ -98,6 +109,8 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_license_scan": op9_license_scan,
         "op10_toxicity": op10_toxicity,
+        "op12_ann_search": op12_ann_search,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
