@@ -15,15 +15,15 @@ PATH = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark", "labels"):
+    for t in ("documents", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{PATH}/{t}.parquet'")
     df = queries.queries()[name](spark, PATH)
     columns = sorted(df.columns)
     cursor = con.execute(queries.oracle_sql()[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
-    want = sorted(tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall())
-    assert sorted(tuple(r[c] for c in columns) for r in df.collect()) == want
+    want = sorted((tuple(r[names.index(c)] for c in columns) for r in cursor.fetchall()), key=str)
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == want
 
 
 #: The columns that a contract fixes, of queries whose other columns SQL can't express.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.llm import annsearch, decontam, hmmlm, langid, licenses, linededup, ngramjoin, nra, quality, spm, toxicity, whitening
+from tidewake.llm import annsearch, decontam, hmmlm, langid, licenses, linededup, ngramjoin, nra, prefixtrie, quality, spm, toxicity, whitening
 from tidewake.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations, rebuilt on shared first turns."""
+    return prefixtrie.trie(*prefixtrie.shared_heads(table(spark, sf_dir, "conversations")))
+
+
 def op12_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors found of every twentieth, by projections."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -109,6 +114,7 @@ def queries() -> dict[str, Query]:
         "op8_quality": op8_quality,
         "op9_license_scan": op9_license_scan,
         "op10_toxicity": op10_toxicity,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_ann_search": op12_ann_search,
         "op13_embedding_whitening": op13_embedding_whitening,
     }
@@ -169,7 +175,37 @@ FROM rows d LEFT JOIN (
   FROM judged GROUP BY doc_id) j USING (doc_id)
 """
 
+_OP11_SQL = r"""
+WITH RECURSIVE bits(i, k, v) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS crc FROM bits WHERE k = 8),
+own AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS l
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, l, xor(list_reduce(list_concat([4294967295::BIGINT], [ord(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]),
+    lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h FROM own, crc),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.l, [])[1:c.h], c.l[c.h + 1:]) AS r
+  FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+paths AS (
+  SELECT conv_id, d, len(r) AS length, md5(to_json(r[1:d])::VARCHAR) AS k, CASE WHEN d > 0 THEN md5(to_json(r[1:d - 1])::VARCHAR) END AS p,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(r[d].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+  FROM (SELECT conv_id, r, unnest(range(0, len(r) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT d, k, any_value(p) AS p, min(conv_id) AS conv_id, count(*) AS n, any_value(words) AS words FROM paths GROUP BY d, k),
+kids AS (SELECT d - 1 AS d, p AS k, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1, 2),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (d, k)),
+under AS (
+  SELECT a.d, a.k, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum((v.n - 1) * v.words) AS saved_tokens
+  FROM whole v JOIN paths a ON a.conv_id = v.conv_id AND a.d <= v.d GROUP BY 1, 2),
+ends AS (SELECT d, k, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256 FROM paths WHERE d = length GROUP BY 1, 2)
+SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n AS n_convs, w.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+  coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM whole w JOIN under USING (d, k) LEFT JOIN ends USING (d, k) LEFT JOIN nodes u ON u.d = w.d - 1 AND u.k = w.p
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Query name to DuckDB SQL with the same rows."""
-    return {"op2_line_dedup": _OP2_SQL, "op4_ngram_join": _OP4_SQL, "op7_exact_topk": _OP7_SQL}
+    return {"op2_line_dedup": _OP2_SQL, "op4_ngram_join": _OP4_SQL, "op7_exact_topk": _OP7_SQL, "op11_prefix_trie": _OP11_SQL}
