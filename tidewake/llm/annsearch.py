@@ -206,7 +206,8 @@ class Block:
         n = self.sizes[rows]
         member = np.repeat(self.starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         at, score = np.repeat(at, n), np.repeat(score, n)
-        other = self.ids[member] != ids[at]
+        # What earlier rounds found already rules the rest out.
+        other = (self.ids[member] != ids[at]) & (score >= bar[at])
         at, score, member = at[other], score[other], member[other]
         order = np.lexsort((self.ids[member], -score, at))
         at, score, member = at[order], score[order], member[order]
@@ -220,18 +221,18 @@ def spaces(c: DataFrame) -> dict[int, Space]:
     about = c.groupBy("width").agg(F.count("*").alias("n"), F.sqrt(F.max(F.aggregate("v", F.lit(0.0), lambda s, a: s + a * a))).alias("longest")).limit(MOST_WIDTHS + 1).collect()
     if len(about) > MOST_WIDTHS:
         raise ValueError(f"more than {MOST_WIDTHS} lengths of vectors")
-    keyed = c.select("width", "v", F.xxhash64("v").alias("key"))
-    sample: dict[int, list] = {}
-    for r in bounded_sample(keyed, "width", "key", SAMPLE_ROWS, "v").select("width", "v").toLocalIterator():
-        x = np.array(r.v)
-        sample.setdefault(r.width, []).append(x)
-    out = {}
+    out = {r.width: Space(r.longest, np.random.default_rng([r.width, DIMENSIONS]).standard_normal((r.width + 1, DIMENSIONS)), np.zeros(0, int), np.zeros(0)) for r in about}
+
+    def project(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for width, part in frame.groupby("width"):
+                yield pd.DataFrame({"width": width, "key": part["key"], "p": list(out[width].project(np.stack(part["v"].to_list())))})
+
+    projected = c.select("width", "v", F.xxhash64("v").alias("key")).mapInPandas(project, "width int, key long, p array<double>")
+    sample = bounded_sample(projected, "width", "key", SAMPLE_ROWS, "p").orderBy("width", "key").toPandas()  # 8 numbers a row
     for r in about:
-        directions = np.random.default_rng([r.width, DIMENSIONS]).standard_normal((r.width + 1, DIMENSIONS))
-        space = Space(r.longest, directions, np.zeros(0, int), np.zeros(0))
         depth = max(0, math.ceil(math.log2(min(MOST_CELLS, max(1, r.n / ROWS_A_CELL)))))
-        space.axis, space.plane = planes(space.project(np.stack(sample[r.width])), depth)
-        out[r.width] = space
+        out[r.width].axis, out[r.width].plane = planes(np.stack(sample["p"][sample["width"] == r.width].to_list()), depth)
     return out
 
 
@@ -314,14 +315,20 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "ve
     sizes = F.broadcast(spark.createDataFrame(widths, "width int, cell int, blocks int"))  # MOST_CELLS a length at most
     placed = c.join(sizes, ["width", "cell"]).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     best = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
+
+    def ranked(found_: DataFrame) -> DataFrame:
+        """The k best by ``rank``, copies as rows of their own; cut to k before there are copies."""
+        few = found_.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+        each = few.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
     results, first = None, 0
     most = max((len(b) for b in blocks.values()), default=0)
     for end in (*(e for e in FIRST_CELLS if e < most), None):
         if results is None:
             open_ = q.withColumn("bar", F.lit(-math.inf))
         else:
-            ranked = results.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k)
-            open_ = q.join(ranked.select(F.col("query_id").alias("id"), "key", F.col("score").alias("bar")), ["id", "key"], "left").withColumn("bar", F.coalesce("bar", F.lit(-math.inf)))
+            open_ = q.join(ranked(results).where(F.col("rank") == k).select(F.col("query_id").alias("id"), "key", F.col("score").alias("bar")), ["id", "key"], "left").withColumn("bar", F.coalesce("bar", F.lit(-math.inf)))
         pairs = written(open_.select("id", "key", "v", "width", "bar").mapInPandas(to_cells(first, end), "id long, key long, v array<double>, width int, bar double, cell int"))
         chunks = F.broadcast(pairs.groupBy("width", "cell").agg(F.ceil(F.count("*") / QUERIES_A_TASK).cast("int").alias("chunks")))  # MOST_CELLS a length at most
         there = placed.join(chunks, ["width", "cell"]).select("width", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), "v", "members")
@@ -330,5 +337,4 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "ve
         both = there.unionByName(asked, allowMissingColumns=True).repartition("width", "cell", "block", "chunk").sortWithinPartitions("width", "cell", "block", "chunk", "kind")
         seen = written(both.mapInPandas(verify, "query_id long, key long, vec_id long, copies long, score double"))
         results, first = seen if results is None else results.unionByName(seen), end
-    each = results.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return each.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return ranked(results).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
