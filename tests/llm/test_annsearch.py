@@ -65,6 +65,14 @@ def test_a_vector_of_many_rows(spark):
     assert found(spark, queries_, rows, 6) == plain(queries_, rows, 6)
 
 
+def test_large_ids(spark, monkeypatch):
+    monkeypatch.setattr(annsearch, "ROWS_A_CELL", 50)
+    x = np.random.default_rng(5).standard_normal((600, 6))
+    rows = [(2**62 + i, v.tolist()) for i, v in enumerate(x)]
+    got, want = found(spark, rows[::7], rows, 5), plain(rows[::7], rows, 5)
+    assert recall(got, want) >= 0.9 and {j for best in got.values() for _, j, _ in best} <= {i for i, _ in rows}
+
+
 def test_chi_square():
     ratio = annsearch.stop_ratio()
     assert abs(annsearch.chi_square(ratio) - annsearch.CONFIDENCE) < 1e-9

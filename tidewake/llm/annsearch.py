@@ -331,10 +331,10 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, id_col: str = "ve
             open_ = q.join(ranked(results).where(F.col("rank") == k).select(F.col("query_id").alias("id"), "key", F.col("score").alias("bar")), ["id", "key"], "left").withColumn("bar", F.coalesce("bar", F.lit(-math.inf)))
         pairs = written(open_.select("id", "key", "v", "width", "bar").mapInPandas(to_cells(first, end), "id long, key long, v array<double>, width int, bar double, cell int"))
         chunks = F.broadcast(pairs.groupBy("width", "cell").agg(F.ceil(F.count("*") / QUERIES_A_TASK).cast("int").alias("chunks")))  # MOST_CELLS a length at most
-        there = placed.join(chunks, ["width", "cell"]).select("width", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), "v", "members")
+        there = placed.join(chunks, ["width", "cell"]).select("width", "cell", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), "v", "members", F.lit(0).cast("long").alias("id"), F.lit(0).cast("long").alias("key"), F.lit(0.0).alias("bar"))  # no nulls: pandas would make ids doubles
         asked = pairs.join(chunks, ["width", "cell"]).join(sizes, ["width", "cell"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        asked = asked.select("width", "cell", "block", F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("kind"), "v", "id", "key", "bar")
-        both = there.unionByName(asked, allowMissingColumns=True).repartition("width", "cell", "block", "chunk").sortWithinPartitions("width", "cell", "block", "chunk", "kind")
+        asked = asked.select("width", "cell", "block", F.pmod(F.xxhash64("id", "key"), F.col("chunks")).cast("int").alias("chunk"), F.lit(1).alias("kind"), "v", F.lit(None).cast("array<struct<id:long,copies:long>>").alias("members"), "id", "key", "bar")
+        both = there.unionByName(asked).repartition("width", "cell", "block", "chunk").sortWithinPartitions("width", "cell", "block", "chunk", "kind")
         seen = written(both.mapInPandas(verify, "query_id long, key long, vec_id long, copies long, score double"))
         results, first = seen if results is None else results.unionByName(seen), end
     return ranked(results).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
