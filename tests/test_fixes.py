@@ -1,11 +1,10 @@
-"""Order states, as-of joins and streams against plain code."""
+"""Order states and as-of joins against plain code."""
 
 import random
 
 from pyspark.sql import functions as F
 
 from tidewake.operators import execution
-from tidewake.streaming import market
 
 
 def test_average_price_is_cut_at_each_fill(spark):
@@ -65,19 +64,3 @@ def test_no_window_frame_follows(spark):
     m = spark.createDataFrame(_marks(5, 1), "k string, ts_us long, seq long, mark_raw long")
     plan = execution.next_snapshot(m.withColumn("cloid", F.col("seq")), m, ["k"], 1)._jdf.queryExecution().toString()
     assert "unboundedfollowing" not in plan.lower()
-
-
-def test_bars_do_not_follow_the_number_of_files(spark, tmp_path):
-    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
-    got = []
-    for files in (1, 20):
-        folder = str(tmp_path / f"f{files}")
-        events.repartition(files).write.parquet(f"{folder}/events.parquet")
-        stream = market.bars(market.events(spark, folder, 3))
-        got.append(sorted(map(tuple, market.drained(stream, "complete").collect())))
-    assert got[0] == got[1] and len(got[0]) > 100
-
-
-def test_an_empty_stream_gives_no_rows(spark, tmp_path):
-    spark.read.parquet("/root/testdata/sf0.001/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
-    assert market.drained(market.bars(market.events(spark, str(tmp_path)))).count() == 0

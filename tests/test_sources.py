@@ -67,14 +67,3 @@ def test_streamed_fills_are_applied_once(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(path)
     got = market.drained(market.first_fills(stream)).collect()
     assert sorted((r.cloid, r.fill_id) for r in got) == [(1, 1), (1, 2), (2, 1)]
-
-
-def test_streamed_positions_equal_the_batch_fold(spark, tmp_path):
-    from tidewake.operators import execution
-
-    rows = [(i % 3, i, "Buy" if i % 4 else "Sell", 100_000_000, (100 + i % 7) * 100_000_000, 5) for i in range(60)]
-    df = spark.createDataFrame(rows, "account long, seq long, side string, qty_raw long, px_raw long, fee_raw long")
-    path = str(tmp_path / "rows")
-    df.orderBy("seq").coalesce(1).write.parquet(path)
-    got = market.drained(market.positions(spark.readStream.schema(df.schema).parquet(path).drop("seq"))).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, execution.positions(df, ["account"], ["seq"]).collect()))

@@ -1,20 +1,15 @@
-"""Market data as streams: bars, idempotent fills and stateful positions.
+"""Market data as streams: bars and idempotent fills.
 
-Arrival order is truth for folds, as in the batch operators; watermarks only
-bound the state of aggregations. The position fold is the batch step.
+Watermarks bound the state: a bar is written once, when its window has passed, and
+rows that come later than the watermark allows aren't in it.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewake.operators.execution import Position
-from tidewake.shared import folder
+from tidewake.streaming.replay import Run, named
 
 
 def events(spark: SparkSession, sf_dir: str, files_a_batch: int = 8) -> DataFrame:
@@ -25,7 +20,7 @@ def events(spark: SparkSession, sf_dir: str, files_a_batch: int = 8) -> DataFram
 
 def bars(stream: DataFrame, every: str = "1 hour", late: str = "1 day") -> DataFrame:
     """(instrument, start, open, high, low, close, n) of tumbling windows, closed once the watermark has passed."""
-    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+    timed = stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late).where(named("event_type", "at"))
     order = F.struct("at", "event_id")
     return (
         timed.groupBy(F.col("event_type").alias("instrument"), F.window("at", every).alias("w"))
@@ -39,41 +34,9 @@ def first_fills(stream: DataFrame, late: str = "1 day") -> DataFrame:
     return stream.withWatermark("at", late).dropDuplicatesWithinWatermark(["cloid", "fill_id"])
 
 
-def positions(stream: DataFrame) -> DataFrame:
-    """(account, n, qty_raw, entry_raw, realised_raw) after each fill of (account, side, qty_raw, px_raw, fee_raw), with state by account."""
-
-    def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        n, qty, entry, realised = state.get if state.exists else (0, 0, 0, 0)
-        p, out = Position(qty, entry, realised), []
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                p.fill(1 if row.side == "Buy" else -1, int(row.qty_raw), int(row.px_raw), int(row.fee_raw))
-                n += 1
-                out.append((key[0], n, p.qty, p.entry, p.realised))
-        state.update((n, p.qty, p.entry, p.realised))
-        yield pd.DataFrame(out, columns=["account", "n", "qty_raw", "entry_raw", "realised_raw"])
-
-    out = "account long, n long, qty_raw long, entry_raw long, realised_raw long"
-    return stream.groupBy("account").applyInPandasWithState(update, out, "n long, qty long, entry long, realised long", "append", "NoTimeout")
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for what is there now, as a table in the shared checkpoint folder.
 
     In complete mode every batch holds the whole result, so only the last one is read.
     """
-    spark = stream.sparkSession
-    path = f"{folder(spark)}/streams/{uuid.uuid4().hex}"
-    numbers: list[int] = []
-
-    def keep(batch: DataFrame, number: int) -> None:
-        # A batch that is repeated after a failure replaces its own folder.
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
-        numbers.append(number)
-
-    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    if not numbers:
-        return spark.createDataFrame([], stream.schema)
-    of = max(numbers) if mode == "complete" else "*"
-    return spark.read.schema(stream.schema).parquet(f"{path}/rows/batch={of}")
+    return Run(stream.sparkSession).drain(stream, mode).rows(stream.schema, mode == "complete")
