@@ -170,10 +170,10 @@ def trie(turns: DataFrame, members: DataFrame) -> DataFrame:
     finals = members.where("length > 0").withColumn("j", F.expr(f"(length - 1) div {BLOCK_TURNS}")).join(last, ["conv_id", "j"]).select("conv_id", F.col("length").alias("depth"), "x", "y")
     finals = finals.unionByName(members.where("length = 0").select("conv_id", *(zero[c].alias(c) for c in NAME)))
 
-    # The root's children, of which there may be as many as conversations, get their parent's id from its one row.
+    # The root's children, of which there may be as many as conversations, don't join: their parent's id is the least of all.
     named = nodes.select(F.col("depth").alias("_d"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("conv_id").alias("parent_conv_id"))
     top = nodes.where("depth = 0").withColumn("parent_conv_id", F.lit(None).cast("long"))
-    second = nodes.where("depth = 1").join(F.broadcast(named.where("_d = 0").drop("px", "py")), F.col("_d") == F.lit(0)).drop("_d")
+    second = nodes.where("depth = 1").withColumn("parent_conv_id", F.lit(members.agg(F.min("conv_id")).first()[0]).cast("long"))
     deeper = nodes.where("depth > 1").withColumn("_d", F.col("depth") - 1).join(named.where("_d > 0"), ["_d", "px", "py"]).drop("_d")
     every = top.unionByName(second).unionByName(deeper)
     # Members without a node of their own own nothing: a node's owner is a member that does, so the inner joins lose none.
