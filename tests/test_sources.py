@@ -67,3 +67,18 @@ def test_streamed_fills_are_applied_once(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(path)
     got = market.drained(market.first_fills(stream)).collect()
     assert sorted((r.cloid, r.fill_id) for r in got) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_artifacts_and_manifests_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(2, None, "é"), (1, 5, 'q"')], "b long, a long, c string")
+    documents = logs.artifact_rows(rows, ["b", "a", "c"])
+    assert {r.text for r in documents.collect()} == {'{"a":null,"b":2,"c":"é"}', '{"a":5,"b":1,"c":"q\\""}'}
+    for _ in range(2):
+        logs.write_artifacts(documents, str(tmp_path / "a"))
+    found = logs.read_artifacts(spark, str(tmp_path / "a")).collect()
+    assert len(found) == 2 and all(r.fits for r in found)
+    assert logs.read_artifacts(spark, str(tmp_path / "a"), found[0].hash).collect() == [found[0]]
+    m = logs.manifest(1260, 0.2, "h", "s")
+    assert logs.read_manifest(logs.manifest_text(m)) == m
+    with pytest.raises(ValueError):
+        logs.read_manifest(logs.manifest_text(m | {"n_research": 1}))

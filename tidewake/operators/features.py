@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tidewake.operators import scan
+
 
 def ordered(keys: list[str], order: list[str]) -> WindowSpec:
     """The window that all features of a frame share."""
@@ -52,6 +54,9 @@ def zscore(price: Column, w: WindowSpec, window: int = 60) -> Column:
     return F.when(deviation > 0, (price - rolling(F.avg, price, window, w)) / deviation)
 
 
+#: The longest window that a feature has by itself.
+LONGEST_DEFAULT = 60
+
 #: Features by name; the second entry says whether the feature reads returns.
 REGISTRY: dict[str, Callable[..., Column]] = {
     "log_return": lambda p, r, w, lag=1: log_return(p, w, lag),
@@ -67,15 +72,17 @@ def feature_name(name: str, params: dict) -> str:
     return "_".join([name, *(f"{k}{v}" for k, v in sorted(params.items()))])
 
 
-def build(df: DataFrame, specs: list[tuple[str, dict]], price: str, keys: list[str], order: list[str]) -> DataFrame:
-    """The frame with all features and ``valid``: whether all of them are there."""
+def build(df: DataFrame, specs: list[tuple[str, dict]], price: str, keys: list[str], order: list[str], pieces: bool = True) -> DataFrame:
+    """The frame with all features and ``valid``: whether all of them are there. In pieces, a task holds some of a key's rows; otherwise it holds a key."""
     unknown = [n for n, _ in specs if n not in REGISTRY]
     if unknown or not specs:
         raise ValueError(f"unknown features {unknown}" if unknown else "no features")
-    w = ordered(keys, order)
-    base = df.withColumn("_ret", log_return(F.col(price), w))
+    # A window of returns begins with a return, which looks one row further back.
+    back = 1 + max(p.get("window", p.get("lag", LONGEST_DEFAULT)) for _, p in specs)
+    rows, w, own = scan.haloed(df, keys, order, back) if pieces else (df, ordered(keys, order), F.lit(True))
+    base = rows.withColumn("_ret", log_return(F.col(price), w)).withColumn("_own", own)
     names = [feature_name(n, p) for n, p in specs]
-    out = base.select(*df.columns, *(REGISTRY[n](F.col(price), "_ret", w, **p).alias(a) for (n, p), a in zip(specs, names)))
+    out = base.select(*df.columns, "_own", *(REGISTRY[n](F.col(price), "_ret", w, **p).alias(a) for (n, p), a in zip(specs, names))).where("_own").drop("_own")
     valid = F.lit(True)
     for a in names:
         valid = valid & F.col(a).isNotNull()
@@ -87,13 +94,13 @@ def sma_cross(df: DataFrame, mid: str, fast: int, slow: int, keys: list[str], or
 
     Sums are compared crosswise in decimals, so nothing is rounded.
     """
-    w = ordered(keys, order)
+    rows, w, own = scan.haloed(df, keys, order, slow)
     wide = F.col(mid).cast("decimal(38,0)")
     sums = lambda n: F.sum(F.col(mid).cast("decimal(20,0)")).over(w.rowsBetween(-(n - 1), 0))
-    full = df.withColumn("_fast", sums(fast)).withColumn("_slow", sums(slow)).withColumn("_n", F.count(wide).over(w.rowsBetween(-(slow - 1), 0)))
+    full = rows.withColumn("_own", own).withColumn("_fast", sums(fast)).withColumn("_slow", sums(slow)).withColumn("_n", F.count(wide).over(w.rowsBetween(-(slow - 1), 0)))
     held = full.where(F.col("_n") == slow).withColumn("above", F.col("_fast") * slow > F.col("_slow") * fast)
     before = F.lag("above").over(w)
-    return held.withColumn("_cross", before.isNull() | (before != F.col("above"))).where("_cross").select(*df.columns, "above")
+    return held.withColumn("_cross", before.isNull() | (before != F.col("above"))).where("_cross AND _own").select(*df.columns, "above")
 
 
 def next_return(close: Column, w: WindowSpec) -> Column:

@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 #: Euler's constant, of the expected maximum of normal draws.
 EULER = 0.5772156649015329
@@ -75,7 +76,48 @@ def expected_max_sharpe(variance: float, trials: int) -> float:
     return math.sqrt(variance) * ((1 - EULER) * inverse(1 - 1 / trials) + EULER * inverse(1 - 1 / (trials * math.e)))
 
 
+#: Groups whose brackets are broadcast.
+FEW_GROUPS = 10_000
+#: Bins of a histogram: what a task holds of a group and point.
+BINS = 4096
+
+
 def percentiles(df: DataFrame, x: str, keys: list[str], points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Nearest-rank percentiles, maximum and count of each group."""
-    exact = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})").cast(df.schema[x].dataType).alias(f"p{int(p * 100)}") for p in points]
-    return df.groupBy(*keys).agg(*exact, F.max(x).alias("max"), F.count(x).alias("n"))
+    """Nearest-rank percentiles, maximum and count of each group of whole numbers.
+
+    Each point's rank is sought in a histogram of the group's range, then in one of the bin that
+    holds it, until a bin is one value: a few scans, and BINS counts a group and point, whatever
+    the number of different values. Values that are no whole numbers are ranked as they are.
+    """
+    kind = df.schema[x].dataType
+    names = [f"p{int(p * 100)}" for p in points]
+    if not isinstance(kind, IntegralType):
+        exact = [F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})").cast(kind).alias(n) for p, n in zip(points, names)]
+        return df.groupBy(*keys).agg(*exact, F.max(x).alias("max"), F.count(x).alias("n"))
+    key = F.struct(*(F.col(f"`{k}`") for k in keys), F.lit(0).alias("_none")).alias("_key")
+    rows = df.select(key, F.col(x).cast("decimal(20,0)").alias("_x"))
+    about = rows.groupBy("_key").agg(F.min("_x").alias("_low"), F.max("_x").alias("max"), F.count("_x").alias("n"))
+    span, groups = about.agg(F.max(F.col("max") - F.col("_low")), F.count("*")).first()
+    # A row a group and point: broadcast while there are few groups, so that rows don't move.
+    few = F.broadcast if groups <= FEW_GROUPS else (lambda at: at)
+    point = F.explode(F.array(*(F.struct(F.lit(n).alias("_point"), F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))).cast("long").alias("_rank")) for p, n in zip(points, names)))).alias("_p")
+    width = lambda high, low: F.ceil((high - low + 1) / F.lit(BINS)).cast("decimal(20,0)")
+    # Where a rank is: values from _low on, in bins of _step values, of which it is the _rank-th.
+    at = about.where("n > 0").select("_key", point, "_low", width(F.col("max"), F.col("_low")).alias("_step")).select("_key", "_p._point", "_p._rank", "_low", "_step")
+    steps = max(1, int(span or 0) + 1)
+    while True:
+        bin_ = F.floor((F.col("_x") - F.col("_low")) / F.col("_step")).cast("long")
+        inside = rows.where("_x IS NOT NULL").join(few(at), "_key").where((F.col("_x") >= F.col("_low")) & (F.col("_x") < F.col("_low") + F.col("_step") * BINS))
+        counts = inside.groupBy("_key", "_point", "_rank", "_low", "_step", bin_.alias("_bin")).agg(F.count("*").alias("_count"))
+        so_far = F.sum("_count").over(Window.partitionBy("_key", "_point").orderBy("_bin"))
+        held = counts.withColumn("_upto", so_far).where((F.col("_upto") >= F.col("_rank")) & (F.col("_upto") - F.col("_count") < F.col("_rank")))
+        start = (F.col("_low") + F.col("_bin") * F.col("_step")).cast("decimal(20,0)")
+        finer = F.ceil(F.col("_step") / F.lit(BINS)).cast("decimal(20,0)")
+        at = held.select("_key", "_point", (F.col("_rank") - F.col("_upto") + F.col("_count")).alias("_rank"), start.alias("_low"), finer.alias("_step"))
+        # A histogram's bins are so many values wide; when that is one, the place is the value.
+        steps = -(-steps // BINS)
+        if steps == 1:
+            break
+    found = at.groupBy("_key").agg(*(F.max(F.when(F.col("_point") == n, F.col("_low"))).alias(n) for n in names))
+    whole = about.join(found, "_key", "left")
+    return whole.select(*(F.col(f"_key.`{k}`").alias(k) for k in keys), *(F.col(c).cast(kind).alias(c) for c in [*names, "max"]), "n")

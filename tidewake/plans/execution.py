@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import fixed
-from tidewake.operators import execution, stats
+from tidewake.operators import execution, segments, stats
 from tidewake.sources import adapters as A
 from tidewake.sources.adapters import with_tables
 
@@ -71,9 +71,9 @@ FROM p QUALIFY row_number() OVER (PARTITION BY cloid ORDER BY n DESC) = 1"""
 
 
 def a06_positions(spark, sf_dir):
-    """Position, average entry and realised profit after each fill of each hundred orders: a fold, as it depends on its path."""
+    """Position, average entry and realised profit after each fill of each hundred orders, by segments between flat positions."""
     f = execution.first_fills(A.exec_reports(spark, sf_dir)).select(F.expr("cloid div 100").alias("account"), "cloid", "seq", "side", "qty_raw", "px_raw", "fee_raw")
-    return execution.positions(f, ["account"], ["cloid", "seq"])
+    return segments.positions(f, ["account"], ["cloid", "seq"])
 
 
 A06 = "WITH RECURSIVE " + ",\n".join(A.SQL[n] for n in ["exec_reports"]) + _FILLS + """, o AS (SELECT cloid // 100 AS account, row_number() OVER (PARTITION BY cloid // 100 ORDER BY cloid, seq) AS n, CASE side WHEN 'Buy' THEN qty_raw ELSE -qty_raw END AS s, px_raw AS px, fee_raw AS fee FROM ff),

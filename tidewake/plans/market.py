@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import fixed
-from tidewake.operators import book, execution, features, stats
+from tidewake.operators import book, execution, features, scan, stats
 from tidewake.sources import adapters as A
 from tidewake.sources.adapters import with_tables
 
@@ -149,14 +149,19 @@ f AS (SELECT *, CAST(greatest(0, least(v - 3000000, 50000000)) - greatest(0, lea
 SELECT cloid, tid, fill_raw, CAST((opx::HUGEINT * fill_raw // 100000000) * 150 // 1000000 AS BIGINT) AS fee_raw FROM f WHERE fill_raw > 0""")
 
 
+#: Rows that the features below look back, and one more for a return.
+BACK = 61
+
+
 def _feature(name, build, sql, window=20):
     """A query of one feature over ticks in order, rounded; and its SQL."""
 
     def query(spark, sf_dir):
         t = A.ticks(spark, sf_dir).withColumn("px", fixed.to_double(F.col("px_raw")))
-        w = features.ordered(["instrument"], ["exch_us", "tid"])
-        t = t.withColumn("_ret", features.log_return(F.col("px"), w))
-        return t.select("tid", F.round(build(w), 8).alias(name))
+        t = t.select("instrument", "exch_us", "tid", "px")
+        rows, w, own = scan.haloed(t, ["instrument"], ["exch_us", "tid"], BACK, 1)
+        rows = rows.withColumn("_ret", features.log_return(F.col("px"), w)).withColumn("_own", own)
+        return rows.select("tid", "_own", F.round(build(w), 8).alias(name)).where("_own").drop("_own")
 
     return query, with_tables("ticks", f""", p AS (SELECT *, px_raw / 1e8::DOUBLE AS px FROM ticks),
 r AS (SELECT *, ln(px / lag(px) OVER w) AS ret FROM p WINDOW w AS (PARTITION BY instrument ORDER BY exch_us, tid))
@@ -240,7 +245,7 @@ def w22_causality(spark, sf_dir):
     names = [*(features.feature_name(*s) for s in specs), "peek"]
 
     def built(rows, keys):
-        return features.build(rows, specs, "px", keys, ["exch_us", "tid"]).withColumn("peek", F.lead("px").over(features.ordered(keys, ["exch_us", "tid"])))
+        return features.build(rows, specs, "px", keys, ["exch_us", "tid"], pieces=False).withColumn("peek", F.lead("px").over(features.ordered(keys, ["exch_us", "tid"])))
 
     n = F.row_number().over(Window.partitionBy("instrument").orderBy("exch_us", "tid"))
     whole = built(t.withColumn("n", n), ["instrument"])

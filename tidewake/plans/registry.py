@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewake.plans import execution, extra, market, more, research, scalar, streams
+from tidewake.plans import execution, extra, logs, market, more, research, scalar, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-_ALL = {**scalar.QUERIES, **market.QUERIES, **execution.QUERIES, **research.QUERIES, **streams.QUERIES, **more.QUERIES, **extra.QUERIES}
+_ALL = {**scalar.QUERIES, **market.QUERIES, **execution.QUERIES, **research.QUERIES, **streams.QUERIES, **more.QUERIES, **extra.QUERIES, **logs.QUERIES}
 
 
 def queries() -> dict[str, Query]:

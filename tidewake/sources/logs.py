@@ -49,6 +49,39 @@ def artifact(deterministic: dict, runtime: dict) -> dict:
     return {"deterministic": deterministic, "hash": hashlib.sha256(text.encode()).hexdigest(), "runtime": runtime}
 
 
+def artifact_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(text, hash) of results documents: canonical JSON of the columns in order of their names, nulls told, and its SHA-256."""
+    text = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    return rows.select(text.alias("text")).withColumn("hash", F.sha2("text", 256))
+
+
+def write_artifacts(documents: DataFrame, path: str) -> None:
+    """Documents in folders by the first two digits of their hash, a line a document; a document that is there already is written again with the same name."""
+    documents.dropDuplicates(["hash"]).withColumn("at", F.substring("hash", 1, 2)).write.mode("append").partitionBy("at").json(path)
+
+
+def read_artifacts(spark: SparkSession, path: str, digest: str | None = None) -> DataFrame:
+    """(hash, text, fits) of all documents, or of one, of which only its folder is read; whether a text still has its hash."""
+    found = spark.read.schema("text string, hash string, at string").option("mode", "FAILFAST").json(path)
+    if digest is not None:
+        found = found.where((F.col("at") == digest[:2]) & (F.col("hash") == digest))
+    return found.dropDuplicates(["hash", "text"]).select("hash", "text", (F.sha2("text", 256) == F.col("hash")).alias("fits"))
+
+
+def manifest_text(of: dict) -> str:
+    """A manifest as JSON, keys in order."""
+    return json.dumps(of, sort_keys=True, indent=2)
+
+
+def read_manifest(text: str) -> dict:
+    """A manifest from its JSON; one whose parts don't fit each other is an error."""
+    found = json.loads(text)
+    again = manifest(found["n_total"], found["holdout_fraction"], found["holdout_sha256"], found["source"])
+    if again != found:
+        raise ValueError("the manifest's numbers don't fit each other")
+    return found
+
+
 def manifest(n_total: int, fraction: float, holdout_hash: str, source: str) -> dict:
     """A holdout's manifest; the boundary is floor(n * (1 - fraction))."""
     if not 0 < fraction < 1:
