@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from tidewake.functions import normal
+
 #: Euler's constant, of the expected maximum of normal draws.
 EULER = 0.5772156649015329
 
@@ -59,15 +60,6 @@ def psr_z(sr: Column, benchmark: Column, n: Column, g1: Column, g2: Column) -> C
     return F.when((n >= 3) & (v > 0), (sr - benchmark) * F.sqrt(n - 1) / F.sqrt(v))
 
 
-def _cdf(z: pd.Series) -> pd.Series:
-    return z.map(lambda x: None if x is None or math.isnan(x) else NormalDist().cdf(x))
-
-
-def normal_cdf(z: Column | str) -> Column:
-    """The normal distribution function; Spark has none, so a column of few rows goes through pandas."""
-    return F.pandas_udf(_cdf, "double")(z)
-
-
 def expected_max_sharpe(variance: float, trials: int) -> float:
     """Expected maximum of as many unskilled trials' Sharpe ratios."""
     if trials < 2 or variance <= 0:
@@ -76,6 +68,13 @@ def expected_max_sharpe(variance: float, trials: int) -> float:
     return math.sqrt(variance) * ((1 - EULER) * inverse(1 - 1 / trials) + EULER * inverse(1 - 1 / (trials * math.e)))
 
 
+def expected_max(variance: Column, trials: Column) -> Column:
+    """The same of columns; 0 for fewer than two trials or no variance."""
+    n = trials.cast("double")
+    best = (1 - EULER) * normal.inverse(1 - 1 / n) + EULER * normal.inverse(1 - 1 / (n * math.e))
+    return F.when((n >= 2) & (variance > 0), F.sqrt(variance) * best).otherwise(0.0)
+
+
 #: Groups whose brackets are broadcast.
 FEW_GROUPS = 10_000
 #: Bins of a histogram: what a task holds of a group and point.

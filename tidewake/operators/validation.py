@@ -5,35 +5,22 @@ from __future__ import annotations
 import uuid
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidewake.functions.normal import even
+from tidewake.operators import splits as ranges
 from tidewake.shared import folder
 
 
 def walk_forward(spark: SparkSession, n: int, splits: int, embargo: int) -> DataFrame:
     """(fold, role, idx): expanding training rows less an embargo, then a test fold of n // (splits + 1)."""
-    size = n // (splits + 1)
-    if splits < 2 or embargo < 0 or size < 1:
-        raise ValueError("walk_forward needs 2 splits or more, no negative embargo and a row a fold")
-    folds = spark.range(1, splits + 1).select(F.col("id").alias("fold"), (F.col("id") * size).alias("start"))
-    rows = folds.join(F.broadcast(folds.sparkSession.range(n).withColumnRenamed("id", "idx")) if n < 1_000_000 else spark.range(n).withColumnRenamed("id", "idx"), F.col("idx") < F.col("start") + size)
-    role = F.when(F.col("idx") >= F.col("start"), "test").when(F.col("idx") < F.col("start") - embargo, "train")
-    return rows.select("fold", role.alias("role"), "idx").where("role IS NOT NULL")
+    return ranges.places(spark, ranges.walk_forward(n, splits, embargo))
 
 
 def purged_kfold(spark: SparkSession, n: int, splits: int, embargo: int) -> DataFrame:
     """(fold, role, idx): each fold tested once; rows within the embargo behind or before it train nothing."""
-    size, rest = divmod(n, splits)
-    bounds = []
-    at = 0
-    for k in range(splits):
-        bounds.append((k + 1, at, at + size + (k < rest)))
-        at = bounds[-1][2]
-    folds = F.broadcast(spark.createDataFrame(bounds, "fold long, start long, stop long"))
-    rows = spark.range(n).withColumnRenamed("id", "idx").crossJoin(folds)
-    role = F.when((F.col("idx") >= F.col("start")) & (F.col("idx") < F.col("stop")), "test").when((F.col("idx") < F.col("start") - embargo) | (F.col("idx") >= F.col("stop") + embargo), "train")
-    return rows.select("fold", role.alias("role"), "idx").where("role IS NOT NULL")
+    return ranges.places(spark, ranges.purged_kfold(n, splits, embargo))
 
 
 def leaks(splits: DataFrame, span: int, causal: bool) -> DataFrame:
@@ -87,11 +74,6 @@ def bootstrap_path(draws: DataFrame, length: int, block: float) -> DataFrame:
     return draws.select("rep", "t", ((start + since) % length).alias("idx"))
 
 
-def even(*keys: str, seed: int) -> Column:
-    """A number in [0, 1) that follows from keys and a seed alone, whatever the partitions."""
-    return F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed)), 11) / float(1 << 53)
-
-
 def reality_check(panel: DataFrame, length: int, reps: int, block: float, seed: int) -> DataFrame:
     """One row (stat, rc_p, spa_stat, spa_p, k_kept): White's reality check and the simplified SPA test.
 
@@ -106,14 +88,14 @@ def reality_check(panel: DataFrame, length: int, reps: int, block: float, seed:
     weights = bootstrap_path(draws, length, block).groupBy("rep", "idx").agg(F.count("*").alias("n"))
     boot = weights.join(panel.withColumnRenamed("t", "idx"), "idx").groupBy("rep", "cfg").agg((F.sum(F.col("n") * F.col("r")) / length).alias("m"))
     mean = panel.groupBy("cfg").agg((F.sum("r") / length).alias("mean"))
-    off = boot.join(F.broadcast(mean), "cfg").withColumn("d", F.col("m") - F.col("mean"))
+    off = boot.join(mean, "cfg").withColumn("d", F.col("m") - F.col("mean"))
     omega = off.groupBy("cfg", "mean").agg(F.sqrt(F.avg(F.col("d") * F.col("d")) * length).alias("omega"))
     rated = omega.select("cfg", "omega", F.when(F.col("omega") > 0, math.sqrt(length) * F.col("mean") / F.col("omega")).otherwise(0.0).alias("z"))
     bar = -math.sqrt(2 * math.log(math.log(length)))
     rated = rated.withColumn("kept", F.col("z") >= bar)
     tops = rated.agg(F.greatest(F.max("z"), F.lit(0.0)).alias("stat"), F.greatest(F.coalesce(F.max(F.when(F.col("kept"), F.col("z"))), F.lit(0.0)), F.lit(0.0)).alias("spa_stat"), F.sum(F.col("kept").cast("long")).alias("k_kept"))
     w = F.when(F.col("omega") > 0, math.sqrt(length) * F.col("d") / F.col("omega")).otherwise(0.0)
-    maxima = off.join(F.broadcast(rated), "cfg").groupBy("rep").agg(F.greatest(F.max(w), F.lit(0.0)).alias("top"), F.greatest(F.coalesce(F.max(F.when(F.col("kept"), w)), F.lit(0.0)), F.lit(0.0)).alias("kept_top"))
+    maxima = off.join(rated, "cfg").groupBy("rep").agg(F.greatest(F.max(w), F.lit(0.0)).alias("top"), F.greatest(F.coalesce(F.max(F.when(F.col("kept"), w)), F.lit(0.0)), F.lit(0.0)).alias("kept_top"))
     return maxima.crossJoin(F.broadcast(tops)).groupBy("stat", "spa_stat", "k_kept").agg(F.avg((F.col("top") >= F.col("stat")).cast("double")).alias("rc_p"), F.avg((F.col("kept_top") >= F.col("spa_stat")).cast("double")).alias("spa_p"))
 
 

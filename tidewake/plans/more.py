@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewake.functions import fixed
+from tidewake.functions import fixed, normal
 from tidewake.operators import execution, features, regime, stats, validation
 from tidewake.operators.fold import ordered_fold
 
-from tidewake.plans.research import _CLOSES, _SHARPE, _closes, _psr
+from tidewake.plans.research import _CLOSES, _DEFLATED, _SHARPE, EXPECTED_MAX, _closes, _deflated
 from tidewake.sources import adapters as A
 from tidewake.sources import logs
 from tidewake.shared import folder
@@ -55,10 +55,13 @@ A09 = with_tables("trial_panel", "SELECT cfg, round(avg(r), 9) AS mean, round(me
 def m06_trial_variance(spark, sf_dir):
     """Number and variance of trials' Sharpe ratios a period: what their expected maximum needs."""
     sr = A.trial_panel(spark, sf_dir).groupBy("cfg").agg((F.avg("r") / F.stddev_samp("r")).alias("sr"))
-    return sr.agg(F.count("*").alias("trials"), F.round(F.var_samp("sr"), 9).alias("variance"), F.round(F.max("sr"), 9).alias("best"))
+    one = sr.agg(F.count("*").alias("trials"), F.var_samp("sr").alias("v"), F.round(F.max("sr"), 9).alias("best"))
+    return one.select("trials", F.round("v", 9).alias("variance"), "best", F.round(stats.expected_max(F.col("v"), F.col("trials")), 9).alias("expected_max"))
 
 
-M06 = with_tables("trial_panel", "SELECT count(*) AS trials, round(var_samp(sr), 9) AS variance, round(max(sr), 9) AS best FROM (SELECT avg(r) / stddev_samp(r) AS sr FROM trial_panel GROUP BY cfg)")
+M06 = with_tables("trial_panel", f""", sr AS (SELECT avg(r) / stddev_samp(r) AS sr FROM trial_panel GROUP BY cfg),
+s AS (SELECT var_samp(sr) AS v, count(*) AS k, max(sr) AS best, 1 - 1e0 / count(*) AS p1, 1 - 1e0 / (count(*) * exp(1e0)) AS p2 FROM sr)
+SELECT k AS trials, round(v, 9) AS variance, round(best, 9) AS best, round({EXPECTED_MAX}, 9) AS expected_max FROM s""")
 
 
 def m08_dashboard(spark, sf_dir):
@@ -261,11 +264,12 @@ SELECT segment, lag, bar, round(""" + _SHARPE + ", 6) AS sharpe FROM r GROUP BY
 
 def v19_global_correction(spark, sf_dir):
     """The best trial of all against the expected maximum of as many."""
-    m = _psr(spark, sf_dir)
-    v = m.agg(F.var_samp("sr").alias("v"), F.count("*").alias("k")).first()
-    bar = stats.expected_max_sharpe(v.v or 0.0, v.k)
-    best = m.orderBy(F.desc("sr"), "cfg").limit(1)
-    return best.select("cfg", F.round("sr", 6).alias("best"), F.round(F.lit(bar), 6).alias("benchmark"), F.round(stats.normal_cdf(stats.psr_z(F.col("sr"), F.lit(bar), F.col("n"), F.col("g1"), F.col("g2"))), 6).alias("dsr"))
+    m = _deflated(spark, sf_dir)
+    best = m.groupBy().agg(F.min_by(F.struct("cfg", "sr", "bar", "dz"), F.struct(-F.col("sr"), F.col("cfg"))).alias("x")).select("x.*")
+    return best.select("cfg", F.round("sr", 6).alias("best"), F.round("bar", 6).alias("benchmark"), F.round(normal.cdf(F.col("dz")), 6).alias("dsr"))
+
+
+V19 = with_tables("trial_panel", _DEFLATED + f"SELECT cfg, round(sr, 6) AS best, round(bar, 6) AS benchmark, round({normal.cdf_sql('dz')}, 6) AS dsr FROM z ORDER BY sr DESC, cfg LIMIT 1")
 
 
 def s12_trial_log(spark, sf_dir):
@@ -341,5 +345,5 @@ QUERIES = {
     "w13_funding_charge": (w13_funding_charge, W13), "w17_trades": (w17_trades, W17), "w21_latency": (w21_latency, W21), "a09_summaries": (a09_summaries, A09), "m06_trial_variance": (m06_trial_variance, M06), "m08_dashboard": (m08_dashboard, M08),
     "j01_funding_on_days": (j01_funding_on_days, J01), "j07_common_days": (j07_common_days, J07), "j08_excess": (j08_excess, J08), "o06_bag_union": (o06_bag_union, O06), "o08_intersection": (o08_intersection, O08), "o09_complement": (o09_complement, O09),
     "e03_passive_maker": (e03_passive_maker, None), "e06_funding_accrual": (e06_funding_accrual, E06), "e09_paper": (e09_paper, None), "e10_paper_equity": (e10_paper_equity, None), "e11_order_status": (e11_order_status, E11),
-    "v05_walk_forward_evaluate": (v05_walk_forward_evaluate, None), "v15_rule_sweep": (v15_rule_sweep, V15), "v19_global_correction": (v19_global_correction, None), "s12_trial_log": (s12_trial_log, S12), "s19_metrics": (s19_metrics, S19),
+    "v05_walk_forward_evaluate": (v05_walk_forward_evaluate, None), "v15_rule_sweep": (v15_rule_sweep, V15), "v19_global_correction": (v19_global_correction, V19), "s12_trial_log": (s12_trial_log, S12), "s19_metrics": (s19_metrics, S19),
 }

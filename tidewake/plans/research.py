@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidewake.operators import features, regime, stats, validation
+from tidewake.functions import normal
+from tidewake.operators import features, regime, scan, splits, stats, validation
 from tidewake.sources import adapters as A
+from tidewake.sources import config
 from tidewake.sources.adapters import with_tables
 
 
@@ -58,13 +60,25 @@ g AS (SELECT cfg, n, m / sqrt(s2 / (n - 1)) AS sr, sqrt(n * (n - 1)::DOUBLE) / (
 M05 = with_tables("trial_panel", _MOMENTS + "SELECT cfg, n, round(g1, 5) AS g1, round(g2, 5) AS g2, round(sr * sqrt(n - 1::DOUBLE) / sqrt(1 - g1 * sr + (g2 - 1) / 4 * sr * sr), 5) AS z FROM g")
 
 
+def _deflated(spark, sf_dir):
+    """Trials' moments with the expected maximum of as many ratios, ``bar``, of the one row of all."""
+    m = _psr(spark, sf_dir)
+    bar = m.agg(F.var_samp("sr").alias("v"), F.count("*").alias("k")).select(stats.expected_max(F.col("v"), F.col("k")).alias("bar"))
+    return m.crossJoin(F.broadcast(bar)).withColumn("dz", stats.psr_z(F.col("sr"), F.col("bar"), F.col("n"), F.col("g1"), F.col("g2")))
+
+
 def m07_deflated(spark, sf_dir):
     """Probabilistic Sharpe ratios of all trials against 0 and against their expected maximum."""
-    m = _psr(spark, sf_dir)
-    v = m.agg(F.var_samp("sr").alias("v"), F.count("*").alias("k")).first()
-    bar = stats.expected_max_sharpe(v.v or 0.0, v.k)
-    deflated = stats.psr_z(F.col("sr"), F.lit(bar), F.col("n"), F.col("g1"), F.col("g2"))
-    return m.select("cfg", F.round(stats.normal_cdf("z"), 6).alias("psr"), F.round(stats.normal_cdf(deflated), 6).alias("dsr"))
+    return _deflated(spark, sf_dir).select("cfg", F.round(normal.cdf(F.col("z")), 6).alias("psr"), F.round(normal.cdf(F.col("dz")), 6).alias("dsr"))
+
+
+#: Of ``v`` and ``k``, the variance and number of all trials' ratios.
+EXPECTED_MAX = f"CASE WHEN k >= 2 AND v > 0 THEN sqrt(v) * ({1 - stats.EULER!r}e0 * ({normal.inverse_sql('p1')}) + {stats.EULER!r}e0 * ({normal.inverse_sql('p2')})) ELSE 0e0 END"
+_DEFLATED = _MOMENTS.rstrip() + f""",
+s AS (SELECT var_samp(sr) AS v, count(*) AS k, 1 - 1e0 / count(*) AS p1, 1 - 1e0 / (count(*) * exp(1e0)) AS p2 FROM g), bar AS (SELECT {EXPECTED_MAX} AS bar FROM s),
+z AS (SELECT cfg, sr, bar, sr * sqrt(n - 1::DOUBLE) / sqrt(1 - g1 * sr + (g2 - 1) / 4 * sr * sr) AS z, (sr - bar) * sqrt(n - 1::DOUBLE) / sqrt(1 - g1 * sr + (g2 - 1) / 4 * sr * sr) AS dz FROM g, bar)
+"""
+M07 = with_tables("trial_panel", _DEFLATED + f"SELECT cfg, round({normal.cdf_sql('z')}, 6) AS psr, round({normal.cdf_sql('dz')}, 6) AS dsr FROM z")
 
 
 def v01_walk_forward(spark, sf_dir):
@@ -138,6 +152,39 @@ def v09_reality_check(spark, sf_dir):
     return r.select(*(F.round(c, 6).alias(c) for c in ("stat", "rc_p", "spa_stat", "spa_p")), "k_kept")
 
 
+V09 = with_tables("trial_panel", f""", l AS (SELECT max(t) + 1 AS len FROM trial_panel), grid AS (SELECT rep, unnest(range(len)) AS t, len FROM (SELECT unnest(range(500)) AS rep), l),
+d AS (SELECT *, {normal.even_sql("rep", "t", seed=17)} AS u, {normal.even_sql("rep", "t", seed=18)} AS v FROM grid),
+j AS (SELECT *, CASE WHEN t = 0 OR u < 0.1e0 THEN t END AS jt, CASE WHEN t = 0 OR u < 0.1e0 THEN CAST(floor(v * len) AS BIGINT) END AS js FROM d),
+p AS (SELECT rep, (last_value(js IGNORE NULLS) OVER w + t - last_value(jt IGNORE NULLS) OVER w) % len AS idx FROM j WINDOW w AS (PARTITION BY rep ORDER BY t ROWS UNBOUNDED PRECEDING)),
+n AS (SELECT rep, idx, count(*) AS n FROM p GROUP BY 1, 2), boot AS (SELECT rep, cfg, sum(n * r) / max(len) AS m FROM n JOIN trial_panel ON t = idx, l GROUP BY 1, 2),
+mean AS (SELECT cfg, sum(r) / max(len) AS mean FROM trial_panel, l GROUP BY 1), o AS (SELECT rep, b.cfg, mean, m - mean AS d FROM boot b JOIN mean ON mean.cfg = b.cfg),
+om AS (SELECT cfg, mean, sqrt(avg(d * d) * max(len)) AS omega, max(len) AS len FROM o, l GROUP BY 1, 2),
+k AS (SELECT cfg, omega, z, z >= -sqrt(2 * ln(ln(len))) AS kept FROM (SELECT *, CASE WHEN omega > 0 THEN sqrt(len) * mean / omega ELSE 0 END AS z FROM om)),
+tops AS (SELECT greatest(max(z), 0) AS stat, greatest(coalesce(max(z) FILTER (WHERE kept), 0), 0) AS spa_stat, count(*) FILTER (WHERE kept) AS k_kept FROM k),
+x AS (SELECT rep, kept, CASE WHEN omega > 0 THEN sqrt(len) * d / omega ELSE 0 END AS w FROM o JOIN k ON k.cfg = o.cfg, l),
+m AS (SELECT rep, greatest(max(w), 0) AS top, greatest(coalesce(max(w) FILTER (WHERE kept), 0), 0) AS kept_top FROM x GROUP BY 1)
+SELECT round(max(stat), 6) AS stat, round(avg(CASE WHEN top >= stat THEN 1e0 ELSE 0 END), 6) AS rc_p, round(max(spa_stat), 6) AS spa_stat, round(avg(CASE WHEN kept_top >= spa_stat THEN 1e0 ELSE 0 END), 6) AS spa_p, max(k_kept) AS k_kept FROM m, tops""")
+
+
+def v03_configured_splits(spark, sf_dir):
+    """The daily closes by the splits of two study configurations, one a scheme: rows, places and sums of each fold and role."""
+    days = scan.placed(A.daily_close(spark, sf_dir), [], ["day"], "idx")
+    n, out = days.count(), None
+    for scheme in splits.SCHEMES:
+        study = config.study_config({"features": [("sma", {})], "scheme": scheme, "n_splits": 5, "embargo": 10})
+        held = splits.rows(days, "idx", splits.of_config(study, n), 100).groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("idx").alias("low"), F.max("idx").alias("high"), F.round(F.sum("close"), 2).alias("close"))
+        held = held.select(F.lit(scheme).alias("scheme"), "*")
+        out = held if out is None else out.unionByName(held)
+    return out
+
+
+V03 = with_tables("daily_close", """, i AS (SELECT close, row_number() OVER (ORDER BY day) - 1 AS idx, count(*) OVER () AS n FROM daily_close), f AS (SELECT unnest(range(1, 6)) AS fold),
+w AS (SELECT 'walk_forward' AS scheme, fold, CASE WHEN idx >= fold * (n // 6) AND idx < (fold + 1) * (n // 6) THEN 'test' WHEN idx < fold * (n // 6) - 10 THEN 'train' END AS role, idx, close FROM i, f),
+b AS (SELECT *, (fold - 1) * (n // 5) + least(fold - 1, n % 5) AS a, fold * (n // 5) + least(fold, n % 5) AS z FROM i, f),
+k AS (SELECT 'purged_kfold' AS scheme, fold, CASE WHEN idx >= a AND idx < z THEN 'test' WHEN idx < a - 10 OR idx >= z + 10 THEN 'train' END AS role, idx, close FROM b)
+SELECT scheme, fold, role, count(*) AS n, min(idx) AS low, max(idx) AS high, round(sum(close), 2) AS close FROM (SELECT * FROM w UNION ALL SELECT * FROM k) WHERE role IS NOT NULL GROUP BY 1, 2, 3""")
+
+
 def v10_holdout(spark, sf_dir):
     """Rows of the daily closes before and behind the holdout's boundary."""
     n = A.daily_close(spark, sf_dir).count()
@@ -284,8 +331,8 @@ S18 = with_tables("candle_rows", _CLOSES + """, s AS (SELECT segment, t, CASE WH
 SELECT segment, t, target, CASE WHEN was = 'FLAT' AND target = 'LONG' THEN 'ENTER' WHEN was = 'LONG' AND target = 'FLAT' THEN 'EXIT' ELSE 'HOLD' END AS action, gap FROM w""")
 
 QUERIES = {
-    "m01_sharpe": (m01_sharpe, M01), "s14_trial_sharpes": (m01_sharpe, M01), "m02_sortino": (m02_sortino, M02), "m03_max_drawdown": (m03_max_drawdown, M03), "m04_returns": (m04_returns, M04), "m05_psr": (m05_psr, M05), "m07_deflated": (m07_deflated, None),
-    "v01_walk_forward": (v01_walk_forward, V01), "v02_purged_kfold": (v02_purged_kfold, V02), "v04_leaks": (v04_leaks, V04), "v07_cscv": (v07_cscv, V07), "v08_bootstrap_path": (v08_bootstrap_path, V08), "v09_reality_check": (v09_reality_check, None), "v10_holdout": (v10_holdout, V10),
+    "m01_sharpe": (m01_sharpe, M01), "s14_trial_sharpes": (m01_sharpe, M01), "m02_sortino": (m02_sortino, M02), "m03_max_drawdown": (m03_max_drawdown, M03), "m04_returns": (m04_returns, M04), "m05_psr": (m05_psr, M05), "m07_deflated": (m07_deflated, M07),
+    "v01_walk_forward": (v01_walk_forward, V01), "v02_purged_kfold": (v02_purged_kfold, V02), "v04_leaks": (v04_leaks, V04), "v07_cscv": (v07_cscv, V07), "v08_bootstrap_path": (v08_bootstrap_path, V08), "v09_reality_check": (v09_reality_check, V09), "v03_configured_splits": (v03_configured_splits, V03), "v10_holdout": (v10_holdout, V10),
     "h08_hmm_fit": (h08_hmm_fit, None), "h11_hmm_filter": (h11_hmm_filter, None), "c01_run_lengths": (c01_run_lengths, None), "c04_changepoints": (c04_changepoints, None),
     "t01_long_flat": (t01_long_flat, None), "t02_long_short": (t02_long_short, None), "t03_overlay": (t03_overlay, None), "t04_vol_target": (t04_vol_target, None), "t05_kelly": (t05_kelly, None), "t06_rule_returns": (t06_rule_returns, T06), "t07_buy_and_hold": (t07_buy_and_hold, T07),
     "a08_attribution": (a08_attribution, None), "s13_performance_matrix": (s13_performance_matrix, S13), "s18_signal_log": (s18_signal_log, S18),
