@@ -48,20 +48,31 @@ def _equal(keys: list[str], a: str, b: str) -> Column:
     return out
 
 
-def running(df: DataFrame, keys: list[str], place: str, totals: dict[str, Column], aggregate: Callable = F.sum, add: Callable[[Column, Column], Column] | None = None, piece: int | None = None) -> DataFrame:
-    """The frame with totals over the rows before each row of its key, null for none; a piece is one task's, and a row goes on from it."""
+def running(df: DataFrame, keys: list[str], place: str, totals: dict[str, Column], aggregate: Callable = F.sum, add: Callable[[Column, Column], Column] | None = None, piece: int | None = None, pieces: bool = True) -> DataFrame:
+    """The frame with totals over the rows before each row of its key, null for none; a piece is one task's, and a row goes on from it.
+
+    Without ``pieces`` no key may have more rows than a piece (see ``longest``), and one sort serves all totals.
+    """
+    if not pieces:
+        before = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+        return df.select("*", *(aggregate(c).over(before).alias(n) for n, c in totals.items()))
     add = add or (lambda a, b: a + b)
     parted = df.withColumns({"_piece": F.expr(f"{place} div {piece or PIECE}"), **{f"_x_{n}": c for n, c in totals.items()}})
     inside = Window.partitionBy(*keys, "_piece").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = parted.groupBy(*keys, "_piece").agg(*(aggregate(f"_x_{n}").alias(f"_s_{n}") for n in totals))
-    starts = pieces.withColumns({f"_s_{n}": aggregate(f"_s_{n}").over(earlier) for n in totals}).where("_piece > 0")
+    sums = parted.groupBy(*keys, "_piece").agg(*(aggregate(f"_x_{n}").alias(f"_s_{n}") for n in totals))
+    starts = sums.withColumns({f"_s_{n}": aggregate(f"_s_{n}").over(earlier) for n in totals}).where("_piece > 0")
     rows = parted.withColumns({f"_t_{n}": aggregate(f"_x_{n}").over(inside) for n in totals}).alias("r")
     joined = rows.join(starts.alias("s"), _equal(keys, "r", "s") & (F.col("r._piece") == F.col("s._piece")), "left")
     both = lambda n: F.when(F.col(f"r._t_{n}").isNull(), F.col(f"s._s_{n}")).when(F.col(f"s._s_{n}").isNull(), F.col(f"r._t_{n}")).otherwise(add(F.col(f"s._s_{n}"), F.col(f"r._t_{n}")))
     return joined.select(*(F.col(f"r.`{c}`") for c in df.columns), *(both(n).alias(n) for n in totals))
 
 
+def longest(df: DataFrame, keys: list[str]) -> int:
+    """Rows of the key that has most."""
+    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+
+
 def haloed(df: DataFrame, keys: list[str], order: list[str], back: int, ahead: int = 0, piece: int | None = None) -> tuple[DataFrame, WindowSpec, Column]:
     """(rows with copies, window, own): windows of up to ``back`` rows before and ``ahead`` behind a row, in pieces of a key.
 

@@ -9,7 +9,7 @@ segment alone, and segments are independent; profit is a sum again. A segment lo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewake.functions import fixed
@@ -19,7 +19,7 @@ from tidewake.operators.fold import ordered_fold
 #: Rows of a segment that are folded as one array.
 LONGEST = 1 << 17
 #: Rows of an inner array: arrays are copied as they grow.
-CHUNK = 256
+CHUNK = 64
 
 _LONG = "decimal(38,0)"
 
@@ -64,12 +64,19 @@ def _long_segments(rows: DataFrame, keys: list[str]) -> DataFrame:
 def positions(fills: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """(keys, n, qty_raw, entry_raw, realised_raw) after each fill (side, qty_raw, px_raw, fee_raw) of a key, in order."""
     signed = fixed.sign(F.col("side")) * F.col("qty_raw")
-    rows = scan.placed(fills.select(*keys, *(c for c in order if c not in keys), signed.alias("signed"), "px_raw", "fee_raw"), keys, order, "place").select(*keys, "place", "signed", "px_raw", "fee_raw")
-    rows = scan.running(rows, keys, "place", {"before": F.col("signed")}).withColumn("before", F.coalesce("before", F.lit(0)))
+    # Where every key fits a piece, windows over keys do.
+    pieces = scan.longest(fills, keys) > scan.PIECE
+    rows = fills.select(*keys, *(c for c in order if c not in keys), signed.alias("signed"), "px_raw", "fee_raw")
+    if pieces:
+        rows = scan.placed(rows, keys, order, "place")
+    else:
+        rows = rows.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
+    rows = rows.select(*keys, "place", "signed", "px_raw", "fee_raw")
+    rows = scan.running(rows, keys, "place", {"before": F.col("signed")}, pieces=pieces).withColumn("before", F.coalesce("before", F.lit(0)))
     after = F.col("before") + F.col("signed")
     flips = (F.col("before") != 0) & (after != 0) & ((F.col("before") > 0) != (after > 0))
     ends = ((after == 0) | flips).cast("long")
-    rows = scan.written(scan.running(rows, keys, "place", {"segment": ends}).withColumn("segment", F.coalesce("segment", F.lit(0))))
+    rows = scan.written(scan.running(rows, keys, "place", {"segment": ends}, pieces=pieces).withColumn("segment", F.coalesce("segment", F.lit(0))))
     # A flip's price also starts the segment behind it.
     parts = F.array_compact(F.array(F.struct(F.col("segment"), F.lit(False).alias("seed")), F.when(flips, F.struct((F.col("segment") + 1).alias("segment"), F.lit(True).alias("seed")))))
     seeded = rows.withColumn("_part", F.explode(parts)).select(*keys, "_part.segment", "_part.seed", "place", "signed", "px_raw", "fee_raw", "before")
@@ -88,7 +95,7 @@ def positions(fills: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     folded = scan.written(folded)
 
     gain = _gain(F.col("entry")) - F.col("fee_raw")
-    done = scan.running(folded.withColumn("gain", gain), keys, "place", {"so_far": F.col("gain")})
+    done = scan.running(folded.withColumn("gain", gain), keys, "place", {"so_far": F.col("gain")}, pieces=pieces)
     extends = (F.col("before") == 0) | ((F.col("before") > 0) == (F.col("signed") > 0))
     flipped = (after != 0) & ~extends & ((after > 0) == (F.col("signed") > 0))
     entry = F.when(after == 0, F.lit(0)).when(extends, F.expr(_blended("entry", "before", "px_raw", "signed"))).when(flipped, F.col("px_raw")).otherwise(F.col("entry"))
