@@ -54,10 +54,10 @@ def test_hard_rows(spark):
 
 
 def test_columns_of_any_name_keep_their_values(spark):
-    names = ["k", "_drops", "_lines", "_cuts", "n_lines", "n_dropped", "lines0", "_n", "component_id", "row", "name", "first", "n", "id", "key", "score", "lang_pred", "item_id", "words", "hits"]
+    names = ["k", "_drops", "_lines", "_cuts", "n_lines", "n_dropped", "lines0", "_n", "component_id", "row", "name", "first", "n", "id", "key", "score", "lang_pred", "item_id", "words", "hits", "a.b", "back`tick", "c0"]
     prose = ["the and of that with this was for in on by as it is from are", "el perro de la casa es muy grande y come todo el dia por que si", "some other words that are not like the first ones in any way at all"]
     rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(prose)] + [(None, "a text without an id but with words of its own kind", "en", "a", 5)] * 2 + [(7, "rows of one id with other words to read today", "en", "a", 3), (7, "of one id the second row with quite different content", "en", "b", 4)]
-    docs = spark.createDataFrame([(*r, *(f"{c}{i}" for c in names)) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    docs = spark.createDataFrame([(*r, *(f"{c}{i}" for c in names)) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join("`" + c.replace("`", "``") + "` string" for c in names))
     at = names.index("k")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, PATH)

@@ -74,15 +74,17 @@ def whole_scores(rows, labels, usable):
 
     def similar(unit):
         if unit not in known:
+            def like(p, z):
+                return plain(p, z, 4, 0.75) / plain(z, z, 4, 0.75) / max(len(p) / len(z), 1)
+
             pieces = [unit[i : i + 24] for i in range(0, max(1, len(unit) - 12), 12)] if len(unit) > 24 else [unit]
-            rows_ = [[plain(p, z, 4, 0.75) / plain(z, z, 4, 0.75) / max(len(p) / len(z), 1) for z in m.landmarks] for p in pieces]
-            known[unit] = np.max(rows_, axis=0)
+            known[unit] = np.array([max(like(p, z) for p in pieces) if w else like(unit[: len(z) + 1], z) for z, w in zip(m.landmarks, m.whole)])
         return known[unit]
 
     out = {}
     for k, t in rows:
         low = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
-        sentences, words_, singles = [[]], 0, []
+        sentences, words_, singles, runs = [[]], 0, [], []
         for line in low.split(b"\n"):
             for w in [x for x in re.split(rb"[\x20\x09-\x0D]+", line) if x]:
                 words_ += 1
@@ -99,11 +101,15 @@ def whole_scores(rows, labels, usable):
             while end < len(singles) and singles[end][0]:
                 end += 1
             if end - at >= 3:
-                sentences[singles[at][2]].append(b"".join(u for _, u, _ in singles[at:end]))
+                runs.append((singles[at][2], b"".join(u for _, u, _ in singles[at:end])))
             at = max(end, at + 1)
-        margins = [float(np.max([similar(u) for u in s], axis=0) @ m.alpha + m.bias) for s in sentences if s] or [m.bias]
+        best = [np.max([similar(u) for u in [*s, *(u for j, u in runs if j == i)]], axis=0) for i, s in enumerate(sentences) if s]
+        margins = [float(b @ m.alpha + m.bias) for b in best] or [m.bias]
+        near = max((float(b[m.sure].max()) for b in best), default=0.0) if len(m.sure) else 0.0
+        found = min(max((near - 0.34) / (0.56 - 0.34), 0), 1)
+        hits = sum(bool(((similar(u) >= 0.75) & ~m.whole).any()) for s in sentences for u in s) if words_ else 0
         past, worst = sum(x > 0 for x in margins) if words_ else 0, max(margins)
-        z = m.curve @ [np.log1p(past), np.log(words_ + 3) * (1 - min(max(worst / 3, 0), 1))] + m.shift
+        z = m.curve @ [np.log1p(past), np.log(words_ + 3) * (1 - max(min(max(worst / 3, 0), 1), found)), found, np.log((hits + 0.5) / (words_ / 1000 + 0.5))] + m.shift
         out[k] = z
     return out
 
@@ -145,6 +151,36 @@ def test_frame(spark):
     toxicity.score(df, toxicity.fit(df, labels, F.col("doc_id").isNotNull())).collect()
 
 
+def test_letters_put_in_at_any_length():
+    """Insults with a letter or two put in, in clean words of ordinary length."""
+    m, rng = machine(), np.random.default_rng(7)
+    words_ = "the of and on as it house tree walk green river stone idea moon".split()
+    for n in (4, 50, 200, 400):
+        text = lambda w: " ".join([*rng.choice(words_, n), w])  # noqa: B023, E731
+        share = [np.mean([score(m, text(toxicity.put_in(w, k, 1000 + i).decode())) >= 0.5 for w in (b"idiot", b"moron", b"scumbag") for i in range(30)]) for k in (0, 1, 2)]
+        assert share[0] == 1 and share[1] >= 0.9 and share[2] >= 0.6, (n, share)
+        assert np.mean([score(m, text("moon")) >= 0.5 for _ in range(50)]) == 0
+
+
+def test_one_large_text_changes_no_other_score(spark):
+    words_ = "the of and on as it house tree walk river stone idea".split()
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(rng.choice(words_, 12)) + (" you idiot" if i % 3 == 0 else "")) for i in range(120)]
+    labels = [(i, int(i % 3 == 0)) for i in range(121)]
+    kind = "doc_id long, text string"
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    a = toxicity.fit(spark.createDataFrame(rows, kind), known, F.lit(True))
+    b = toxicity.fit(spark.createDataFrame([*rows, (120, "you idiot. " * 1_700_000)], kind), known, F.lit(True))
+    tests = ["you idiot", "the house", "tree " * 300, "river idixot stone"]
+    assert max(abs(score(a, t) - score(b, t)) for t in tests) < 0.02 and score(b, "you idiot") > 0.9
+
+
+def test_landmarks_are_not_cut_within_a_character():
+    texts = [f"réeuxñ{s} réeuxñ{s}{s} of".encode() for s in "abcdefghij"] * 3 + [b"of the and"] * 30
+    marks, _, _ = toxicity.choose_landmarks(texts, np.array([True] * 30 + [False] * 30))
+    assert marks and all(z.decode() for z in marks)
+
+
 def test_table_bound_changes_nothing():
     m = machine()
     text = " ".join(f"idiot{i} the moron tree{i}." for i in range(300)).encode()
@@ -159,4 +195,4 @@ def test_held_out_toxicity(spark):
     assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in got)
     bad, good = [r.score for r in got if labels[r.doc_id]], [r.score for r in got if not labels[r.doc_id]]
     area = np.mean([[(b > g) + 0.5 * (b == g) for g in good] for b in bad])
-    assert area > 0.94 and np.mean([s >= 0.5 for s in good]) < 0.02 and np.mean([s >= 0.5 for s in bad]) > 0.7
+    assert area > 0.96 and np.mean([s >= 0.5 for s in good]) < 0.015 and np.mean([s >= 0.5 for s in bad]) > 0.8

@@ -33,6 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as an identifier, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def remainder(column: str, modulus: int):
     """crc32 of an id written as text, modulo a number; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
@@ -98,21 +103,29 @@ def most_frequent(counts: DataFrame, count: str, limit: int, least: int = 1) ->
 
 #: Bytes of text that a sample of labelled rows holds of either label, whatever the texts' lengths.
 SAMPLE_BYTES = 1 << 24
+#: Longer texts aren't sampled where there are shorter ones, as one of them would take the place of all others.
+SAMPLE_TEXT_BYTES = SAMPLE_BYTES >> 4
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str, rows: int) -> list[tuple[str, int]]:
     """At most ``rows`` texts of label 0 and of label 1, in order of a hash of the id; at most SAMPLE_BYTES of either.
 
     The labels are cut to the sample before they meet the texts. An id with
-    several labels has the largest, one with several texts the least.
+    several labels has the largest, one with several texts the least. Texts of over
+    SAMPLE_TEXT_BYTES are left out, and take no room from others; a label of such texts alone
+    has its shortest, if SAMPLE_BYTES hold it.
     """
     known = labels.where(usable & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     picked = bounded_sample(known.withColumn("key", F.xxhash64("id")), "label", "key", rows, "id").select("id", "label")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     # At most 2 * rows ids with their labels: bounded by the parameter, so it may be broadcast.
     found = written(texts.join(F.broadcast(picked), "id").groupBy("id").agg(F.min("text").alias("text"), F.max("label").alias("label")))
+    # At most 2 * rows light rows.
+    sizes = found.select("id", "label", F.octet_length("text").cast("long").alias("n"))
+    least = F.row_number().over(Window.partitionBy("label").orderBy("n", F.xxhash64("id"), "id")) == 1
+    small = sizes.withColumn("fits", (F.col("n") <= SAMPLE_TEXT_BYTES) | least).where("fits")
     so_far = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    short = found.select("id", "label", F.octet_length("text").alias("n")).withColumn("total", F.sum("n").over(so_far)).where(F.col("total") <= SAMPLE_BYTES)
+    short = small.withColumn("total", F.sum("n").over(so_far)).where(F.col("total") <= SAMPLE_BYTES)
     return [(r.text, r.label) for r in found.join(F.broadcast(short.select("id")), "id").orderBy(F.xxhash64("id"), "id").collect()]
 
 

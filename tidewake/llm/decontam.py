@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import LETTERS_DIGITS, checkpoint, in_filter, key_filter, mix, slices, split_mix, words
+from tidewake.llm.common import LETTERS_DIGITS, checkpoint, in_filter, key_filter, mix, quoted, slices, split_mix, words
 
 #: Words of a stretch, and the part of them that are equal.
 SPAN = 10
@@ -235,4 +235,4 @@ def overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col
 def clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
     """The rows of texts that no item contaminates, with all their columns."""
     bad = overlaps(docs, bench, id_col, **columns).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    return docs.join(bad, id_col, "left_anti").select(*(F.col(quoted(c)) for c in docs.columns))

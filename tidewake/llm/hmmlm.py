@@ -293,8 +293,9 @@ def fit(train: DataFrame, counts: DataFrame, id_col: str, text_col: str) -> Mode
     sizes = low.select("_key", F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n")).distinct().orderBy("_key", "n").limit(SAMPLE_TEXTS).collect()
     kept, held = [], 0
     for r in sizes:
-        held += r.n
-        if held <= SAMPLE_BYTES:
+        # A text that doesn't fit takes no room from those behind it.
+        if held + r.n <= SAMPLE_BYTES:
+            held += r.n
             kept.append(r._key)
     rows = low.where(F.col("_key").isin(kept)).groupBy("_key").agg(F.min(text_col).alias("t")).orderBy("_key").collect() if kept else []
     texts = [(r.t or "").encode() for r in rows]

@@ -29,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import bounded_sample, slices, written
+from tidewake.llm.common import bounded_sample, quoted, slices, written
 
 ROWS_A_LANGUAGE = 384
 SAMPLE_BYTES = 1 << 22
+#: Bytes of all languages' samples: many languages have less each.
+ALL_BYTES = 1 << 27
 #: Stretches of a text that an epoch draws.
 DRAWN = 2
 WINDOW = 128
@@ -247,8 +249,13 @@ def training_sample(df: DataFrame, usable: Column, id_col: str, text_col: str, l
     light = labelled.select("lang", "key", "row", F.octet_length("text").cast("long").alias("n"))
     picked = bounded_sample(light, "lang", "key", rows, "row")
     order = Window.partitionBy("lang").orderBy("key", "row")
-    fits = (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) <= SAMPLE_BYTES) | (F.row_number().over(order) == 1)
-    few = written(picked.withColumn("fits", fits).where("fits").select("lang", "key", "row").distinct())
+    # Light rows, at most ``rows`` a language. A text over a share of the bound takes no room from others; every language has its shortest.
+    picked = written(picked)
+    room = min(SAMPLE_BYTES, ALL_BYTES // max(1, picked.select("lang").distinct().count()))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("n", "key", "row")) == 1
+    small = picked.withColumn("least", least).where((F.col("n") <= room // 16) | F.col("least"))
+    total = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    few = written(small.withColumn("fits", (total <= room) | F.col("least")).where("fits").select("lang", "key", "row").distinct())
     # Repeated rows have the same text, so one of each is enough.
     found = labelled.join(few, ["lang", "key", "row"]).groupBy("lang", "key", "row").agg(F.min("text").alias("text")).orderBy("lang", "key", "row")
     return [(r.text.encode(), r.lang) for r in found.collect()]
@@ -281,8 +288,8 @@ def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
 
 def keep(df: DataFrame, net: Network | None, least: float, text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, whose text has a letter and a language of at least this score."""
-    # Batches are passed on whole, so names of other columns don't matter; the check for letters rides along.
-    letters = F.coalesce(F.col(f"`{text_col}`").rlike("\\p{L}"), F.lit(False))
+    # Batches are passed on whole, under names by place, so names of other columns don't matter; the check for letters rides along.
+    letters = F.coalesce(F.col(quoted(text_col)).rlike("\\p{L}"), F.lit(False))
     where = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,7 +304,7 @@ def keep(df: DataFrame, net: Network | None, least: float, text_col: str = "text
             yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=[f"c{i}" for i in range(len(kept.columns) - 1)])
 
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(df.schema))
-    out = df.select(*(F.col(f"`{c}`") for c in df.columns), letters.alias("_letters")).mapInArrow(run, kinds)
+    out = df.select(*(F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(df.columns)), letters.alias("_letters")).mapInArrow(run, kinds)
     return out.toDF(*df.columns)
 
 

@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewake.llm.common import checkpoint, written
+from tidewake.llm.common import checkpoint, quoted, written
 
 #: The only bound above equality that halves find.
 EDIT_BOUND = 1
@@ -49,7 +49,7 @@ def _row_key(id_: Column, text: Column) -> list[Column]:
 
 def lines(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, id, at, line) of every line that isn't blank; k1 and k2 are hashes of the row."""
-    rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where(F.col("text").isNotNull())
+    rows = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).where(F.col("text").isNotNull())
     split = rows.select(*_row_key(F.col("id"), F.col("text")), "id", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
     return split.select("k1", "k2", "id", "at", F.lower(F.trim("raw")).alias("line")).where("line != ''")
 
@@ -130,11 +130,11 @@ def dropped_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
     """The rows with superfluous lines taken out of their texts, and the numbers of lines and of dropped ones of each."""
     drops = dropped_lines(df, id_col, text_col).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("at")).alias("drops"))
-    whole = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")
-    text = F.col(f"row.`{text_col}`")
+    whole = F.struct(*(F.col(quoted(c)) for c in df.columns)).alias("row")
+    text = F.col(f"row.{quoted(text_col)}")
     # Between two dropped lines stands a slice of kept ones, so a text is put together in one pass.
     joined = (
-        df.select(whole, *_row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")))
+        df.select(whole, *_row_key(F.col(quoted(id_col)), F.col(quoted(text_col))))
         .join(drops, ["k1", "k2"], "left")
         .withColumn("lines", F.split(text, "\n", -1))
         .withColumn("cuts", F.expr("concat(array(-1), drops, array(size(lines)))"))
@@ -142,7 +142,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_c
     kept = F.expr("flatten(transform(sequence(1, size(cuts) - 1), i -> slice(lines, cuts[i - 1] + 2, cuts[i] - cuts[i - 1] - 1)))")
     shorter = F.when(F.col("drops").isNull(), text).otherwise(F.array_join(kept, "\n"))
     return joined.select(
-        *(shorter.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in (lines_col, dropped_col)),
+        *(shorter.alias(c) if c == text_col else F.col(f"row.{quoted(c)}").alias(c) for c in df.columns if c not in (lines_col, dropped_col)),
         F.coalesce(F.when(text.isNotNull(), F.size("lines")), F.lit(0)).alias(lines_col),
         F.coalesce(F.when(F.col("drops").isNotNull(), F.size("drops")), F.lit(0)).alias(dropped_col),
     )
