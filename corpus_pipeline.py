@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewake.llm import decontam, langid, linededup, ngramjoin, spm
-from tidewake.llm.common import remainder, table, written
+from tidewake.llm.common import quoted, remainder, table, written
 
 #: Documents whose best language has a lower mean probability are rejected, and those without a letter.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -30,7 +30,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     taken = {c.lower() for c in docs.columns}
     n_lines, n_dropped = (next(n for i in range(len(taken) + 1) if (n := f"{name}{i}") not in taken) for name in ("lines", "dropped"))
     short = linededup.dedup(docs, lines_col=n_lines, dropped_col=n_dropped).where((F.col(n_dropped) == 0) | (F.trim(F.regexp_replace("text", "\n", " ")) != ""))
-    return short.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return short.withColumn("n_chars", F.length("text").cast("long")).select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     found = ngramjoin.join_components(docs, count_links=False)
     others = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    whole = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    whole = docs.select("doc_id", F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
     named = whole.withColumn("name", F.struct(F.xxhash64("row.text"), F.xxhash64("row"), F.xxhash64(F.lit(1), "row")))
     # Light rows first: each id's number of rows and the row that stays.
     firsts = named.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("name").alias("first"), F.count("*").alias("n"))
@@ -48,7 +48,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     once = kept.where("n = 1").select("row")
     again = kept.where("n > 1 AND name = first").groupBy("doc_id").agg(F.first("row").alias("row")).select("row")
     none = named.where(F.col("doc_id").isNull()).select("row")
-    return once.union(again).union(none).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    return once.union(again).union(none).select(*(F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
