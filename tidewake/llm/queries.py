@@ -38,11 +38,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose five-word shingles are alike to 0.8.
-
-    The links are all counted, but these are the columns of the query's SQL: ``join_components`` has ``n_links``.
-    """
-    return ngramjoin.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    """Components of documents whose five-word shingles are alike to 0.8, and how many others each links with."""
+    return ngramjoin.join_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +128,9 @@ e AS (SELECT doc_id, unnest(s) AS g FROM s),
 o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * o >= 80 * (a.n + b.n - o)),
 b AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
-r AS (SELECT doc_id AS d, doc_id AS c FROM n UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.d WHERE r.c < b.y)
-SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.d = n.doc_id GROUP BY 1, 2
+r AS (SELECT doc_id AS d, doc_id AS c FROM n UNION SELECT b.y, r.c FROM r JOIN b ON b.x = r.d WHERE r.c < b.y),
+k AS (SELECT x, count(*) AS k FROM b GROUP BY 1)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, min(r.c) AS component_id, coalesce(any_value(k.k), 0) AS n_links FROM n JOIN r ON r.d = n.doc_id LEFT JOIN k ON k.x = n.doc_id GROUP BY 1, 2
 """
 
 _OP7_SQL = """
