@@ -1,4 +1,4 @@
-"""Queries that write event logs and artifacts and read them back (S)."""
+"""Queries that write event logs and artifacts and read them back, and extremes (S, J, O)."""
 
 from __future__ import annotations
 
@@ -51,6 +51,28 @@ def s02_log_counts(spark, sf_dir):
 S02 = with_tables("ticks", "SELECT instrument, count(*) AS events, count(*) AS held FROM ticks GROUP BY 1")
 
 
+def j11_log_instruments(spark, sf_dir):
+    """Instruments that a configuration asks for (those of the first events, and one that nobody trades) against the headers of the log's files, either way."""
+    path = _trade_log(spark, sf_dir)
+    headers = eventlog.read_log(spark, path).groupBy("instrument").agg(F.min(F.col("venue") == "venue").alias("venue_fits"))
+    asked = A.ticks(spark, sf_dir).where("tid < 5").select("instrument").union(spark.createDataFrame([("nothing",)], "instrument string")).distinct().withColumn("asked", F.lit(True))
+    both = headers.withColumn("held", F.lit(True)).join(asked, "instrument", "full")
+    return both.select("instrument", F.coalesce("asked", F.lit(False)).alias("asked"), F.coalesce("held", F.lit(False)).alias("held"), "venue_fits")
+
+
+J11 = with_tables("ticks", """, a AS (SELECT DISTINCT instrument FROM ticks WHERE tid < 5 UNION SELECT 'nothing'), h AS (SELECT DISTINCT instrument FROM ticks)
+SELECT coalesce(a.instrument, h.instrument) AS instrument, a.instrument IS NOT NULL AS asked, h.instrument IS NOT NULL AS held, CASE WHEN h.instrument IS NOT NULL THEN true END AS venue_fits FROM h FULL JOIN a ON a.instrument = h.instrument""")
+
+
+def o04_extremes(spark, sf_dir):
+    """The best and the worst trial of each hour of returns, ties to the smaller configuration."""
+    p = A.trial_panel(spark, sf_dir)
+    return p.groupBy("t").agg(F.min_by("cfg", F.struct(-F.col("r"), F.col("cfg"))).alias("best"), F.min_by("cfg", F.struct("r", "cfg")).alias("worst"), F.max("r").alias("top"), F.min("r").alias("bottom"))
+
+
+O04 = with_tables("trial_panel", "SELECT t, arg_min(cfg, (-r, cfg)) AS best, arg_min(cfg, (r, cfg)) AS worst, max(r) AS top, min(r) AS bottom FROM trial_panel GROUP BY 1")
+
+
 def s15_artifacts(spark, sf_dir):
     """A results document of each hundred orders, written under the hash of its text and read back; whether name and text agree."""
     from tidewake.operators import execution
@@ -67,4 +89,4 @@ S15 = with_tables("exec_reports", _FILLS + """, r AS (SELECT cloid // 100 AS acc
 t AS (SELECT '{"account":' || account || ',"fees_raw":' || fees_raw || ',"fills":' || fills || ',"volume_raw":' || volume_raw || '}' AS text FROM r)
 SELECT sha256(text) AS hash, text, true AS fits FROM t""")
 
-QUERIES = {"s01_event_log": (s01_event_log, S01), "s01_book_log": (s01_book_log, S01_BOOK), "s02_log_counts": (s02_log_counts, S02), "s15_artifacts": (s15_artifacts, S15)}
+QUERIES = {"s01_event_log": (s01_event_log, S01), "s01_book_log": (s01_book_log, S01_BOOK), "s02_log_counts": (s02_log_counts, S02), "s15_artifacts": (s15_artifacts, S15), "j11_log_instruments": (j11_log_instruments, J11), "o04_extremes": (o04_extremes, O04)}

@@ -30,9 +30,10 @@ def ws_messages(ticks: DataFrame) -> DataFrame:
 
 def parse(messages: DataFrame) -> DataFrame:
     """(seq, kind, m, error): kind is trades, book, ack, pong, other or bad; error says what couldn't be read."""
-    rows = messages.select("seq", F.from_json("text", ENVELOPE, {"mode": "PERMISSIVE"}).alias("m"))
-    # Numbers are read once into arrays; what follows only looks at their errors.
-    rows = rows.withColumn("px", F.transform("m.trades", lambda t: fixed.parse(t["px"]))).withColumn("sz", F.transform("m.trades", lambda t: fixed.parse(t["sz"])))
+    numbers = lambda m, c: F.transform(m["trades"], lambda t: fixed.parse(t[c]))
+    read = F.transform(F.array(F.from_json("text", ENVELOPE, {"mode": "PERMISSIVE"})), lambda m: F.struct(m.alias("m"), numbers(m, "px").alias("px"), numbers(m, "sz").alias("sz")))
+    # A message is read once: filters of what was read can't be moved before a generated row, where they would read it again.
+    rows = messages.select("seq", F.explode(read).alias("x")).select("seq", "x.m", "x.px", "x.sz")
     channel = F.col("m.channel")
     kind = (
         F.when(channel.isNull(), "bad").when(channel == "trades", "trades").when(channel == "l2Book", "book")
