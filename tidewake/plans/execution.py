@@ -224,9 +224,40 @@ m AS (SELECT o.*, t.px_raw FROM o ASOF JOIN ticks t ON o.instrument = t.instrume
 SELECT instrument, count(*) AS fills, CAST(sum(px_raw * qty // 100000000) AS BIGINT) AS volume_raw, CAST(sum((px_raw * qty // 100000000) * 450 // 1000000) AS BIGINT) AS fees_raw, CAST(sum(sg * qty) AS BIGINT) AS position_raw FROM m GROUP BY 1""")
 
 
+#: Levels of the ladder that an arriving tick shows, and their distance.
+DEPTH, TICK = 5, 1_000_000
+
+
+def e02_walked_backtest(spark, sf_dir):
+    """The same strategy with orders that walk the ladder at their arrival, a fill a level; the ladder stands from the tick's price away, each level with a tenth of the tick's quantity and a half million."""
+    from tidewake.operators import book, features
+
+    t = A.ticks(spark, sf_dir).select("instrument", "exch_us", "tid", "px_raw", "qty_raw")
+    crosses = features.sma_cross(t.drop("qty_raw"), "px_raw", 12, 60, ["instrument"], ["exch_us", "tid"])
+    firsts = crosses.groupBy("instrument").agg(F.min(F.struct("exch_us", "tid"))["tid"].alias("first"))
+    sized = crosses.join(firsts, "instrument")
+    orders = sized.select("instrument", F.col("tid").alias("cloid"), F.col("tid").alias("seq"), F.col("exch_us").alias("ts_us"), F.when(F.col("above"), "Buy").otherwise("Sell").alias("order_side"), F.when(F.col("tid") == F.col("first"), 1_000_000).otherwise(2_000_000).cast("long").alias("order_qty"))
+    marks = t.select("instrument", F.col("tid").alias("seq"), F.col("exch_us").alias("ts_us"), F.col("tid").alias("mark_raw"))
+    arrived = execution.next_snapshot(orders, marks, ["instrument"], 1).where("mark_raw IS NOT NULL").select("cloid", F.col("mark_raw").alias("tid"))
+    away = F.when(F.col("order_side") == "Buy", F.col("i")).otherwise(-F.col("i")) * TICK
+    met = arrived.join(orders.select("cloid", "order_side", "order_qty", "instrument"), "cloid").join(t.select("tid", "px_raw", "qty_raw"), "tid").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(DEPTH - 1))))
+    levels = met.select("cloid", F.when(F.col("order_side") == "Buy", "ask").otherwise("bid").alias("side"), (F.col("i") + 1).alias("level"), (F.col("px_raw") + away).alias("px_raw"), (F.expr("qty_raw div 10") + 500_000).alias("qty_raw"))
+    fills = book.market_walk(met.where("i = 0").select("cloid", "instrument", "order_side", "order_qty"), levels, ["cloid"], 450)
+    signed = F.when(F.col("order_side") == "Buy", F.col("take_raw")).otherwise(-F.col("take_raw"))
+    of_order = fills.groupBy("instrument", "cloid", "order_qty").agg(F.count("*").alias("fills"), F.sum("take_raw").alias("taken"), F.sum("notional_raw").alias("volume"), F.sum("fee_raw").alias("fees"), F.sum(signed).alias("position"))
+    return of_order.groupBy("instrument").agg(
+        F.sum("fills").alias("fills"), F.count("*").alias("orders"), F.count_if(F.col("fills") > 1).alias("walked"), F.sum("volume").alias("volume_raw"), F.sum("fees").alias("fees_raw"), F.sum("position").alias("position_raw"), F.sum(F.col("order_qty") - F.col("taken")).alias("unfilled_raw")
+    )
+
+
+E02_WALKED = E02.split("m AS (SELECT o.*, t.px_raw")[0] + f"""m AS (SELECT o.*, t.px_raw, t.qty_raw // 10 + 500000 AS size, unnest(range({DEPTH})) AS i FROM o ASOF JOIN ticks t ON o.instrument = t.instrument AND o.exch_us + 1 <= t.exch_us),
+f AS (SELECT instrument, tid, sg, qty, px_raw + sg * i * {TICK} AS px, greatest(0, least(size, qty - i * size)) AS take FROM m),
+d AS (SELECT instrument, tid, qty, count(*) AS fills, sum(take) AS taken, sum(px * take // 100000000) AS volume, sum((px * take // 100000000) * 450 // 1000000) AS fees, sum(sg * take) AS position FROM f WHERE take > 0 GROUP BY 1, 2, 3)
+SELECT instrument, CAST(sum(fills) AS BIGINT) AS fills, count(*) AS orders, count(*) FILTER (WHERE fills > 1) AS walked, CAST(sum(volume) AS BIGINT) AS volume_raw, CAST(sum(fees) AS BIGINT) AS fees_raw, CAST(sum(position) AS BIGINT) AS position_raw, CAST(sum(qty - taken) AS BIGINT) AS unfilled_raw FROM d GROUP BY 1"""
+
 QUERIES = {
     "a01_event_counts": (a01_event_counts, A01), "a02_percentiles": (a02_percentiles, A02), "a03_account_summary": (a03_account_summary, A03), "a04_ledger": (a04_ledger, A04), "a05_order_states": (a05_order_states, A05),
     "a06_positions": (a06_positions, A06), "a07_funding_by_day": (a07_funding_by_day, A07), "j05_fills_applied": (j05_fills_applied, J05), "j06_registrations": (j06_registrations, J06), "j09_summary_gap": (j09_summary_gap, J09), "j10_reconcile": (j10_reconcile, J10),
     "r01_gate": (r01_gate, R01), "r02_kill_switch": (r02_kill_switch, R02), "r03_kill_reset": (r03_kill_reset, R03), "o03_best": (o03_best, O03), "o05_offending": (o05_offending, O05), "o10_leaderboard": (o10_leaderboard, O10),
-    "e01_backtest": (e01_backtest, None), "e02_relational_backtest": (e02_relational_backtest, E02),
+    "e01_backtest": (e01_backtest, None), "e02_relational_backtest": (e02_relational_backtest, E02), "e02_walked_backtest": (e02_walked_backtest, E02_WALKED),
 }
