@@ -1,5 +1,7 @@
 """Statistics of trials, bootstraps, holdouts and logs against plain code."""
 
+import hashlib
+import json
 import math
 from statistics import NormalDist, fmean, stdev
 
@@ -138,3 +140,17 @@ def test_holdout_needs_the_phrase(spark):
     assert sorted(r.id for r in validation.reveal(df, ["id"], "v", held, validation.REVEAL).collect()) == list(range(15, 20))
     with pytest.raises(PermissionError):
         validation.reveal(df, ["id"], "v", held, "no")
+
+
+def test_seals_of_many_levels(spark, monkeypatch):
+    df = spark.range(60).select(F.col("id").alias("t"), (F.col("id") * 7 % 11).alias("v"))
+    two = validation.seal(df, ["t"], "v")
+    monkeypatch.setattr(validation, "SEAL_ROWS", 3)
+    level = [json.dumps([i * 7 % 11 for i in range(a, min(a + 3, 60))], separators=(",", ":")) for a in range(0, 60, 3)]
+    while True:
+        level = [hashlib.sha256(x.encode()).hexdigest() for x in level]
+        if len(level) == 1:
+            break
+        level = [json.dumps(level[a : a + 3], separators=(",", ":")) for a in range(0, len(level), 3)]
+    assert validation.seal(df.repartition(5), ["t"], "v") == level[0] != two
+    assert validation.seal(df.limit(0), ["t"], "v") == hashlib.sha256(b"[]").hexdigest()
