@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import struct
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,20 +23,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+# The processes that plan a data source may not have this library on their path, so it is sent to them whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Fixed values of the format: its first bytes, the variants of events and the sides.
 MAGIC = b"QNT1"
 TRADE, BOOK, CANDLE = 0, 1, 2
 SIDES = ["Buy", "Sell"]
 #: A trade's frame with its length; a level; a candle without its variant.
 TRADE_FRAME = np.dtype([("size", "<u4"), ("kind", "<u4"), ("px_raw", "<i8"), ("qty_raw", "<i8"), ("side", "<u4"), ("exch_ns", "<i8"), ("recv_ns", "<i8"), ("tid", "<u8")])
-LEVEL = struct.Struct("<qqI")
-CANDLE_BODY = struct.Struct("<qqqqqqqqI")
+LEVEL = "<qqI"
+CANDLE_BODY = "<qqqqqqqqI"
 
 PIECE_BYTES = 1 << 22
 BATCH_ROWS = 1 << 15
@@ -63,8 +68,8 @@ def header_frame(venue: str, instrument: str, created_ms: int) -> bytes:
 
 def _levels(data: bytes, at: int) -> tuple[list[dict], int]:
     (n,) = struct.unpack_from("<Q", data, at)
-    end = at + 8 + n * LEVEL.size
-    return [dict(zip(("px_raw", "qty_raw", "n_orders"), x)) for x in LEVEL.iter_unpack(data[at + 8 : end])], end
+    end = at + 8 + n * struct.calcsize(LEVEL)
+    return [dict(zip(("px_raw", "qty_raw", "n_orders"), x)) for x in struct.iter_unpack(LEVEL, data[at + 8 : end])], end
 
 
 def decode(body: bytes) -> dict:
@@ -78,7 +83,7 @@ def decode(body: bytes) -> dict:
         bids, at = _levels(body, 20)
         return {"kind": "book", "exch_ns": exch, "recv_ns": recv, "bids": bids, "asks": _levels(body, at)[0]}
     if kind == CANDLE:
-        opened, exch, recv, *prices, volume, trades = CANDLE_BODY.unpack_from(body, 4)
+        opened, exch, recv, *prices, volume, trades = struct.unpack_from(CANDLE_BODY, body, 4)
         return {"kind": "candle", "exch_ns": exch, "recv_ns": recv, "open_ns": opened, **dict(zip(("open", "high", "low", "close"), prices)), "volume": volume, "n_trades": trades}
     raise LogError(f"no event has the variant {kind}")
 
@@ -88,10 +93,10 @@ def encode(row: dict) -> bytes:
     if row["kind"] == "trade":
         body = struct.pack("<IqqIqqQ", TRADE, row["px_raw"], row["qty_raw"], SIDES.index(row["side"]), row["exch_ns"], row["recv_ns"], row["tid"])
     elif row["kind"] == "book":
-        ladder = lambda levels: struct.pack("<Q", len(levels)) + b"".join(LEVEL.pack(x["px_raw"], x["qty_raw"], x["n_orders"]) for x in levels)
+        ladder = lambda levels: struct.pack("<Q", len(levels)) + b"".join(struct.pack(LEVEL, x["px_raw"], x["qty_raw"], x["n_orders"]) for x in levels)
         body = struct.pack("<Iqq", BOOK, row["exch_ns"], row["recv_ns"]) + ladder(row["bids"]) + ladder(row["asks"])
     elif row["kind"] == "candle":
-        body = struct.pack("<I", CANDLE) + CANDLE_BODY.pack(*(row[c] for c in ("open_ns", "exch_ns", "recv_ns", "open", "high", "low", "close", "volume", "n_trades")))
+        body = struct.pack("<I", CANDLE) + struct.pack(CANDLE_BODY, *(row[c] for c in ("open_ns", "exch_ns", "recv_ns", "open", "high", "low", "close", "volume", "n_trades")))
     else:
         raise LogError(f"no event is of the kind {row['kind']}")
     return struct.pack("<I", len(body)) + body
