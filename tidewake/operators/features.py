@@ -1,7 +1,7 @@
 """Causal time-series features over ordered windows, one sort a key for all of them.
 
 Frames look back only. A feature is null until its window is full, and where a
-division has nothing to divide by; NaN never appears.
+division has nothing to divide by; NaN never appears, but for the features that read ``ieee_return``.
 """
 
 from __future__ import annotations
@@ -33,6 +33,20 @@ def log_return(price: Column, w: WindowSpec, lag: int = 1) -> Column:
     return F.when((price > 0) & (before > 0), F.ln(price / before))
 
 
+def ln_ratio(a: Column, b: Column) -> Column:
+    """ln(a / b) as IEEE arithmetic has it: infinite where one of them is 0, NaN where both are or their signs differ; null only for null."""
+    number = lambda x: F.lit(float(x))
+    ratio = F.when(b == 0, F.when(a > 0, number("inf")).when(a.isNotNull(), number("nan"))).otherwise(F.try_divide(a, b))
+    return F.when(ratio == 0, number("-inf")).when(ratio < 0, number("nan")).otherwise(F.ln(ratio))
+
+
+def ieee_return(price: Column, w: WindowSpec, lag: int = 1) -> Column:
+    """Like ``log_return``, but of prices that may be 0 or less: see ``ln_ratio``."""
+    if lag < 1:
+        raise ValueError("lag must be 1 or more")
+    return ln_ratio(price, F.lag(price, lag).over(w))
+
+
 def realized_vol(returns: str, w: WindowSpec, window: int = 60) -> Column:
     """Population deviation of the last ``window`` one-row returns (a column made by log_return)."""
     return rolling(F.stddev_pop, F.col(returns), window, w)
@@ -57,13 +71,13 @@ def zscore(price: Column, w: WindowSpec, window: int = 60) -> Column:
 #: The longest window that a feature has by itself.
 LONGEST_DEFAULT = 60
 
-#: Features by name; the second entry says whether the feature reads returns.
+#: Features by name, of a price, the name of its returns, the window and the function that makes returns.
 REGISTRY: dict[str, Callable[..., Column]] = {
-    "log_return": lambda p, r, w, lag=1: log_return(p, w, lag),
-    "realized_vol": lambda p, r, w, window=60: realized_vol(r, w, window),
-    "sma": lambda p, r, w, window=20: sma(p, w, window),
-    "momentum": lambda p, r, w, window=60: momentum(p, w, window),
-    "zscore": lambda p, r, w, window=60: zscore(p, w, window),
+    "log_return": lambda p, r, w, of, lag=1: of(p, w, lag),
+    "realized_vol": lambda p, r, w, of, window=60: realized_vol(r, w, window),
+    "sma": lambda p, r, w, of, window=20: sma(p, w, window),
+    "momentum": lambda p, r, w, of, window=60: of(p, w, window),
+    "zscore": lambda p, r, w, of, window=60: zscore(p, w, window),
 }
 
 
@@ -72,17 +86,20 @@ def feature_name(name: str, params: dict) -> str:
     return "_".join([name, *(f"{k}{v}" for k, v in sorted(params.items()))])
 
 
-def build(df: DataFrame, specs: list[tuple[str, dict]], price: str, keys: list[str], order: list[str], pieces: bool = True) -> DataFrame:
-    """The frame with all features and ``valid``: whether all of them are there. In pieces, a task holds some of a key's rows; otherwise it holds a key."""
+def build(df: DataFrame, specs: list[tuple[str, dict]], price: str, keys: list[str], order: list[str], pieces: bool = True, returns: Callable[..., Column] = log_return) -> DataFrame:
+    """The frame with all features and ``valid``: whether all of them are there. In pieces, a task holds some of a key's rows; otherwise it holds a key.
+
+    ``returns`` is ``log_return`` or ``ieee_return``.
+    """
     unknown = [n for n, _ in specs if n not in REGISTRY]
     if unknown or not specs:
         raise ValueError(f"unknown features {unknown}" if unknown else "no features")
     # A window of returns begins with a return, which looks one row further back.
     back = 1 + max(p.get("window", p.get("lag", LONGEST_DEFAULT)) for _, p in specs)
     rows, w, own = scan.haloed(df, keys, order, back) if pieces else (df, ordered(keys, order), F.lit(True))
-    base = rows.withColumn("_ret", log_return(F.col(price), w)).withColumn("_own", own)
+    base = rows.withColumn("_ret", returns(F.col(price), w)).withColumn("_own", own)
     names = [feature_name(n, p) for n, p in specs]
-    out = base.select(*df.columns, "_own", *(REGISTRY[n](F.col(price), "_ret", w, **p).alias(a) for (n, p), a in zip(specs, names))).where("_own").drop("_own")
+    out = base.select(*df.columns, "_own", *(REGISTRY[n](F.col(price), "_ret", w, returns, **p).alias(a) for (n, p), a in zip(specs, names))).where("_own").drop("_own")
     valid = F.lit(True)
     for a in names:
         valid = valid & F.col(a).isNotNull()
@@ -104,8 +121,8 @@ def sma_cross(df: DataFrame, mid: str, fast: int, slow: int, keys: list[str], or
 
 
 def next_return(close: Column, w: WindowSpec) -> Column:
-    """ln of the next close over this one; null on the last row."""
-    return F.ln(F.lead(close).over(w) / close)
+    """ln of the next close over this one; null on the last row; see ``ln_ratio`` for closes that are 0."""
+    return ln_ratio(F.lead(close).over(w), close)
 
 
 def turnover_cost(weight: Column, w: WindowSpec, bps: float) -> Column:
