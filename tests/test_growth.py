@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidewake.operators import segments
 from tidewake.sources import adapters
 
 PATH = "/root/testdata/sf0.001"
@@ -14,3 +15,16 @@ def test_reports_and_levels_are_dealt_by_their_number(spark, monkeypatch):
         sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(sizes) == n and len(sizes) >= n // 400 and max(sizes) < 600
         assert rows.select(key, F.spark_partition_id().alias("p")).distinct().count() == rows.select(key).distinct().count()
+
+
+def test_positions_make_their_fills_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(frames):
+        for f in frames:
+            made.add(len(f))
+            yield f
+
+    fills = spark.createDataFrame([(i % 3, i, "Buy" if i % 5 else "Sell", 10**8, 10**9 + i, 0) for i in range(60)], "a long, seq long, side string, qty_raw long, px_raw long, fee_raw long")
+    assert segments.positions(fills.mapInPandas(seen, fills.schema), ["a"], ["seq"]).count() == 60
+    assert made.value == 60

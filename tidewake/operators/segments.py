@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tidewake.functions import fixed
 from tidewake.operators import scan
 from tidewake.operators.fold import ordered_fold
+from tidewake.sources.adapters import dealt
 
 #: Rows of a segment that are folded as one array.
 LONGEST = 1 << 17
@@ -64,26 +65,32 @@ def _long_segments(rows: DataFrame, keys: list[str]) -> DataFrame:
 def positions(fills: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """(keys, n, qty_raw, entry_raw, realised_raw) after each fill (side, qty_raw, px_raw, fee_raw) of a key, in order."""
     signed = fixed.sign(F.col("side")) * F.col("qty_raw")
-    # Where every key fits a piece, windows over keys do.
-    pieces = scan.longest(fills, keys) > scan.PIECE
-    rows = fills.select(*keys, *(c for c in order if c not in keys), signed.alias("signed"), "px_raw", "fee_raw")
+    # What makes the fills is done once, not again for each pass over them.
+    rows = scan.written(fills.select(*keys, *(c for c in order if c not in keys), signed.alias("signed"), "px_raw", "fee_raw"))
+    pieces = scan.longest(rows, keys) > scan.PIECE
     if pieces:
-        rows = scan.placed(rows, keys, order, "place")
+        rows = scan.placed(rows, keys, order, "place").select(*keys, "place", "signed", "px_raw", "fee_raw")
+        rows = scan.running(rows, keys, "place", {"before": F.col("signed")})
     else:
-        rows = rows.withColumn("place", (F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1).cast("long"))
-    rows = rows.select(*keys, "place", "signed", "px_raw", "fee_raw")
-    rows = scan.running(rows, keys, "place", {"before": F.col("signed")}, pieces=pieces).withColumn("before", F.coalesce("before", F.lit(0)))
+        # Every key fits a piece: all that follows stays where its rows are dealt to, and one sort serves the windows.
+        w = Window.partitionBy(*keys).orderBy(*order)
+        earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+        rows = dealt(rows, *keys).select("*", (F.row_number().over(w) - 1).cast("long").alias("place"), F.sum("signed").over(earlier).alias("before"))
+    rows = rows.withColumn("before", F.coalesce("before", F.lit(0)))
     after = F.col("before") + F.col("signed")
     flips = (F.col("before") != 0) & (after != 0) & ((F.col("before") > 0) != (after > 0))
     ends = ((after == 0) | flips).cast("long")
-    rows = scan.written(scan.running(rows, keys, "place", {"segment": ends}, pieces=pieces).withColumn("segment", F.coalesce("segment", F.lit(0))))
+    rows = scan.running(rows, keys, "place", {"segment": ends}) if pieces else rows.withColumn("segment", F.sum(ends).over(earlier))
+    rows = rows.withColumn("segment", F.coalesce("segment", F.lit(0))).select(*keys, "segment", "place", "signed", "px_raw", "fee_raw", "before")
+    if pieces:
+        rows = scan.written(rows)
     # A flip's price also starts the segment behind it.
     parts = F.array_compact(F.array(F.struct(F.col("segment"), F.lit(False).alias("seed")), F.when(flips, F.struct((F.col("segment") + 1).alias("segment"), F.lit(True).alias("seed")))))
     seeded = rows.withColumn("_part", F.explode(parts)).select(*keys, "_part.segment", "_part.seed", "place", "signed", "px_raw", "fee_raw", "before")
 
     sizes = rows.groupBy(*keys, "segment").agg(F.count("*").alias("_n"))
     long_ = sizes.where(F.col("_n") > LONGEST).select(*keys, "segment")
-    any_long = not long_.isEmpty()
+    any_long = (pieces or scan.PIECE > LONGEST) and not long_.isEmpty()
     short = seeded.join(long_, [*keys, "segment"], "left_anti") if any_long else seeded
     # CHUNK rows a group, then LONGEST / CHUNK chunks.
     chunks = short.groupBy(*keys, "segment", F.expr(f"place div {CHUNK}").alias("chunk")).agg(F.sort_array(F.collect_list(F.struct("place", "seed", "signed", "px_raw", "fee_raw", "before"))).alias("rows"))
@@ -92,7 +99,8 @@ def positions(fills: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     folded = folded.where("NOT x.r.seed").select(*keys, "x.r.place", "x.r.signed", "x.r.px_raw", "x.r.fee_raw", "x.r.before", "x.entry")
     if any_long:
         folded = folded.unionByName(_long_segments(seeded.join(long_, [*keys, "segment"]), keys).drop("segment"))
-    folded = scan.written(folded)
+    if pieces:
+        folded = scan.written(folded)
 
     gain = _gain(F.col("entry")) - F.col("fee_raw")
     done = scan.running(folded.withColumn("gain", gain), keys, "place", {"so_far": F.col("gain")}, pieces=pieces)
