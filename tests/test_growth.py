@@ -1,9 +1,13 @@
 """What must not follow the size of a table: rows of a task, files, passes."""
 
+import io
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidewake.operators import segments
-from tidewake.sources import adapters
+from tidewake.sources import adapters, eventlog
 
 PATH = "/root/testdata/sf0.001"
 
@@ -28,3 +32,18 @@ def test_positions_make_their_fills_once(spark):
     fills = spark.createDataFrame([(i % 3, i, "Buy" if i % 5 else "Sell", 10**8, 10**9 + i, 0) for i in range(60)], "a long, seq long, side string, qty_raw long, px_raw long, fee_raw long")
     assert segments.positions(fills.mapInPandas(seen, fills.schema), ["a"], ["seq"]).count() == 60
     assert made.value == 60
+
+
+def test_books_are_coded_in_runs():
+    level = pa.struct([("px_raw", pa.int64()), ("qty_raw", pa.int64()), ("n_orders", pa.int64())])
+    rng = random.Random(5)
+    ladder = lambda: [{"px_raw": rng.randint(-9, 9) << 40, "qty_raw": rng.randint(0, 9), "n_orders": rng.randrange(1 << 32)} for _ in range(rng.randrange(4))]
+    rows = [{"kind": "book", "exch_ns": i, "recv_ns": -i, "bids": ladder(), "asks": ladder()} for i in range(90)]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("kind", pa.string()), ("exch_ns", pa.int64()), ("recv_ns", pa.int64()), ("bids", pa.list_(level)), ("asks", pa.list_(level))]))
+    data = eventlog.frames_of(batch.slice(7))
+    assert data == b"".join(map(eventlog.encode, rows[7:]))
+    (run,) = eventlog.Frames(io.BytesIO(eventlog.MAGIC + eventlog.header_frame("v", "i", 3) + data), "x")
+    assert run["exch_ns"].tolist() == list(range(7, 90)) and run["recv_ns"].tolist() == [-i for i in range(7, 90)]
+    for side in ("bids", "asks"):
+        n, levels = run[side]
+        assert n.tolist() == [len(r[side]) for r in rows[7:]] and levels.tolist() == [tuple(x.values()) for r in rows[7:] for x in r[side]]

@@ -34,8 +34,9 @@ def s01_book_log(spark, sf_dir):
     path = fresh(spark, "logs")
     eventlog.write_log(books, path)
     log = eventlog.read_log(spark, path)
-    sides = [log.select(F.col("exch_ns").alias("snap"), F.lit(side).alias("side"), F.posexplode(f"{side}s").alias("i", "x")) for side in ("bid", "ask")]
-    return sides[0].unionByName(sides[1]).select("snap", "side", "i", "x.*")
+    side = lambda name: F.struct(F.lit(name).alias("side"), F.col(f"{name}s").alias("levels"))
+    sides = log.select(F.col("exch_ns").alias("snap"), F.explode(F.array(side("bid"), side("ask"))).alias("s"))
+    return sides.select("snap", "s.side", F.posexplode("s.levels").alias("i", "x")).select("snap", "side", "i", "x.*")
 
 
 S01_BOOK = with_tables("l2_levels", "SELECT snap, side, CAST(row_number() OVER (PARTITION BY snap, side ORDER BY pos) - 1 AS INTEGER) AS i, px_raw, qty_raw, n_orders FROM l2_levels")

@@ -5,7 +5,7 @@ creation time in ms), and a frame an event. A frame is its length as four bytes
 little-endian fields: texts and lists behind a count of eight bytes, variants as four bytes. A file that ends
 within a frame is an error; one that ends within a frame's length ends there.
 
-Files are read in pieces; runs of trades, all of one size, are decoded at once. Tasks write
+Files are read in pieces; runs of trades, all of one size, and runs of books are decoded at once. Tasks write
 into a staging folder; the driver moves what committed tasks wrote to its place, then
 writes a list of it. Readers of a folder with lists read listed files alone, so nothing half
 written is seen, and a task that ran twice counts once. All file systems that Arrow opens by their URI will do.
@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -40,10 +41,17 @@ SIDES = ["Buy", "Sell"]
 #: A trade's frame with its length; a level; a candle without its variant.
 TRADE_FRAME = np.dtype([("size", "<u4"), ("kind", "<u4"), ("px_raw", "<i8"), ("qty_raw", "<i8"), ("side", "<u4"), ("exch_ns", "<i8"), ("recv_ns", "<i8"), ("tid", "<u8")])
 LEVEL = "<qqI"
+LEVEL_ITEM = np.dtype([("px_raw", "<i8"), ("qty_raw", "<i8"), ("n_orders", "<u4")])
+#: A book's frame up to its bids; behind them stands the number of asks.
+BOOK_HEAD = np.dtype([("size", "<u4"), ("kind", "<u4"), ("exch_ns", "<i8"), ("recv_ns", "<i8"), ("bids", "<u8")])
 CANDLE_BODY = "<qqqqqqqqI"
 
 PIECE_BYTES = 1 << 22
 BATCH_ROWS = 1 << 15
+#: Books that stand together from which on they are decoded at once.
+FEW = 16
+#: Events of a file, which one task writes and one reads.
+FILE_ROWS = 1 << 18
 
 _LEVELS = "array<struct<px_raw: long, qty_raw: long, n_orders: long>>"
 SCHEMA = (
@@ -102,8 +110,19 @@ def encode(row: dict) -> bytes:
     return struct.pack("<I", len(body)) + body
 
 
+def _gathered(data: np.ndarray, at: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """The items that begin at the places."""
+    return data[at[:, None] + np.arange(kind.itemsize)].reshape(-1).view(kind)
+
+
+def _level_places(n: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Where levels begin: ``n`` of each book, from its start on."""
+    before = np.cumsum(n) - n
+    return np.repeat(start - before * LEVEL_ITEM.itemsize, n) + np.arange(n.sum()) * LEVEL_ITEM.itemsize
+
+
 class Frames:
-    """A log's header, and its events as tables of one kind each, read in pieces."""
+    """A log's header, and its events read in pieces: runs of trades as an array, runs of books as columns, others as rows."""
 
     def __init__(self, source, name: str):
         self.source, self.name, self.data, self.at = source, name, b"", 0
@@ -140,13 +159,40 @@ class Frames:
     def _trades(self) -> np.ndarray:
         """Trades that stand from the place on, one behind the other."""
         there = self._more(TRADE_FRAME.itemsize) // TRADE_FRAME.itemsize
+        if there and struct.unpack_from("<I", self.data, self.at + 4)[0] != TRADE:
+            there = 0
         found = np.frombuffer(self.data, TRADE_FRAME, min(there, BATCH_ROWS), self.at) if there else np.zeros(0, TRADE_FRAME)
         good = (found["size"] == TRADE_FRAME.itemsize - 4) & (found["kind"] == TRADE)
         run = found if good.all() else found[: int(np.argmin(good))]
         self.at += len(run) * TRADE_FRAME.itemsize
         return run
 
-    def __iter__(self) -> Iterator[np.ndarray | list[dict]]:
+    def _books(self) -> dict | None:
+        """Columns of the books that stand whole from the place on, one behind the other; None for few of them."""
+        starts, at, end, head = [], self.at, len(self.data), struct.Struct("<II")
+        while len(starts) < BATCH_ROWS and at + 8 <= end:
+            size, kind = head.unpack_from(self.data, at)
+            if kind != BOOK or size < 36 or at + 4 + size > end:
+                break
+            starts.append(at)
+            at += 4 + size
+        if len(starts) < FEW:
+            return None
+        data, first = np.frombuffer(self.data, np.uint8), np.array(starts, np.int64)
+        heads = _gathered(data, first, BOOK_HEAD)
+        room = (heads["size"].astype(np.int64) - 36) // LEVEL_ITEM.itemsize
+        if (heads["bids"] > room.astype(np.uint64)).any():
+            return None
+        bids = heads["bids"].astype(np.int64)
+        middle = first + BOOK_HEAD.itemsize + bids * LEVEL_ITEM.itemsize
+        asks = _gathered(data, middle, np.dtype("<u8"))
+        if (asks != (room - bids).astype(np.uint64)).any() or (heads["size"] != 36 + room * LEVEL_ITEM.itemsize).any():
+            return None
+        self.at = at
+        sides = {"bids": (bids, first + BOOK_HEAD.itemsize), "asks": (asks.astype(np.int64), middle + 8)}
+        return {c: heads[c] for c in ("exch_ns", "recv_ns")} | {c: (n, _gathered(data, _level_places(n, start), LEVEL_ITEM)) for c, (n, start) in sides.items()}
+
+    def __iter__(self) -> Iterator[np.ndarray | dict | list[dict]]:
         others: list[dict] = []
         while True:
             run = self._trades()
@@ -156,6 +202,13 @@ class Frames:
                     others = []
                 yield run
                 continue
+            books = self._books()
+            if books:
+                if others:
+                    yield others
+                    others = []
+                yield books
+                continue
             body = self._frame()
             if body is not None:
                 others.append(decode(body))
@@ -198,15 +251,27 @@ class Reader(DataSourceReader):
                 raise LogError(f"{partition.path} holds {log.instrument}, not {self.instrument}")
             n = 0
             for part in log:
-                size = len(part)
-                columns = {"file": [partition.path] * size, "venue": [log.venue] * size, "instrument": [log.instrument] * size, "created_ms": [log.created_ms] * size, "n": np.arange(n, n + size)}
+                size = len(part["exch_ns"]) if isinstance(part, dict) else len(part)
+                same = lambda x: pa.repeat(x, size)  # noqa: B023, E731
+                columns = {"file": same(partition.path), "venue": same(log.venue), "instrument": same(log.instrument), "created_ms": same(log.created_ms), "n": np.arange(n, n + size)}
                 if isinstance(part, np.ndarray):
                     columns |= {c: part[c].astype(np.int64) for c in ("exch_ns", "recv_ns", "px_raw", "qty_raw", "tid")}
-                    columns |= {"kind": ["trade"] * size, "side": np.array(SIDES, object)[part["side"]]}
+                    columns |= {"kind": same("trade"), "side": np.array(SIDES, object)[part["side"]]}
+                elif isinstance(part, dict):
+                    columns |= {"kind": same("book"), **{c: part[c].astype(np.int64) for c in ("exch_ns", "recv_ns")}}
+                    columns |= {c: _ladders(*part[c], kinds.field(c).type) for c in ("bids", "asks") if c in kinds.names}
                 else:
                     columns |= {f: [r.get(f) for r in part] for f in kinds.names if f not in columns}
                 n += size
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in kinds], schema=kinds)
+                made = lambda x, kind: x.cast(kind) if isinstance(x, pa.Array) else pa.array(x, kind)
+                yield pa.RecordBatch.from_arrays([made(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in kinds], schema=kinds)
+
+
+def _ladders(n: np.ndarray, levels: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Levels as lists, ``n`` of each book."""
+    of = kind.value_type
+    values = pa.StructArray.from_arrays([pa.array(levels[f.name].astype(np.int64), f.type) for f in of], fields=list(of))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values, type=kind)
 
 
 def listed(system: fs.FileSystem, root: str) -> list[str]:
@@ -290,7 +355,9 @@ class Writer(DataSourceArrowWriter):
 
 
 def frames_of(batch: pa.RecordBatch) -> bytes:
-    """The frames of a batch's rows; trades at once."""
+    """The frames of a batch's rows; trades or books alone at once."""
+    if "kind" in batch.schema.names and batch.column("kind").unique().to_pylist() == ["book"]:
+        return _book_frames(batch)
     if "kind" in batch.schema.names and batch.column("kind").unique().to_pylist() != ["trade"]:
         return b"".join(map(encode, batch.to_pylist()))
     out = np.zeros(batch.num_rows, TRADE_FRAME)
@@ -306,6 +373,40 @@ def frames_of(batch: pa.RecordBatch) -> bytes:
     return out.tobytes()
 
 
+def _book_frames(batch: pa.RecordBatch) -> bytes:
+    """The frames of a batch of books."""
+    for c in ("exch_ns", "recv_ns", "bids", "asks"):
+        if batch.column(c).null_count:
+            raise LogError(f"a book has no {c}")
+    counts = {c: pc.list_value_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("bids", "asks")}
+    heads = np.zeros(batch.num_rows, BOOK_HEAD)
+    heads["size"], heads["kind"], heads["bids"] = 36 + (counts["bids"] + counts["asks"]) * LEVEL_ITEM.itemsize, BOOK, counts["bids"]
+    for c in ("exch_ns", "recv_ns"):
+        heads[c] = batch.column(c).to_numpy(zero_copy_only=False)
+    sizes = heads["size"].astype(np.int64) + 4
+    first = np.cumsum(sizes) - sizes
+    middle = first + BOOK_HEAD.itemsize + counts["bids"] * LEVEL_ITEM.itemsize
+    out = np.zeros(int(sizes.sum()), np.uint8)
+
+    def put(at: np.ndarray, items: np.ndarray) -> None:
+        out[at[:, None] + np.arange(items.itemsize)] = items.view(np.uint8).reshape(len(items), items.itemsize)
+
+    put(first, heads)
+    put(middle, counts["asks"].astype("<u8"))
+    for c, start in (("bids", first + BOOK_HEAD.itemsize), ("asks", middle + 8)):
+        flat = batch.column(c).flatten()
+        levels = np.zeros(len(flat), LEVEL_ITEM)
+        for field, values in zip(flat.type, flat.flatten()):
+            if values.null_count:
+                raise LogError(f"a level has no {field.name}")
+            found = values.to_numpy(zero_copy_only=False)
+            if field.name == "n_orders" and len(found) and not 0 <= found.min() <= found.max() < 1 << 32:
+                raise LogError("a level's number of orders must fit four bytes")
+            levels[field.name] = found
+        put(_level_places(counts[c], start), levels)
+    return out.tobytes()
+
+
 class EventLog(DataSource):
     """spark.read / df.write with format "eventlog"; ``path`` is a file or a folder's URI, ``instrument`` the only one that a log may hold."""
 
@@ -323,9 +424,13 @@ class EventLog(DataSource):
         return Writer(self.options, overwrite)
 
 
-def write_log(events: DataFrame, path: str, venue: str = "", created_ms: int = 0, mode: str = "append", rows_a_file: int = 1 << 22) -> None:
+def write_log(events: DataFrame, path: str, venue: str = "", created_ms: int = 0, mode: str = "append", rows_a_file: int = FILE_ROWS) -> None:
     """Events (instrument, kind and a kind's columns) as logs in order of their exchange time; instruments of many rows are dealt to several files by ranges of it."""
+    from tidewake.operators.scan import written
+
     events.sparkSession.dataSource.register(EventLog)
+    # Counting, finding ranges and dealing read what is made once.
+    events = written(events)
     kinds = [] if "tid" not in events.columns else ["tid"]
     parts = max(1, -(-events.count() // rows_a_file))
     dealt = events.repartitionByRange(parts, "instrument", "exch_ns", *kinds).sortWithinPartitions("instrument", "exch_ns", *kinds)
