@@ -1,13 +1,17 @@
 """What must not follow the size of a table: rows of a task, files, passes."""
 
+import glob
 import io
+import os
 import random
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidewake.operators import segments
 from tidewake.sources import adapters, eventlog
+from tidewake.streaming.replay import replayed
 
 PATH = "/root/testdata/sf0.001"
 
@@ -47,3 +51,13 @@ def test_books_are_coded_in_runs():
     for side in ("bids", "asks"):
         n, levels = run[side]
         assert n.tolist() == [len(r[side]) for r in rows[7:]] and levels.tolist() == [tuple(x.values()) for r in rows[7:] for x in r[side]]
+
+
+def test_a_replays_files_are_written_once_in_their_turn(spark):
+    replay = replayed(spark.range(1000), ["id"], files=5, turn=lambda i: -i)
+    base = replay.path.removeprefix("file:").rpartition("/replays/")[0].replace("//", "/")
+    files = sorted((os.stat(f).st_mtime_ns, f) for f in glob.glob(f"{replay.path.removeprefix('file:').replace('//', '/')}/part-*"))
+    firsts = [t["id"][0].as_py() for _, f in files if len(t := pq.read_table(f))]
+    assert len(firsts) == 5 and firsts == sorted(firsts, reverse=True)
+    moved = [f for f in glob.glob(f"{base}/ranges/*/_range=*/part-*") if sum(pq.read_table(f, columns=["id"]).column("id").to_pylist()) >= 0 and pq.read_schema(f).names == ["id"]]
+    assert not moved

@@ -46,18 +46,22 @@ class Ordered(StatefulProcessor):
                 at[:] = seq + 1, at[1] + 1
             out.append((seq, at[1], p.qty, p.entry, p.realised, late))
 
-    def _release(self, at: list[int], p: Position, until_ms: int | None, out: list) -> None:
+    def _starts(self) -> set[int]:
+        """Where held runs begin: asked of the state once a call, then kept up."""
+        return {k[0] for k in self.held.keys()}
+
+    def _release(self, at: list[int], p: Position, until_ms: int | None, out: list, starts: set[int]) -> None:
         """Held runs whose turn has come; with a time, also those up to the last that is as old."""
-        starts = sorted(k[0] for k in self.held.keys())
         old = -1
         if until_ms is not None:
             old = max((s for s in starts if self.held.getValue((s,))[0] <= until_ms), default=-1)
-        for s in starts:
+        for s in sorted(starts):
             if s > at[0] and s > old:
                 break
             _, *columns = self.held.getValue((s,))
             self._fill(at, p, zip(*([int(v) for v in c] for c in columns)), out)
             self.held.removeKey((s,))
+            starts.remove(s)
 
     def _done(self, key, at: list[int], p: Position, out: list) -> Iterator[pd.DataFrame]:
         self.known.update((*at, p.qty, p.entry, p.realised))
@@ -73,29 +77,30 @@ class Ordered(StatefulProcessor):
         columns = [seq, np.where(frame["side"] == "Buy", 1, -1), *(frame[c].to_numpy(np.int64) for c in FILL[2:])]
         ms = frame["at"].to_numpy("datetime64[ms]").astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(seq) > 1) + 1), len(seq)]
-        holding = None
+        holding, starts = None, self._starts()
         for a, b in zip(cuts, cuts[1:]):
             if seq[a] <= at[0]:
                 self._fill(at, p, zip(*(c[a:b].tolist() for c in columns)), out)
-                self._release(at, p, None, out)
+                self._release(at, p, None, out, starts)
             else:
                 first = int(seq[a])
                 run = (int(ms[a:b].min()), *(c[a:b].tolist() for c in columns))
-                if self.held.containsKey((first,)):
+                if first in starts:
                     was = self.held.getValue((first,))
                     # Two runs from one number: the longer one holds the other's fills.
                     run = run if len(was[1]) < b - a else tuple(int(v) if i == 0 else [int(x) for x in v] for i, v in enumerate(was))
                 self.held.updateValue((first,), run)
+                starts.add(first)
                 holding = min(holding or run[0], run[0])
         if holding is not None:
             self.handle.registerTimer(holding + self.patience)
-            self._release(at, p, None, out)
+            self._release(at, p, None, out, starts)
         yield from self._done(key, at, p, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at, p = self._load()
         out: list[tuple] = []
-        self._release(at, p, expiredTimerInfo.getExpiryTimeInMs() - self.patience, out)
+        self._release(at, p, expiredTimerInfo.getExpiryTimeInMs() - self.patience, out, self._starts())
         yield from self._done(key, at, p, out)
 
     def close(self) -> None:
