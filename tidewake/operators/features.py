@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 from tidewake.operators import scan
 
 
+def nulls_last(order: list[str]) -> list[Column]:
+    """An order whose nulls come last, as the SQL has them; Spark's own come first."""
+    return [F.col(c).asc_nulls_last() for c in order]
+
+
 def ordered(keys: list[str], order: list[str]) -> WindowSpec:
     """The window that all features of a frame share."""
-    return Window.partitionBy(*keys).orderBy(*order)
+    return Window.partitionBy(*keys).orderBy(*nulls_last(order))
 
 
 def rolling(aggregate: Callable[[Column], Column], x: Column, window: int, w: WindowSpec) -> Column:
@@ -96,7 +101,7 @@ def build(df: DataFrame, specs: list[tuple[str, dict]], price: str, keys: list[s
         raise ValueError(f"unknown features {unknown}" if unknown else "no features")
     # A window of returns begins with a return, which looks one row further back.
     back = 1 + max(p.get("window", p.get("lag", LONGEST_DEFAULT)) for _, p in specs)
-    rows, w, own = scan.haloed(df, keys, order, back) if pieces else (df, ordered(keys, order), F.lit(True))
+    rows, w, own = scan.haloed(df, keys, nulls_last(order), back) if pieces else (df, ordered(keys, order), F.lit(True))
     base = rows.withColumn("_ret", returns(F.col(price), w)).withColumn("_own", own)
     names = [feature_name(n, p) for n, p in specs]
     out = base.select(*df.columns, "_own", *(REGISTRY[n](F.col(price), "_ret", w, returns, **p).alias(a) for (n, p), a in zip(specs, names))).where("_own").drop("_own")
@@ -111,7 +116,7 @@ def sma_cross(df: DataFrame, mid: str, fast: int, slow: int, keys: list[str], or
 
     Sums are compared crosswise in decimals, so nothing is rounded.
     """
-    rows, w, own = scan.haloed(df, keys, order, slow)
+    rows, w, own = scan.haloed(df, keys, nulls_last(order), slow)
     wide = F.col(mid).cast("decimal(38,0)")
     sums = lambda n: F.sum(F.col(mid).cast("decimal(20,0)")).over(w.rowsBetween(-(n - 1), 0))
     full = rows.withColumn("_own", own).withColumn("_fast", sums(fast)).withColumn("_slow", sums(slow)).withColumn("_n", F.count(wide).over(w.rowsBetween(-(slow - 1), 0)))

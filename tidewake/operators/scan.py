@@ -27,7 +27,7 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def placed(df: DataFrame, keys: list[str], order: list[str], place: str = "_i") -> DataFrame:
+def placed(df: DataFrame, keys: list[str], order: list[str | Column], place: str = "_i") -> DataFrame:
     """The frame with each row's place within its key, from 0; written."""
     ranges = written(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     counts = ranges.groupBy("_range", *keys).agg(F.count("*").alias("_n"))
@@ -73,7 +73,7 @@ def longest(df: DataFrame, keys: list[str]) -> int:
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def haloed(df: DataFrame, keys: list[str], order: list[str], back: int, ahead: int = 0, piece: int | None = None) -> tuple[DataFrame, WindowSpec, Column]:
+def haloed(df: DataFrame, keys: list[str], order: list[str | Column], back: int, ahead: int = 0, piece: int | None = None) -> tuple[DataFrame, WindowSpec, Column]:
     """(rows with copies, window, own): windows of up to ``back`` rows before and ``ahead`` behind a row, in pieces of a key.
 
     Window functions over the window see what they would see over the whole key; afterwards only rows where
